@@ -34,8 +34,8 @@ common as (
   select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as c
   from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by all
 ), links as (select x, y from common where 100 * c >= 80 * (nx + ny - c)),
-both as (select x, y from links union select y, x from links),
-reach as (select x as node, x as seen from both union select r.node, b.y from reach r join both b on b.x = r.seen),
+bi as (select x, y from links union select y, x from links),
+reach as (select x as node, x as seen from bi union select r.node, b.y from reach r join bi b on b.x = r.seen),
 comp as (select node, min(seen) as low from reach group by node)
 select sh.doc_id, len(s)::bigint as n_shingles, coalesce(low, sh.doc_id)::bigint as component_id
 from sh left join comp on comp.node = sh.doc_id
