@@ -1,7 +1,7 @@
 """Operator 1: set-similarity join of documents on word shingles, by token-combination prefixes.
 
 Every document becomes the set of its 5-word shingles (64-bit hashes). One global order puts shingles that were not seen
-to be frequent first. A document of n shingles can miss at most n - ceil(0.8 n) of them in a partner, so a prefix with one
+to be frequent first, and among those the ones with most uncommon words. A document of n shingles can miss at most n - ceil(0.8 n) of them in a partner, so a prefix with one
 more shares a token with every partner. Frequent tokens are weak evidence: they are dealt into G groups and indexed as
 pairs of one group, and the prefix is extended until n - ceil(0.8 n) + 1 matches count even when the first token of each
 group counts for nothing. Rare tokens are indexed alone. That argument needs ceil(0.8 n) > G, so there are spaces by size,
@@ -34,18 +34,23 @@ SPACES = ((0, 100, 0), (100, 1_000, 64), (1_000, 10_000, 640), (10_000, None, 6_
 FREQUENT = 1 << 18
 #: Shingles that a task counts at once when it looks for frequent ones, and the local count that makes a candidate.
 COUNTED, CANDIDATE = 4_000_000, 3
-#: Bits of the filter over documents that need verification: 16 MB.
-FILTER_BITS = 1 << 27
+#: Common words kept at most, broadcast as 8 bytes each; a task proposes those that are one in so many of its words.
+COMMON, ONE_IN = 1 << 14, 20_000
+#: Bits of the filters over documents that need verification and over shared index entries: 16 and 32 MB.
+FILTER_BITS, SHARED_BITS = 1 << 27, 1 << 28
 
 
-def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str], n: int, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's sorted set, and for each shingle how many of its words are not common."""
     words, at = C.word_hashes(texts)
+    odd = np.cumsum(np.concatenate([[0], np.ones(len(words), np.int64) if common is None else ~np.isin(words, common)]))
     for a, b in zip(at[:-1], at[1:], strict=True):
-        own = words[a:b]
-        if len(own) >= n:
-            yield np.unique(C.ngram_hashes(own, n))
-        else:
-            yield C.ngram_hashes(own, len(own)) if len(own) else own
+        own, k = words[a:b], min(n, b - a)
+        if not k:
+            yield own, own.astype(np.int64)
+            continue
+        items, first = np.unique(C.ngram_hashes(own, k), return_index=True)
+        yield items, odd[a + first + k] - odd[a + first]
 
 
 def set_id(items: np.ndarray) -> int:
@@ -54,7 +59,7 @@ def set_id(items: np.ndarray) -> int:
     return int(C.mix(np.array([np.add.reduce(C.mix(items ^ np.uint64(0x5DEECE66D))) + np.uint64(len(items))], np.uint64)).view(np.int64)[0])
 
 
-def prefix_signatures(items: np.ndarray, hot_hash: np.ndarray, hot_rank: np.ndarray, percent: int, spaces=SPACES) -> list[np.ndarray]:
+def prefix_signatures(items: np.ndarray, odd: np.ndarray, hot_hash: np.ndarray, hot_rank: np.ndarray, percent: int, spaces=SPACES) -> list[np.ndarray]:
     """The index entries of one sorted set, over all spaces in which a partner could be found."""
     n, out = len(items), []
     need = n - (percent * n + 99) // 100 + 1
@@ -62,7 +67,7 @@ def prefix_signatures(items: np.ndarray, hot_hash: np.ndarray, hot_rank: np.ndar
     if len(hot_hash):
         at = np.minimum(np.searchsorted(hot_hash, items), len(hot_hash) - 1)
         rank = np.where(hot_hash[at] == items, hot_rank[at], 0)
-    order = np.lexsort((items, rank))
+    order = np.lexsort((items, -odd, rank))
     tokens, frequent = items[order], rank[order] > 0
     for k, (low, high, groups) in enumerate(spaces):
         if n <= low or (high is not None and percent * n > 100 * high):
@@ -94,52 +99,63 @@ def _scan(n: int) -> Callable:
     """A row for each document, and counts of shingles seen several times in one task."""
 
     def run(frames):
-        pool, size, seen = [], 0, set()
+        pool, texts, size, seen = [], [], 0, set()
 
         def flush():
-            values, counts = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            keep = counts >= CANDIDATE
-            return pd.DataFrame({"doc_id": pd.array([None] * int(keep.sum()), "Int64"), "n": pd.array(counts[keep], "Int64"), "sid": values[keep].view(np.int64), "counted": True})
+            for kind, parts in ((1, pool), (2, texts)):
+                values, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                keep = counts >= (CANDIDATE if kind == 1 else max(1, counts.sum() / ONE_IN))
+                yield pd.DataFrame({"doc_id": pd.array([None] * int(keep.sum()), "Int64"), "n": pd.array(counts[keep], "Int64"), "sid": values[keep].view(np.int64), "kind": np.int32(kind)})
 
         for part in C.text_slices(frames, "text"):
             sids, sizes = [], []
-            for items in shingle_sets(part["text"].tolist(), n):
+            texts.append(C.word_hashes(part["text"].tolist())[0])
+            for items, _ in shingle_sets(part["text"].tolist(), n):
                 sids.append(set_id(items))
                 sizes.append(len(items))
                 if len(items) and sids[-1] not in seen:
                     seen.add(sids[-1])
                     pool.append(items)
                     size += len(items)
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": pd.array(sizes, "Int64"), "sid": np.array(sids, np.int64), "counted": False})
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": pd.array(sizes, "Int64"), "sid": np.array(sids, np.int64), "kind": np.int32(0)})
             if size >= COUNTED:
-                yield flush()
-                pool, size, seen = [], 0, set()
-        yield flush()
+                yield from flush()
+                pool, texts, size, seen = [], [], 0, set()
+        yield from flush()
 
     return run
 
 
 def _entries(n: int, percent: int, hot) -> Callable:
     def run(frames):
-        hot_hash, hot_rank = hot.value
+        hot_hash, hot_rank, common = hot.value
         seen: set[int] = set()
         for part in C.text_slices(frames, "text"):
             rows = []
-            for items in shingle_sets(part["text"].tolist(), n):
+            for items, odd in shingle_sets(part["text"].tolist(), n, common):
                 if len(items) and (sid := set_id(items)) not in seen:
                     seen.add(sid)
-                    rows.append((sid, len(items), np.concatenate(prefix_signatures(items, hot_hash, hot_rank, percent)).view(np.int64)))
+                    rows.append((sid, len(items), np.concatenate(prefix_signatures(items, odd, hot_hash, hot_rank, percent)).view(np.int64)))
             yield pd.DataFrame(rows, columns=["sid", "n", "sigs"])
 
     return run
 
 
+def _shared(several) -> Callable:
+    def run(frames):
+        for f in frames:
+            sig = f["sig"].to_numpy(np.int64).view(np.uint64)
+            yield f[C.has_bit(several.value, sig & np.uint64(SHARED_BITS - 1))]
+
+    return run
+
+
 def _sets(n: int, needed) -> Callable:
     def run(frames):
         bits, seen = needed.value, set()
         for part in C.text_slices(frames, "text"):
             rows = []
-            for items in shingle_sets(part["text"].tolist(), n):
+            for items, _ in shingle_sets(part["text"].tolist(), n):
                 sid = set_id(items)
                 if len(items) and sid not in seen and C.has_bit(bits, np.array([sid & (FILTER_BITS - 1)], np.uint64))[0]:
                     seen.add(sid)
@@ -173,21 +189,24 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = C.materialize(docs.mapInPandas(_scan(words), "doc_id long, n long, sid long, counted boolean"), "scan")
-    rows = scan.filter("not counted").drop("counted")
-    frequent = scan.filter("counted").groupBy("sid").agg(F.sum("n").alias("c"))
-    kept = frequent.filter(F.col("c") >= C.frequency_floor(frequent, "c", FREQUENT)).toPandas()
-    hashes = kept["sid"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(hashes)
-    hot = sc.broadcast((hashes[by], kept["c"].to_numpy(np.int64)[by]))
+    scan = C.materialize(docs.mapInPandas(_scan(words), "doc_id long, n long, sid long, kind int"), "scan")
+    rows = scan.filter("kind = 0").drop("kind")
+    top = {}
+    for kind, most in ((1, FREQUENT), (2, COMMON)):
+        counts = scan.filter(F.col("kind") == kind).groupBy("sid").agg(F.sum("n").alias("c"))
+        kept = counts.filter(F.col("c") >= C.frequency_floor(counts, "c", most)).toPandas()
+        hashes = kept["sid"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(hashes)
+        top[kind] = hashes[by], kept["c"].to_numpy(np.int64)[by]
+    hot = sc.broadcast((*top[1], top[2][0]))
 
     entries = docs.mapInPandas(_entries(words, percent, hot), "sid long, n long, sigs array<long>").select("sid", F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     entries = C.materialize(entries, "entries")
-    several = entries.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y").select("sig")
-    shared = C.materialize(entries.join(several, "sig").groupBy("sig", "sid").agg(F.max("n").alias("n")), "shared")
+    several = entries.groupBy("sig").count().filter("count > 1").select(F.col("sig").bitwiseAND(SHARED_BITS - 1).alias("pos"))
+    maybe = entries.mapInPandas(_shared(sc.broadcast(C.build_bits(several, SHARED_BITS))), entries.schema).distinct()
+    several = maybe.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y").select("sig")
+    shared = C.materialize(maybe.join(several, "sig"), "shared")
     C.remove(entries)
-    needed = sc.broadcast(C.build_bits(shared.select(F.col("sid").bitwiseAND(FILTER_BITS - 1).alias("pos")), FILTER_BITS))
-    sets = C.materialize(docs.mapInPandas(_sets(words, needed), "sid long, items array<long>").dropDuplicates(["sid"]), "sets")
 
     central = shared.groupBy("sid").agg(F.count("*").alias("central"))
     left = C.materialize(shared.join(central, "sid").withColumn("root", F.col("sid")), "left")
@@ -207,13 +226,17 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
             hubs = left.groupBy("sig").agg(F.max(F.struct("central", "sid", "n", "root")).alias("hub")).select("sig", F.col("hub.sid").alias("sid_b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
             pairs = left.join(hubs, "sig").filter(F.col("root") != F.col("root_b"))
         pairs = pairs.filter(near).select(F.col("sid_b").alias("a"), F.col("sid").alias("b")).distinct()
+        pairs = C.materialize(pairs, "pairs")
+        needed = sc.broadcast(C.build_bits(pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.col("sid").bitwiseAND(FILTER_BITS - 1).alias("pos")), FILTER_BITS))
+        sets = C.materialize(docs.mapInPandas(_sets(words, needed), "sid long, items array<long>").dropDuplicates(["sid"]), "sets")
         found = C.materialize(_verified(pairs, sets, percent), "links")
+        C.remove(sets)
+        C.remove(pairs)
         links = links.union(found)
         roots = components(links)
         if last:
             break
         left = _open(left, hubs, roots)
-    C.remove(sets)
     nodes = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"))
     if roots is not None:
         linked = roots.join(nodes, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first_id").alias("least"))
