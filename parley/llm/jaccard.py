@@ -150,17 +150,26 @@ def _shared(several) -> Callable:
     return run
 
 
+def _slot(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return C.mix(sid.view(np.uint64) + C.mix(doc.view(np.uint64))) & np.uint64(FILTER_BITS - 1)
+
+
+def _slots(frames):
+    for f in frames:
+        yield pd.DataFrame({"pos": _slot(f["sid"].to_numpy(np.int64), f["doc"].to_numpy(np.int64)).astype(np.int64)})
+
+
 def _sets(n: int, needed) -> Callable:
+    """The sets of the documents that stand for a node which is compared (and of a few others, which find no pair)."""
+
     def run(frames):
-        bits, seen = needed.value, set()
         for part in C.text_slices(frames, "text"):
             rows = []
-            for items, _ in shingle_sets(part["text"].tolist(), n):
+            for doc, (items, _) in zip(part["doc_id"].fillna(0).to_numpy(np.int64), shingle_sets(part["text"].tolist(), n), strict=True):
                 sid = set_id(items)
-                if len(items) and sid not in seen and C.has_bit(bits, np.array([sid & (FILTER_BITS - 1)], np.uint64))[0]:
-                    seen.add(sid)
-                    rows.append((sid, items.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["sid", "items"])
+                if len(items) and C.has_bit(needed.value, _slot(np.array([sid], np.int64), np.array([doc], np.int64)))[0]:
+                    rows.append((sid, doc, items.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["sid", "doc", "items"])
 
     return run
 
@@ -209,7 +218,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
     C.remove(entries)
 
     central = shared.groupBy("sid").agg(F.count("*").alias("central"))
-    left = C.materialize(shared.join(central, "sid").withColumn("root", F.col("sid")), "left")
+    nodes = C.materialize(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "nodes")
+    left = C.materialize(shared.join(central, "sid").join(nodes.select("sid", F.coalesce("first_id", F.lit(0)).alias("doc")), "sid").withColumn("root", F.col("sid")), "left")
     C.remove(shared)
     links = spark.createDataFrame([], "a long, b long")
     near = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
@@ -218,17 +228,18 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
         pairs_left = left.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).agg(F.sum("pairs"), F.sum("k")).first()
         if not pairs_left[1]:
             break
-        last = turn == hub_rounds or pairs_left[0] <= 4 * pairs_left[1]
+        last = turn == hub_rounds or pairs_left[0] <= (4 if not turn else 64) * pairs_left[1]
         if last:
-            other = left.select("sig", F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+            other = left.select("sig", F.col("sid").alias("sid_b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
             pairs = left.join(other, "sig").filter(F.col("root") < F.col("root_b"))
         else:
-            hubs = left.groupBy("sig").agg(F.max(F.struct("central", "sid", "n", "root")).alias("hub")).select("sig", F.col("hub.sid").alias("sid_b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
+            hubs = left.groupBy("sig").agg(F.max(F.struct("central", "sid", "doc", "n", "root")).alias("hub")).select("sig", F.col("hub.sid").alias("sid_b"), F.col("hub.doc").alias("doc_b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
             pairs = left.join(hubs, "sig").filter(F.col("root") != F.col("root_b"))
-        pairs = pairs.filter(near).select(F.col("sid_b").alias("a"), F.col("sid").alias("b")).distinct()
+        pairs = pairs.filter(near).select(F.col("sid_b").alias("a"), F.col("doc_b").alias("doc_a"), F.col("sid").alias("b"), F.col("doc").alias("doc_b")).distinct()
         pairs = C.materialize(pairs, "pairs")
-        needed = sc.broadcast(C.build_bits(pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.col("sid").bitwiseAND(FILTER_BITS - 1).alias("pos")), FILTER_BITS))
-        sets = C.materialize(docs.mapInPandas(_sets(words, needed), "sid long, items array<long>").dropDuplicates(["sid"]), "sets")
+        ends = pairs.select(F.col("a").alias("sid"), F.col("doc_a").alias("doc")).union(pairs.select("b", "doc_b")).distinct()
+        needed = sc.broadcast(C.build_bits(ends.mapInPandas(_slots, "pos long"), FILTER_BITS))
+        sets = C.materialize(docs.mapInPandas(_sets(words, needed), "sid long, doc long, items array<long>"), "sets")
         found = C.materialize(_verified(pairs, sets, percent), "links")
         C.remove(sets)
         C.remove(pairs)
@@ -237,7 +248,6 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
         if last:
             break
         left = _open(left, hubs, roots)
-    nodes = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"))
     if roots is not None:
         linked = roots.join(nodes, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first_id").alias("least"))
         roots = roots.join(linked, "root").select(F.col("node").alias("sid"), "least")
@@ -249,11 +259,11 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union; hot sides are split by adaptive skew joins."""
-    left = sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    left = sets.select(F.col("sid").alias("a"), F.col("doc").alias("doc_a"), F.col("items").alias("items_a"))
+    right = sets.select(F.col("sid").alias("b"), F.col("doc").alias("doc_b"), F.col("items").alias("items_b"))
+    both = pairs.join(right, ["b", "doc_b"]).join(left, ["a", "doc_a"])
     common = F.size(F.array_intersect("items_a", "items_b"))
-    return both.select("a", "b", common.alias("c"), (F.size("items_a") + F.size("items_b")).alias("s")).filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b")
+    return both.select("a", "b", common.alias("c"), (F.size("items_a") + F.size("items_b")).alias("s")).filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
 
 
 def _open(left: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
