@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,21 +93,47 @@ def text_slices(frames: Iterator[pd.DataFrame], col: str, chars: int = 1_000_000
             yield part
 
 
-def build_bits(positions: DataFrame, bits: int, chunk_bits: int = 1 << 20) -> np.ndarray:
-    """A bit set of fixed size (bits / 8 bytes) of the long column `pos`, built in chunks on the executors."""
-    sized = positions.select(F.col("pos").cast("long").alias("pos")).withColumn("chunk", F.shiftright("pos", chunk_bits.bit_length() - 1))
-    words = sized.groupBy("chunk", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))")).alias("mask"))
-
-    def fill(key, frame):
-        chunk = np.zeros(chunk_bits // 64, np.int64)
-        chunk[(frame["word"] & (chunk_bits // 64 - 1)).to_numpy()] = frame["mask"].to_numpy()
-        return pd.DataFrame({"chunk": [key[0]], "data": [chunk.tobytes()]})
-
-    out = np.zeros(max(bits, chunk_bits) // 64, np.uint64)
-    rows = words.groupBy("chunk").applyInPandas(fill, "chunk long, data binary").toLocalIterator()
-    for row in rows:
-        at = row["chunk"] * (chunk_bits // 64)
-        out[at : at + chunk_bits // 64] = np.frombuffer(row["data"], np.uint64)
+def build_bits(rows: DataFrame, bits: int, positions: Callable[[pd.DataFrame], np.ndarray], held: int = 4_000_000) -> np.ndarray:
+    """A bit set of fixed size (bits / 8 bytes) of the positions of all rows. Tasks send their positions by chunks of 65,536
+    bits, as offsets or as a bit map, whichever is shorter; the task that owns a chunk merges them as they
+    come."""
+
+    def dense(offsets: np.ndarray) -> np.ndarray:
+        chunk = np.zeros(1 << 16, np.uint8)
+        chunk[offsets] = 1
+        return np.packbits(chunk, bitorder="little")
+
+    def pack(frames):
+        pool, size = [], 0
+
+        def flush():
+            pos = np.unique(np.concatenate(pool)).astype(np.uint64)
+            chunk, first = np.unique(pos >> np.uint64(16), return_index=True)
+            parts = np.split((pos & np.uint64(0xFFFF)).astype("<u2"), first[1:])
+            return pd.DataFrame({"chunk": chunk.astype(np.int64), "data": [(x if len(x) < 4096 else dense(x)).tobytes() for x in parts]})
+
+        for f in frames:
+            pool.append(positions(f))
+            size += len(pool[-1])
+            if size > held:
+                yield flush()
+                pool, size = [], 0
+        if size:
+            yield flush()
+
+    def merge(frames):
+        chunks: dict[int, np.ndarray] = {}
+        for f in frames:
+            for chunk, data in zip(f["chunk"].tolist(), f["data"], strict=True):
+                bitmap = np.frombuffer(data, np.uint8) if len(data) == 1 << 13 else dense(np.frombuffer(data, "<u2"))
+                chunks[chunk] = chunks[chunk] | bitmap if chunk in chunks else bitmap
+        yield pd.DataFrame({"chunk": pd.Series(list(chunks), dtype="int64"), "data": [x.tobytes() for x in chunks.values()]})
+
+    schema = "chunk long, data binary"
+    whole = rows.mapInPandas(pack, schema).repartition("chunk").mapInPandas(merge, schema).toPandas()
+    out = np.zeros(max(bits, 1 << 16) // 64, np.uint64)
+    for chunk, data in zip(whole["chunk"].tolist(), whole["data"], strict=True):
+        out[chunk << 10 : (chunk + 1) << 10] = np.frombuffer(data, np.uint64)
     return out
 
 

@@ -144,8 +144,7 @@ def _entries(n: int, percent: int, hot) -> Callable:
 def _shared(several) -> Callable:
     def run(frames):
         for f in frames:
-            sig = f["sig"].to_numpy(np.int64).view(np.uint64)
-            yield f[C.has_bit(several.value, sig & np.uint64(SHARED_BITS - 1))]
+            yield f[C.has_bit(several.value, _places(f))]
 
     return run
 
@@ -154,9 +153,12 @@ def _slot(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return C.mix(sid.view(np.uint64) + C.mix(doc.view(np.uint64))) & np.uint64(FILTER_BITS - 1)
 
 
-def _slots(frames):
-    for f in frames:
-        yield pd.DataFrame({"pos": _slot(f["sid"].to_numpy(np.int64), f["doc"].to_numpy(np.int64)).astype(np.int64)})
+def _slots(f: pd.DataFrame) -> np.ndarray:
+    return _slot(f["sid"].to_numpy(np.int64), f["doc"].to_numpy(np.int64))
+
+
+def _places(f: pd.DataFrame) -> np.ndarray:
+    return f["sig"].to_numpy(np.int64).view(np.uint64) & np.uint64(SHARED_BITS - 1)
 
 
 def _sets(n: int, needed) -> Callable:
@@ -211,8 +213,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
 
     entries = docs.mapInPandas(_entries(words, percent, hot), "sid long, n long, sigs array<long>").select("sid", F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     entries = C.materialize(entries, "entries")
-    several = entries.groupBy("sig").count().filter("count > 1").select(F.col("sig").bitwiseAND(SHARED_BITS - 1).alias("pos"))
-    maybe = entries.mapInPandas(_shared(sc.broadcast(C.build_bits(several, SHARED_BITS))), entries.schema).distinct()
+    several = entries.groupBy("sig").count().filter("count > 1").select("sig")
+    maybe = entries.mapInPandas(_shared(sc.broadcast(C.build_bits(several, SHARED_BITS, _places))), entries.schema).distinct()
     several = maybe.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y").select("sig")
     shared = C.materialize(maybe.join(several, "sig"), "shared")
     C.remove(entries)
@@ -238,7 +240,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
         pairs = pairs.filter(near).select(F.col("sid_b").alias("a"), F.col("doc_b").alias("doc_a"), F.col("sid").alias("b"), F.col("doc").alias("doc_b")).distinct()
         pairs = C.materialize(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("sid"), F.col("doc_a").alias("doc")).union(pairs.select("b", "doc_b")).distinct()
-        needed = sc.broadcast(C.build_bits(ends.mapInPandas(_slots, "pos long"), FILTER_BITS))
+        needed = sc.broadcast(C.build_bits(ends, FILTER_BITS, _slots))
         sets = C.materialize(docs.mapInPandas(_sets(words, needed), "sid long, doc long, items array<long>"), "sets")
         found = C.materialize(_verified(pairs, sets, percent), "links")
         C.remove(sets)
