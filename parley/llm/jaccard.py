@@ -7,9 +7,10 @@ pairs of one group, and the prefix is extended until n - ceil(0.8 n) + 1 matches
 group counts for nothing. Rare tokens are indexed alone. That argument needs ceil(0.8 n) > G, so there are spaces by size,
 each with a G of its own, and a document enters each space in which a partner could look for it.
 
-Candidates of one index entry are not paired with each other. A hub is verified against the others, the links merge
+Candidates of one index entry are not paired with each other. A hub is compared with the others, the links merge
 components, and only entries that still hold several components go on: to another hub, or, once that is little work, to
-all pairs between different components. So no link that could change a component is skipped, and a group of thousands of
+all pairs between different components. The number of common entries bounds the overlap of a pair from above; sets are
+fetched and compared only where that bound allows a link. So no link that could change a component is skipped, and a group of thousands of
 near copies costs one comparison a member.
 
 Defined cases: a null or wordless text is the empty set and links with nothing (n_shingles 0, its own component); equal
@@ -40,10 +41,11 @@ COMMON, ONE_IN = 1 << 14, 20_000
 FILTER_BITS, SHARED_BITS = 1 << 27, 1 << 28
 
 
-def shingle_sets(texts: list[str], n: int, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingle_sets(words: np.ndarray, at: np.ndarray, n: int, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each text's sorted set, and for each shingle how many of its words are not common."""
-    words, at = C.word_hashes(texts)
-    odd = np.cumsum(np.concatenate([[0], np.ones(len(words), np.int64) if common is None else ~np.isin(words, common)]))
+    odd = np.arange(len(words) + 1)
+    if common is not None and len(common):
+        odd[1:] = np.cumsum(common[np.minimum(np.searchsorted(common, words), len(common) - 1)] != words)
     for a, b in zip(at[:-1], at[1:], strict=True):
         own, k = words[a:b], min(n, b - a)
         if not k:
@@ -59,15 +61,19 @@ def set_id(items: np.ndarray) -> int:
     return int(C.mix(np.array([np.add.reduce(C.mix(items ^ np.uint64(0x5DEECE66D))) + np.uint64(len(items))], np.uint64)).view(np.int64)[0])
 
 
-def prefix_signatures(items: np.ndarray, odd: np.ndarray, hot_hash: np.ndarray, hot_rank: np.ndarray, percent: int, spaces=SPACES) -> list[np.ndarray]:
-    """The index entries of one sorted set, over all spaces in which a partner could be found."""
-    n, out = len(items), []
+def prefix_signatures(items: np.ndarray, odd: np.ndarray, hot_hash: np.ndarray, hot_rank: np.ndarray, percent: int, spaces=SPACES) -> tuple[np.ndarray, int, int]:
+    """The index entries of one sorted set, over all spaces in which a partner could be found; how many items lie behind
+    the shortest prefix, and in how many groups of frequent tokens the prefixes lie."""
+    n, out, shortest, most = len(items), [], len(items), 0
     need = n - (percent * n + 99) // 100 + 1
     rank = np.zeros(n, np.int64)
     if len(hot_hash):
         at = np.minimum(np.searchsorted(hot_hash, items), len(hot_hash) - 1)
         rank = np.where(hot_hash[at] == items, hot_rank[at], 0)
-    order = np.lexsort((items, -odd, rank))
+    if rank.any():
+        order = np.lexsort((items, -odd, rank))
+    else:
+        order = np.argsort((np.uint64(7) - odd.astype(np.uint64)) << np.uint64(61) | items >> np.uint64(3), kind="stable")
     tokens, frequent = items[order], rank[order] > 0
     for k, (low, high, groups) in enumerate(spaces):
         if n <= low or (high is not None and percent * n > 100 * high):
@@ -75,6 +81,7 @@ def prefix_signatures(items: np.ndarray, odd: np.ndarray, hot_hash: np.ndarray,
         salt = np.uint64(0x1000193 * (k + 1))
         if not groups or not frequent.any():
             out.append(C.mix(tokens[:need] + salt))
+            shortest = min(shortest, need)
             continue
         group = np.where(frequent, (tokens % np.uint64(groups)).astype(np.int64), -1)
         counts = np.ones(n, np.int64)
@@ -84,6 +91,7 @@ def prefix_signatures(items: np.ndarray, odd: np.ndarray, hot_hash: np.ndarray,
         head, group = tokens[:end], group[:end]
         out.append(C.mix(head[group < 0] + salt))
         hot, g = head[group >= 0], group[group >= 0]
+        shortest, most = min(shortest, end), max(most, len(np.unique(g)))
         by = np.argsort(g, kind="stable")
         hot, g = hot[by], g[by]
         for step in range(1, int(np.bincount(g).max()) if len(g) else 0):
@@ -92,7 +100,7 @@ def prefix_signatures(items: np.ndarray, odd: np.ndarray, hot_hash: np.ndarray,
                 break
             a, b = hot[:-step][same], hot[step:][same]
             out.append(C.mix(np.minimum(a, b) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(a, b) + salt * np.uint64(31)))
-    return out
+    return np.concatenate(out), n - shortest, most
 
 
 def _scan(n: int) -> Callable:
@@ -109,8 +117,9 @@ def _scan(n: int) -> Callable:
 
         for part in C.text_slices(frames, "text"):
             sids, sizes = [], []
-            texts.append(C.word_hashes(part["text"].tolist())[0])
-            for items, _ in shingle_sets(part["text"].tolist(), n):
+            words, at = C.word_hashes(part["text"].tolist())
+            texts.append(words)
+            for items, _ in shingle_sets(words, at, n):
                 sids.append(set_id(items))
                 sizes.append(len(items))
                 if len(items) and sids[-1] not in seen:
@@ -132,19 +141,27 @@ def _entries(n: int, percent: int, hot) -> Callable:
         seen: set[int] = set()
         for part in C.text_slices(frames, "text"):
             rows = []
-            for items, odd in shingle_sets(part["text"].tolist(), n, common):
+            for items, odd in shingle_sets(*C.word_hashes(part["text"].tolist()), n, common):
                 if len(items) and (sid := set_id(items)) not in seen:
                     seen.add(sid)
-                    rows.append((sid, len(items), np.concatenate(prefix_signatures(items, odd, hot_hash, hot_rank, percent)).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["sid", "n", "sigs"])
+                    sigs, rest, groups = prefix_signatures(items, odd, hot_hash, hot_rank, percent)
+                    rows.append((sid, len(items), rest, groups, sigs.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["sid", "n", "rest", "groups", "sigs"])
 
     return run
 
 
 def _shared(several) -> Callable:
+    """A row for each entry that some other set may have too."""
+
     def run(frames):
         for f in frames:
-            yield f[C.has_bit(several.value, _places(f))]
+            sizes = f["sigs"].str.len().to_numpy(np.int64)
+            if not len(sizes):
+                continue
+            sigs = np.concatenate(f["sigs"].to_list()).astype(np.int64)
+            kept = C.has_bit(several.value, sigs.view(np.uint64) & np.uint64(SHARED_BITS - 1))
+            yield f.drop(columns="sigs").loc[f.index.repeat(sizes)][kept].assign(sig=sigs[kept])
 
     return run
 
@@ -167,7 +184,7 @@ def _sets(n: int, needed) -> Callable:
     def run(frames):
         for part in C.text_slices(frames, "text"):
             rows = []
-            for doc, (items, _) in zip(part["doc_id"].fillna(0).to_numpy(np.int64), shingle_sets(part["text"].tolist(), n), strict=True):
+            for doc, (items, _) in zip(part["doc_id"].fillna(0).to_numpy(np.int64), shingle_sets(*C.word_hashes(part["text"].tolist()), n), strict=True):
                 sid = set_id(items)
                 if len(items) and C.has_bit(needed.value, _slot(np.array([sid], np.int64), np.array([doc], np.int64)))[0]:
                     rows.append((sid, doc, items.view(np.int64)))
@@ -211,66 +228,77 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
         top[kind] = hashes[by], kept["c"].to_numpy(np.int64)[by]
     hot = sc.broadcast((*top[1], top[2][0]))
 
-    entries = docs.mapInPandas(_entries(words, percent, hot), "sid long, n long, sigs array<long>").select("sid", F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
-    entries = C.materialize(entries, "entries")
-    several = entries.groupBy("sig").count().filter("count > 1").select("sig")
-    maybe = entries.mapInPandas(_shared(sc.broadcast(C.build_bits(several, SHARED_BITS, _places))), entries.schema).distinct()
+    entries = C.materialize(docs.mapInPandas(_entries(words, percent, hot), "sid long, n int, rest int, groups int, sigs array<long>"), "entries")
+    several = entries.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig")
+    maybe = entries.mapInPandas(_shared(sc.broadcast(C.build_bits(several, SHARED_BITS, _places))), "sid long, n int, rest int, groups int, sig long").distinct()
     several = maybe.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y").select("sig")
+    nodes = C.materialize(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "nodes")
     shared = C.materialize(maybe.join(several, "sig"), "shared")
     C.remove(entries)
+    info = shared.groupBy("sid").agg(F.collect_list("sig").alias("sigs"), F.count("*").alias("central"), *[F.max(c).alias(c) for c in ("n", "rest", "groups")])
+    info = C.materialize(info.join(nodes.select("sid", F.coalesce("first_id", F.lit(0)).alias("doc")), "sid"), "info")
 
-    central = shared.groupBy("sid").agg(F.count("*").alias("central"))
-    nodes = C.materialize(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "nodes")
-    left = C.materialize(shared.join(central, "sid").join(nodes.select("sid", F.coalesce("first_id", F.lit(0)).alias("doc")), "sid").withColumn("root", F.col("sid")), "left")
+    def of(side: str, *cols: str) -> DataFrame:
+        return info.select(*[F.col(c).alias(f"{c}_{side}") for c in ("sid", "doc", *cols)])
+
+    left = C.materialize(shared.select("sig", "sid").join(info.select("sid", "central", "n"), "sid").withColumn("root", F.col("sid")), "left")
     C.remove(shared)
     links = spark.createDataFrame([], "a long, b long")
-    near = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
+    near = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
+    sizes = F.col("n_a") + F.col("n_b")
+    least = F.ceil(sizes * percent / (100 + percent) - 1e-6) - F.greatest("rest_a", "rest_b") - F.least("groups_a", "groups_b")
+    ends = ("sid_a", "doc_a", "sid_b", "doc_b")
     roots = None
     for turn in range(hub_rounds + 1):
-        pairs_left = left.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).agg(F.sum("pairs"), F.sum("k")).first()
-        if not pairs_left[1]:
+        per_root = left.groupBy("sig", "root").agg(F.count("*").alias("k"))
+        per_sig = per_root.groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k"))
+        todo = per_sig.agg(F.sum("pairs"), F.sum("k")).first()
+        if not todo[1]:
             break
-        last = turn == hub_rounds or pairs_left[0] <= (4 if not turn else 64) * pairs_left[1]
-        if last:
-            other = left.select("sig", F.col("sid").alias("sid_b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = left.join(other, "sig").filter(F.col("root") < F.col("root_b"))
+        last = turn == hub_rounds or (turn > 0 and todo[0] <= 64 * todo[1])
+        if last:  # a pair that was not compared yet still has all its common entries here
+            other = left.select("sig", F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+            met = left.join(other, "sig").filter((F.col("root") < F.col("root_b")) & near)
+            pairs = met.groupBy(F.col("sid").alias("sid_a"), "sid_b").agg(F.count("*").alias("common"))
+            pairs = pairs.join(of("b", "n", "rest", "groups"), "sid_b").join(of("a", "n", "rest", "groups"), "sid_a")
         else:
-            hubs = left.groupBy("sig").agg(F.max(F.struct("central", "sid", "doc", "n", "root")).alias("hub")).select("sig", F.col("hub.sid").alias("sid_b"), F.col("hub.doc").alias("doc_b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
-            pairs = left.join(hubs, "sig").filter(F.col("root") != F.col("root_b"))
-        pairs = pairs.filter(near).select(F.col("sid_b").alias("a"), F.col("doc_b").alias("doc_a"), F.col("sid").alias("b"), F.col("doc").alias("doc_b")).distinct()
-        pairs = C.materialize(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("sid"), F.col("doc_a").alias("doc")).union(pairs.select("b", "doc_b")).distinct()
-        needed = sc.broadcast(C.build_bits(ends, FILTER_BITS, _slots))
-        sets = C.materialize(docs.mapInPandas(_sets(words, needed), "sid long, doc long, items array<long>"), "sets")
-        found = C.materialize(_verified(pairs, sets, percent), "links")
-        C.remove(sets)
+            hubs = left.groupBy("sig").agg(F.max(F.struct("central", "sid", "n", "root")).alias("hub")).select("sig", F.col("hub.sid").alias("sid_b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
+            met = left.join(hubs, "sig").filter((F.col("root") != F.col("root_b")) & near)
+            pairs = met.select(F.col("sid").alias("sid_a"), "sid_b").distinct()
+            pairs = pairs.join(of("a", "n", "rest", "groups", "sigs"), "sid_a").join(of("b", "n", "rest", "groups", "sigs"), "sid_b")
+            pairs = pairs.withColumn("common", F.size(F.array_intersect("sigs_a", "sigs_b")))
+        pairs = C.materialize(pairs.filter(F.col("common") >= least).select(*ends), "pairs")
+        both = pairs.select(F.col("sid_a").alias("sid"), F.col("doc_a").alias("doc")).union(pairs.select("sid_b", "doc_b")).distinct()
+        needed = C.build_bits(both, FILTER_BITS, _slots)
+        if needed.any():
+            sets = C.materialize(docs.mapInPandas(_sets(words, sc.broadcast(needed)), "sid long, doc long, items array<long>"), "sets")
+            links = links.union(C.materialize(_verified(pairs, sets, percent), "links"))
+            C.remove(sets)
         C.remove(pairs)
-        links = links.union(found)
-        roots = components(links)
         if last:
             break
-        left = _open(left, hubs, roots)
-    if roots is not None:
-        linked = roots.join(nodes, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first_id").alias("least"))
-        roots = roots.join(linked, "root").select(F.col("node").alias("sid"), "least")
-        nodes = nodes.join(roots, "sid", "left").select("sid", F.coalesce("least", "first_id").alias("component_id"))
-    else:
-        nodes = nodes.withColumnRenamed("first_id", "component_id")
+        left = _open(left, hubs, links)
+    roots = components(links)
+    linked = roots.join(nodes, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first_id").alias("least"))
+    roots = roots.join(linked, "root").select(F.col("node").alias("sid"), "least")
+    nodes = nodes.join(roots, "sid", "left").select("sid", F.coalesce("least", "first_id").alias("component_id"))
     return rows.join(nodes.withColumn("sized", F.lit(True)), (rows["sid"] == nodes["sid"]) & (rows["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sized"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union; hot sides are split by adaptive skew joins."""
-    left = sets.select(F.col("sid").alias("a"), F.col("doc").alias("doc_a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("sid").alias("b"), F.col("doc").alias("doc_b"), F.col("items").alias("items_b"))
-    both = pairs.join(right, ["b", "doc_b"]).join(left, ["a", "doc_a"])
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    return both.select("a", "b", common.alias("c"), (F.size("items_a") + F.size("items_b")).alias("s")).filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
+    left, right = (sets.select(F.col("sid").alias(f"sid_{x}"), F.col("doc").alias(f"doc_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
+    both = pairs.join(left, ["sid_a", "doc_a"]).join(right, ["sid_b", "doc_b"])
+    found = both.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), F.size(F.array_intersect("items_a", "items_b")).alias("c"), (F.size("items_a") + F.size("items_b")).alias("s"))
+    return found.filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
 
 
-def _open(left: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries without their hubs, under their new roots, where one signature still holds several components."""
+def _open(left: DataFrame, hubs: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries without their hubs, where one signature still holds several roots. A root here is the least neighbour
+    of the least neighbour: perhaps not yet the component's, so that more pairs are compared than need be, never fewer."""
+    both = links.union(links.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    roots = both.join(both.select(F.col("a").alias("low"), F.col("low").alias("root")), "low").select(F.col("a").alias("sid"), "root")
     rest = left.join(hubs.select("sig", F.col("sid_b").alias("sid")), ["sig", "sid"], "left_anti").drop("root")
-    rest = rest.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rest = C.materialize(rest.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "left")
     mixed = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("sig")
-    return C.materialize(rest.join(mixed, "sig"), "left")
+    return C.materialize(rest.join(mixed, "sig").select("sig", "sid", "central", "n", "root"), "left")
