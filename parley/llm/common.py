@@ -130,7 +130,7 @@ def build_bits(rows: DataFrame, bits: int, positions: Callable[[pd.DataFrame], n
         yield pd.DataFrame({"chunk": pd.Series(list(chunks), dtype="int64"), "data": [x.tobytes() for x in chunks.values()]})
 
     schema = "chunk long, data binary"
-    whole = rows.mapInPandas(pack, schema).repartition("chunk").mapInPandas(merge, schema).toPandas()
+    whole = rows.mapInPandas(pack, schema).repartition("chunk").mapInPandas(merge, schema).toArrow().to_pandas()
     out = np.zeros(max(bits, 1 << 16) // 64, np.uint64)
     for chunk, data in zip(whole["chunk"].tolist(), whole["data"], strict=True):
         out[chunk << 10 : (chunk + 1) << 10] = np.frombuffer(data, np.uint64)

@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     distinct = docs.select("text").mapInPandas(_distinct, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
     counts = C.materialize(distinct.mapInPandas(_pieces(model_path), "pre string, n long, pieces int"), "pre-tokens")
-    top = counts.filter(F.col("n") >= C.frequency_floor(counts, "n", KNOWN)).select("pre", "pieces").toPandas()
+    top = counts.filter(F.col("n") >= C.frequency_floor(counts, "n", KNOWN)).select("pre", "pieces").toArrow().to_pandas()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(top["pre"], top["pieces"].tolist(), strict=True)))
     summed = docs.mapInPandas(_sum(known), "key long, doc_id long, n_bytes long, n long, rest array<struct<pre: string, times: long>>")
     own = F.struct(F.concat(F.lit("  "), F.col("key").cast("string"), F.lit(" ")).alias("pre"), F.lit(0).cast("long").alias("times"))  # no pre-token has a space after another character

@@ -222,7 +222,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
     top = {}
     for kind, most in ((1, FREQUENT), (2, COMMON)):
         counts = scan.filter(F.col("kind") == kind).groupBy("sid").agg(F.sum("n").alias("c"))
-        kept = counts.filter(F.col("c") >= C.frequency_floor(counts, "c", most)).toPandas()
+        kept = counts.filter(F.col("c") >= C.frequency_floor(counts, "c", most)).toArrow().to_pandas()
         hashes = kept["sid"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(hashes)
         top[kind] = hashes[by], kept["c"].to_numpy(np.int64)[by]
