@@ -30,7 +30,7 @@ from . import common as C
 from .tokens import encoder
 
 #: Bytes of text a shard is planned for; a shard is read as one value.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 
 
 def masked(data: bytes) -> int:
@@ -70,7 +70,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int =
 
     def run(parts):
         enc, out = encoder(tokenizer), []
-        for part in C.text_slices(parts, "text", 4_000_000):
+        for part in C.text_slices(parts, "text", 2_000_000):
             ids = enc.encode(part["text"].tolist())
             if width == 2:
                 ids = [np.frombuffer(x + end, "<u4").astype("<u2").tobytes() for x in ids]

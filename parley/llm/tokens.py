@@ -15,7 +15,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers at most, about 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 _MARKS = ".,!?;:"
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -39,7 +39,7 @@ class PieceEncoder:
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain(self, words: list[str], block: int = 20_000) -> list[bytes]:
+    def plain(self, words: list[str], block: int = 5_000) -> list[bytes]:
         """The ids of words of letters, each with a space before it, by encoding many of them as one text."""
         out: list[bytes] = []
         for k in range(0, len(words), block):
