@@ -1,13 +1,526 @@
-"""All queries of the library's own operators with their SQL oracles."""
+"""All queries of the library's own operators over the given tables, with their SQL oracles.
+
+Where the tables lack a domain, Spark derives it from them: conversations are meetings whose seconds are text lengths / 10;
+documents turn into Markdown by marking every fifth line as a heading; letters a to e become CJK characters; the glossary is
+the twenty most frequent longer words of the benchmark; orders are action items.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from parley.functions import text as T
+from parley.operators import chunking, conversation, evaluation, ledger, retrieval, terms
+from parley.sources import readers
+from parley.streaming import windows as streams
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 FLAGSHIP = "hybrid_search"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").withColumn("section", F.col("source"))
+
+
+def asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def cjk(text):
+    return F.translate(text, "abcde", "甲乙丙丁戊")
+
+
+def glossary(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("term")).filter(F.length("term") >= 6)
+    best = words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(20)  # a glossary is twenty terms
+    return best.select("term", F.col("term").alias("canonical"), F.array(F.substring("term", 1, 5)).alias("aliases"), F.concat(F.lit("about "), "term").alias("definition"), F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("ord"))
+
+
+def segments(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select(F.col("conv_id").alias("meeting_id"), F.col("role").alias("speaker"), F.col("turn").alias("seq"), (F.length("text") / 10.0).alias("seconds"), "text")
+
+
+def items(spark, d):
+    """Action items: one for each order, for two targets."""
+    o = table(spark, d, "orders")
+    key = T.item_key(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderpriority"))
+    target = F.when(F.col("o_orderkey") % 3 == 0, "tickets").otherwise("tasks")
+    return o.select(key.alias("item_key"), target.alias("target"), F.concat(F.lit("X-"), F.col("o_orderkey").cast("string")).alias("external_id"), F.col("o_custkey").alias("meeting_id"), F.col("o_orderkey").cast("double").alias("created_at"), "o_orderkey", "o_orderpriority", "o_orderdate")
+
+
+def written(spark, d):
+    """The ledger so far: every item whose order number 4 divides."""
+    return items(spark, d).filter("o_orderkey % 4 = 0").select("item_key", "target", "external_id", "meeting_id", "created_at")
+
+
+# --- SQL fragments of the oracles ---
+_W = "list_transform(regexp_extract_all({t}, '[A-Za-z0-9]+(?:[._\\-][A-Za-z0-9]+)*'), lambda x: lower(x))"
+_RUNS = "regexp_extract_all({t}, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]+')"
+_BI = "flatten(list_transform(" + _RUNS + ", lambda r: list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substr(r, i, 2))))"
+_CJK = "translate({t}, 'abcde', '甲乙丙丁戊')"
+_NORM = "trim(regexp_replace(lower({t}), '\\s+', ' ', 'g'))"
+_KEY = "substr(sha256(o_orderkey::varchar || '|' || o_custkey::varchar || '|' || " + _NORM.format(t="o_orderpriority") + "), 1, 32)"
+_ITEMS = f"items as (select {_KEY} as item_key, case when o_orderkey % 3 = 0 then 'tickets' else 'tasks' end as target, 'X-' || o_orderkey as external_id, o_custkey as meeting_id, o_orderkey::double as created_at, o_orderkey, o_orderpriority, o_orderdate from orders), written as (select item_key, target, external_id, meeting_id, created_at from items where o_orderkey % 4 = 0)"
+_SEG = "seg as (select conv_id as meeting_id, role as speaker, turn as seq, length(text) / 10.0::double as seconds, text from conversations)"
+_STATS = _SEG + """, own as (select meeting_id, speaker, sum(seconds) as total, sum(length(text))::bigint as n_chars, count(*) as turns, min(seq) as first_seq from seg group by all),
+st as (select meeting_id, speaker, round(total, 1) as duration, case when sum(total) over m > 0 then round(total / sum(total) over m, 3) else 0 end as ratio, n_chars, turns, first_seq from own window m as (partition by meeting_id)),
+stats as (select meeting_id, speaker, duration, ratio, n_chars, turns, row_number() over (partition by meeting_id order by duration desc, first_seq, speaker)::int as place from st)"""
+_BAL = _STATS + """, bal as (select a.meeting_id, count(distinct a.speaker) as n, case when sum(a.ratio) > 0 then sum(abs(a.ratio - b.ratio)) / (2 * sum(a.ratio)) else 0 end as g from stats a join stats b using (meeting_id) group by a.meeting_id)"""
+_TF = "tf as (select doc_id, unnest(" + _W.format(t="text") + ") as term from documents), post as (select term, doc_id, count(*) as tf from tf group by all)"
+_LEN = "len as (select doc_id, len(" + _W.format(t="coalesce(text, '')") + ")::bigint as len from documents)"
+
+
+def _bm25_sql(name: str, source: str) -> str:
+    return f"""{name}_t as (select distinct query_id, unnest({_W.format(t='text')}) as term from {source}),
+{name} as (select query_id, doc_id, round(sum(greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 4) as score
+ from {name}_t join post using (term) join (select term, count(*) as df from post group by term) using (term) join len using (doc_id), (select count(*) as n, avg(len) as mean from len) group by all having score > 0)"""
+
+
+def _hash_sql(name: str, source: str, key: str) -> str:
+    return f"""{name}_c as (select {key}, (('0x' || substr(md5(term), 1, 8))::bigint % 512) as bucket, count(*) as c from (select {key}, unnest({_W.format(t='text')}) as term from {source}) group by all),
+{name} as (select {key}, bucket, c / sqrt(sum(c * c) over (partition by {key})) as weight from {name}_c)"""
+
+
+def _cosine_sql(name: str, q: str) -> str:
+    return f"{name} as (select query_id, doc_id, round(sum(a.weight * b.weight), 6) as score from {q} a join dv b using (bucket) group by all having score > 0)"
+
+
+_Q = "q as (select item_id as query_id, text from benchmark)"
+_GL = f"gl as (select term, row_number() over (order by n desc, term) as ord, [term, substr(term, 1, 5)] as forms from (select term, count(*) as n from (select unnest({_W.format(t='text')}) as term from benchmark) where length(term) >= 6 group by term order by n desc, term limit 20))"
+_FORMS = _GL + ", fo as (select term, ord, unnest(list_distinct(forms)) as form from gl)"
+_QM = "qm as (select query_id, term, ord, max(length(form)) as longest from q join fo on length(form) >= 2 and contains(lower(text), lower(form)) group by all)"
+_EX = _QM + """, more as (select query_id, form, min(ord) as ord from qm join (select term, form from fo) using (term) join q using (query_id) where not contains(lower(text), lower(form)) group by all),
+ex as (select q.query_id, case when m.more is null then text else text || ' ' || m.more end as text, m.more is not null as changed from q left join (select query_id, string_agg(form, ' ' order by ord, form) as more from more group by query_id) m using (query_id))"""
+_RANK = "row_number() over (partition by query_id order by score desc, doc_id)"
+_CHANNELS = f"""{_Q}, {_FORMS}, {_EX}, exq as (select query_id, text from ex where changed), {_TF}, {_LEN}, {_bm25_sql('b1', 'q')}, {_bm25_sql('b2', 'exq')},
+{_hash_sql('dv', 'documents', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_hash_sql('ev', 'exq', 'query_id')}, {_cosine_sql('v1', 'qv')}, {_cosine_sql('v2', 'ev')},
+ch as (select 'bm25' as channel, 1.0::double as w, *, {_RANK} as rank from b1 union all select 'vector', 1.0, *, {_RANK} from v1 union all select 'bm25+', 0.6, *, {_RANK} from b2 union all select 'vector+', 0.4, *, {_RANK} from v2),
+pool as (select * from ch where rank <= 20), fu as (select query_id, doc_id, sum(w / (60 + rank)) as fused from pool group by all)"""
+_HYBRID = _CHANNELS + f""", hits as (select doc_id, least(count(*), 3)::int as hits from (select distinct doc_id, term from documents join fo on length(form) >= 2 and contains(lower(text), lower(form))) group by doc_id),
+qt as (select query_id, list_distinct({_W.format(t='text')}) as toks, regexp_replace(lower(text), '\\s+', '', 'g') as bare from q),
+re as (select fu.query_id, fu.doc_id, fused, case when len(toks) > 0 then round(len(list_intersect(toks, {_W.format(t='d.text')})) / len(toks), 4) else 0 end as coverage,
+ (len(list_filter(list_concat(list_transform(range(1, length(bare) - 2), lambda i: substr(bare, i, 4)), list_transform(range(1, length(bare) - 4), lambda i: substr(bare, i, 6))), lambda p: contains(lower(d.text), p))) > 0)::int as phrase,
+ list_has_any(toks, {_W.format(t="d.source")})::int as section_hit, coalesce(hits, 0)::int as term_hits
+ from fu join qt using (query_id) join documents d using (doc_id) left join hits using (doc_id)),
+sc as (select *, round(fused * (1 + 0.8 * coverage + 0.5 * phrase + 0.25 * section_hit + 0.15 * term_hits), 6) as score from re),
+hy as (select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score, coverage, phrase, section_hit, term_hits from sc qualify rank <= 5)"""
+
+
+# --- scalar functions ---
+@query(f"select doc_id, term, count(*) as tf from (select doc_id, unnest({_W.format(t='text')}) as term from documents) group by all")
+def tok_words(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(T.words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(f"select doc_id, len({_BI.format(t=_CJK.format(t='text'))})::int as n, md5(array_to_string({_BI.format(t=_CJK.format(t='text'))}, ' ')) as digest from documents")
+def tok_cjk_bigrams(spark, d):
+    grams = T.bigrams(T.cjk_runs(cjk(F.col("text"))))
+    return docs(spark, d).select("doc_id", F.size(grams).alias("n"), F.md5(F.array_join(grams, " ")).alias("digest"))
+
+
+@query(f"select doc_id, md5(array_to_string(list_concat({_W.format(t=_CJK.format(t='text'))}, {_BI.format(t=_CJK.format(t='text'))}), ' ')) as digest from documents")
+def tok_all(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(F.array_join(T.tokens(cjk(F.col("text"))), " ")).alias("digest"))
+
+
+@query(f"select item_id, list_concat({_W.format(t=_CJK.format(t='text'))}, {_BI.format(t=_CJK.format(t='text'))}, flatten(list_transform(list_filter({_RUNS.format(t=_CJK.format(t='text'))}, lambda r: length(r) > 2), lambda r: list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1))))) as toks from benchmark")
+def tok_query(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.query_tokens(cjk(F.col("text"))).alias("toks"))
+
+
+@query(f"select doc_id, regexp_matches({_CJK.format(t='substr(text, 2, 1)')}, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]') as is_cjk from documents")
+def is_cjk(spark, d):
+    return docs(spark, d).select("doc_id", cjk(F.substring("text", 2, 1)).rlike("[㐀-䶿一-鿿]").alias("is_cjk"))
+
+
+@query(f"select o_orderkey, {_KEY} as item_key from orders")
+def item_key(spark, d):
+    return items(spark, d).select("o_orderkey", "item_key")
+
+
+@query(f"select c_custkey, {_NORM.format(t=chr(39) + ' ' + chr(39) + ' || c_name || ' + chr(39) + '  x ' + chr(39))} as name from customer")
+def name_normalize(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.normalized(F.concat(F.lit(" "), "c_name", F.lit("  x "))).alias("name"))
+
+
+@query("select page_id, substr(regexp_replace(trim(url), '[^A-Za-z0-9_.\\-]', '_', 'g'), 1, 64) as safe_id from pages")
+def safe_id(spark, d):
+    return table(spark, d, "pages").select("page_id", T.safe_id(F.col("url")).alias("safe_id"))
+
+
+@query("select o_orderkey, case lower(substr(o_orderpriority, 3)) when 'low' then 'Low' when 'high' then 'High' when 'urgent' then 'Highest' else 'Medium' end as priority from orders")
+def map_priority(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.priority(F.substring("o_orderpriority", 3, 20)).alias("priority"))
+
+
+@query("select o_orderkey, case when o_orderkey % 5 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end as deadline from orders")
+def norm_deadline(spark, d):
+    raw = F.when(F.col("o_orderkey") % 5 == 0, "soon").when(F.col("o_orderkey") % 5 == 1, F.date_format("o_orderdate", "yyyy-M-d")).otherwise(F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm")))
+    return table(spark, d, "orders").select("o_orderkey", T.deadline(raw).alias("deadline"))
+
+
+@query("select o_orderkey, epoch(o_orderdate::date::timestamp)::bigint as due from orders")
+def deadline_epoch(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, d, "orders").select("o_orderkey", F.unix_timestamp(T.deadline(day), "yyyy-MM-dd").alias("due"))
+
+
+@query("select event_id, substr(sha256('{\"event_type\": \"' || event_type || '\", \"k\": ' || json_extract_string(props, '$.k') || '}'), 1, 32) as digest from events")
+def args_digest(spark, d):
+    args = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("event_type"), F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+    pairs = F.transform(F.array_sort(F.map_entries(args)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"]))
+    return table(spark, d, "events").select("event_id", F.substring(F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), 256), 1, 32).alias("digest"))
+
+
+@query("select event_id, case when event_id % 3 = 2 then null else json_extract_string(props, '$.k')::int end as k from events")
+def json_salvage(spark, d):
+    kind = F.col("event_id") % 3
+    raw = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("Sure: "), "props", F.lit(" - done"))).otherwise(F.concat(F.lit("{"), "props"))
+    return table(spark, d, "events").select("event_id", F.get_json_object(T.salvaged_json(raw), "$.k").cast("int").alias("k"))
+
+
+@query("select conv_id, turn, list_distinct(c) is not null as ok, len(list_distinct(c))::int as n, list_aggregate(c, 'min')::int as least from (select conv_id, turn, list_filter([turn, turn + 1, turn, 9], lambda x: x between 1 and 5) as c from conversations)")
+def parse_citations(spark, d):
+    t = F.col("turn").cast("string")
+    answer = F.concat(F.lit("see ["), t, F.lit("] and ["), (F.col("turn") + 1).cast("string"), F.lit("], again ["), t, F.lit("][9]"))
+    own = T.citations(answer, F.lit(5))
+    return table(spark, d, "conversations").select("conv_id", "turn", own.isNotNull().alias("ok"), F.size(own).alias("n"), F.array_min(own).alias("least"))
+
+
+@query("select item_id, len(list_distinct(list_concat(list_transform(range(1, length(b) - 2), lambda i: substr(b, i, 4)), list_transform(range(1, length(b) - 4), lambda i: substr(b, i, 6)))))::int as n from (select item_id, regexp_replace(text, '\\s+', '', 'g') as b from benchmark)")
+def query_phrases(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.size(T.phrases(F.col("text"))).alias("n"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then doc_id::varchar else doc_id::varchar || ' / ' || source end as citation from documents")
+def citation(spark, d):
+    return docs(spark, d).select("doc_id", T.citation(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source"))).alias("citation"))
+
+
+@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) as norm, round(embedding[1]::double * 3 / (3 * sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 6) as first from embeddings")
+def l2_normalize(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double") * 3)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return table(spark, d, "embeddings").select("vec_id", F.round(norm / 3, 4).alias("norm"), F.round(v[0] / F.when(norm > 0, norm).otherwise(1.0), 6).alias("first"))
+
+
+@query(f"with {_hash_sql('dv', 'documents', 'doc_id')} select doc_id, bucket, round(weight, 6) as weight from dv")
+def hash_embed(spark, d):
+    return retrieval.hashed(docs(spark, d), "doc_id").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+# --- chunking ---
+_MD = "md as (select doc_id, string_agg(case when (i - 1) % 5 = 0 then repeat('#', (1 + (i - 1) // 5 % 3)::int) || ' ' || line else line end, chr(10) order by i) as text from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) group by doc_id)"
+
+
+def markdown(spark, d):
+    lines = F.split("text", "\n")
+    marked = F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (1 + F.floor(i / 5) % 3).cast("int")), F.lit(" "), x)).otherwise(x))
+    return docs(spark, d).select("doc_id", F.array_join(marked, "\n").alias("text"))
+
+
+@query(f"""with {_MD}, ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from md),
+lv as (select *, length(regexp_extract(line, '^(#{{1,6}})\\s+', 1)) as level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) as title from ln),
+sec as (select *, sum((level > 0)::int) over o as no, last_value(case when level = 1 then pos end ignore nulls) over o as p1, last_value(case when level = 2 then pos end ignore nulls) over o as p2, last_value(case when level = 3 then pos end ignore nulls) over o as p3,
+ last_value(case when level = 1 then title end ignore nulls) over o as t1, last_value(case when level = 2 then title end ignore nulls) over o as t2, last_value(case when level = 3 then title end ignore nulls) over o as t3 from lv window o as (partition by doc_id order by pos)),
+pa as (select *, concat_ws(' > ', t1, case when p2 > coalesce(p1, -1) then t2 end, case when p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) then t3 end) as path from sec)
+select doc_id, no::bigint as section_no, max(path) as path, string_agg(case when level = 0 then line end, chr(10) order by pos) as body from pa group by doc_id, no having regexp_matches(body, '\\S')""")
+def chunk_headings(spark, d):
+    return chunking.sections(markdown(spark, d))
+
+
+@query("""with recursive w as (select doc_id, text, 0 as s, case when length(text) <= 420 then length(text) else 210 + coalesce(nullif(length(regexp_extract(substr(text, 211, 210), '(?s)^.*[。！？!?；;\\n]', 0)), 0), 210) end as e from documents where length(text) > 0
+ union all select doc_id, text, s2, case when s2 + 420 >= length(text) then length(text) else s2 + 210 + coalesce(nullif(length(regexp_extract(substr(text, s2 + 211, 210), '(?s)^.*[。！？!?；;\\n]', 0)), 0), 210) end from (select doc_id, text, greatest(e - 80, s + 1) as s2 from w where e < length(text))),
+p as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as piece, s::int as start, regexp_replace(substr(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') as piece_text from w)
+select * from p where piece_text <> ''""")
+def chunk_windows(spark, d):
+    return chunking.windows(docs(spark, d))
+
+
+@query("select doc_id, doc_id::varchar || '#0-1-' || substr(sha1(doc_id::varchar || '|' || source || '|1|' || substr(text, 1, 64)), 1, 12) as chunk_id from documents")
+def chunk_id(spark, d):
+    return docs(spark, d).select("doc_id", chunking.chunk_id(F.col("doc_id").cast("string"), F.col("source"), F.lit(0), F.lit(1), F.col("text")).alias("chunk_id"))
+
+
+@query("select doc_id, pos::int as pos, (sum(length(line) + 1) over (partition by doc_id order by pos) - length(line) - 1)::bigint as start from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)")
+def running_offset(spark, d):
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    size = F.length("line") + 1
+    return lines.select("doc_id", "pos", (F.sum(size).over(Window.partitionBy("doc_id").orderBy("pos")) - size).alias("start"))
+
+
+# --- terminology ---
+@query(f"with {_FORMS} select term, form from fo")
+def term_surface_forms(spark, d):
+    return terms.forms(glossary(spark, d)).select("term", "form")
+
+
+@query(f"with {_FORMS} select doc_id, term, max(length(form))::int as longest from documents join fo on length(form) >= 2 and contains(lower(text), lower(form)) group by all")
+def term_match(spark, d):
+    return terms.matches(docs(spark, d), glossary(spark, d), "doc_id").select("doc_id", "term", "longest")
+
+
+@query(f"with {_Q}, {_FORMS}, {_EX} select * from ex")
+def term_expand(spark, d):
+    return terms.expanded(asked(spark, d), glossary(spark, d))
+
+
+@query(f"with {_FORMS} select doc_id, least(count(distinct term), 3)::int as hits from documents join fo on length(form) >= 2 and contains(lower(text), lower(form)) group by doc_id")
+def term_boost(spark, d):
+    return terms.hits(docs(spark, d), glossary(spark, d), "doc_id")
+
+
+@query(f"with {_GL} select string_agg('- ' || term || ': about ' || term, chr(10) order by ord) as block from gl")
+def term_prompt_block(spark, d):
+    lines = F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), "term", F.lit(": "), "definition").alias("line"))))
+    return glossary(spark, d).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))
+
+
+@query(f"with {_GL} select 'glossary#' || term as chunk_id, term || ': about ' || term as text, 'glossary' as source_type from gl union all select 'd' || doc_id, text, 'knowledge' from documents")
+def scan_corpus_union(spark, d):
+    g = glossary(spark, d).select(F.concat(F.lit("glossary#"), "term").alias("chunk_id"), F.concat("term", F.lit(": "), "definition").alias("text"), F.lit("glossary").alias("source_type"))
+    return g.unionByName(docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", F.lit("knowledge").alias("source_type")))
+
+
+# --- retrieval ---
+@query(f"with {_TF} select term, count(*) as df, sum(tf)::bigint as tf from post group by term")
+def agg_df(spark, d):
+    return retrieval.postings(docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"with {_LEN} select count(*) as n, round(avg(len), 6) as avg_len from len")
+def agg_avglen(spark, d):
+    return retrieval.lengths(docs(spark, d)).agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("avg_len"))
+
+
+@query(f"with {_TF} select term, round(greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 0), 6) as idf from (select term, count(*) as df from post group by term), (select count(*) as n from documents)")
+def bm25_idf(spark, d):
+    df = retrieval.postings(docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+    n = docs(spark, d).agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"with {_Q}, {_TF}, {_LEN}, {_bm25_sql('b1', 'q')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from b1) where rank <= 10")
+def topk_bm25(spark, d):
+    return retrieval.ranked(retrieval.bm25(asked(spark, d), docs(spark, d)), 10).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"with {_Q}, {_hash_sql('dv', 'documents', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_cosine_sql('v1', 'qv')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from v1) where rank <= 10")
+def topk_vector(spark, d):
+    return retrieval.ranked(retrieval.cosine(asked(spark, d), docs(spark, d)), 10).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"with {_CHANNELS} select query_id, doc_id, round(fused, 9) as fused from fu")
+def rrf_fuse(spark, d):
+    q, g, c = asked(spark, d), glossary(spark, d), docs(spark, d)
+    e = terms.expanded(q, g).filter("changed").select("query_id", "text")
+    lists = [("a", 1.0, retrieval.bm25(q, c)), ("b", 1.0, retrieval.cosine(q, c)), ("c", 0.6, retrieval.bm25(e, c)), ("d", 0.4, retrieval.cosine(e, c))]
+    return retrieval.fused([(n, w, retrieval.ranked(s, 20)) for n, w, s in lists]).select("query_id", "doc_id", F.round("fused", 9).alias("fused"))
+
+
+@query(f"with {_HYBRID} select * from hy")
+def hybrid_search(spark, d):
+    q, g, c = asked(spark, d), glossary(spark, d), docs(spark, d)
+    changed = terms.expanded(q, g).filter("changed").select("query_id", "text")
+    return retrieval.hybrid(q, changed, c, terms.hits(c, g, "doc_id"))
+
+
+@query(f"with {_HYBRID}, ok as (select query_id, doc_id from q join documents d on contains(d.text, q.text)), r as (select query_id, min(rank) as first_rank from hy join ok using (query_id, doc_id) group by query_id) select count(*) as n, round(avg(coalesce((first_rank <= 1)::int, 0)), 3) as recall1, round(avg(coalesce((first_rank <= 5)::int, 0)), 3) as recall5, round(avg(coalesce(1.0 / first_rank, 0)), 3) as mrr from q left join r using (query_id)")
+def eval_recall_mrr(spark, d):
+    q, c = asked(spark, d), docs(spark, d)
+    expected = q.join(c.select("doc_id", F.col("text").alias("body")), F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
+    return evaluation.recall_mrr(evaluation.first_hits(hybrid_search(spark, d), expected, q))
+
+
+# --- conversations ---
+@query(f"with {_STATS} select meeting_id, speaker, duration, ratio, n_chars, turns, place from stats")
+def speaker_stats(spark, d):
+    return conversation.speaker_stats(segments(spark, d))
+
+
+@query(f"with {_BAL} select meeting_id, n, round(g, 6) as gini, case when n = 1 then 5.0 else round((1 - g) * 10, 6) end::double as balance from bal")
+def gini_balance(spark, d):
+    return conversation.balance(conversation.speaker_stats(segments(spark, d)))
+
+
+@query(f"with {_BAL}, du as (select meeting_id, sum(seconds) as seconds from seg group by 1), us as (select meeting_id, sum(duration) as used from stats group by 1), f as (select meeting_id, least(used / seconds, 1) * 10 as u, case when n = 1 then 5.0 else round((1 - g) * 10, 6) end as b from du join us using (meeting_id) join bal using (meeting_id)) select meeting_id, round(u, 6) as utilization, round(0.4::double * 5 + 0.3::double * b + 0.3::double * round(u, 6), 1) as efficiency from f")
+def efficiency_score(spark, d):
+    s = segments(spark, d)
+    return conversation.efficiency(conversation.speaker_stats(s), s.groupBy("meeting_id").agg(F.sum("seconds").alias("seconds")))
+
+
+@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as transcript from conversations group by conv_id")
+def transcript_format(spark, d):
+    line = F.concat("role", F.lit(": "), "text")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("transcript"))
+
+
+@query(f"with {_STATS} select meeting_id, string_agg(speaker || ' ' || repeat('█', floor(ratio * 20)::int) || ' ' || n_chars, chr(10) order by place) as md from stats group by meeting_id")
+def insights_md(spark, d):
+    line = F.concat_ws(" ", "speaker", F.repeat(F.lit("█"), F.floor(F.col("ratio") * 20).cast("int")), F.col("n_chars").cast("string"))
+    lines = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    return conversation.speaker_stats(segments(spark, d)).groupBy("meeting_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("md"))
+
+
+# --- ledger ---
+_UP = _ITEMS + ", alls as (select * from written union all select item_key, target, 'Y-' || o_orderkey, meeting_id + 1, created_at + 1 from items where o_orderkey % 6 = 0), up as (select item_key, target, arg_max(external_id, created_at) as external_id, arg_min(meeting_id, created_at) as meeting_id, max(created_at) as created_at from alls group by all)"
+
+
+def updated(spark, d):
+    batch = items(spark, d).filter("o_orderkey % 6 = 0").select("item_key", "target", F.concat(F.lit("Y-"), F.col("o_orderkey").cast("string")).alias("external_id"), (F.col("meeting_id") + 1).alias("meeting_id"), (F.col("created_at") + 1).alias("created_at"))
+    return ledger.upserted(written(spark, d), batch)
+
+
+@query(f"with {_UP} select * from up")
+def ledger_upsert(spark, d):
+    return updated(spark, d)
+
+
+@query(f"with {_UP} select target, count(*) as n from up group by rollup(target)")
+def agg_ledger_stats(spark, d):
+    return ledger.stats(updated(spark, d))
+
+
+@query(f"with {_ITEMS} select i.o_orderkey, i.item_key, i.target from items i where not exists (select 1 from written w where w.item_key = i.item_key and w.target = i.target)")
+def join_ledger_anti(spark, d):
+    return ledger.to_create(items(spark, d).select("item_key", "target", "o_orderkey"), written(spark, d)).select("o_orderkey", "item_key", "target")
+
+
+@query(f"with {_ITEMS} select i.o_orderkey, w.external_id from items i left join written w using (item_key, target)")
+def ledger_get(spark, d):
+    return ledger.reused(items(spark, d).select("item_key", "target", "o_orderkey"), written(spark, d)).select("o_orderkey", "external_id")
+
+
+@query(f"with {_ITEMS} select i.target, count(*) filter (w.item_key is null and o_orderpriority <> '1-URGENT') as created, count(*) filter (w.item_key is not null) as skipped, count(*) filter (w.item_key is null and o_orderpriority = '1-URGENT') as failed from items i left join written w on w.item_key = i.item_key and w.target = i.target group by i.target")
+def agg_sync_counters(spark, d):
+    all_items = ledger.reused(items(spark, d).select("item_key", "target", "o_orderpriority"), written(spark, d))
+    fresh, bad = F.col("external_id").isNull(), F.col("o_orderpriority") == "1-URGENT"
+    return all_items.groupBy("target").agg(F.count_if(fresh & ~bad).alias("created"), F.count_if(~fresh).alias("skipped"), F.count_if(fresh & bad).alias("failed"))
+
+
+@query("select o_orderkey, c_name as account from orders left join (select * from customer where c_custkey % 2 = 0) on c_custkey = o_custkey")
+def resolve_user(spark, d):
+    people = table(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("account"))
+    o = table(spark, d, "orders")
+    return o.join(people, o["o_custkey"] == people["c_custkey"], "left").select("o_orderkey", "account")
+
+
+@query("select event_type, count(*) filter (n > 1) as repeats from (select user_id, event_type, props, event_type as e, count(*) over (partition by user_id, event_type, props) as n from events) group by event_type")
+def dedup_calls(spark, d):
+    n = F.count("*").over(Window.partitionBy("user_id", "event_type", "props"))
+    return table(spark, d, "events").select("event_type", n.alias("n")).groupBy("event_type").agg(F.count_if(F.col("n") > 1).alias("repeats"))
+
+
+# --- scans, reports, statistics ---
+@query("select source, lang, count(*) as chunks, count(distinct doc_id) as docs from documents group by grouping sets ((source, lang), (source), ())")
+def agg_index_stats(spark, d):
+    return docs(spark, d).rollup("source", "lang").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("select page_id, length(html) as characters, length(html) > 6000 as truncated, substr(html, 1, 6000) as text from pages")
+def scan_report_one(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("characters"), (F.length("html") > 6000).alias("truncated"), F.substring("html", 1, 6000).alias("text"))
+
+
+@query("select regexp_extract(url, '([^/]+)/?$', 1) as report, count(*) as n from pages group by 1")
+def scan_reports(spark, d):
+    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "([^/]+)/?$", 1).alias("report")).agg(F.count("*").alias("n"))
+
+
+@query("select event_id, event_type from (select * from events order by ts desc, event_id desc limit 50)")
+def scan_audit_tail(spark, d):
+    return readers.audit_tail(table(spark, d, "events"), 50).select("event_id", "event_type")
+
+
+@query("select vec_id, label, len(embedding)::int as dims from embeddings")
+def scan_vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", F.size("embedding").alias("dims"))
+
+
+@query("select o_custkey, count(*) filter (o_orderkey % 5 <> 0) as reminders, string_agg('X-' || o_orderkey, ',' order by o_orderkey) as ids from orders group by o_custkey")
+def agg_followup(spark, d):
+    o = table(spark, d, "orders")
+    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("X-"), k.cast("string")))
+    return o.groupBy("o_custkey").agg(F.count_if(F.col("o_orderkey") % 5 != 0).alias("reminders"), F.array_join(ids, ",").alias("ids"))
+
+
+# --- evaluation ---
+@query("with h as (select doc_id, source as category, case when doc_id % 2 = 0 then 'on' else 'off' end as arm, (n_chars % 3 = 0)::int as hit1, 1.0::double / (1 + n_chars % 4) as reciprocal from documents) select category, round(avg(hit1) filter (arm = 'on') - avg(hit1) filter (arm = 'off'), 3) as recall1_delta, round(avg(reciprocal) filter (arm = 'on') - avg(reciprocal) filter (arm = 'off'), 3) as mrr_delta from h group by rollup(category)")
+def eval_ablation_delta(spark, d):
+    hits = docs(spark, d).select(F.col("source").alias("category"), F.when(F.col("doc_id") % 2 == 0, "on").otherwise("off").alias("arm"), (F.col("n_chars") % 3 == 0).cast("int").alias("hit1"), (1.0 / (1 + F.col("n_chars") % 4)).alias("reciprocal"))
+    return evaluation.ablation(hits)
+
+
+@query("with c as (select lang, count(*) filter (d.n_chars > 1500 and quality = 1) as m, count(*) filter (d.n_chars > 1500) as p, count(*) filter (quality = 1) as g from documents d join labels l using (doc_id) group by lang) select lang, round(m / p, 6) as precision, round(m / g, 6) as recall, round(2 * (m / p) * (m / g) / (m / p + m / g), 6) as f1 from c")
+def eval_prf1(spark, d):
+    both = docs(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("p", F.col("n_chars") > 1500)
+    counts = both.groupBy("lang").agg(F.count_if(F.col("p") & (F.col("quality") == 1)).alias("m"), F.count_if("p").alias("n"), F.count_if(F.col("quality") == 1).alias("g"))
+    p, r, f1 = evaluation.prf(F.col("m"), F.col("n"), F.col("g"))
+    return counts.select("lang", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+@query("select event_type, median(value) as median from events group by event_type")
+def eval_median(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median"))
+
+
+@query()
+def join_greedy_bipartite(spark, d):
+    """Turns of a conversation against its next ones: golden roles meet predicted roles greedily."""
+    own = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("golden"))
+    return own.select("conv_id", evaluation.greedy_matches(F.col("golden"), F.reverse(F.slice("golden", 2, 1000)), lambda g, p: g == p).alias("matched"))
+
+
+@query("with c as (select user_id, list(event_type order by event_id) as called, list(event_type order by ts, event_id) as expected from events where event_id % 2 = 0 group by user_id) select user_id, (called[1] = expected[1])::int as first_ok, (called = expected)::int as exact, round(len(list_intersect(called, expected)) / len(list_distinct(expected)), 6) as set_recall, round(len(list_filter(called, lambda x: list_contains(expected, x))) / len(called), 6) as precision from c")
+def eval_selection(spark, d):
+    e = table(spark, d, "events").filter("event_id % 2 = 0")
+    by_id = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
+    by_time = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    runs = e.groupBy("user_id").agg(by_id.alias("called"), by_time.alias("expected"))
+    s = evaluation.selection(F.col("called"), F.col("expected"))
+    return runs.select("user_id", s["first_ok"].alias("first_ok"), s["exact"].alias("exact"), F.round(s["set_recall"], 6).alias("set_recall"), F.round(s["precision"], 6).alias("precision"))
+
+
+# --- events as streams, in batch ---
+@query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def stream_windows(spark, d):
+    return streams.tumbling(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def queries() -> dict:
-    return {}
+@query("with g as (select *, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute, true)::int as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k")
+def stream_sessions(spark, d):
+    return streams.sessions(table(spark, d, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("with r as (select *, sum((event_type = 'purchase')::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as k from events) select user_id, coalesce(k, 0)::bigint as frame_no, count(*) filter (event_type <> 'purchase') as frames, coalesce(sum(length(props)) filter (event_type <> 'purchase'), 0)::bigint as bytes from r group by user_id, coalesce(k, 0)")
+def agg_frames(spark, d):
+    e = table(spark, d, "events")
+    stop = F.col("event_type") == "purchase"
+    k = F.coalesce(F.sum(stop.cast("int")).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    return e.withColumn("frame_no", k).groupBy("user_id", "frame_no").agg(F.count_if(~stop).alias("frames"), F.coalesce(F.sum(F.when(~stop, F.length("props"))), F.lit(0)).cast("long").alias("bytes"))
