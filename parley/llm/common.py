@@ -93,7 +93,7 @@ def text_slices(frames: Iterator[pd.DataFrame], col: str, chars: int = 1_000_000
             yield part
 
 
-def build_bits(rows: DataFrame, bits: int, positions: Callable[[pd.DataFrame], np.ndarray], held: int = 4_000_000) -> np.ndarray:
+def build_bits(rows: DataFrame, bits: int, positions: Callable[[pd.DataFrame], np.ndarray], held: int = 1_000_000) -> np.ndarray:
     """A bit set of fixed size (bits / 8 bytes) of the positions of all rows. Tasks send their positions by chunks of 65,536
     bits, as offsets or as a bit map, whichever is shorter; the task that owns a chunk merges them as they
     come."""
@@ -123,10 +123,28 @@ def build_bits(rows: DataFrame, bits: int, positions: Callable[[pd.DataFrame], n
 
     def merge(frames):
         chunks: dict[int, np.ndarray] = {}
+        loose: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def add(chunk: int, bitmap: np.ndarray) -> None:
+            chunks[chunk] = chunks[chunk] | bitmap if chunk in chunks else bitmap
+
+        def fold() -> None:
+            for chunk, parts in loose.items():
+                add(chunk, dense(np.concatenate(parts)))
+            loose.clear()
+
         for f in frames:
             for chunk, data in zip(f["chunk"].tolist(), f["data"], strict=True):
-                bitmap = np.frombuffer(data, np.uint8) if len(data) == 1 << 13 else dense(np.frombuffer(data, "<u2"))
-                chunks[chunk] = chunks[chunk] | bitmap if chunk in chunks else bitmap
+                if len(data) == 1 << 13:
+                    add(chunk, np.frombuffer(data, np.uint8))
+                else:
+                    loose.setdefault(chunk, []).append(np.frombuffer(data, "<u2"))
+                    size += len(data) // 2
+            if size > held:
+                fold()
+                size = 0
+        fold()
         yield pd.DataFrame({"chunk": pd.Series(list(chunks), dtype="int64"), "data": [x.tobytes() for x in chunks.values()]})
 
     schema = "chunk long, data binary"
