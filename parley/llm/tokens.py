@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers at most, about 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 _MARKS = ".,!?;:"
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -65,15 +66,28 @@ class PieceEncoder:
             out += ["\n"] * (k > 0) + ([core, line[len(core) :]] if core and core != line and core[-1].isalpha() else [line])
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        whole = [c for c in chunks if c and c[-1].isalnum() and "\n" not in c]
-        parts = {c: self.split(c) for c in chunks.difference(whole)}
-        whole += {p for x in parts.values() for p in x}.difference(self.known, whole)
-        words = [c for c in whole if c[:1] == " " and c[1:].isalpha()]
-        self.known.update(zip(words, self.plain(words), strict=True))
-        rest = [c for c in whole if not (c[:1] == " " and c[1:].isalpha())]
-        self.known.update(zip(rest, self.direct(rest), strict=True))
-        self.known.update([(c, None if c and c[-1].isspace() and c != "\n" else b"".join([self.known[p] for p in x])) for c, x in parts.items()])
+    def learn(self, keys: set[str]) -> None:
+        """Keys are stretches without their space; the first of a text begins with a null character instead."""
+        known, whole, parts = self.known, {}, {}
+        for key in keys:
+            chunk = key[1:] if key[:1] == "\0" else " " + key
+            if chunk[-1:].isalnum() and "\n" not in chunk:
+                whole[key] = chunk
+            else:
+                parts[key] = self.split(chunk)
+        words = {k: c for k, c in whole.items() if c[0] == " " and k.isalpha()}
+        inner = {p for x in parts.values() for p in x if p[:1] != " " or p[1:] not in known and p[1:] not in words}
+        for p in inner:
+            if p[:1] == " " and p[1:].isalpha():
+                words[p[1:]] = p
+        known.update(zip(words, self.plain(list(words.values())), strict=True))
+        rest = {k: c for k, c in whole.items() if k not in words}
+        known.update(zip(rest, self.direct(list(rest.values())), strict=True))
+        loose = [p for p in inner if p[:1] != " " or p[1:] not in known]
+        own = dict(zip(loose, self.direct(loose), strict=True))
+        for key, x in parts.items():
+            ids = b"".join([own[p] if p in own else known[p[1:]] for p in x])
+            known[key] = None if x and x[-1][-1:].isspace() and x[-1] != "\n" else ids
 
     def folded(self, text: str) -> str:
         """Lower case where that is certain to be what the library's normalizer does first."""
@@ -87,17 +101,16 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         texts = [t or "" for t in texts]
-        rows = [(self.folded(t) if self.lower else t).replace(" ", "\0 ").split("\0") for t in texts]
-        new: set[str] = set()
+        rows = [(self.folded(t) if self.lower else t).split(" ") for t in texts]
         for x in rows:
-            new.update(x)
-        new = new.difference(self.known)
+            x[0] = "\0" + x[0]
+        new = set(chain.from_iterable(rows)).difference(self.known)
         if new:
             self.learn(new)
         out, get = [], self.known.__getitem__
         for t, x in zip(texts, rows, strict=True):
             ids = list(map(get, x))
-            out.append(self.direct([t])[0] if None in ids or "\0" in t or x[-1] == "\n" else b"".join(ids))
+            out.append(self.direct([t])[0] if None in ids or "\0" in t or x[-1][-1:] == "\n" else b"".join(ids))
         return out
 
 
