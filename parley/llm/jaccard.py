@@ -37,6 +37,8 @@ FREQUENT = 1 << 18
 COUNTED, CANDIDATE = 4_000_000, 3
 #: Common words kept at most, broadcast as 8 bytes each; a task proposes those that are one in so many of its words.
 COMMON, ONE_IN = 1 << 14, 20_000
+#: Sets of one entry that are listed in one row at most, about.
+BLOCK = 512
 #: Bits of the filters over documents that need verification and over shared index entries: 16 and 32 MB.
 FILTER_BITS, SHARED_BITS = 1 << 27, 1 << 28
 
@@ -257,9 +259,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
             break
         last = turn == hub_rounds or (turn > 0 and todo[0] <= 64 * todo[1])
         if last:  # a pair that was not compared yet still has all its common entries here
-            other = left.select("sig", F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            met = left.join(other, "sig").filter((F.col("root") < F.col("root_b")) & near)
-            pairs = met.groupBy(F.col("sid").alias("sid_a"), "sid_b").agg(F.count("*").alias("common"))
+            pairs = _met(left, percent)
             pairs = pairs.join(of("b", "n", "rest", "groups"), "sid_b").join(of("a", "n", "rest", "groups"), "sid_a")
         else:
             hubs = left.groupBy("sig").agg(F.max(F.struct("central", "sid", "n", "root")).alias("hub")).select("sig", F.col("hub.sid").alias("sid_b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
@@ -285,6 +285,25 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
     return rows.join(nodes.withColumn("sized", F.lit(True)), (rows["sid"] == nodes["sid"]) & (rows["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sized"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _met(left: DataFrame, percent: int) -> DataFrame:
+    """sid_a, sid_b, common: pairs of near size and different roots with the number of their common entries. The sets of an
+    entry are listed in blocks, so that a pair is a number in a list, not a row for each entry that it shares."""
+    sized = left.join(left.groupBy("sig").agg(F.count("*").alias("size")), "sig")
+    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    lists = sized.select("sig", "sid", "n", "root", block).groupBy("sig", "block").agg(F.collect_list(F.struct("sid", "n", "root")).alias("others"))
+    fits = F.filter("others", lambda o: (o["root"] > F.col("root")) & (F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * percent))
+    met = left.join(lists, "sig").select("sid", F.transform(fits, lambda o: o["sid"]).alias("met")).filter(F.size("met") > 0)
+
+    def count(frames):
+        for f in frames:
+            each = [np.unique(np.concatenate([np.asarray(x, np.int64) for x in own]), return_counts=True) for own in f["met"]]
+            if each:
+                other, common = (np.concatenate(x) for x in zip(*each, strict=True))
+                yield pd.DataFrame({"sid_a": np.repeat(f["sid"].to_numpy(np.int64), [len(x) for x, _ in each]), "sid_b": other, "common": common.astype(np.int64)})
+
+    return met.groupBy("sid").agg(F.collect_list("met").alias("met")).mapInPandas(count, "sid_a long, sid_b long, common long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union; hot sides are split by adaptive skew joins."""
     left, right = (sets.select(F.col("sid").alias(f"sid_{x}"), F.col("doc").alias(f"doc_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
