@@ -43,7 +43,7 @@ def user_map(spark: SparkSession, path: str) -> DataFrame:
     each = text.select(F.explode("m").alias("name", "value"))
     who = F.from_json("value", "account string, aliases array<string>")
     each = each.select("name", F.coalesce(who["account"], "value").alias("account"), F.coalesce(who["aliases"], F.array().cast("array<string>")).alias("aliases"))
-    return each.select(normalized(F.explode(F.concat(F.array("name"), F.col("aliases")))).alias("name"), "account")
+    return each.select(F.explode(F.concat(F.array("name"), "aliases")).alias("name"), "account").select(normalized(F.col("name")).alias("name"), "account")
 
 
 def append_audit(records: DataFrame, path: str) -> None:
