@@ -63,7 +63,8 @@ def _distinct(frames):
 def _pieces(path: str) -> Callable:
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"pre": f["pre"], "n": f["n"], "pieces": [len(x) for x in model(path).encode(f["pre"].tolist(), num_threads=1)]})
+            alone = len(model(path).encode("a ")) - len(model(path).encode("a"))  # a space at the end of a text
+            yield pd.DataFrame({"pre": f["pre"], "n": f["n"], "pieces": [len(x) if p else alone for p, x in zip(f["pre"], model(path).encode(f["pre"].tolist(), num_threads=1), strict=True)]})
 
     return run
 

@@ -221,7 +221,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with every span of the text replaced by its kind in angle brackets; null stays null."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    found = all_spans(docs.withColumn("_text", F.col("text")).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = all_spans(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -229,4 +229,5 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap, F.when(s["start"] >= acc["at"], F.element_at(names, s["kind"] + 1)).otherwise("")).alias("out"))
 
     clean = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.col("_text").isNotNull(), F.when(F.size("all") > 0, clean).otherwise(F.col("text")))).select(*docs.columns)
+    text = F.when(F.col("row.text").isNotNull(), F.when(F.size("all") > 0, clean).otherwise(F.col("text")))
+    return found.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

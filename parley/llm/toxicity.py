@@ -118,13 +118,14 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, part: int = 2):
     """Compressors and calibration from labelled rows outside the held-out part; None without both classes."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["doc_id"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.filter(~held_out(F.col("doc_id"), mod, part)).join(labels, "doc_id").withColumn("order", F.xxhash64("doc_id", "text"))
+    known = texts.select("doc_id").distinct().join(labels.filter(~held_out(F.col("doc_id"), mod, part)), "doc_id").withColumn("order", F.xxhash64("doc_id"))
     taken, left = [], CHARS
     for toxic in (1, 0):
-        some = rows.filter(F.col("toxic") == toxic).orderBy("order").limit(SAMPLE).withColumn("before", F.length(F.coalesce("text", F.lit("")))).select("order", "text", "toxic", "before")
+        ids = known.filter(F.col("toxic") == toxic).orderBy("order", "doc_id").limit(SAMPLE).select("doc_id", "order")
+        some = texts.join(F.broadcast(ids), "doc_id").orderBy("order", "doc_id", "text").limit(2 * SAMPLE)  # SAMPLE ids of 16 bytes; an id may be repeated
         for r in some.toLocalIterator():
-            if r["before"] <= left:
-                left -= r["before"]
+            if len(r["text"] or "") <= left:
+                left -= len(r["text"] or "")
                 taken.append((r["text"] or "", toxic))
     taken = list(dict.fromkeys(taken))
     halves = [[r for r in taken if zlib.crc32(r[0].encode()) % 2 == k] for k in (0, 1)]
