@@ -49,7 +49,7 @@ def _distinct(frames):
     seen: Counter = Counter()
 
     def flush():
-        return pd.DataFrame({"pre": list(seen.keys()), "n": list(seen.values())}).astype({"n": "int64"})
+        return pd.DataFrame({"pre": pd.Series(list(seen.keys()), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
     for f in frames:
         for text in f["text"]:
@@ -64,7 +64,7 @@ def _pieces(path: str) -> Callable:
     def run(frames):
         for f in frames:
             alone = len(model(path).encode("a ")) - len(model(path).encode("a"))  # a space at the end of a text
-            yield pd.DataFrame({"pre": f["pre"], "n": f["n"], "pieces": [len(x) if p else alone for p, x in zip(f["pre"], model(path).encode(f["pre"].tolist(), num_threads=1), strict=True)]})
+            yield pd.DataFrame({"pre": pd.Series(f["pre"].tolist(), dtype=object), "n": f["n"].to_numpy(), "pieces": [len(x) if p else alone for p, x in zip(f["pre"], model(path).encode(f["pre"].tolist(), num_threads=1), strict=True)]})
 
     return run
 

@@ -34,7 +34,7 @@ SPACES = ((0, 100, 0), (100, 1_000, 64), (1_000, 10_000, 640), (10_000, None, 6_
 #: Frequent shingles kept at most, broadcast as 12 bytes each.
 FREQUENT = 1 << 18
 #: Shingles that a task counts at once when it looks for frequent ones, and the local count that makes a candidate.
-COUNTED, CANDIDATE = 4_000_000, 3
+COUNTED, CANDIDATE = 2_000_000, 3
 #: Common words kept at most, broadcast as 8 bytes each; a task proposes those that are one in so many of its words.
 COMMON, ONE_IN = 1 << 14, 20_000
 #: Sets of one entry that are listed in one row at most, about.

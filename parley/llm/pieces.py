@@ -146,7 +146,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(frames):
         for part in C.text_slices(frames, "text"):
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "text": part["text"].array, "ids": [coder(model_path).encode(t) for t in part["text"]]})
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "text": part["text"].tolist(), "ids": [coder(model_path).encode(t) for t in part["text"]]})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInPandas(run, "doc_id long, text string, ids binary")

@@ -33,7 +33,7 @@ SAMPLE, CHARS = 6_000, 60_000_000
 RATE, SHARE = 12.0, 0.02
 THRESHOLD = 0.3
 #: Words whose gain a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
 _GAINS = (1, 2, 3, 4, 5, 6)
 
@@ -88,7 +88,7 @@ def dictionaries(rows: list[tuple[str, int]]) -> Compressors:
         total[toxic] += len(own)
         if toxic:
             docs.update(opens.keys())
-    least = max(4, SHARE * sum(t for _, t in rows))
+    least = max(8, SHARE * sum(t for _, t in rows))
     telling = {u for u, n in docs.items() if n >= least and rate[1][u] / total[1] >= RATE * (rate[0][u] + 1) / total[0]}
     toxic_words = {w: n for w, n in every[1].items() if any(w[:k] in telling for k in range(4, len(w) + 1))}
     toxic_text = _spread(sorted(sorted(toxic_words, key=lambda w: (-toxic_words[w], w))[:300], key=lambda w: (toxic_words[w], w)))
@@ -131,8 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, part: int = 2):
     halves = [[r for r in taken if zlib.crc32(r[0].encode()) % 2 == k] for k in (0, 1)]
     if any({t for _, t in half} != {0, 1} for half in halves):
         return None
-    made = dictionaries(halves[0])
-    return made, calibrate(np.array([made.features(t) for t, _ in halves[1]]), np.array([y for _, y in halves[1]], float))
+    made, y = dictionaries(halves[0]), np.array([t for _, t in halves[1]], float)
+    mean, scale, w = calibrate(np.array([made.features(t) for t, _ in halves[1]]), y)
+    share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    w[0] += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))  # the sample takes both classes alike
+    return made, (mean, scale, w)
 
 
 def scores(docs: DataFrame, labels: DataFrame, mod: int = 4, part: int = 2) -> DataFrame:
