@@ -524,3 +524,123 @@ def agg_frames(spark, d):
     stop = F.col("event_type") == "purchase"
     k = F.coalesce(F.sum(stop.cast("int")).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return e.withColumn("frame_no", k).groupBy("user_id", "frame_no").agg(F.count_if(~stop).alias("frames"), F.coalesce(F.sum(F.when(~stop, F.length("props"))), F.lit(0)).cast("long").alias("bytes"))
+
+
+# --- more of retrieval, joins, sets ---
+def _pool(spark, d, k=20):
+    q, c = asked(spark, d), docs(spark, d)
+    return retrieval.ranked(retrieval.bm25(q, c), k).withColumn("channel", F.lit("bm25")).unionByName(retrieval.ranked(retrieval.cosine(q, c), k).withColumn("channel", F.lit("vector")))
+
+
+_TWO = f"{_Q}, {_TF}, {_LEN}, {_bm25_sql('b1', 'q')}, {_hash_sql('dv', 'documents', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_cosine_sql('v1', 'qv')}, two as (select 'bm25' as channel, *, {_RANK}::int as rank from b1 union all select 'vector', *, {_RANK}::int from v1), pool as (select * from two where rank <= 20)"
+
+
+@query(f"with {_TWO} select query_id, channel, rank, doc_id from pool where rank <= 5")
+def rank_channel(spark, d):
+    return _pool(spark, d).filter("rank <= 5").select("query_id", "channel", "rank", "doc_id")
+
+
+@query(f"with {_TWO} select query_id, count(distinct doc_id) as candidates, count(*) as hits from pool group by query_id")
+def setop_union_channels(spark, d):
+    return _pool(spark, d).groupBy("query_id").agg(F.count_distinct("doc_id").alias("candidates"), F.count("*").alias("hits"))
+
+
+@query(f"with {_TWO} select query_id, string_agg(distinct channel, ',' order by channel) as channels, count(distinct doc_id) as pool from pool group by query_id")
+def search_debug(spark, d):
+    return _pool(spark, d).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"), F.count_distinct("doc_id").alias("pool"))
+
+
+@query(f"with {_TWO} select query_id, doc_id, max(score) filter (channel = 'bm25') as bm25, max(score) filter (channel = 'vector') as vector from pool group by all")
+def join_channels_full(spark, d):
+    return _pool(spark, d).groupBy("query_id", "doc_id").agg(F.max(F.when(F.col("channel") == "bm25", F.col("score"))).alias("bm25"), F.max(F.when(F.col("channel") == "vector", F.col("score"))).alias("vector"))
+
+
+@query(f"with {_TWO} select query_id, doc_id, rank as old_rank, row_number() over (partition by query_id order by rank)::int as new_rank from (select * from two where channel = 'bm25' and rank <= 9) join documents d using (doc_id) where d.lang = 'en' qualify new_rank <= 3")
+def overfetch_filter(spark, d):
+    """Three times k are fetched, then filtered by language, then cut to k: the filter must not move below the ranking."""
+    top = retrieval.ranked(retrieval.bm25(asked(spark, d), docs(spark, d)), 9).select("query_id", "doc_id", F.col("rank").alias("old_rank"))
+    kept = top.join(docs(spark, d).filter("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("old_rank"))
+    return kept.withColumn("new_rank", rank).filter("new_rank <= 3").select("query_id", "doc_id", "old_rank", "new_rank")
+
+
+@query(f"with {_TWO} select query_id, doc_id, min(rank)::int as rank from pool group by all")
+def dedup_citations(spark, d):
+    first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank", "channel"))
+    return _pool(spark, d).withColumn("k", first).filter("k = 1").select("query_id", "doc_id", "rank")
+
+
+@query(f"with {_TWO} select query_id, len(list(doc_id)) >= 3 as answered from q left join (select * from pool where channel = 'bm25' and score > 20) using (query_id) group by query_id")
+def qa_no_hit(spark, d):
+    """Only queries with three strong results go on to a model."""
+    strong = _pool(spark, d).filter((F.col("channel") == "bm25") & (F.col("score") > 20)).groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked(spark, d).join(strong, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) >= 3).alias("answered"))
+
+
+@query(f"with {_TWO} select query_id, string_agg('[' || rank || '] ' || doc_id || chr(10) || substr(d.text, 1, 180), chr(10) order by rank) as block from pool join documents d using (doc_id) where channel = 'bm25' and rank <= 3 group by query_id")
+def context_block(spark, d):
+    top = _pool(spark, d, 3).filter("channel = 'bm25'").join(docs(spark, d).select("doc_id", F.substring("text", 1, 180).alias("body")), "doc_id")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("doc_id").cast("string"), F.lit("\n"), "body")
+    return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"))
+
+
+@query(f"with {_Q}, {_FORMS}, {_EX} select query_id, substr(replace(text, chr(10), ' '), 1, 240) || coalesce(' ' || t, '') as context_query from q left join (select query_id, string_agg(term, ' ' order by k) filter (k <= 6) as t from (select *, row_number() over (partition by query_id order by longest desc, ord) as k from qm) group by query_id) using (query_id)")
+def context_query(spark, d):
+    q = asked(spark, d)
+    hit = terms.matches(q, glossary(spark, d), "query_id").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("longest")).alias("l"), "ord", "term"))), 1, 6).alias("t"))
+    return q.join(hit, "query_id", "left").select("query_id", F.concat_ws(" ", F.substring(F.translate("text", "\n", " "), 1, 240), F.array_join(F.transform("t", lambda x: x["term"]), " ")).alias("context_query"))
+
+
+@query("select q.vec_id as query_id, c.vec_id, round(list_inner_product(q.embedding::double[], c.embedding::double[]), 4) as score from embeddings q, embeddings c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id qualify row_number() over (partition by q.vec_id order by round(list_inner_product(q.embedding::double[], c.embedding::double[]), 4) desc, c.vec_id) <= 10")
+def join_vector_cross(spark, d):
+    """Ten nearest vectors of every fiftieth one: a stated set of queries against all rows, cut to ten by a group limit before the shuffle."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("y"))
+    score = F.round(F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 4)
+    scores = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scores.withColumn("k", rank).filter("k <= 10").drop("k")
+
+
+@query("select doc_id, len(list_distinct(list_intersect(a, b)))::int as common from (select doc_id, string_split(lang || ' ' || source || ' x', ' ') as a, string_split('en src0 src1 x', ' ') as b from documents)")
+def setop_intersect_tools(spark, d):
+    own = F.split(F.concat_ws(" ", "lang", "source", F.lit("x")), " ")
+    return docs(spark, d).select("doc_id", F.size(F.array_intersect(own, F.array(*map(F.lit, ("en", "src0", "src1", "x"))))).alias("common"))
+
+
+@query("select source, count(*) as n, round(avg((lang = 'en')::int), 6) as filled, bool_and(text is not null) as whole from documents group by source")
+def eval_completeness(spark, d):
+    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg((F.col("lang") == "en").cast("int")), 6).alias("filled"), F.bool_and(F.col("text").isNotNull()).alias("whole"))
+
+
+@query("select on_.user_id, on_.hits as on_hits, off_.hits as off_hits from (select user_id, count(*) as hits from events where event_id % 2 = 0 group by 1) on_ join (select user_id, count(*) as hits from events where event_id % 2 = 1 group by 1) off_ using (user_id) where on_.hits > off_.hits")
+def join_flip(spark, d):
+    """Users better off in one arm than in the other."""
+    e = table(spark, d, "events")
+    arms = [e.filter(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.count("*").alias(n)) for k, n in ((0, "on_hits"), (1, "off_hits"))]
+    return arms[0].join(arms[1], "user_id").filter("on_hits > off_hits")
+
+
+@query("select event_type, round(median(value) filter (event_id % 2 = 0) / median(value) filter (event_id % 2 = 1), 6) as ratio from events group by event_type")
+def eval_parallel_speedup(spark, d):
+    even = F.col("event_id") % 2 == 0
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.median(F.when(even, F.col("value"))) / F.median(F.when(~even, F.col("value"))), 6).alias("ratio"))
+
+
+@query("select user_id, count(*) filter (event_type = 'purchase') as errors, string_agg(event_id::varchar, ',' order by event_id) filter (event_type = 'purchase') as failed from events group by user_id")
+def agg_errors_reduce(spark, d):
+    bad = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    ids = F.array_sort(F.collect_list(bad))
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(bad).alias("errors"), F.nullif(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("")).alias("failed"))
+
+
+@query("select conv_id, string_agg(distinct role, ',' order by role) as speakers from conversations group by conv_id")
+def transcript_speakers(spark, d):
+    """Speakers read back from transcript lines: what stands before the first colon."""
+    line = F.concat("role", F.lit(": "), "text")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set(F.regexp_extract(line, "^([^:]*):", 1))), ",").alias("speakers"))
+
+
+@query("select window_start, sum(n)::bigint as n from (select time_bucket(interval 30 minute, ts) + to_minutes(k) as window_start, 1 as n from events, (values (0), (-30)) as o(k)) group by window_start")
+def stream_sliding(spark, d):
+    return streams.sliding(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
