@@ -16,7 +16,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers at most, about 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 _MARKS = ".,!?;:"
 _encoders: dict[str, PieceEncoder] = {}
 
