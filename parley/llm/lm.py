@@ -1,14 +1,16 @@
 """Operator 2: language-model scores from a log-frequency Bloom filter.
 
-Words are lower-cased runs `[^\\x20\\x09-\\x0D]+`; each text ends with an end token. Spark counts words and word pairs of the
-training rows. A count c becomes the level 1 + floor(2 log2 c), and the filter holds the n-gram once for each level up to
-its own, so that probing level after level until a miss gives the quantised count back. The filter has a fixed size and is
-broadcast; pairs enter it from the smallest count on for which it stays at most half full (pairs seen once never do).
+Words are lower-cased runs `[^\\x20\\x09-\\x0D]+`; each text ends with an end token. Words and word pairs of the training
+rows are counted. A count c becomes the level 1 + floor(2 log2 c), and the filter holds the n-gram once for each level up
+to its own, so that probing level after level until a miss gives the quantised count back. Every counted n-gram is in it,
+those seen once too: the filter is split by hash range into parts, as many as the texts ask for, each with the bits that its
+n-grams need. Tasks send the distinct n-grams of a chunk of texts, with their counts, to the parts that own them; a
+part adds the counts up, fills its filter, and sends the levels back to the chunks.
 
 P(w | h) = PAIR * low(h w) / high(h) + (1 - PAIR) * P(w), P(w) = (low(w) + 1) / (N + V + 1), where low is the smallest and high the
 largest count of a level: sums over w stay at or below 1 but for false positives.
 
-The base columns use exact counts: the most frequent words are broadcast (at most KNOWN), all others are joined.
+The base columns use exact counts, which go the same way.
 
 Defined cases: a null or empty text is the end token alone; a repeated doc_id is a document a row; a null doc_id counts as
 the empty string where rows are dealt, thus as training; an empty table gives no rows; other columns are ignored.
@@ -17,6 +19,7 @@ the empty string where rows are dealt, thus as training; an empty table gives no
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -26,14 +29,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bits of the filter (32 MB) and probes a level.
-BITS, PROBES = 1 << 28, 4
-#: Words whose exact count is broadcast (16 bytes each).
-KNOWN = 1 << 20
+#: Bits of a filter where no size is given, probes a level, and the share of bits that insertions set at most.
+BITS, PROBES, FILL = 1 << 28, 4, 0.5
+#: Characters whose n-grams a task counts at once, and characters of all texts for each part of the filter.
+CHUNK, PART = 4_000_000, 4_000_000
 #: Weight of the pair estimate against the word's own.
 PAIR = 0.1
-#: Tokens that a task counts at once.
-COUNTED = 1_000_000
 END, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -66,9 +67,9 @@ def high(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.ceil(2 ** (level / 2) - 1e-9) - 1, 0)
 
 
-def places(h: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
+def places(h: np.ndarray, level: np.ndarray | int, probe: int, size: int = BITS) -> np.ndarray:
     a = C.mix(h + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
-    return (a + np.uint64(probe) * ((a >> np.uint64(33)) | np.uint64(1))) & np.uint64(BITS - 1)
+    return (a + np.uint64(probe) * ((a >> np.uint64(33)) | np.uint64(1))) & np.uint64(size - 1)
 
 
 def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -77,110 +78,112 @@ def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     while len(alive):
         level += 1
         for k in range(PROBES):
-            alive = alive[C.has_bit(bits, places(h[alive], level, k))]
+            alive = alive[C.has_bit(bits, places(h[alive], level, k, len(bits) * 64))]
         out[alive] = level
     return out
 
 
-def _count(frames):
-    held, size = [], 0
+def filled(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A filter of all n-grams with their counts, of as many bits as they need."""
+    level = levels(counts)
+    size = 1 << max(16, int(np.ceil(np.log2(level.sum() * PROBES / FILL + 1))))
+    flags = np.zeros(size, np.uint8)
+    for step in range(1, int(level.max()) + 1 if len(level) else 1):
+        h, level = h[level >= step], level[level >= step]
+        for k in range(PROBES):
+            flags[places(h, step, k, size)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
-    def flush():
-        ids, at = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in zip(*held, strict=True)] if held else [np.empty(0, np.uint64)] * 2
-        for order, h in ((1, ids), (2, at)):
-            values, counts = np.unique(h, return_counts=True)
-            yield pd.DataFrame({"n": np.full(len(values), order, np.int32), "h": values.view(np.int64), "c": counts.astype(np.int64)})
 
+def _chunks(frames):
+    """(chunk, rows) in order, the same for every scan of one Parquet table."""
+    key, chars = TaskContext.get().partitionId() << 33, 0
     for part in C.text_slices(frames, "text"):
-        ids, at = tokens(part["text"].tolist())
-        held.append((ids, pairs(ids, at)[1]))
-        size += len(ids)
-        if size >= COUNTED:
-            yield from flush()
-            held, size = [], 0
-    yield from flush()
+        yield key + chars // CHUNK, part
+        chars += int(part["text"].str.len().fillna(0).sum()) + len(part)
+
 
+def _dealt(frames):
+    for chunk, part in _chunks(frames):
+        yield part.assign(doc_id=part["doc_id"].astype("Int64"), chunk=chunk)
 
-def _insertions(f: pd.DataFrame) -> np.ndarray:
-    h, level = f["h"].to_numpy(np.int64).view(np.uint64), levels(f["c"].to_numpy())
-    every = np.repeat(h, level)
-    nth = np.arange(len(every)) - np.repeat(np.cumsum(level) - level, level) + 1
-    return np.concatenate([places(every, nth, k) for k in range(PROBES)])
 
+def _count(parts: int) -> Callable:
+    """For each chunk, order and part: the distinct n-grams in order, and how often each occurs in training rows."""
 
-def _score(bits_b, known_b, total: int, distinct: int) -> Callable:
     def run(frames):
-        bits, (known, known_c) = bits_b.value, known_b.value
-        key, size = TaskContext.get().partitionId() << 33, total + distinct + 1
-        for part in C.text_slices(frames, "text"):
-            ids, at = tokens(part["text"].tolist())
-            words, back = np.unique(ids, return_inverse=True)
-            level = probe(bits, words)
-            p_word = (low(level)[back] + 1) / size
-            pair, pair_back = np.unique(pairs(ids, at)[1], return_inverse=True)  # frequent pairs take the most probes
-            total_at = high(level)
-            before = np.zeros(len(ids))
-            before[1:] = total_at[back[:-1]]
-            before[at[:-1]] = high(probe(bits, np.array([START])))[0]
-            both = np.minimum(low(probe(bits, pair))[pair_back], before)
-            p = PAIR * both / np.maximum(before, 1) + (1 - PAIR) * p_word
-            where = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-            hit = known[where] == words if len(known) else np.zeros(len(words), bool)
-            exact = np.where(hit, known_c[where], 0) if len(known) else np.zeros(len(words))
-            logs = np.where(hit, np.log10((exact + 1) / size), 0.0)
-            rest = np.flatnonzero(~hit[back])
-            cut = np.searchsorted(rest, at)
-            yield pd.DataFrame({
-                "key": key + np.arange(len(part)), "doc_id": part["doc_id"].astype("Int64").array, "held_out": part["held_out"].to_numpy(bool), "n_tokens": np.diff(at),
-                "n_known": np.add.reduceat(hit[back].astype(np.int64), at[:-1]), "base": np.add.reduceat(logs[back], at[:-1]), "score": np.add.reduceat(np.log10(p), at[:-1]),
-                "rest": [ids[rest[a:b]].view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)],
-            })
-            key += len(part)
+        for chunk, slices in groupby(_chunks(frames), key=lambda x: x[0]):
+            held = []
+            for _, part in slices:
+                ids, at = tokens(part["text"].tolist())
+                held.append((ids, pairs(ids, at)[1], np.repeat(~part["held_out"].to_numpy(bool), np.diff(at))))
+            ids, both, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            for order, every in ((1, ids), (2, both)):
+                h, back = np.unique(every, return_inverse=True)
+                c = np.bincount(back, weights=train, minlength=len(h)).astype(np.uint32)
+                owner, first = np.unique(((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), return_index=True)
+                cut = [*first, len(h)]
+                spans = list(zip(cut[:-1], cut[1:], strict=True))
+                yield pd.DataFrame({"chunk": chunk, "part": owner.astype(np.int64), "n": np.int32(order), "h": [h[a:b].tobytes() for a, b in spans], "c": [c[a:b].tobytes() for a, b in spans]})
+
+    return run
+
+
+def _levels(f: pd.DataFrame) -> pd.DataFrame:
+    """The levels of a part's n-grams for each chunk, and of words the exact counts; a row without chunk has N and V."""
+    summed, rows = {}, []
+    for order in (1, 2):
+        mine = f[f["n"] == order]
+        h = np.frombuffer(b"".join(mine["h"]), np.uint64)
+        values, back = np.unique(h, return_inverse=True)
+        summed[order] = mine, values, back, np.bincount(back, weights=np.frombuffer(b"".join(mine["c"]), np.uint32), minlength=len(values)).astype(np.int64)
+    seen = [(values[counts > 0], counts[counts > 0]) for _, values, _, counts in summed.values()]
+    bits = filled(*(np.concatenate(x) for x in zip(*seen, strict=True)))
+    for order, (mine, values, back, counts) in summed.items():
+        level, cut = probe(bits, values).astype(np.uint8)[back], np.cumsum([0, *(len(x) // 8 for x in mine["h"])])
+        exact = counts[back] if order == 1 else np.empty(0, np.int64)
+        rows += [(chunk, part, order, level[a:b].tobytes(), exact[a:b].tobytes(), 0, 0) for chunk, part, a, b in zip(mine["chunk"], mine["part"], cut[:-1], cut[1:], strict=True)]
+    rows.append((None, None, 0, b"", b"", int(seen[0][1].sum()), len(seen[0][0])))
+    return pd.DataFrame(rows, columns=["chunk", "part", "n", "level", "c", "total", "distinct"]).astype({"chunk": "Int64", "part": "Int64", "n": np.int32})
+
+
+def _score(total: int, distinct: int) -> Callable:
+    def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        size, done, held = total + distinct + 1, [], []
+        for part in C.text_slices([docs], "text"):
+            held.append(tokens(part["text"].tolist()))
+            done.append(part[["doc_id", "held_out"]])
+        ids, both = np.concatenate([x for x, _ in held]), np.concatenate([pairs(*x)[1] for x in held])
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in held]))])
+        found = found.sort_values("part")
+        words, back = np.unique(ids, return_inverse=True)
+        pair, pair_back = np.unique(both, return_inverse=True)
+        of = {n: np.frombuffer(b"".join(found.loc[found["n"] == n, "level"]), np.uint8).astype(np.int64) for n in (1, 2)}
+        exact = np.frombuffer(b"".join(found.loc[found["n"] == 1, "c"]), np.int64)
+        if (len(of[1]), len(of[2]), len(exact)) != (len(words), len(pair), len(words)):
+            raise RuntimeError("a chunk met the levels of other texts: the table of documents changed between two scans")
+        before = np.zeros(len(ids))
+        before[1:] = high(of[1])[back[:-1]]
+        before[at[:-1]] = high(of[1][np.searchsorted(words, END)])  # as many texts begin as end
+        p = PAIR * np.minimum(low(of[2])[pair_back], before) / np.maximum(before, 1) + (1 - PAIR) * ((low(of[1]) + 1) / size)[back]
+        out = pd.concat(done, ignore_index=True)
+        return pd.DataFrame({
+            "doc_id": out["doc_id"].astype("Int64"), "held_out": out["held_out"].astype(bool), "n_tokens": np.diff(at), "n_known": np.add.reduceat((exact > 0).astype(np.int64)[back], at[:-1]),
+            "base_score": np.add.reduceat(np.log10((exact + 1) / size)[back], at[:-1]), "score": np.add.reduceat(np.log10(p), at[:-1]),
+        })
 
     return run
 
 
 def bloom_scores(docs: DataFrame, mod: int = 7, part: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("held_out", held_out(F.col("doc_id"), mod, part))
-    raw = docs.filter(~F.col("held_out")).select("text").mapInPandas(_count, "n int, h long, c long")
-    counts = C.materialize(raw.groupBy("n", "h").agg(F.sum("c").alias("c")).filter("n = 1 or c > 1"), "ngrams")
-    words = counts.filter("n = 1").select("h", "c")
-    total, distinct = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*")).first())
-    top = words.filter(F.col("c") >= C.frequency_floor(words, "c", KNOWN)).toArrow().to_pandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    known = sc.broadcast((h[by], top["c"].to_numpy(np.int64)[by]))
-
-    fits = BITS * 0.69 / PROBES
-    level = (1 + F.floor(2 * F.log2("c") + 1e-9)).cast("long")
-    used = {(r["n"], r["level"]): r["k"] * r["level"] for r in counts.groupBy("n", level.alias("level")).agg(F.count("*").alias("k")).collect()}
-    keep = {}
-    for n in (1, 2):
-        keep[n] = 1 << 40
-        for q in sorted((q for m, q in used if m == n), reverse=True):
-            if used[n, q] > fits:
-                break
-            fits -= used[n, q]
-            keep[n] = q
-    fed = counts.filter(level >= F.when(F.col("n") == 1, keep[1]).otherwise(keep[2]))
-    starts = spark.range(1).select(F.lit(int(START.view(np.int64))).alias("h"), F.lit(None).cast("long").alias("c"))
-    ends = counts.filter((F.col("n") == 1) & (F.col("h") == int(END.view(np.int64)))).select("c")  # as many texts begin as end
-    fed = fed.select("h", "c").union(starts.drop("c").crossJoin(F.broadcast(ends.limit(1))))
-    bits = sc.broadcast(C.build_bits(fed, BITS, _insertions))
-
-    scored = docs.mapInPandas(_score(bits, known, total, distinct), "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>")
-    own = F.struct(F.xxhash64("key").alias("h"), F.lit(True).alias("own"))
-    each = scored.select("*", F.explode(F.concat(F.array(own), F.transform("rest", lambda x: F.struct(x.alias("h"), F.lit(False).alias("own"))))).alias("e"))
-    mine = [F.when(F.col("e.own"), F.col(c)).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")]
-    each = each.select("key", F.col("e.h").alias("h"), F.col("e.own").alias("own"), *mine)
-    joined = each.join(words, "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = joined.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"),
-        F.sum(F.when(F.col("own"), F.col("n_known")).otherwise((c > 0).cast("long"))).alias("n_known"),
-        F.sum(F.when(F.col("own"), F.col("base")).otherwise(F.log10((c + 1) / F.lit(float(total + distinct + 1))))).alias("base_score"),
-    )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = C.materialize(docs.withColumn("held_out", held_out(F.col("doc_id"), mod, part)), "texts")  # scanned twice alike
+    parts = 1 + int(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // PART
+    counts = docs.mapInPandas(_count(parts), "chunk long, part long, n int, h binary, c binary")
+    found = C.materialize(counts.groupBy("part").applyInPandas(_levels, "chunk long, part long, n int, level binary, c binary, total long, distinct long"), "levels")
+    total, distinct = (int(x or 0) for x in found.filter("chunk is null").agg(F.sum("total"), F.sum("distinct")).first())
+    dealt = docs.mapInPandas(_dealt, "doc_id long, text string, held_out boolean, chunk long")
+    found = found.filter("chunk is not null").select("chunk", "part", "n", "level", "c")
+    scored = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score(total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

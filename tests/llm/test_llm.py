@@ -131,6 +131,25 @@ def test_lm_base_is_exact(spark, docs, empty):
     assert all(r["score"] < 0 for r in got) and lm.bloom_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("chars", [1 << 22, 700])
+def test_lm_holds_every_counted_ngram(spark, chars, monkeypatch):
+    for name in ("CHUNK", "PART"):
+        monkeypatch.setattr(lm, name, chars, raising=False)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + " " + prose(40, random.Random(i))) for i in range(40)]
+    own, pair = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            own.update([*t.split(), None])
+            pair.update(zip(["^", *t.split()], [*t.split(), None]))
+    own["^"] = own[None]
+    low, high = (lambda c, f=f: int(f(lm.levels(np.array([c])))[0]) if c else 0 for f in (lm.low, lm.high))
+    size = sum(own.values()) - own["^"] + len(own)
+    got = {r["doc_id"]: r["score"] for r in lm.bloom_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        want = sum(math.log10(lm.PAIR * min(low(pair[h, w]), high(own[h])) / max(high(own[h]), 1) + (1 - lm.PAIR) * (low(own[w]) + 1) / size) for h, w in zip(["^", *t.split()], [*t.split(), None]))
+        assert abs(got[i] - want) < 0.02 * abs(want)
+
+
 def test_lm_levels_give_counts_back():
     c = np.array([1, 2, 3, 4, 7, 100, 10**6])
     q = lm.levels(c)
