@@ -6,8 +6,9 @@ ordinary words of the same size. A window is a word after a stretch that both di
 bytes shorter it gets with the toxic dictionary. Shares and counts of windows over several gains go into a logistic
 calibration, fitted on the half of the training rows that the dictionaries did not see.
 
-Fitting reads a bounded sample of labelled rows (SAMPLE documents a class, by hash of the id; CHARS characters in all); every
-document is scored over its whole text. With no toxic or no ordinary training rows every score is 0.
+Fitting reads a bounded sample of labelled rows (SAMPLE documents a class, by hash of the id, until half of CHARS
+characters are full); every document is scored over its whole text. With no toxic or no ordinary training rows every score
+is 0; with both, but too few to fit and to calibrate, fitting raises an error.
 
 Defined cases: a null or wordless text is scored like a single window without gain; a repeated doc_id is a document a row; a
 null doc_id counts as the empty string where rows are dealt; null labels are ignored; an empty table gives no rows; other
@@ -119,18 +120,22 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, part: int = 2):
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["doc_id"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.select("doc_id").distinct().join(labels.filter(~held_out(F.col("doc_id"), mod, part)), "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    taken, left = [], CHARS
+    taken = []
     for toxic in (1, 0):
+        left = CHARS // 2
         ids = known.filter(F.col("toxic") == toxic).orderBy("order", "doc_id").limit(SAMPLE).select("doc_id", "order")
         some = texts.join(F.broadcast(ids), "doc_id").orderBy("order", "doc_id", "text").limit(2 * SAMPLE)  # SAMPLE ids of 16 bytes; an id may be repeated
         for r in some.toLocalIterator():
-            if len(r["text"] or "") <= left:
-                left -= len(r["text"] or "")
-                taken.append((r["text"] or "", toxic))
+            if left <= 0:
+                break
+            left -= len(r["text"] or "")
+            taken.append((r["text"] or "", toxic))
     taken = list(dict.fromkeys(taken))
     halves = [[r for r in taken if zlib.crc32(r[0].encode()) % 2 == k] for k in (0, 1)]
-    if any({t for _, t in half} != {0, 1} for half in halves):
+    if {t for _, t in taken} != {0, 1}:
         return None
+    if any({t for _, t in half} != {0, 1} for half in halves):
+        raise ValueError(f"too few labelled texts to fit toxicity: {[[sum(t == k for _, t in half) for k in (1, 0)] for half in halves]} toxic and ordinary ones in the halves")
     made, y = dictionaries(halves[0]), np.array([t for _, t in halves[1]], float)
     mean, scale, w = calibrate(np.array([made.features(t) for t, _ in halves[1]]), y)
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -357,6 +357,16 @@ def test_toxicity_finds_what_labels_mark(spark, empty):
     assert toxicity.accepted(df, labels).count() < len(rows)
 
 
+def test_toxicity_gives_each_class_its_characters(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(toxicity, "CHARS", 60_000)
+    rows = [(i, prose(300 if i % 2 else 60, rng) + (" wretched scoundrel imbecile" * 9 if i % 2 else "")) for i in range(200)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(df, labels) is not None
+    with pytest.raises(ValueError, match="too few labelled texts"):
+        toxicity.fit(df, labels.filter("toxic = 0").union(labels.filter("doc_id = 1")))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
