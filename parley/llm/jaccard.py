@@ -105,7 +105,7 @@ def prefix_signatures(items: np.ndarray, odd: np.ndarray, hot_hash: np.ndarray,
     return np.concatenate(out), n - shortest, most
 
 
-def _scan(n: int) -> Callable:
+def _scan(n: int, carry: tuple[str, ...]) -> Callable:
     """A row for each document, and counts of shingles seen several times in one task."""
 
     def run(frames):
@@ -115,7 +115,7 @@ def _scan(n: int) -> Callable:
             for kind, parts in ((1, pool), (2, texts)):
                 values, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
                 keep = counts >= (CANDIDATE if kind == 1 else max(1, counts.sum() / ONE_IN))
-                yield pd.DataFrame({"doc_id": pd.array([None] * int(keep.sum()), "Int64"), "n": pd.array(counts[keep], "Int64"), "sid": values[keep].view(np.int64), "kind": np.int32(kind)})
+                yield pd.DataFrame({"doc_id": pd.array([None] * int(keep.sum()), "Int64"), "n": pd.array(counts[keep], "Int64"), "sid": values[keep].view(np.int64), "kind": np.int32(kind), **{c: 0 for c in carry}})
 
         for part in C.text_slices(frames, "text"):
             sids, sizes = [], []
@@ -128,7 +128,7 @@ def _scan(n: int) -> Callable:
                     seen.add(sids[-1])
                     pool.append(items)
                     size += len(items)
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": pd.array(sizes, "Int64"), "sid": np.array(sids, np.int64), "kind": np.int32(0)})
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": pd.array(sizes, "Int64"), "sid": np.array(sids, np.int64), "kind": np.int32(0), **{c: part[c].array for c in carry}})
             if size >= COUNTED:
                 yield from flush()
                 pool, texts, size, seen = [], [], 0, set()
@@ -217,9 +217,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_rounds: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    return _rooted(docs, words, percent, hub_rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their components: of each the one with the least id (null
+    last), by hash of the text among equal ids, and exactly one whatever repeats. Wordless rows all stay."""
+    numbered = C.materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "numbered")
+    rows = _rooted(numbered.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))), carry=("_hash", "_row"))
+    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")).alias("first")).select("first._row")
+    kept = first.union(rows.filter("n_shingles = 0").select("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+
+
+def _rooted(docs: DataFrame, words: int = 5, percent: int = 80, hub_rounds: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, root (the component's set; null for wordless rows), carried long columns of docs."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = C.materialize(docs.mapInPandas(_scan(words), "doc_id long, n long, sid long, kind int"), "scan")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    scan = C.materialize(docs.mapInPandas(_scan(words, carry), ", ".join(["doc_id long, n long, sid long, kind int", *(f"{c} long" for c in carry)])), "scan")
+    docs = docs.select("doc_id", "text")
     rows = scan.filter("kind = 0").drop("kind")
     top = {}
     for kind, most in ((1, FREQUENT), (2, COMMON)):
@@ -280,9 +296,10 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
         left = _open(left, hubs, links)
     roots = components(links)
     linked = roots.join(nodes, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first_id").alias("least"))
-    roots = roots.join(linked, "root").select(F.col("node").alias("sid"), "least")
-    nodes = nodes.join(roots, "sid", "left").select("sid", F.coalesce("least", "first_id").alias("component_id"))
-    return rows.join(nodes.withColumn("sized", F.lit(True)), (rows["sid"] == nodes["sid"]) & (rows["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sized"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    roots = roots.join(linked, "root").select(F.col("node").alias("sid"), "root", "least")
+    nodes = nodes.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("least", "first_id").alias("component_id"))
+    joined = rows.join(nodes, (rows["sid"] == nodes["sid"]) & (rows["n"] > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *carry)
 
 
 def _met(left: DataFrame, percent: int) -> DataFrame:

@@ -98,6 +98,24 @@ def test_jaccard_families(spark, frequent, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_keep_one_row_of_a_component(spark):
+    import corpus_pipeline
+
+    t, x, a, b = (prose(60, random.Random(i)) for i in range(70, 74))
+    near = " ".join([*t.split()[:-1], "changed"])
+    for rows, want in (
+        ([(5, t, 1), (5, t, 2)], [(5, t)]),
+        ([(3, t, 1), (7, t, 2), (7, x, 3), (3, near, 4)], None),
+        ([(None, a, 1), (5, a, 2), (None, b, 3)], [(5, a), (None, b)]),
+        ([(1, "", 1), (1, "", 2), (None, None, 3)], [(1, ""), (1, ""), (None, None)]),
+    ):
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, k long").repartition(2), "").collect()]
+        if want is None:
+            assert len(got) == 2 and (7, x) in got and {i for i, _ in got} == {3, 7}
+        else:
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_prefixes_share_an_entry():
     """Any two sets at the threshold share an entry, whatever is frequent."""
     rng = np.random.default_rng(1)
