@@ -4,14 +4,14 @@ A shard is a file of frames in ascending doc_id order, closed by one line end:
 
     length (8 bytes) | masked checksum of those 8 | doc_id (8) | flag (1: doc_id is null) | ids | masked checksum of the body
 
-All numbers are little-endian; length counts the body (doc_id, flag, ids). Ids take 2 bytes each where the vocabulary fits
-in them, else 4. A checksum is CRC-32, rotated right by 15 bits plus 0xA282EAD8, so that checksums of data that hold
+All numbers are little-endian; length counts the body (doc_id, flag, ids). Ids take 2 bytes each where the vocabulary and the
+end id fit in them, else 4. A checksum is CRC-32, rotated right by 15 bits plus 0xA282EAD8, so that checksums of data that hold
 checksums stay sound. The index has a row a record: shard, file, offset, size, doc_id, n_tokens, ids_crc32, and start, the
 ids of all documents before it. A reader may take records in any order, each a slice of its file.
 
 Files are written by Spark's text writer, which passes bytes on as they are, so any file system that Spark reaches will do.
 
-Defined cases: a null or empty text is the end id alone; null doc_ids come first; equal doc_ids are ordered by text; an
+Defined cases: a null or empty text is the end id alone; null doc_ids come first; equal doc_ids are ordered by a hash of the text; an
 empty table gives no shards and no rows; other columns are ignored.
 """
 
@@ -60,8 +60,14 @@ def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, int | None, byt
         raise ValueError("the shard's end is missing")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, shard_bytes: int = SHARD_BYTES) -> None:
-    """Shards of docs (doc_id, text) under path/shard=N, in ascending doc_id order over all shards."""
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id: 2 where all ids of the vocabulary and the end id fit in them, else 4."""
+    return 2 if max(encoder(tokenizer).largest, end_id) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int, shard_bytes: int = SHARD_BYTES) -> None:
+    """Shards of docs (doc_id, text) under path/shard=N, in ascending doc_id order over all shards. Shards are dealt by
+    ranges of doc_id and of a hash of the text, so that rows of one id need not share a shard and no text is sampled."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     if size is None:
@@ -80,12 +86,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int =
         if out:
             yield pd.DataFrame({"data": [b"".join(out)]})
 
-    ordered = docs.repartitionByRange(size // shard_bytes + 1, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    blocks = ordered.mapInPandas(run, "data binary").select(F.spark_partition_id().alias("shard"), F.col("data").cast("string").alias("data"))
+    dealt = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(size // shard_bytes + 1, "doc_id", "hash")
+    blocks = dealt.sortWithinPartitions("doc_id", "hash", "text").drop("hash").mapInPandas(run, "data binary").select(F.spark_partition_id().alias("shard"), F.col("data").cast("string").alias("data"))
     blocks.write.partitionBy("shard").option("compression", "none").text(path)
 
 
-def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, path: str, width: int) -> DataFrame:
     """shard, file, offset, size, doc_id, n_tokens, local_start, ids_crc32 of every record, with all checksums verified."""
 
     def run(parts):
@@ -114,9 +120,10 @@ def token_records(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFra
     """Write the shards and their index in the shared folder; the index, and the folder of the shards."""
     spark = docs.sparkSession
     path = C.new_path(spark, "records")
-    write(docs, path, tokenizer, end_id)
+    width = id_width(tokenizer, end_id)
+    write(docs, path, tokenizer, end_id, width)
     schema = "shard long, file string, offset long, size long, doc_id long, n_tokens long, ids_crc32 long, start long"
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         return spark.createDataFrame([], schema), path
-    return C.materialize(with_starts(C.materialize(read(spark, path), "records-read")), "records-index"), path
+    return C.materialize(with_starts(C.materialize(read(spark, path, width), "records-read")), "records-index"), path

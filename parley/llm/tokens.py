@@ -1,23 +1,32 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct piece of text encoded once per worker.
-
-Both tokenizers cut text before their merges at a space after a character that is none, at a single line end between two
-other characters, and between a letter and a run of the marks `.,!?;:`. So a text's ids are the ids of such pieces in a row.
-A text with a space after other white space, or white space at its end, goes to the library as it is.
+"""Token ids of whole texts by the tokenizers library, with each distinct stretch of text encoded once per worker.
+
+A stretch is a run of white space with the characters up to the next. Both kinds of tokenizers cut a text before its merges
+wherever a stretch begins: one keeps a space with the word after it, the other drops white space. So a text's ids are those
+of its stretches in a row. New stretches go to the library many at once, with a special token between them where the ids
+are cut apart; the marks `.,!?;:` after a letter are cut off first, as merges never cross that place. A text with
+characters that Python and the library class differently goes to the library as it is, and so does every text if a
+tokenizer's ids of the probes below are not those of its stretches.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
-from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that a worker remembers at most, about 200 bytes each.
-REMEMBERED = 1_200_000
+#: Stretches that a worker remembers at most, about 200 bytes each, and the longest that it remembers.
+REMEMBERED, LONGEST = 1_000_000, 100
 _MARKS = ".,!?;:"
+_RUNS = re.compile(r"\s*\S+|\s+$")
+_ODD = re.compile("[\0\x1c-\x1f]")
+#: White space of text beside single spaces and line ends.
+_OTHER = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", *(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace()))
+_PROBES = ("", " ", "a", " a b", "a  b", "a\nb", "a\n\n b\t c \n", "it's. I'll, x'. Foo.'s", "A1b2 33, (x) #! é.", "ÀÉ ß. œ, ﬁ! İ. é.", "日本語。 テスト. 한국어", " a b　", "́a ́.", "<|endoftext|> a<|endoftext|>.", "A <|ENDOFTEXT|>", "👍🏽. 👍!")
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -30,87 +39,109 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.lower = '"Lowercase"' in self.library.to_str().split('"pre_tokenizer"')[0]
-        self.known: dict[str, bytes | None] = {}
-        # tokens that end a word, or tokens that begin one with its space: where a run of plain words comes apart again
-        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
-        self.ends = np.array([n.endswith("</w>") for n in names])
-        self.starts = np.array([n.startswith("\u0120") for n in names])
+        self.largest = max(self.library.get_vocab().values(), default=0)
+        made = json.loads(self.library.to_str())
+        special = [t for t in made["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.cut, self.cut_id = (special[-1]["content"], special[-1]["id"]) if special else ("", -1)
+        self.lower = '"Lowercase"' in json.dumps(made["normalizer"])
+        self.spaceless = not self.direct([" \n "])[0]
+        names = [self.library.id_to_token(i) or "" for i in range(self.largest + 1)]
+        self.ends, self.starts = (np.array([f(n) for n in names], bool) for f in (lambda n: n.endswith("</w>"), lambda n: n.startswith("\u0120")))
+        self.known: dict[str, bytes] = {}
+        self.whole = not special
+        self.whole = self.whole or [*self.encode(list(_PROBES)), *self.encode([" ".join(_PROBES)])] != self.direct([*_PROBES, " ".join(_PROBES)])
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain(self, words: list[str], block: int = 5_000) -> list[bytes]:
-        """The ids of words of letters, each with a space before it, by encoding many of them as one text."""
+    def apart(self, stretches: list[str], block: int = 5_000) -> list[bytes]:
+        """The ids of each stretch, by encoding many of them as one text."""
+        out: list[bytes] = []
+        for k in range(0, len(stretches), block):
+            own = stretches[k : k + block]
+            ids = np.array(self.library.encode_batch_fast([self.cut.join(own)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.cut_id)
+            if len(cuts) != len(own) - 1:  # a stretch holds the special token itself
+                out += self.direct(own)
+                continue
+            data, ends = ids.tobytes(), (4 * cuts).tolist()
+            out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)]
+        return out
+
+    def in_words(self, words: list[str], block: int = 5_000) -> list[bytes]:
+        """The ids of words of letters after a space, which come apart again at the tokens that begin or end a word."""
         out: list[bytes] = []
         for k in range(0, len(words), block):
             own = words[k : k + block]
-            ids = np.array(self.library.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1 if self.ends.any() else np.append(np.flatnonzero(self.starts[ids])[1:], len(ids))
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1 if self.spaceless else np.append(np.flatnonzero(self.starts[ids])[1:], len(ids))
             if len(cuts) != len(own):
-                out += self.direct(own)
+                out += self.apart(list(map(self.literal, own)))
                 continue
             data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
             out += [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         return out
 
-    @staticmethod
-    def split(chunk: str) -> list[str]:
-        lines = chunk.split("\n")
-        bare = [lines[0].removeprefix(" "), *lines[1:]]
-        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in bare):
-            return [chunk]
-        out = []
-        for k, line in enumerate(lines):
-            core = line.rstrip(_MARKS)
-            out += ["\n"] * (k > 0) + ([core, line[len(core) :]] if core and core != line and core[-1].isalpha() else [line])
-        return out
+    def literal(self, key: str) -> str:
+        return key[1:] if key[:1] == "\0" else key if self.spaceless or key[:1].isspace() else " " + key
 
     def learn(self, keys: set[str]) -> None:
-        """Keys are stretches without their space; the first of a text begins with a null character instead."""
-        known, whole, parts = self.known, {}, {}
-        for key in keys:
-            chunk = key[1:] if key[:1] == "\0" else " " + key
-            if chunk[-1:].isalnum() and "\n" not in chunk:
-                whole[key] = chunk
-            else:
-                parts[key] = self.split(chunk)
-        words = {k: c for k, c in whole.items() if c[0] == " " and k.isalpha()}
-        inner = {p for x in parts.values() for p in x if p[:1] != " " or p[1:] not in known and p[1:] not in words}
-        for p in inner:
-            if p[:1] == " " and p[1:].isalpha():
-                words[p[1:]] = p
-        known.update(zip(words, self.plain(list(words.values())), strict=True))
-        rest = {k: c for k, c in whole.items() if k not in words}
-        known.update(zip(rest, self.direct(list(rest.values())), strict=True))
-        loose = [p for p in inner if p[:1] != " " or p[1:] not in known]
-        own = dict(zip(loose, self.direct(loose), strict=True))
-        for key, x in parts.items():
-            ids = b"".join([own[p] if p in own else known[p[1:]] for p in x])
-            known[key] = None if x and x[-1][-1:].isspace() and x[-1] != "\n" else ids
+        """A key is a stretch without its single space; the first of a text begins with a null character instead."""
+        known = self.known
+        cores = {key: key.rstrip(_MARKS) for key in keys if key[-1] in _MARKS}
+        cores = {key: core for key, core in cores.items() if core[-1:].isalpha() and core[-1] <= "\xff"}
+        marks = list({key[len(core) :] for key, core in cores.items()})
+        plain = keys.difference(cores).union(cores.values()).difference(known)
+        words = [x for x in plain if x.isalpha()]
+        known.update(zip(words, self.in_words(words), strict=True))
+        rest = list(plain.difference(words))
+        known.update(zip(rest, self.apart(list(map(self.literal, rest))), strict=True))
+        ids = dict(zip(marks, self.direct(marks), strict=True))
+        known.update({key: known[core] + ids[key[len(core) :]] for key, core in cores.items()})
 
     def folded(self, text: str) -> str:
         """Lower case where that is certain to be what the library's normalizer does first."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text.lower() if "<|" not in text else text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text if "<|" in text else text.lower()
+
+    def stretches(self, text: str) -> list[str]:
+        if self.spaceless:
+            return (self.folded(text) if self.lower else text).split()
+        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _OTHER[: 8 if text.isascii() else None]):
+            out = [x[1:] if x[0] == " " and x[1:2] and not x[1].isspace() else x for x in _RUNS.findall(text)]
+            if out and not text[0].isspace():
+                out[0] = "\0" + out[0]
+            return out
+        return ("\0" + text.replace("\n", " \n")).split(" ") if text else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        if self.whole:
+            return self.direct(texts)
         if len(self.known) > REMEMBERED:
             self.known = {}
-        texts = [t or "" for t in texts]
-        rows = [(self.folded(t) if self.lower else t).split(" ") for t in texts]
-        for x in rows:
-            x[0] = "\0" + x[0]
-        new = set(chain.from_iterable(rows)).difference(self.known)
+        known, new, rows, out = self.known, set(), [], []
+        get = known.get
+        for t in texts:
+            x = [] if _ODD.search(t) else self.stretches(t)
+            ids = list(map(get, x))
+            gaps = [k for k, i in enumerate(ids) if i is None] if None in ids else []
+            keys = [x[k] for k in gaps]
+            new.update(keys)
+            rows.append((ids, gaps, keys))
         if new:
             self.learn(new)
-        out, get = [], self.known.__getitem__
-        for t, x in zip(texts, rows, strict=True):
-            ids = list(map(get, x))
-            out.append(self.direct([t])[0] if None in ids or "\0" in t or x[-1][-1:] == "\n" else b"".join(ids))
+        for t, (ids, gaps, keys) in zip(texts, rows, strict=True):
+            for k, key in zip(gaps, keys, strict=True):
+                ids[k] = known[key]
+            out.append(b"".join(ids) if ids or not t else self.direct([t])[0])
+        for key in new:
+            if len(key) > LONGEST:
+                known.pop(key, None)
         return out
 
 

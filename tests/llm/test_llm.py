@@ -185,22 +185,39 @@ def test_lm_levels_give_counts_back():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piecewise_ids_are_the_library_s(name):
     enc = tokens.PieceEncoder(public_tokenizers.path(name))
-    hard = [t or "" for _, t in texts()] + ["a\n\nb", "a \tb", "a\x85 b", " a", "a ", "don't. It's", "<|endoftext|> a", "A <|ENDOFTEXT|>.", "foo.'s I'll.", "İstanbul ΑΣ.", "a\0b", "́ a", "ﬁ ﬂ"]
+    hard = [t or "" for _, t in texts()] + ["a\n\nb", "a \tb", "a\x85 b", " a", "a ", "don't. It's", "<|endoftext|> a", "A <|ENDOFTEXT|>.", "foo.'s I'll.", "İstanbul ΑΣ.", "İ.", "aİ, b", "a\0b", "́ a", "ﬁ ﬂ"]
     assert enc.encode(hard) == enc.direct(hard)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_piecewise_ids_of_random_strings(name):
+    atoms = ["a", "Ab", "don't", "'s", "'LL", "é", "É", "ß", "İ", "ı", "ΑΣ", "œ", "ﬁ", "क़", "\u0301", "\u0307", "日", "👍", "🏽", "1", "½", "Ⅷ", ".", ",", "!", ";", ":", "'", "#", "***", "▁", "Ġ", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|"]
+    spaces = [*"    ", "  ", "\n", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\x1c", "\x1f", "\0", "\u180e", "\u200b"]
+    rng, enc = random.Random(11), tokens.PieceEncoder(public_tokenizers.path(name))
+    assert not enc.whole
+    for _ in range(4):
+        own = ["".join(rng.choices(atoms + 2 * spaces, k=rng.randint(0, 25))) for _ in range(5000)]
+        assert enc.encode(own) == enc.direct(own)
+
+
+def test_wide_ids_need_four_bytes(spark, docs, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert records.id_width(path, 2) == 2 and records.id_width(path, 70_000) == 4
+    assert {r["n_tokens"] for r in records.token_records(docs.filter("doc_id is null"), path, 70_000)[0].collect()} == {len(tokens.PieceEncoder(path).direct([t])[0]) // 4 + 1 for i, t in texts() if i is None}
+
+
 def test_records_round_trip(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     index, folder = records.token_records(docs, path, 2)
     direct = tokens.PieceEncoder(path)
-    rows = sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    want, start = [], 0
-    for i, t in rows:
+    want = []
+    for i, t in texts():
         ids = direct.direct([t or ""])[0] + b"\2\0\0\0"
-        want.append((i, start, len(ids) // 4, zlib.crc32(ids)))
-        start += len(ids) // 4
+        want.append((i is not None, i or 0, len(ids) // 4, zlib.crc32(ids)))
     got = [tuple(r) for r in index.orderBy("start").select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
-    assert got == want
+    assert sorted((i is not None, i or 0, n, c) for i, _, n, c in got) == sorted(want)
+    assert [(i is not None, i or 0) for i, *_ in got] == sorted((i is not None, i or 0) for i, *_ in got)
+    assert [s for _, s, _, _ in got] == [sum(n for _, _, n, _ in got[:k]) for k in range(len(got))]
     one = index.filter("n_tokens > 100").first()
     data = open(one["file"].removeprefix("file:"), "rb").read()
     own = data[one["offset"] : one["offset"] + one["size"]]
