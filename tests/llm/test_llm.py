@@ -164,10 +164,20 @@ def test_lm_holds_every_counted_ngram(spark, chars, monkeypatch):
     size = sum(own.values()) - own["^"] + len(own)
     got = {r["doc_id"]: r["score"] for r in lm.bloom_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     for i, t in rows:
-        want = sum(math.log10(lm.PAIR * min(low(pair[h, w]), high(own[h])) / max(high(own[h]), 1) + (1 - lm.PAIR) * (low(own[w]) + 1) / size) for h, w in zip(["^", *t.split()], [*t.split(), None]))
+        want = sum(math.log10(lm.PAIR * max(min(low(pair[h, w]), high(own[h])) - lm.DISCOUNT, 0) / max(high(own[h]), 1) + (1 - lm.PAIR) * (low(own[w]) + 1) / size) for h, w in zip(["^", *t.split()], [*t.split(), None]))
         assert abs(got[i] - want) < 0.02 * abs(want)
 
 
+def test_lm_tells_repeated_texts_from_others(spark):
+    rows = [(i, prose(80, random.Random(i))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    got = lm.bloom_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter("not held_out").collect()
+    dealt = {r["doc_id"] for r in got}
+    twice = {i for i in dealt if i % 1000 < 40 and {i % 1000, i % 1000 + 1000} <= dealt}
+    once = sorted(r["mean_score"] for r in got if 40 <= r["doc_id"] < 1000)
+    assert len(twice) > 30 and all(r["mean_score"] > once[int(0.98 * len(once))] for r in got if r["doc_id"] in twice)
+
+
 def test_lm_levels_give_counts_back():
     c = np.array([1, 2, 3, 4, 7, 100, 10**6])
     q = lm.levels(c)
