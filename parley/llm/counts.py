@@ -24,8 +24,8 @@ from . import common as C
 
 #: Pre-tokens whose count is broadcast, about 150 bytes each in a worker.
 KNOWN = 1 << 18
-#: Distinct pre-tokens that a task counts before it hands them on.
-COUNTED = 400_000
+#: Distinct pre-tokens, and characters of texts, that a task counts before it hands them on.
+COUNTED, HELD = 400_000, 64_000_000
 _RUNS = re.compile(" +[^ ]*")
 _models: dict = {}
 
@@ -39,7 +39,9 @@ def model(path: str):
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The text cut before each run of spaces, each part without one leading space (the model's dummy prefix)."""
+    """The text cut before each run of spaces, each part without one leading space (the model's dummy prefix). To the model
+    a literal space mark is a space."""
+    text = text.replace("▁", " ")
     if "  " not in text and text[:1] != " " and text[-1:] != " ":
         return text.split(" ") if text else []
     return [x[1:] for x in _RUNS.findall(" " + text)]
@@ -47,6 +49,7 @@ def pre_tokens(text: str) -> list[str]:
 
 def _distinct(frames):
     seen: Counter = Counter()
+    size = 0
 
     def flush():
         return pd.DataFrame({"pre": pd.Series(list(seen.keys()), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
@@ -54,9 +57,10 @@ def _distinct(frames):
     for f in frames:
         for text in f["text"]:
             seen.update(pre_tokens(text))
-            if len(seen) > COUNTED:
+            size += len(text)
+            if len(seen) > COUNTED or size > HELD:
                 yield flush()
-                seen = Counter()
+                seen, size = Counter(), 0
     yield flush()
 
 

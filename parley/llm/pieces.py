@@ -2,8 +2,9 @@
 
 One pass over a text follows the automaton's output links to all pieces that end at a position. A unigram model relaxes the
 best score of each position over them (Viterbi). In a BPE model the best segmentation by score is not what the merges
-give, so a position takes the piece that may follow the last piece before it: two pieces are compatible where
-merging their joint text yields just these two, and exactly one piece per position is. The ids are those of the library.
+give, so there only those pieces are relaxed that may follow the best piece of the position before: two pieces are compatible
+where merging their joint text yields just these two, and exactly one piece per position is, which leaves nothing for
+scores to decide. The ids are those of the library for both kinds.
 
 A pass covers a pre-token (a run of spaces with the text up to the next), as no piece holds its space mark after another
 character; distinct pre-tokens are encoded once per worker. Characters without a piece fall back to bytes, or to the
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .counts import pre_tokens
 
-#: Pre-tokens and pairs of pieces that a worker remembers at most.
-REMEMBERED = 500_000
+#: Pre-tokens and pairs of pieces that a worker remembers at most, and the longest pre-token that it remembers.
+REMEMBERED, LONGEST = 500_000, 100
 _MARK = "▁"
 _coders: dict[str, Coder] = {}
 
@@ -115,9 +116,12 @@ class Coder:
             self.known = {}
         out = []
         for pre in pre_tokens(text or ""):
-            if pre not in self.known:
-                self.known[pre] = self.segment(_MARK + pre.replace(" ", _MARK))
-            out.append(self.known[pre])
+            ids = self.known.get(pre)
+            if ids is None:
+                ids = self.segment(_MARK + pre.replace(" ", _MARK))
+                if len(pre) <= LONGEST:
+                    self.known[pre] = ids
+            out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

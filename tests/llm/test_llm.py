@@ -277,6 +277,9 @@ def test_token_counts(spark, docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     want = sorted(((i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in texts()), key=repr)
+    marked = ["a▁  b", "▁  a", "▁▁  a", "▁", " ▁", "▁a ▁b▁ c", "a ▁"]
+    got = counts.token_counts(spark.createDataFrame(list(enumerate(marked)), "doc_id long, text string"), path).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(i, len(t.encode()), len(library.encode(t))) for i, t in enumerate(marked)]
     for known in (1 << 18, 2):
         counts.KNOWN = known
         assert sorted((tuple(r)[:3] for r in counts.token_counts(docs, path).collect()), key=repr) == want
@@ -290,13 +293,39 @@ def test_sentencepiece(spark, docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     coder = pieces.coder(path)
-    for t in [t or "" for _, t in texts()] + ["  a  b ", "<s> x </s>", "▁x y", "tab\tand\nline"]:
+    rng = random.Random(4)
+    mixed = ["".join(rng.choices(["a", "bc", "é", "日", ".", " ", "  ", "▁", "▁▁", "\n", "\t", "<s>", "👍"], k=rng.randint(0, 12))) for _ in range(5000)]
+    for t in [t or "" for _, t in texts()] + ["  a  b ", "<s> x </s>", "▁x y", "a▁  b", "▁  a", "▁▁  a", "▁", " ▁ ", "tab\tand\nline", *mixed]:
         ids = np.frombuffer(coder.encode(t), "<u4").tolist()
         assert ids == library.encode(t) and coder.decode(coder.encode(t)) == library.decode(ids)
     rows = pieces.round_trips(docs, path).collect()
     assert len(rows) == len(texts()) and all(r["round_trip"] for r in rows) and pieces.round_trips(empty, path).count() == 0
 
 
+def test_unigram_viterbi_is_the_library_s(tmp_path):
+    """A model written by hand, as no unigram model is at hand: the pass relaxes scores and falls back to bytes."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model, kinds = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto.SentencePiece
+    rng = random.Random(12)
+    for name, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL), *((f"<0x{b:02X}>", kinds.BYTE) for b in range(256))):
+        model.pieces.add(piece=name, score=0.0, type=kind)
+    names = {"▁", *"abcd", *("▁" * rng.randint(0, 1) + "".join(rng.choices("abcd", k=rng.randint(2, 5))) for _ in range(150))}
+    for name in sorted(names):
+        model.pieces.add(piece=name, score=-rng.randint(128, 600) / 64, type=kinds.NORMAL)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.vocab_size = 1, True, len(model.pieces)
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    library, coder = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Coder(str(path))
+    assert not coder.bpe
+    for _ in range(3000):
+        t = "".join(rng.choices(["a", "b", "c", "d", "ab", "abc", " ", "  ", "▁", "é", "x"], [4, 4, 4, 4, 2, 2, 3, 1, 1, 1, 1], k=rng.randint(0, 20)))
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode(t), t
+        assert coder.decode(coder.encode(t)) == library.decode(library.encode(t))
+
+
 def test_topk_is_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in v], "z") for i, v in enumerate(rng.normal(0, 0.3, (300, 8)).astype(np.float32))]
