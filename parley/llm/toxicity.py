@@ -1,18 +1,20 @@
-"""Operator 9: toxicity by compression distance between two zstandard dictionaries.
+"""Operator 9: toxicity by compression distance between two dictionaries that zstandard trained.
 
-Both dictionaries begin with the common words of ordinary training text. The toxic one goes on with the words of toxic
-training documents that open like no ordinary word (by rate in toxic against ordinary text), the ordinary one with other
-ordinary words of the same size. A window is a word after a stretch that both dictionaries know; its gain is how many
-bytes shorter it gets with the toxic dictionary. Shares and counts of windows over several gains go into a logistic
-calibration, fitted on the half of the training rows that the dictionaries did not see.
+zstandard trains one dictionary on windows of ordinary training text and one on windows of toxic training text, of equal size
+beyond a part of ordinary text that both begin with. Toxic training documents are mostly ordinary text too, so the toxic
+dictionary is trained on those of their windows that hold a telling stretch: the opening of a word that RATE times as many
+toxic as ordinary documents have, and a SHARE of the toxic ones. A window is a word after a stretch that both dictionaries
+know; its gain is how many bytes shorter it gets with the toxic dictionary. Shares and counts of windows over several gains
+go into a logistic calibration, fitted on the half of the training rows that the dictionaries did not see.
 
 Fitting reads a bounded sample of labelled rows (SAMPLE documents a class, by hash of the id, until half of CHARS
-characters are full); every document is scored over its whole text. With no toxic or no ordinary training rows every score
-is 0; with both, but too few to fit and to calibrate, fitting raises an error.
+characters are full; TRAINED bytes of windows a dictionary, evenly spread); every document is scored over its whole text.
+With no toxic or no ordinary training rows every score is 0; with both, but too few to fit and to calibrate, fitting raises
+an error.
 
 Defined cases: a null or wordless text is scored like a single window without gain; a repeated doc_id is a document a row; a
-null doc_id counts as the empty string where rows are dealt; null labels are ignored; an empty table gives no rows; other
-columns are ignored.
+null doc_id counts as the empty string where rows are dealt; null labels are ignored, and an id with several labels is toxic
+if one says so; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from .lm import held_out
 
 SAMPLE, CHARS = 6_000, 60_000_000
-#: Toxic words open with a stretch of 4 to 8 letters that is so many times as frequent as in ordinary text and occurs in
-#: this share of the toxic documents.
-RATE, SHARE = 12.0, 0.02
+#: What makes the opening of a word telling, and the shortest and longest opening but the whole word.
+RATE, SHARE, OPENING = 12.0, 0.02, (3, 8)
+#: Bytes of the common part, of the toxic dictionary beyond it at most, and of the windows that one is trained on.
+COMMON, TOXIC, TRAINED = 20_000, 8_000, 4_000_000
 THRESHOLD = 0.3
 #: Words whose gain a worker remembers.
 REMEMBERED = 200_000
@@ -43,8 +46,12 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def openings(word: str) -> set[str]:
+    return {word[:k] for k in (*range(OPENING[0], OPENING[1] + 1), len(word)) if OPENING[0] <= k <= len(word)}
+
+
 class Compressors:
-    def __init__(self, stretch: str, ordinary: str, toxic: str):
+    def __init__(self, stretch: str, ordinary: bytes, toxic: bytes):
         self.parts = stretch, ordinary, toxic
         self.known: dict[str, int] = {}
         self.made = None
@@ -57,7 +64,7 @@ class Compressors:
             import zstandard as z
 
             how = z.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=3, target_length=32, strategy=z.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.made = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(x.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how) for x in self.parts[1:]]
+            self.made = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(x, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how) for x in self.parts[1:]]
         if len(self.known) > REMEMBERED:
             self.known = {}
         own = words(text)
@@ -73,33 +80,29 @@ class Compressors:
         return [*(x / len(g) for x in over[:5]), *np.log1p(over), g.max(), np.maximum(g, 0).mean(), np.log(len(g))]
 
 
-def _spread(own: list[str]) -> str:
-    """The words several times, at different distances, so that some copy is indexed whatever positions are skipped."""
-    return " " + "".join(gap.join(own) + gap for gap in (" ", "  ", "   ", "    ", " "))
+def _trained(size: int, windows: list[bytes]) -> bytes:
+    """A dictionary of zstandard; of windows too few to train one, the windows themselves."""
+    import zstandard as z
+
+    windows = windows[:: 1 + sum(map(len, windows)) // TRAINED]
+    try:
+        return z.train_dictionary(size, windows, k=16, d=6, steps=1).as_bytes()
+    except z.ZstdError:
+        return b"".join(dict.fromkeys(windows))[-size:]
 
 
 def dictionaries(rows: list[tuple[str, int]]) -> Compressors:
-    rate, total, docs = [Counter(), Counter()], [1, 1], Counter()
-    every = [Counter(), Counter()]
+    counts, total, held = [Counter(), Counter()], [0, 0], []
     for text, toxic in rows:
-        own = words(text)
-        opens = Counter(w[:k] for w in own for k in {4, 5, 6, 7, 8, len(w)} if k <= len(w))
-        rate[toxic].update({u: min(n, 10) for u, n in opens.items()})
-        every[toxic].update(own)
-        total[toxic] += len(own)
-        if toxic:
-            docs.update(opens.keys())
-    least = max(8, SHARE * sum(t for _, t in rows))
-    telling = {u for u, n in docs.items() if n >= least and rate[1][u] / total[1] >= RATE * (rate[0][u] + 1) / total[0]}
-    toxic_words = {w: n for w, n in every[1].items() if any(w[:k] in telling for k in range(4, len(w) + 1))}
-    toxic_text = _spread(sorted(sorted(toxic_words, key=lambda w: (-toxic_words[w], w))[:300], key=lambda w: (toxic_words[w], w)))
-    common = [w for w, _ in sorted(every[0].items(), key=lambda x: (-x[1], x[0])) if w not in toxic_words]
-    base = " ".join(reversed(common[:4000]))[-24_000:]
-    size, low, high = len(toxic_text.encode()), 0, len(common)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if len(_spread(common[4000 : 4000 + mid]).encode()) <= size else (low, mid - 1)
-    return Compressors(base[-400:-300], base + _spread(common[4000 : 4000 + low]), base + toxic_text)
+        held.append((words(text), toxic))
+        counts[toxic].update(set().union(*map(openings, set(held[-1][0]))))
+        total[toxic] += 1
+    least = max(4, SHARE * total[1])
+    telling = {u for u, n in counts[1].items() if n >= least and n / total[1] >= RATE * (counts[0][u] + 1) / total[0]}
+    toxic = _trained(TOXIC, [f" {w} ".encode() for own, label in held if label for w in own if openings(w) & telling])
+    ordinary = _trained(COMMON + len(toxic) + 4_000, [f" {' '.join(own[k : k + 4])} ".encode() for own, label in held if not label for k in range(0, len(own), 4)])
+    base, rest = ordinary[-COMMON:], ordinary[:-COMMON][-len(toxic) :] if toxic else b""
+    return Compressors(base[-500:-400].decode("utf-8", "ignore"), base + rest, base + toxic)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, part: int = 2):
     """Compressors and calibration from labelled rows outside the held-out part; None without both classes."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["doc_id"])
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.select("doc_id").distinct().join(labels.filter(~held_out(F.col("doc_id"), mod, part)), "doc_id").withColumn("order", F.xxhash64("doc_id"))
     taken = []

@@ -428,7 +428,11 @@ def test_toxicity_finds_what_labels_mark(spark, empty):
     held = [r for r in got if r["held_out"] and r["doc_id"] < 900 and r["doc_id"] != 1]
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
     assert {r["score"] for r in toxicity.scores(df, labels.limit(0)).collect()} == {0.0} and toxicity.scores(empty, labels).count() == 0
-    assert toxicity.accepted(df, labels).count() < len(rows)
+    odd = df.selectExpr("doc_id", "text", "1 as score", "2 as predicted", "3 as toxic", "'x' as held_out")
+    out = toxicity.accepted(odd, labels)
+    assert out.columns == odd.columns and out.count() < len(rows)
+    twice = labels.union(labels.selectExpr("doc_id", "quality", "0 as toxic"))  # labels that disagree: toxic if one says so
+    assert {r["doc_id"]: r["score"] for r in toxicity.scores(df, twice).collect() if r["doc_id"] != 1} == {r["doc_id"]: r["score"] for r in got if r["doc_id"] != 1}
 
 
 def test_toxicity_gives_each_class_its_characters(spark, monkeypatch):
