@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -39,8 +39,13 @@ COUNTED, CANDIDATE = 2_000_000, 3
 COMMON, ONE_IN = 1 << 14, 20_000
 #: Sets of one entry that are listed in one row at most, about.
 BLOCK = 512
-#: Bits of the filters over documents that need verification and over shared index entries: 16 and 32 MB.
-FILTER_BITS, SHARED_BITS = 1 << 27, 1 << 28
+#: Bits of the filter over documents that are compared: 16 for each, this many (16 MB) at most.
+FILTER_BITS = 1 << 27
+#: Index entries that a task deals out at once, shingles of all sets for each part that entries are dealt into, and how many
+#: sets of one task must share an entry to be told apart from the part's own work.
+DEALT, PART, HOT = 1_000_000, 4_000_000, 64
+#: Pairs within entries that are listed without further hubs: so many an entry, or so many in all.
+PAIRS, LITTLE = 64, 200_000
 
 
 def shingle_sets(words: np.ndarray, at: np.ndarray, n: int, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,7 +132,7 @@ def _scan(n: int, carry: tuple[str, ...]) -> Callable:
                 if len(items) and sids[-1] not in seen:
                     seen.add(sids[-1])
                     pool.append(items)
-                    size += len(items)
+            size += len(words)
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": pd.array(sizes, "Int64"), "sid": np.array(sids, np.int64), "kind": np.int32(0), **{c: part[c].array for c in carry}})
             if size >= COUNTED:
                 yield from flush()
@@ -137,60 +142,81 @@ def _scan(n: int, carry: tuple[str, ...]) -> Callable:
     return run
 
 
-def _entries(n: int, percent: int, hot) -> Callable:
+def _entries(n: int, percent: int, hot, parts: int) -> Callable:
+    """A row for each set, and its index entries (sig, sid) packed for the part that owns them. Of an entry that more than HOT
+    sets of a task share, the part gets two; the others need no owner to be known as shared and go to part -1."""
+
     def run(frames):
         hot_hash, hot_rank, common = hot.value
         seen: set[int] = set()
+        pool, size = [], 0
+
+        def flush():
+            sids = np.repeat(np.array([sid for sid, _ in pool], np.int64), [len(x) for _, x in pool])
+            sigs = np.concatenate([x for _, x in pool])
+            order = np.argsort(sigs)
+            sigs, sids = sigs[order], sids[order]
+            first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+            sizes = np.diff(np.append(first, len(sigs)))
+            own = (np.repeat(sizes, sizes) <= HOT) | (np.arange(len(sigs)) - np.repeat(first, sizes) < 2)
+            owner, at = np.unique((sigs[own] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), return_index=True)
+            spans = list(zip(at, [*at[1:], int(own.sum())], strict=True))
+            rows = [(int(p), sigs[own][a:b].tobytes(), sids[own][a:b].tobytes()) for p, (a, b) in zip(owner, spans, strict=True)]
+            if not own.all():
+                rows.append((-1, sigs[~own].tobytes(), sids[~own].tobytes()))
+            return pd.DataFrame(rows, columns=["part", "sigs", "sids"]).assign(sid=0, n=0, rest=0, groups=0)
+
         for part in C.text_slices(frames, "text"):
             rows = []
             for items, odd in shingle_sets(*C.word_hashes(part["text"].tolist()), n, common):
                 if len(items) and (sid := set_id(items)) not in seen:
                     seen.add(sid)
                     sigs, rest, groups = prefix_signatures(items, odd, hot_hash, hot_rank, percent)
-                    rows.append((sid, len(items), rest, groups, sigs.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["sid", "n", "rest", "groups", "sigs"])
-
-    return run
-
-
-def _shared(several) -> Callable:
-    """A row for each entry that some other set may have too."""
-
-    def run(frames):
-        for f in frames:
-            sizes = f["sigs"].str.len().to_numpy(np.int64)
-            if not len(sizes):
-                continue
-            sigs = np.concatenate(f["sigs"].to_list()).astype(np.int64)
-            kept = C.has_bit(several.value, sigs.view(np.uint64) & np.uint64(SHARED_BITS - 1))
-            yield f.drop(columns="sigs").loc[f.index.repeat(sizes)][kept].assign(sig=sigs[kept])
+                    rows.append((-2, b"", b"", sid, len(items), rest, groups))
+                    pool.append((sid, sigs))
+                    size += len(sigs)
+            yield pd.DataFrame(rows, columns=["part", "sigs", "sids", "sid", "n", "rest", "groups"])
+            if size >= DEALT:
+                yield flush()
+                pool, size = [], 0
+        if size:
+            yield flush()
 
     return run
 
 
-def _slot(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return C.mix(sid.view(np.uint64) + C.mix(doc.view(np.uint64))) & np.uint64(FILTER_BITS - 1)
+def _owned(f: pd.DataFrame) -> pd.DataFrame:
+    """The entries of a part that two sets or more share."""
+    sigs, sids = (np.frombuffer(b"".join(f[c]), np.int64) for c in ("sigs", "sids"))
+    order = np.lexsort((sids, sigs))
+    sigs, sids = sigs[order], sids[order]
+    fresh = np.ones(len(sigs), bool)
+    fresh[1:] = (sigs[1:] != sigs[:-1]) | (sids[1:] != sids[:-1])
+    sigs, sids = sigs[fresh], sids[fresh]
+    same = sigs[1:] == sigs[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(sigs) else np.empty(0, bool)
+    return pd.DataFrame({"sig": sigs[several], "sid": sids[several]})
 
 
-def _slots(f: pd.DataFrame) -> np.ndarray:
-    return _slot(f["sid"].to_numpy(np.int64), f["doc"].to_numpy(np.int64))
+def _unpacked(frames):
+    for f in frames:
+        sigs, sids = (np.frombuffer(b"".join(f[c]), np.int64) for c in ("sigs", "sids"))
+        yield pd.DataFrame({"sig": sigs, "sid": sids})
 
 
-def _places(f: pd.DataFrame) -> np.ndarray:
-    return f["sig"].to_numpy(np.int64).view(np.uint64) & np.uint64(SHARED_BITS - 1)
+def _slot(docs: np.ndarray, bits: int) -> np.ndarray:
+    return C.mix(docs.view(np.uint64)) & np.uint64(bits - 1)
 
 
-def _sets(n: int, needed) -> Callable:
+def _sets(n: int, needed, bits: int) -> Callable:
     """The sets of the documents that stand for a node which is compared (and of a few others, which find no pair)."""
 
     def run(frames):
-        for part in C.text_slices(frames, "text"):
-            rows = []
-            for doc, (items, _) in zip(part["doc_id"].fillna(0).to_numpy(np.int64), shingle_sets(*C.word_hashes(part["text"].tolist()), n), strict=True):
-                sid = set_id(items)
-                if len(items) and C.has_bit(needed.value, _slot(np.array([sid], np.int64), np.array([doc], np.int64)))[0]:
-                    rows.append((sid, doc, items.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["sid", "doc", "items"])
+        for f in frames:
+            some = f[C.has_bit(needed.value, _slot(f["doc_id"].fillna(0).to_numpy(np.int64), bits))]
+            for part in C.text_slices([some], "text"):
+                own = zip(part["doc_id"].fillna(0).to_numpy(np.int64), shingle_sets(*C.word_hashes(part["text"].tolist()), n), strict=True)
+                yield pd.DataFrame([(set_id(items), doc, items.view(np.int64)) for doc, (items, _) in own if len(items)], columns=["sid", "doc", "items"])
 
     return run
 
@@ -223,11 +249,13 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, hub_r
 def distinct_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their components: of each the one with the least id (null
     last), by hash of the text among equal ids, and exactly one whatever repeats. Wordless rows all stay."""
-    numbered = C.materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "numbered")
-    rows = _rooted(numbered.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))), carry=("_hash", "_row"))
-    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")).alias("first")).select("first._row")
-    kept = first.union(rows.filter("n_shingles = 0").select("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    row = next(c for c in ("_row" + "_" * k for k in range(len(docs.columns) + 1)) if c.lower() not in {x.lower() for x in docs.columns})
+    numbered = C.materialize(docs.select("*", F.monotonically_increasing_id().alias(row)), "numbered")
+    own = numbered.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("_hash"), F.col(row).alias("_at"))
+    rows = _rooted(own, carry=("_hash", "_at"))
+    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_at")).alias("first")).select(F.col("first._at").alias(row))
+    kept = first.union(rows.filter("n_shingles = 0").select(F.col("_at").alias(row)))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def _rooted(docs: DataFrame, words: int = 5, percent: int = 80, hub_rounds: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -246,54 +274,61 @@ def _rooted(docs: DataFrame, words: int = 5, percent: int = 80, hub_rounds: int
         top[kind] = hashes[by], kept["c"].to_numpy(np.int64)[by]
     hot = sc.broadcast((*top[1], top[2][0]))
 
-    entries = C.materialize(docs.mapInPandas(_entries(words, percent, hot), "sid long, n int, rest int, groups int, sigs array<long>"), "entries")
-    several = entries.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig")
-    maybe = entries.mapInPandas(_shared(sc.broadcast(C.build_bits(several, SHARED_BITS, _places))), "sid long, n int, rest int, groups int, sig long").distinct()
-    several = maybe.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y").select("sig")
-    nodes = C.materialize(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "nodes")
-    shared = C.materialize(maybe.join(several, "sig"), "shared")
-    C.remove(entries)
-    info = shared.groupBy("sid").agg(F.collect_list("sig").alias("sigs"), F.count("*").alias("central"), *[F.max(c).alias(c) for c in ("n", "rest", "groups")])
+    nodes = C.materialize(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "nodes")
+    parts = 1 + int(nodes.agg(F.sum("n")).first()[0] or 0) // PART
+    nodes = nodes.drop("n")
+    entries = C.materialize(docs.mapInPandas(_entries(words, percent, hot, parts), "part long, sigs binary, sids binary, sid long, n int, rest int, groups int"), "entries")
+    hot.destroy()
+    packed = entries.select("part", "sigs", "sids")
+    owned = packed.filter("part >= 0").groupBy("part").applyInPandas(_owned, "sig long, sid long")
+    shared = owned.union(packed.filter("part = -1").select("sigs", "sids").mapInPandas(_unpacked, "sig long, sid long")).repartition("sid").distinct()
+    about = entries.filter("part = -2").groupBy("sid").agg(*[F.max(c).alias(c) for c in ("n", "rest", "groups")])
+    shared = shared.withColumn("central", F.count("*").over(Window.partitionBy("sid"))).join(about.select("sid", "n"), "sid")
+    left = C.materialize(shared.select("sig", "sid", "central", "n", F.col("sid").alias("root")), "left")
+    info = left.groupBy("sid").agg(F.collect_list("sig").alias("sigs")).join(about, "sid")
     info = C.materialize(info.join(nodes.select("sid", F.coalesce("first_id", F.lit(0)).alias("doc")), "sid"), "info")
+    C.remove(entries)
 
     def of(side: str, *cols: str) -> DataFrame:
         return info.select(*[F.col(c).alias(f"{c}_{side}") for c in ("sid", "doc", *cols)])
 
-    left = C.materialize(shared.select("sig", "sid").join(info.select("sid", "central", "n"), "sid").withColumn("root", F.col("sid")), "left")
-    C.remove(shared)
     links = spark.createDataFrame([], "a long, b long")
     near = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
-    sizes = F.col("n_a") + F.col("n_b")
-    least = F.ceil(sizes * percent / (100 + percent) - 1e-6) - F.greatest("rest_a", "rest_b") - F.least("groups_a", "groups_b")
+    least = _fewest(*[F.col(f"{c}_{x}") for c in ("n", "rest", "groups") for x in "ab"], percent, F.greatest, F.least, F.ceil)
     ends = ("sid_a", "doc_a", "sid_b", "doc_b")
-    roots = None
     for turn in range(hub_rounds + 1):
         per_root = left.groupBy("sig", "root").agg(F.count("*").alias("k"))
         per_sig = per_root.groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k"))
         todo = per_sig.agg(F.sum("pairs"), F.sum("k")).first()
         if not todo[1]:
             break
-        last = turn == hub_rounds or (turn > 0 and todo[0] <= 64 * todo[1])
+        last = turn == hub_rounds or (turn > 0 and todo[0] <= max(PAIRS * todo[1], LITTLE))
         if last:  # a pair that was not compared yet still has all its common entries here
-            pairs = _met(left, percent)
-            pairs = pairs.join(of("b", "n", "rest", "groups"), "sid_b").join(of("a", "n", "rest", "groups"), "sid_a")
+            pairs = _met(left, info, percent).withColumns({"root_a": F.lit(0).cast("long"), "root_b": F.lit(0).cast("long")})
+            pairs = pairs.join(of("b"), "sid_b").join(of("a"), "sid_a")
         else:
             hubs = left.groupBy("sig").agg(F.max(F.struct("central", "sid", "n", "root")).alias("hub")).select("sig", F.col("hub.sid").alias("sid_b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
             met = left.join(hubs, "sig").filter((F.col("root") != F.col("root_b")) & near)
-            pairs = met.select(F.col("sid").alias("sid_a"), "sid_b").distinct()
-            pairs = pairs.join(of("a", "n", "rest", "groups", "sigs"), "sid_a").join(of("b", "n", "rest", "groups", "sigs"), "sid_b")
-            pairs = pairs.withColumn("common", F.size(F.array_intersect("sigs_a", "sigs_b")))
-        pairs = C.materialize(pairs.filter(F.col("common") >= least).select(*ends), "pairs")
-        both = pairs.select(F.col("sid_a").alias("sid"), F.col("doc_a").alias("doc")).union(pairs.select("sid_b", "doc_b")).distinct()
-        needed = C.build_bits(both, FILTER_BITS, _slots)
-        if needed.any():
-            sets = C.materialize(docs.mapInPandas(_sets(words, sc.broadcast(needed)), "sid long, doc long, items array<long>"), "sets")
-            links = links.union(C.materialize(_verified(pairs, sets, percent), "links"))
+            met = met.groupBy(F.col("sid").alias("sid_a"), F.col("root").alias("root_a"), "sid_b", "root_b").agg(F.count("*").alias("k"))
+            if turn == 0:  # a set meets only the hub of most of its entries, which joins up the bulk of a family by one pair a set
+                met = met.groupBy("sid_a", "root_a").agg(F.max(F.struct("k", "sid_b", "root_b")).alias("m")).select("sid_a", "root_a", "m.sid_b", "m.root_b")
+            pairs = met.drop("k").join(of("a", "n", "rest", "groups", "sigs"), "sid_a").join(of("b", "n", "rest", "groups", "sigs"), "sid_b")
+            pairs = pairs.filter(F.size(F.array_intersect("sigs_a", "sigs_b")) >= least)
+        pairs = C.materialize(pairs.select(*ends, "root_a", "root_b"), "pairs")
+        both = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")).distinct()
+        count = both.count()
+        if count:
+            bits = min(FILTER_BITS, 1 << max(16, (16 * count - 1).bit_length()))
+            needed = sc.broadcast(C.build_bits(both, bits, lambda f, bits=bits: _slot(f["doc"].to_numpy(np.int64), bits)))
+            sets = C.materialize(docs.mapInPandas(_sets(words, needed, bits), "sid long, doc long, items array<long>"), "sets")
+            needed.destroy()
+            found = C.materialize(_verified(pairs, sets, percent), "links")
+            links = links.union(found.select("a", "b"))
             C.remove(sets)
         C.remove(pairs)
         if last:
             break
-        left = _open(left, hubs, links)
+        left = _open(left, hubs if turn else None, found if count else None)
     roots = components(links)
     linked = roots.join(nodes, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first_id").alias("least"))
     roots = roots.join(linked, "root").select(F.col("node").alias("sid"), "root", "least")
@@ -302,39 +337,53 @@ def _rooted(docs: DataFrame, words: int = 5, percent: int = 80, hub_rounds: int
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *carry)
 
 
-def _met(left: DataFrame, percent: int) -> DataFrame:
-    """sid_a, sid_b, common: pairs of near size and different roots with the number of their common entries. The sets of an
-    entry are listed in blocks, so that a pair is a number in a list, not a row for each entry that it shares."""
-    sized = left.join(left.groupBy("sig").agg(F.count("*").alias("size")), "sig")
+def _fewest(n_a, n_b, rest_a, rest_b, groups_a, groups_b, percent: int, largest, smallest, ceil):
+    """How many entries two sets of a link have in common at least."""
+    return ceil((n_a + n_b) * percent / (100 + percent) - 1e-6) - largest(rest_a, rest_b) - smallest(groups_a, groups_b)
+
+
+def _met(left: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """sid_a, sid_b: pairs of near size and different roots with enough common entries for a link. The sets of an entry are
+    listed in blocks, so that a pair is a number in a list, not a row for each entry that it shares."""
+    own = left.drop("n").join(info.select("sid", "n", "rest", "groups"), "sid")
+    sized = own.join(left.groupBy("sig").agg(F.count("*").alias("size")), "sig")
     block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    lists = sized.select("sig", "sid", "n", "root", block).groupBy("sig", "block").agg(F.collect_list(F.struct("sid", "n", "root")).alias("others"))
+    fields = ("sid", "n", "rest", "groups")
+    lists = sized.select("sig", "root", *fields, block).groupBy("sig", "block").agg(F.collect_list(F.struct("root", *fields)).alias("others"))
     fits = F.filter("others", lambda o: (o["root"] > F.col("root")) & (F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * percent))
-    met = left.join(lists, "sig").select("sid", F.transform(fits, lambda o: o["sid"]).alias("met")).filter(F.size("met") > 0)
+    met = own.join(lists, "sig").select(*fields, fits.alias("met")).filter(F.size("met") > 0)
+    met = met.select(*fields, *[F.col("met").getField(c).alias(f"met_{c}") for c in fields])
 
     def count(frames):
         for f in frames:
-            each = [np.unique(np.concatenate([np.asarray(x, np.int64) for x in own]), return_counts=True) for own in f["met"]]
-            if each:
-                other, common = (np.concatenate(x) for x in zip(*each, strict=True))
-                yield pd.DataFrame({"sid_a": np.repeat(f["sid"].to_numpy(np.int64), [len(x) for x, _ in each]), "sid_b": other, "common": common.astype(np.int64)})
+            for n, rest, groups, sid, *met in f[["n", "rest", "groups", "sid", *(f"met_{c}" for c in fields)]].itertuples(index=False):
+                other, n_b, rest_b, groups_b = (np.concatenate([np.asarray(x, np.int64) for x in own]) for own in met)
+                other, at, common = np.unique(other, return_index=True, return_counts=True)
+                enough = common >= _fewest(n, n_b[at], rest, rest_b[at], groups, groups_b[at], percent, np.maximum, np.minimum, np.ceil)
+                yield pd.DataFrame({"sid_a": sid, "sid_b": other[enough]})
 
-    return met.groupBy("sid").agg(F.collect_list("met").alias("met")).mapInPandas(count, "sid_a long, sid_b long, common long")
+    each = met.groupBy("sid").agg(*[F.max(c).alias(c) for c in fields[1:]], *[F.collect_list(f"met_{c}").alias(f"met_{c}") for c in fields])
+    return each.mapInPandas(count, "sid_a long, sid_b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union; hot sides are split by adaptive skew joins."""
+    """Pairs (a, b) with 100 * intersection >= percent * union, and their roots; hot sides are split by adaptive skew joins."""
     left, right = (sets.select(F.col("sid").alias(f"sid_{x}"), F.col("doc").alias(f"doc_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = pairs.join(left, ["sid_a", "doc_a"]).join(right, ["sid_b", "doc_b"])
-    found = both.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), F.size(F.array_intersect("items_a", "items_b")).alias("c"), (F.size("items_a") + F.size("items_b")).alias("s"))
-    return found.filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
-
-
-def _open(left: DataFrame, hubs: DataFrame, links: DataFrame) -> DataFrame:
-    """The entries without their hubs, where one signature still holds several roots. A root here is the least neighbour
-    of the least neighbour: perhaps not yet the component's, so that more pairs are compared than need be, never fewer."""
-    both = links.union(links.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    roots = both.join(both.select(F.col("a").alias("low"), F.col("low").alias("root")), "low").select(F.col("a").alias("sid"), "root")
-    rest = left.join(hubs.select("sig", F.col("sid_b").alias("sid")), ["sig", "sid"], "left_anti").drop("root")
-    rest = C.materialize(rest.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "left")
+    found = both.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), "root_a", "root_b", F.size(F.array_intersect("items_a", "items_b")).alias("c"), (F.size("items_a") + F.size("items_b")).alias("s"))
+    return found.filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b", "root_a", "root_b").distinct()
+
+
+def _open(left: DataFrame, hubs: DataFrame | None, found: DataFrame | None) -> DataFrame:
+    """The entries without their hubs that were compared with all others, where one signature still holds several roots.
+    Roots that the new links join take the least root two links away: perhaps not yet the component's, so that more pairs are
+    compared than need be, never fewer."""
+    rest = left if hubs is None else left.join(hubs.select("sig", F.col("sid_b").alias("sid")), ["sig", "sid"], "left_anti")
+    if found is not None:
+        both = found.select(F.col("root_a").alias("u"), F.col("root_b").alias("v")).union(found.select("root_b", "root_a")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        low = both.join(low.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("low").alias("low"))
+        rest = rest.join(low.withColumnRenamed("u", "root"), "root", "left").withColumn("root", F.coalesce("low", "root")).drop("low")
+    rest = C.materialize(rest, "left")
     mixed = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("sig")
     return C.materialize(rest.join(mixed, "sig").select("sig", "sid", "central", "n", "root"), "left")
