@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The analyser's word pattern and its ranges of CJK characters.
+#: The analyser's word pattern and its ranges of CJK characters (ideographs, kana, hangul).
 WORD = r"[A-Za-z0-9]+(?:[._\-][A-Za-z0-9]+)*"
-CJK = r"[㐀-䶿一-鿿豈-﫿]+"
+CJK_CHAR = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
+CJK = CJK_CHAR + "+"
 
 
 def words(text: Column) -> Column:

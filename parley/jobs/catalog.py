@@ -1,8 +1,9 @@
 """All queries of the library's own operators over the given tables, with their SQL oracles.
 
 Where the tables lack a domain, Spark derives it from them: conversations are meetings whose seconds are text lengths / 10;
-documents turn into Markdown by marking every fifth line as a heading; letters a to e become CJK characters; the glossary is
-the twenty most frequent longer words of the benchmark; orders are action items.
+documents turn into Markdown by marking lines as headings, some of them with nothing below, a third of them with CRLF; letters
+a to h become ideographs, kana and hangul; the glossary is the twenty most frequent longer words of the benchmark; orders are
+action items. Retrieval runs over the chunks of that Markdown and the chunks of the glossary.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from parley.functions import text as T
-from parley.operators import chunking, conversation, evaluation, ledger, retrieval, terms
+from parley.operators import chunking, conversation, evaluation, ledger, reports, retrieval, terms
 from parley.sources import readers
 from parley.streaming import windows as streams
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,7 +45,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").withColumn("section", F.col("source"))
+    return table(spark, d, "documents")
 
 
 def asked(spark, d):
@@ -52,13 +53,13 @@ def asked(spark, d):
 
 
 def cjk(text):
-    return F.translate(text, "abcde", "甲乙丙丁戊")
+    return F.translate(text, "abcdefgh", "甲乙ひらカナ한국")
 
 
 def glossary(spark, d):
     words = table(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("term")).filter(F.length("term") >= 6)
     best = words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(20)  # a glossary is twenty terms
-    return best.select("term", F.col("term").alias("canonical"), F.array(F.substring("term", 1, 5)).alias("aliases"), F.concat(F.lit("about "), "term").alias("definition"), F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("ord"))
+    return best.select("term", F.col("term").alias("canonical"), F.array(F.substring("term", 1, 5)).alias("aliases"), F.concat(F.lit("about "), "term").alias("definition"), F.lit("office").alias("owner"), F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("ord"))
 
 
 def segments(spark, d):
@@ -81,9 +82,10 @@ def written(spark, d):
 
 # --- SQL fragments of the oracles ---
 _W = "list_transform(regexp_extract_all({t}, '[A-Za-z0-9]+(?:[._\\-][A-Za-z0-9]+)*'), lambda x: lower(x))"
-_RUNS = "regexp_extract_all({t}, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]+')"
+_RUNS = "regexp_extract_all({t}, '" + T.CJK.replace("{", "{{").replace("}", "}}") + "')"
 _BI = "flatten(list_transform(" + _RUNS + ", lambda r: list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substr(r, i, 2))))"
-_CJK = "translate({t}, 'abcde', '甲乙丙丁戊')"
+_CJK = "translate({t}, 'abcdefgh', '甲乙ひらカナ한국')"
+_TOKENS = f"list_concat({_W}, {_BI})"
 _NORM = "trim(regexp_replace(lower({t}), '\\s+', ' ', 'g'))"
 _KEY = "substr(sha256(o_orderkey::varchar || '|' || o_custkey::varchar || '|' || " + _NORM.format(t="o_orderpriority") + "), 1, 32)"
 _ITEMS = f"items as (select {_KEY} as item_key, case when o_orderkey % 3 = 0 then 'tickets' else 'tasks' end as target, 'X-' || o_orderkey as external_id, o_custkey as meeting_id, o_orderkey::double as created_at, o_orderkey, o_orderpriority, o_orderdate from orders), written as (select item_key, target, external_id, meeting_id, created_at from items where o_orderkey % 4 = 0)"
@@ -92,18 +94,22 @@ _STATS = _SEG + """, own as (select meeting_id, speaker, sum(seconds) as total,
 st as (select meeting_id, speaker, round(total, 1) as duration, case when sum(total) over m > 0 then round(total / sum(total) over m, 3) else 0 end as ratio, n_chars, turns, first_seq from own window m as (partition by meeting_id)),
 stats as (select meeting_id, speaker, duration, ratio, n_chars, turns, row_number() over (partition by meeting_id order by duration desc, first_seq, speaker)::int as place from st)"""
 _BAL = _STATS + """, bal as (select a.meeting_id, count(distinct a.speaker) as n, case when sum(a.ratio) > 0 then sum(abs(a.ratio - b.ratio)) / (2 * sum(a.ratio)) else 0 end as g from stats a join stats b using (meeting_id) group by a.meeting_id)"""
-_TF = "tf as (select doc_id, unnest(" + _W.format(t="text") + ") as term from documents), post as (select term, doc_id, count(*) as tf from tf group by all)"
-_LEN = "len as (select doc_id, len(" + _W.format(t="coalesce(text, '')") + ")::bigint as len from documents)"
+def _tf(source: str) -> str:
+    return f"tf as (select doc_id, unnest({_TOKENS.format(t='text')}) as term from {source}), post as (select term, doc_id, count(*) as tf from tf group by all)"
 
 
-def _bm25_sql(name: str, source: str) -> str:
-    return f"""{name}_t as (select distinct query_id, unnest({_W.format(t='text')}) as term from {source}),
+def _len(source: str) -> str:
+    return "len as (select doc_id, len(" + _TOKENS.format(t="coalesce(text, '')") + f")::bigint as len from {source})"
+
+
+def _bm25_sql(name: str, source: str, text: str = "text") -> str:
+    return f"""{name}_t as (select distinct query_id, unnest({_TOKENS.format(t=text)}) as term from {source}),
 {name} as (select query_id, doc_id, round(sum(greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 4) as score
  from {name}_t join post using (term) join (select term, count(*) as df from post group by term) using (term) join len using (doc_id), (select count(*) as n, avg(len) as mean from len) group by all having score > 0)"""
 
 
 def _hash_sql(name: str, source: str, key: str) -> str:
-    return f"""{name}_c as (select {key}, (('0x' || substr(md5(term), 1, 8))::bigint % 512) as bucket, count(*) as c from (select {key}, unnest({_W.format(t='text')}) as term from {source}) group by all),
+    return f"""{name}_c as (select {key}, (('0x' || substr(md5(term), 1, 8))::bigint % 512) as bucket, count(*) as c from (select {key}, unnest({_TOKENS.format(t='text')}) as term from {source}) group by all),
 {name} as (select {key}, bucket, c / sqrt(sum(c * c) over (partition by {key})) as weight from {name}_c)"""
 
 
@@ -118,18 +124,51 @@ _QM = "qm as (select query_id, term, ord, max(length(form)) as longest from q jo
 _EX = _QM + """, more as (select query_id, form, min(ord) as ord from qm join (select term, form from fo) using (term) join q using (query_id) where not contains(lower(text), lower(form)) group by all),
 ex as (select q.query_id, case when m.more is null then text else text || ' ' || m.more end as text, m.more is not null as changed from q left join (select query_id, string_agg(form, ' ' order by ord, form) as more from more group by query_id) m using (query_id))"""
 _RANK = "row_number() over (partition by query_id order by score desc, doc_id)"
-_CHANNELS = f"""{_Q}, {_FORMS}, {_EX}, exq as (select query_id, text from ex where changed), {_TF}, {_LEN}, {_bm25_sql('b1', 'q')}, {_bm25_sql('b2', 'exq')},
-{_hash_sql('dv', 'documents', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_hash_sql('ev', 'exq', 'query_id')}, {_cosine_sql('v1', 'qv')}, {_cosine_sql('v2', 'ev')},
+_MD = "md as (select doc_id, case when doc_id % 3 = 0 then replace(text, chr(10), chr(13) || chr(10)) else text end as text from (select doc_id, string_agg(case when (i - 1) % 5 = 0 or (i - 1) % 10 = 1 then repeat('#', (1 + (i - 1) // 5 % 3)::int) || ' ' || line else line end, chr(10) order by i) as text from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) group by doc_id))"
+_SECTIONS = _MD + r""", ln as (select doc_id, unnest(string_split_regex(text, '\r\n|\n')) as line, generate_subscripts(string_split_regex(text, '\r\n|\n'), 1) as pos from md),
+lv as (select *, length(regexp_extract(line, '^(#{1,6})\s+', 1)) as level, trim(regexp_extract(line, '^#{1,6}\s+(.*)$', 1)) as title from ln),
+se as (select *, sum((level > 0)::int) over o as no, sum(length(line) + 1) over o as after, last_value(case when level = 1 then pos end ignore nulls) over o as p1, last_value(case when level = 2 then pos end ignore nulls) over o as p2, last_value(case when level = 3 then pos end ignore nulls) over o as p3,
+ last_value(case when level = 1 then title end ignore nulls) over o as t1, last_value(case when level = 2 then title end ignore nulls) over o as t2, last_value(case when level = 3 then title end ignore nulls) over o as t3 from lv window o as (partition by doc_id order by pos)),
+pa as (select *, concat_ws(' > ', t1, case when p2 > coalesce(p1, -1) then t2 end, case when p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) then t3 end) as path from se),
+bo as (select doc_id, no, max(path) as path, coalesce(max(after) filter (level > 0), 0)::int as start, regexp_replace(string_agg(line, chr(10) order by pos) filter (level = 0), '^\s+|\s+$', '', 'g') as body from pa group by doc_id, no),
+sec as (select doc_id, (row_number() over (partition by doc_id order by no) - 1)::int as section_no, path, start, body from bo where body <> '')"""
+_HALF = r"210 + coalesce(nullif(length(regexp_extract(substr(body, {s} + 211, 210), '(?s)^.*[。！？!?；;\n]', 0)), 0), 210)"
+
+
+def _windows_sql(name: str, source: str, keys: str) -> str:
+    """Windows of the column body of a CTE, keyed: (keys, piece, begin, piece_text)."""
+    return f"""{name}_w as (select {keys}, body, 0 as s, case when length(body) <= 420 then length(body) else {_HALF.format(s='0')} end as e from {source} where length(body) > 0
+ union all select {keys}, body, s2, case when s2 + 420 >= length(body) then length(body) else s2 + {_HALF.format(s='s2')} end from (select {keys}, body, greatest(e - 80, s + 1) as s2 from {name}_w where e < length(body))),
+{name} as (select {keys}, (row_number() over (partition by {keys} order by s) - 1)::int as piece, s::int as begin, piece_text from (select *, case when length(body) <= 420 then body else regexp_replace(substr(body, s + 1, e - s), '^\\s+|\\s+$', '', 'g') end as piece_text from {name}_w) where piece_text <> '')"""
+
+
+_CHUNKS = _SECTIONS + ", " + _windows_sql("pc", "sec", "doc_id, section_no") + """, ck as (select doc_id || '#' || section_no || '-' || piece || '-' || substr(sha1(doc_id || '|' || path || '|' || piece || '|' || substr(piece_text, 1, 64)), 1, 12) as chunk_id, doc_id::varchar as doc_id, doc_id::varchar as title, path as section, piece_text as text, 'knowledge' as source_type, start from sec join pc using (doc_id, section_no))"""
+_GLOSSARY_CHUNKS = "gc as (select '内部术语表#' || (ord - 1) as chunk_id, '内部术语表' as doc_id, '内部术语表' as title, term as section, '术语：' || term || chr(10) || '标准说法：' || term || chr(10) || '别名：' || substr(term, 1, 5) || '。定义：about ' || term || chr(10) || '归属：office' as text, 'glossary' as source_type, 0 as start from gl)"
+#: The corpus of retrieval; every chunk is a document to it.
+_CORPUS = f"{_Q}, {_FORMS}, {_CHUNKS}, {_GLOSSARY_CHUNKS}, co as (select chunk_id as doc_id, title, section, text, source_type from ck union all select chunk_id, title, section, text, source_type from gc), {_tf('co')}, {_len('co')}"
+_CHANNELS = f"""{_CORPUS}, {_EX}, exq as (select query_id, text from ex where changed), {_bm25_sql('b1', 'q')}, {_bm25_sql('b2', 'exq')},
+{_hash_sql('dv', 'co', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_hash_sql('ev', 'exq', 'query_id')}, {_cosine_sql('v1', 'qv')}, {_cosine_sql('v2', 'ev')},
 ch as (select 'bm25' as channel, 1.0::double as w, *, {_RANK} as rank from b1 union all select 'vector', 1.0, *, {_RANK} from v1 union all select 'bm25+', 0.6, *, {_RANK} from b2 union all select 'vector+', 0.4, *, {_RANK} from v2),
-pool as (select * from ch where rank <= 20), fu as (select query_id, doc_id, sum(w / (60 + rank)) as fused from pool group by all)"""
-_HYBRID = _CHANNELS + f""", hits as (select doc_id, least(count(*), 3)::int as hits from (select distinct doc_id, term from documents join fo on length(form) >= 2 and contains(lower(text), lower(form))) group by doc_id),
-qt as (select query_id, list_distinct({_W.format(t='text')}) as toks, regexp_replace(lower(text), '\\s+', '', 'g') as bare from q),
-re as (select fu.query_id, fu.doc_id, fused, case when len(toks) > 0 then round(len(list_intersect(toks, {_W.format(t='d.text')})) / len(toks), 4) else 0 end as coverage,
+pool as (select * from ch where rank <= 20)"""
+
+
+def _rerank_sql(name: str, fused: str, terms: bool) -> str:
+    """The reranked five best of each query from a CTE of fused scores."""
+    hits = "coalesce(hits, 0)::int" if terms else "0"
+    return f"""{name}_r as (select f.query_id, f.doc_id, fused, case when len(toks) > 0 then round(len(list_intersect(toks, {_TOKENS.format(t='d.text')})) / len(toks), 4) else 0 end as coverage,
  (len(list_filter(list_concat(list_transform(range(1, length(bare) - 2), lambda i: substr(bare, i, 4)), list_transform(range(1, length(bare) - 4), lambda i: substr(bare, i, 6))), lambda p: contains(lower(d.text), p))) > 0)::int as phrase,
- list_has_any(toks, {_W.format(t="d.source")})::int as section_hit, coalesce(hits, 0)::int as term_hits
- from fu join qt using (query_id) join documents d using (doc_id) left join hits using (doc_id)),
-sc as (select *, round(fused * (1 + 0.8 * coverage + 0.5 * phrase + 0.25 * section_hit + 0.15 * term_hits), 6) as score from re),
-hy as (select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score, coverage, phrase, section_hit, term_hits from sc qualify rank <= 5)"""
+ list_has_any(toks, {_TOKENS.format(t="lower(d.title || ' ' || d.section)")})::int as section_hit, {hits} as term_hits, case when source_type = 'glossary' and {'not named' if terms else 'true'} then 0.6 else 1 end as penalty
+ from {fused} f join qt using (query_id) join co d using (doc_id) left join hits using (doc_id)),
+{name}_s as (select *, round(fused * (1 + 0.8 * coverage + 0.5 * phrase + 0.25 * section_hit + 0.15 * term_hits) * penalty, 6) as score from {name}_r),
+{name} as (select query_id, {_RANK}::int as rank, doc_id, score, coverage, phrase, section_hit, term_hits from {name}_s qualify rank <= 5)"""
+
+
+_HYBRID = _CHANNELS + f""", hits as (select doc_id, least(count(*), 3)::int as hits from (select distinct doc_id, term from co join fo on length(form) >= 2 and contains(lower(text), lower(form)) where source_type <> 'glossary') group by doc_id),
+qt as (select query_id, list_distinct({_TOKENS.format(t='text')}) as toks, regexp_replace(lower(text), '\\s+', '', 'g') as bare, query_id in (select query_id from qm) as named from q),
+fu as (select query_id, doc_id, sum(w / (60 + rank)) as fused from pool group by all), {_rerank_sql('hy', 'fu', True)}"""
+_ABLATION = _HYBRID + f", f0 as (select query_id, doc_id, sum(w / (60 + rank)) as fused from pool where channel in ('bm25', 'vector') group by all), {_rerank_sql('h0', 'f0', False)}"
+#: A query's passage is expected in the documents whose text holds it.
+_EXPECTED = "ok as (select query_id, doc_id::varchar as source from q join documents d on contains(d.text, q.text))"
 
 
 # --- scalar functions ---
@@ -154,9 +193,23 @@ def tok_query(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.query_tokens(cjk(F.col("text"))).alias("toks"))
 
 
-@query(f"select doc_id, regexp_matches({_CJK.format(t='substr(text, 2, 1)')}, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]') as is_cjk from documents")
+@query(f"select doc_id, len(regexp_extract_all({_CJK.format(t='text')}, '{T.CJK_CHAR}'))::int as n from documents")
 def is_cjk(spark, d):
-    return docs(spark, d).select("doc_id", cjk(F.substring("text", 2, 1)).rlike("[㐀-䶿一-鿿]").alias("is_cjk"))
+    """How many characters of each text are CJK."""
+    return docs(spark, d).select("doc_id", F.regexp_count(cjk(F.col("text")), F.lit(T.CJK_CHAR)).alias("n"))
+
+
+_SCRIPTS = ("语义检索 v1.2", "ひらがな カタカナ", "한국어 검색", "検索エンジンを작동", "メモA1図b", "a", "。、", "")
+_SCRIPT_ROWS = "(values " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_SCRIPTS)) + ") as s(sample_id, text)"
+
+
+@query(f"select doc_id, sample_id, {_TOKENS.format(t='s.text || lang')} as toks, list_concat({_TOKENS.format(t='s.text || lang')}, flatten(list_transform(list_filter({_RUNS.format(t='s.text || lang')}, lambda r: length(r) > 2), lambda r: list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1))))) as query_toks from documents, {_SCRIPT_ROWS}")
+def tok_scripts(spark, d):
+    """Samples of Han, kana, hangul and mixed scripts, each before the language of every document."""
+    samples = F.array(*[F.struct(F.lit(i).alias("sample_id"), F.lit(t).alias("text")) for i, t in enumerate(_SCRIPTS)])
+    rows = docs(spark, d).select("doc_id", "lang", F.explode(samples).alias("s"))
+    text = F.concat("s.text", "lang")
+    return rows.select("doc_id", "s.sample_id", T.tokens(text).alias("toks"), T.query_tokens(text).alias("query_toks"))
 
 
 @query(f"select o_orderkey, {_KEY} as item_key from orders")
@@ -236,36 +289,42 @@ def hash_embed(spark, d):
 
 
 # --- chunking ---
-_MD = "md as (select doc_id, string_agg(case when (i - 1) % 5 = 0 then repeat('#', (1 + (i - 1) // 5 % 3)::int) || ' ' || line else line end, chr(10) order by i) as text from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) group by doc_id)"
-
-
 def markdown(spark, d):
     lines = F.split("text", "\n")
-    marked = F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (1 + F.floor(i / 5) % 3).cast("int")), F.lit(" "), x)).otherwise(x))
-    return docs(spark, d).select("doc_id", F.array_join(marked, "\n").alias("text"))
+    marked = F.transform(lines, lambda x, i: F.when((i % 5 == 0) | (i % 10 == 1), F.concat(F.repeat(F.lit("#"), (1 + F.floor(i / 5) % 3).cast("int")), F.lit(" "), x)).otherwise(x))
+    end = F.when(F.col("doc_id") % 3 == 0, "\r\n").otherwise("\n")
+    return docs(spark, d).select("doc_id", F.concat_ws("", F.transform(marked, lambda x, i: F.when(i > 0, F.concat(end, x)).otherwise(x))).alias("text"))
 
 
-@query(f"""with {_MD}, ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from md),
-lv as (select *, length(regexp_extract(line, '^(#{{1,6}})\\s+', 1)) as level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) as title from ln),
-sec as (select *, sum((level > 0)::int) over o as no, last_value(case when level = 1 then pos end ignore nulls) over o as p1, last_value(case when level = 2 then pos end ignore nulls) over o as p2, last_value(case when level = 3 then pos end ignore nulls) over o as p3,
- last_value(case when level = 1 then title end ignore nulls) over o as t1, last_value(case when level = 2 then title end ignore nulls) over o as t2, last_value(case when level = 3 then title end ignore nulls) over o as t3 from lv window o as (partition by doc_id order by pos)),
-pa as (select *, concat_ws(' > ', t1, case when p2 > coalesce(p1, -1) then t2 end, case when p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) then t3 end) as path from sec)
-select doc_id, no::bigint as section_no, max(path) as path, string_agg(case when level = 0 then line end, chr(10) order by pos) as body from pa group by doc_id, no having regexp_matches(body, '\\S')""")
+def chunks(spark, d):
+    return chunking.chunks(markdown(spark, d))
+
+
+def corpus(spark, d):
+    """The chunks of all documents and of the glossary; every chunk is a document to retrieval."""
+    both = chunks(spark, d).unionByName(terms.chunks(glossary(spark, d)))
+    return both.select(F.col("chunk_id").alias("doc_id"), "title", "section", "text", "source_type")
+
+
+@query(f"with {_SECTIONS} select * from sec")
 def chunk_headings(spark, d):
     return chunking.sections(markdown(spark, d))
 
 
-@query("""with recursive w as (select doc_id, text, 0 as s, case when length(text) <= 420 then length(text) else 210 + coalesce(nullif(length(regexp_extract(substr(text, 211, 210), '(?s)^.*[。！？!?；;\\n]', 0)), 0), 210) end as e from documents where length(text) > 0
- union all select doc_id, text, s2, case when s2 + 420 >= length(text) then length(text) else s2 + 210 + coalesce(nullif(length(regexp_extract(substr(text, s2 + 211, 210), '(?s)^.*[。！？!?；;\\n]', 0)), 0), 210) end from (select doc_id, text, greatest(e - 80, s + 1) as s2 from w where e < length(text))),
-p as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as piece, s::int as start, regexp_replace(substr(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') as piece_text from w)
-select * from p where piece_text <> ''""")
+@query(f"with recursive src as (select doc_id, text as body from documents), {_windows_sql('wi', 'src', 'doc_id')} select doc_id, piece, begin as start, piece_text from wi")
 def chunk_windows(spark, d):
     return chunking.windows(docs(spark, d))
 
 
-@query("select doc_id, doc_id::varchar || '#0-1-' || substr(sha1(doc_id::varchar || '|' || source || '|1|' || substr(text, 1, 64)), 1, 12) as chunk_id from documents")
+@query(f"with recursive {_CHUNKS} select * from ck")
+def chunk_markdown(spark, d):
+    return chunks(spark, d)
+
+
+@query(f"with recursive {_CHUNKS} select doc_id, count(*) as n, count(distinct chunk_id) as ids, min(chunk_id) as first from ck group by doc_id")
 def chunk_id(spark, d):
-    return docs(spark, d).select("doc_id", chunking.chunk_id(F.col("doc_id").cast("string"), F.col("source"), F.lit(0), F.lit(1), F.col("text")).alias("chunk_id"))
+    """Chunks and distinct identities of each document."""
+    return chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"), F.min("chunk_id").alias("first"))
 
 
 @query("select doc_id, pos::int as pos, (sum(length(line) + 1) over (partition by doc_id order by pos) - length(line) - 1)::bigint as start from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)")
@@ -302,60 +361,141 @@ def term_prompt_block(spark, d):
     return glossary(spark, d).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))
 
 
-@query(f"with {_GL} select 'glossary#' || term as chunk_id, term || ': about ' || term as text, 'glossary' as source_type from gl union all select 'd' || doc_id, text, 'knowledge' from documents")
+@query(f"with recursive {_GL}, {_GLOSSARY_CHUNKS} select * from gc")
+def term_to_chunks(spark, d):
+    return terms.chunks(glossary(spark, d))
+
+
+@query(f"with recursive {_CORPUS} select doc_id, title, section, text, source_type from co")
 def scan_corpus_union(spark, d):
-    g = glossary(spark, d).select(F.concat(F.lit("glossary#"), "term").alias("chunk_id"), F.concat("term", F.lit(": "), "definition").alias("text"), F.lit("glossary").alias("source_type"))
-    return g.unionByName(docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", F.lit("knowledge").alias("source_type")))
+    return corpus(spark, d)
+
+
+@query(f"with {_GL}, nd as (select o_orderkey, split_part(replace(o_clerk, '#', ' '), ' ', 1) as needle from (select o_orderkey, case when o_orderkey % 3 = 0 then (select term from gl where ord = 1 + o_orderkey % 20) when o_orderkey % 3 = 1 then (select substr(term, 1, 3) from gl where ord = 1 + o_orderkey % 20) else 'x' || o_orderkey end as o_clerk from orders)), ma as (select o_orderkey, term, ord, list_contains(forms, needle) as same from nd join gl on len(list_filter(forms, lambda f: contains(f, needle) or contains(needle, f))) > 0), be as (select *, bool_or(same) over (partition by o_orderkey) as exact from ma) select o_orderkey, exact, string_agg(term, ',' order by ord) filter (k <= 5) as terms, max(n)::bigint as n from (select *, row_number() over (partition by o_orderkey order by ord) as k, count(*) over (partition by o_orderkey) as n from be where same = exact) group by o_orderkey, exact")
+def glossary_lookup(spark, d):
+    """For each order a needle: a term, the beginning of one, or a word that no term holds."""
+    g = glossary(spark, d)
+    o = table(spark, d, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 20).cast("int").alias("pick"))
+    picked = o.join(F.broadcast(g.select(F.col("ord").alias("pick"), "term")), "pick")  # a glossary is twenty terms
+    kind = F.col("o_orderkey") % 3
+    needle = F.when(kind == 0, F.col("term")).when(kind == 1, F.substring("term", 1, 3)).otherwise(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")))
+    found = terms.lookup(picked.select("o_orderkey", needle.alias("needle")), g, "o_orderkey")
+    return found.select("o_orderkey", "exact", F.array_join(F.transform("matches", lambda m: m["term"]), ",").alias("terms"), "n")
 
 
 # --- retrieval ---
-@query(f"with {_TF} select term, count(*) as df, sum(tf)::bigint as tf from post group by term")
+@query(f"with {_tf('documents')} select term, count(*) as df, sum(tf)::bigint as tf from post group by term")
 def agg_df(spark, d):
     return retrieval.postings(docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query(f"with {_LEN} select count(*) as n, round(avg(len), 6) as avg_len from len")
+@query(f"with {_len('documents')} select count(*) as n, round(avg(len), 6) as avg_len from len")
 def agg_avglen(spark, d):
     return retrieval.lengths(docs(spark, d)).agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("avg_len"))
 
 
-@query(f"with {_TF} select term, round(greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 0), 6) as idf from (select term, count(*) as df from post group by term), (select count(*) as n from documents)")
+@query(f"with {_tf('documents')} select term, round(greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 0), 6) as idf from (select term, count(*) as df from post group by term), (select count(*) as n from documents)")
 def bm25_idf(spark, d):
     df = retrieval.postings(docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
     n = docs(spark, d).agg(F.count("*").alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("term", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return df.crossJoin(F.broadcast(n)).select("term", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row of totals
 
 
-@query(f"with {_Q}, {_TF}, {_LEN}, {_bm25_sql('b1', 'q')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from b1) where rank <= 10")
+@query(f"with {_Q}, {_tf('documents')}, {_len('documents')}, {_bm25_sql('b1', 'q')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from b1) where rank <= 10")
 def topk_bm25(spark, d):
     return retrieval.ranked(retrieval.bm25(asked(spark, d), docs(spark, d)), 10).select("query_id", "rank", "doc_id", "score")
 
 
+@query(f"with q as (select item_id as query_id, {_CJK.format(t='text')} as text from benchmark), mixed as (select doc_id, {_CJK.format(t='text')} as text from documents), {_tf('mixed')}, {_len('mixed')}, {_bm25_sql('b1', 'q')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from b1) where rank <= 10")
+def bm25_scripts(spark, d):
+    """BM25 where words are mixed with CJK runs: queries are cut as documents are, without single characters."""
+    q = asked(spark, d).withColumn("text", cjk(F.col("text")))
+    return retrieval.ranked(retrieval.bm25(q, docs(spark, d).withColumn("text", cjk(F.col("text")))), 10).select("query_id", "rank", "doc_id", "score")
+
+
 @query(f"with {_Q}, {_hash_sql('dv', 'documents', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_cosine_sql('v1', 'qv')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from v1) where rank <= 10")
 def topk_vector(spark, d):
-    return retrieval.ranked(retrieval.cosine(asked(spark, d), docs(spark, d)), 10).select("query_id", "rank", "doc_id", "score")
+    return retrieval.ranked(retrieval.cosine(asked(spark, d), docs(spark, d), 10), 10).select("query_id", "rank", "doc_id", "score")
+
 
+def _arms(spark, d):
+    """The four channels over the corpus of chunks, 20 results each."""
+    q, g = asked(spark, d), glossary(spark, d)
+    return retrieval.channels(q, terms.expanded(q, g).filter("changed").select("query_id", "text"), corpus(spark, d), 20)
 
-@query(f"with {_CHANNELS} select query_id, doc_id, round(fused, 9) as fused from fu")
+
+@query(f"with recursive {_CHANNELS} select query_id, doc_id, round(sum(w / (60 + rank)), 9) as fused from pool group by all")
 def rrf_fuse(spark, d):
-    q, g, c = asked(spark, d), glossary(spark, d), docs(spark, d)
-    e = terms.expanded(q, g).filter("changed").select("query_id", "text")
-    lists = [("a", 1.0, retrieval.bm25(q, c)), ("b", 1.0, retrieval.cosine(q, c)), ("c", 0.6, retrieval.bm25(e, c)), ("d", 0.4, retrieval.cosine(e, c))]
-    return retrieval.fused([(n, w, retrieval.ranked(s, 20)) for n, w, s in lists]).select("query_id", "doc_id", F.round("fused", 9).alias("fused"))
+    return retrieval.fused(_arms(spark, d)).select("query_id", "doc_id", F.round("fused", 9).alias("fused"))
 
 
-@query(f"with {_HYBRID} select * from hy")
+@query(f"with recursive {_HYBRID} select * from hy")
 def hybrid_search(spark, d):
-    q, g, c = asked(spark, d), glossary(spark, d), docs(spark, d)
-    changed = terms.expanded(q, g).filter("changed").select("query_id", "text")
-    return retrieval.hybrid(q, changed, c, terms.hits(c, g, "doc_id"))
+    return retrieval.hybrid(asked(spark, d), corpus(spark, d), glossary(spark, d))
+
+
+def expected(spark, d):
+    """(query_id, source): documents that hold a query's passage. Both sides meet on the passage's rarest word, then texts
+    are compared."""
+    q = asked(spark, d).select("query_id", F.col("text").alias("passage"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).filter("word != ''")
+    c = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    held = c.join(q.select("word").distinct(), "word", "left_semi")
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))
+    inner = q.filter(~F.col("passage").startswith(F.col("word")) & ~F.col("passage").endswith(F.col("word")))  # the outer words may go on in a document
+    rare = inner.join(df, "word").withColumn("k", rank).filter("k = 1").select("query_id", "passage", "word")
+    pairs = rare.join(held, "word").join(docs(spark, d).select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("passage")))
+    return pairs.select("query_id", F.col("doc_id").cast("string").alias("source"))
+
 
+def first_hits(spark, d, found):
+    """query_id, category (of three), first_rank, hit1, hit5, reciprocal of results whose chunks belong to expected documents."""
+    sources = found.withColumn("source", F.split("doc_id", "#")[0])
+    q = asked(spark, d).select("query_id", (F.col("query_id") % 3).alias("category"))
+    return evaluation.first_hits(sources.select("query_id", F.col("source").alias("doc_id"), "rank"), expected(spark, d).withColumnRenamed("source", "doc_id"), q)
 
-@query(f"with {_HYBRID}, ok as (select query_id, doc_id from q join documents d on contains(d.text, q.text)), r as (select query_id, min(rank) as first_rank from hy join ok using (query_id, doc_id) group by query_id) select count(*) as n, round(avg(coalesce((first_rank <= 1)::int, 0)), 3) as recall1, round(avg(coalesce((first_rank <= 5)::int, 0)), 3) as recall5, round(avg(coalesce(1.0 / first_rank, 0)), 3) as mrr from q left join r using (query_id)")
+
+def _hits_sql(name: str, found: str) -> str:
+    return f"""{name}_f as (select query_id, min(rank) as first_rank from {found} join ok using (query_id) where split_part(doc_id, '#', 1) = source group by query_id),
+{name} as (select query_id, query_id % 3 as category, first_rank, coalesce((first_rank <= 1)::int, 0) as hit1, coalesce((first_rank <= 5)::int, 0) as hit5, coalesce(1.0::double / first_rank, 0) as reciprocal from q left join {name}_f using (query_id))"""
+
+
+@query(f"with recursive {_HYBRID}, {_EXPECTED}, {_hits_sql('hh', 'hy')} select count(*) as n, round(avg(hit1), 3) as recall1, round(avg(hit5), 3) as recall5, round(avg(reciprocal), 3) as mrr from hh")
 def eval_recall_mrr(spark, d):
-    q, c = asked(spark, d), docs(spark, d)
-    expected = q.join(c.select("doc_id", F.col("text").alias("body")), F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
-    return evaluation.recall_mrr(evaluation.first_hits(hybrid_search(spark, d), expected, q))
+    return evaluation.recall_mrr(first_hits(spark, d, hybrid_search(spark, d)))
+
+
+@query(f"with recursive {_HYBRID}, {_EXPECTED}, {_hits_sql('hh', 'hy')} select category, count(*) as n, round(avg(hit1), 3) as recall1, round(avg(hit5), 3) as recall5, round(avg(reciprocal), 3) as mrr from hh group by category")
+def eval_by_category(spark, d):
+    return evaluation.recall_mrr(first_hits(spark, d, hybrid_search(spark, d)), "category")
+
+
+@query(f"with recursive {_ABLATION}, {_EXPECTED}, {_hits_sql('hh', 'hy')}, {_hits_sql('hz', 'h0')} select category, round(avg(a.hit1) - avg(b.hit1), 3) as recall1_delta, round(avg(a.reciprocal) - avg(b.reciprocal), 3) as mrr_delta from hh a join hz b using (query_id, category) group by rollup(category)")
+def eval_ablation_delta(spark, d):
+    """What the terminology layer adds: two runs of retrieval, with and without it."""
+    q, c, g = asked(spark, d), corpus(spark, d), glossary(spark, d)
+    arms = [first_hits(spark, d, retrieval.hybrid(q, c, g, terminology=on)).withColumn("arm", F.lit(name)) for name, on in (("on", True), ("off", False))]
+    return evaluation.ablation(arms[0].unionByName(arms[1]))
+
+
+@query(f"with recursive {_HYBRID}, cited as (select query_id, doc_id, rank from hy) select query_id, count(*) as cited, round(avg((co.doc_id is not null)::int), 6) as verifiable from cited left join co using (doc_id) group by query_id")
+def eval_citation_verifiable(spark, d):
+    """The share of each query's citations that name a chunk of the corpus."""
+    return evaluation.verifiable(hybrid_search(spark, d), corpus(spark, d))
+
+
+@query(f"with recursive {_HYBRID}, tq as (select query_id, term from qm), hit as (select distinct tq.query_id, tq.term from tq join hy using (query_id) join co using (doc_id) where contains(lower(co.text), lower(tq.term))) select query_id, count(tq.term) as expected, count(hit.term) as found, round(count(hit.term) / count(tq.term), 6) as share from tq left join hit using (query_id, term) group by query_id")
+def eval_term_hit(spark, d):
+    """The share of a query's terms that its results hold."""
+    q, g = asked(spark, d), glossary(spark, d)
+    return evaluation.term_hits(terms.matches(q, g, "query_id").select("query_id", "term"), hybrid_search(spark, d), corpus(spark, d))
+
+
+@query(f"with recursive {_HYBRID}, top as (select query_id, doc_id from hy where rank = 1), us as (select query_id, term, 0 as k, ord from qm union all select top.query_id, fo2.term, 1, fo2.ord from top join co using (doc_id) join (select distinct term, ord, form from fo) fo2 on length(form) >= 2 and contains(lower(co.text), lower(form)) where source_type <> 'glossary') select query_id, string_agg(term, ',' order by k, ord) as used from (select query_id, term, min(k) as k, min(ord) as ord from us group by all) group by query_id")
+def qa_used_terms(spark, d):
+    """The terms that constrain an answer: those of the query, then those of the best chunk."""
+    q, g = asked(spark, d), glossary(spark, d)
+    return terms.used(q, g, hybrid_search(spark, d), corpus(spark, d))
 
 
 # --- conversations ---
@@ -375,17 +515,37 @@ def efficiency_score(spark, d):
     return conversation.efficiency(conversation.speaker_stats(s), s.groupBy("meeting_id").agg(F.sum("seconds").alias("seconds")))
 
 
-@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as transcript from conversations group by conv_id")
+_TIMED = _SEG + ", ti as (select *, round(sum(seconds) over o, 1) as till, round(sum(seconds) over o - seconds, 1) as since from seg window o as (partition by meeting_id order by seq))"
+
+
+@query(f"with {_TIMED} select meeting_id, string_agg(printf('[%.1fs-%.1fs] %s: %s', since, till, speaker, text), chr(10) order by seq) as transcript from ti group by meeting_id")
 def transcript_format(spark, d):
-    line = F.concat("role", F.lit(": "), "text")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("transcript"))
+    return reports.transcripts(reports.timed(segments(spark, d)))
+
+
+@query("select distinct conv_id as meeting_id, role as speaker from conversations")
+def transcript_speakers(spark, d):
+    """Speakers read back from the lines of transcripts; line ends within a turn are taken out first."""
+    own = segments(spark, d).withColumn("text", F.translate("text", "\n", " "))
+    return reports.speakers(reports.transcripts(reports.timed(own)))
 
 
-@query(f"with {_STATS} select meeting_id, string_agg(speaker || ' ' || repeat('█', floor(ratio * 20)::int) || ' ' || n_chars, chr(10) order by place) as md from stats group by meeting_id")
+@query(f"with {_STATS} select meeting_id, '**发言统计**:' || chr(10) || string_agg(printf('- %s: %.1f%% %s (%.1fs, %d次)', speaker, ratio * 100, repeat('█', floor(ratio * 20)::int), duration, turns), chr(10) order by place) as md from stats group by meeting_id")
 def insights_md(spark, d):
-    line = F.concat_ws(" ", "speaker", F.repeat(F.lit("█"), F.floor(F.col("ratio") * 20).cast("int")), F.col("n_chars").cast("string"))
-    lines = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
-    return conversation.speaker_stats(segments(spark, d)).groupBy("meeting_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("md"))
+    return reports.statistics(conversation.speaker_stats(segments(spark, d)))
+
+
+@query("select c_custkey as meeting_id, coalesce(string_agg(i || '. **P' || c_custkey % 7 || '**: order ' || o_orderkey || case when o_orderkey % 5 = 0 then '' else ' | 截止: ' || strftime(o_orderdate, '%Y-%m-%d') end || ' [' || case lower(substr(o_orderpriority, 3)) when 'low' then 'Low' when 'high' then 'High' when 'urgent' then 'Highest' else 'Medium' end || ']' || case when o_orderkey % 4 <> 0 then '' when o_orderkey % 3 = 0 then ' (Jira: X-' || o_orderkey || ')' else ' (飞书: X-' || o_orderkey || ')' end, chr(10) order by i), '*（无待办事项）*') as md from customer left join (select *, row_number() over (partition by o_custkey order by o_orderkey) as i from orders) on o_custkey = c_custkey group by c_custkey")
+def actions_md(spark, d):
+    """Each customer's orders as action items, with the tickets and tasks that the ledger holds."""
+    o = items(spark, d)
+    known = ledger.reused(o.drop("external_id"), written(spark, d))
+    due = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    own = known.select(
+        "meeting_id", F.col("o_orderkey").alias("seq"), F.concat(F.lit("P"), (F.col("meeting_id") % 7).cast("string")).alias("assignee"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("task"), T.deadline(due).alias("deadline"),
+        T.priority(F.substring("o_orderpriority", 3, 20)).alias("priority"), F.when(F.col("target") == "tickets", F.col("external_id")).alias("ticket"), F.when(F.col("target") == "tasks", F.col("external_id")).alias("task_id"),
+    )
+    return reports.action_items(table(spark, d, "customer").select(F.col("c_custkey").alias("meeting_id")), own)
 
 
 # --- ledger ---
@@ -424,11 +584,12 @@ def agg_sync_counters(spark, d):
     return all_items.groupBy("target").agg(F.count_if(fresh & ~bad).alias("created"), F.count_if(~fresh).alias("skipped"), F.count_if(fresh & bad).alias("failed"))
 
 
-@query("select o_orderkey, c_name as account from orders left join (select * from customer where c_custkey % 2 = 0) on c_custkey = o_custkey")
+@query("select o_orderkey, c_name as account from orders left join customer on c_custkey = o_custkey and o_orderkey % 2 = 0")
 def resolve_user(spark, d):
-    people = table(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("account"))
-    o = table(spark, d, "orders")
-    return o.join(people, o["o_custkey"] == people["c_custkey"], "left").select("o_orderkey", "account")
+    """The account behind each order's name; every second order names nobody that is known."""
+    name = F.when(F.col("o_orderkey") % 2 == 0, T.normalized(F.concat(F.lit(" Customer  "), F.col("o_custkey").cast("string")))).otherwise("nobody")
+    people = table(spark, d, "customer").select(T.normalized(F.concat(F.lit("customer "), F.col("c_custkey").cast("string"))).alias("name"), F.col("c_name").alias("account"))
+    return table(spark, d, "orders").select("o_orderkey", name.alias("name")).join(people, "name", "left").select("o_orderkey", "account")
 
 
 @query("select event_type, count(*) filter (n > 1) as repeats from (select user_id, event_type, props, event_type as e, count(*) over (partition by user_id, event_type, props) as n from events) group by event_type")
@@ -499,9 +660,9 @@ def join_greedy_bipartite(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(matched.cast("int").alias("matched"))
 
 
-@query("with c as (select user_id, list(event_type order by event_id) as called, list(event_type order by ts, event_id) as expected from events where event_id % 2 = 0 group by user_id) select user_id, (called[1] = expected[1])::int as first_ok, (called = expected)::int as exact, round(len(list_intersect(called, expected)) / len(list_distinct(expected)), 6) as set_recall, round(len(list_filter(called, lambda x: list_contains(expected, x))) / len(called), 6) as precision from c")
+@query("with c as (select user_id, list(event_type order by event_id) as called, list(event_type order by ts, event_id) as expected from events group by user_id) select user_id, (called[1] = expected[1])::int as first_ok, (called = expected)::int as exact, round(len(list_intersect(called, expected)) / len(list_distinct(expected)), 6) as set_recall, round(len(list_filter(called, lambda x: list_contains(expected, x))) / len(called), 6) as precision from c")
 def eval_selection(spark, d):
-    e = table(spark, d, "events").filter("event_id % 2 = 0")
+    e = table(spark, d, "events")
     by_id = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
     by_time = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
     runs = e.groupBy("user_id").agg(by_id.alias("called"), by_time.alias("expected"))
@@ -530,11 +691,13 @@ def agg_frames(spark, d):
 
 # --- more of retrieval, joins, sets ---
 def _pool(spark, d, k=20):
+    """BM25 and vectors over whole documents, k results each."""
     q, c = asked(spark, d), docs(spark, d)
-    return retrieval.ranked(retrieval.bm25(q, c), k).withColumn("channel", F.lit("bm25")).unionByName(retrieval.ranked(retrieval.cosine(q, c), k).withColumn("channel", F.lit("vector")))
+    both = [retrieval.ranked(scores, k).withColumn("channel", F.lit(name)) for name, scores in (("bm25", retrieval.bm25(q, c)), ("vector", retrieval.cosine(q, c, k)))]
+    return both[0].unionByName(both[1])
 
 
-_TWO = f"{_Q}, {_TF}, {_LEN}, {_bm25_sql('b1', 'q')}, {_hash_sql('dv', 'documents', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_cosine_sql('v1', 'qv')}, two as (select 'bm25' as channel, *, {_RANK}::int as rank from b1 union all select 'vector', *, {_RANK}::int from v1), pool as (select * from two where rank <= 20)"
+_TWO = f"{_Q}, {_tf('documents')}, {_len('documents')}, {_bm25_sql('b1', 'q')}, {_hash_sql('dv', 'documents', 'doc_id')}, {_hash_sql('qv', 'q', 'query_id')}, {_cosine_sql('v1', 'qv')}, two as (select 'bm25' as channel, *, {_RANK}::int as rank from b1 union all select 'vector', *, {_RANK}::int from v1), pool as (select * from two where rank <= 20)"
 
 
 @query(f"with {_TWO} select query_id, channel, rank, doc_id from pool where rank <= 5")
@@ -579,11 +742,10 @@ def qa_no_hit(spark, d):
     return asked(spark, d).join(strong, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) >= 3).alias("answered"))
 
 
-@query(f"with {_TWO} select query_id, string_agg('[' || rank || '] ' || doc_id || chr(10) || substr(d.text, 1, 180), chr(10) order by rank) as block from pool join documents d using (doc_id) where channel = 'bm25' and rank <= 3 group by query_id")
+@query(f"with recursive {_HYBRID} select query_id, string_agg('[' || rank || '] ' || title || case when section <> '' then ' / ' || section else '' end || chr(10) || text, chr(10) || chr(10) order by rank) as block from hy join co using (doc_id) group by query_id")
 def context_block(spark, d):
-    top = _pool(spark, d, 3).filter("channel = 'bm25'").join(docs(spark, d).select("doc_id", F.substring("text", 1, 180).alias("body")), "doc_id")
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("doc_id").cast("string"), F.lit("\n"), "body")
-    return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"))
+    """Numbered results with their citations and texts."""
+    return retrieval.context_blocks(hybrid_search(spark, d), corpus(spark, d))
 
 
 @query(f"with {_Q}, {_FORMS}, {_EX} select query_id, substr(replace(text, chr(10), ' '), 1, 240) || coalesce(' ' || t, '') as context_query from q left join (select query_id, string_agg(term, ' ' order by k) filter (k <= 6) as t from (select *, row_number() over (partition by query_id order by longest desc, ord) as k from qm) group by query_id) using (query_id)")
@@ -636,13 +798,6 @@ def agg_errors_reduce(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count(bad).alias("errors"), F.nullif(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("")).alias("failed"))
 
 
-@query("select conv_id, string_agg(distinct role, ',' order by role) as speakers from conversations group by conv_id")
-def transcript_speakers(spark, d):
-    """Speakers read back from transcript lines: what stands before the first colon."""
-    line = F.concat("role", F.lit(": "), "text")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set(F.regexp_extract(line, "^([^:]*):", 1))), ",").alias("speakers"))
-
-
 @query("select window_start, sum(n)::bigint as n from (select time_bucket(interval 30 minute, ts) + to_minutes(k) as window_start, 1 as n from events, (values (0), (-30)) as o(k)) group by window_start")
 def stream_sliding(spark, d):
     return streams.sliding(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

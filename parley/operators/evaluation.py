@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def first_hits(results: DataFrame, expected: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, first_rank (null: none), hit1, hit5, reciprocal. results: query_id, doc_id, rank; expected: query_id, doc_id."""
+    """The rows of queries (query_id, ...) with first_rank (null: none), hit1, hit5, reciprocal. results: query_id, doc_id,
+    rank; expected: query_id, doc_id."""
     ranks = results.join(expected, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
-    own = queries.select("query_id").join(ranks, "query_id", "left")
+    own = queries.join(ranks, "query_id", "left")
     rank = F.col("first_rank")
-    return own.select("query_id", "first_rank", F.coalesce((rank <= 1).cast("int"), F.lit(0)).alias("hit1"), F.coalesce((rank <= 5).cast("int"), F.lit(0)).alias("hit5"), F.coalesce(1.0 / rank, F.lit(0.0)).alias("reciprocal"))
+    return own.select(*queries.columns, "first_rank", F.coalesce((rank <= 1).cast("int"), F.lit(0)).alias("hit1"), F.coalesce((rank <= 5).cast("int"), F.lit(0)).alias("hit5"), F.coalesce(1.0 / rank, F.lit(0.0)).alias("reciprocal"))
 
 
 def recall_mrr(hits: DataFrame, *by: str) -> DataFrame:
@@ -25,6 +26,20 @@ def ablation(hits: DataFrame, category: str = "category") -> DataFrame:
     return wide.select(category, F.round(F.col("h_on") - F.col("h_off"), 3).alias("recall1_delta"), F.round(F.col("r_on") - F.col("r_off"), 3).alias("mrr_delta"))
 
 
+def verifiable(results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, cited, verifiable: how many chunks a query's results cite, and the share that the corpus holds."""
+    known = corpus.select("doc_id", F.lit(1).alias("known"))
+    held = results.select("query_id", "doc_id").join(known, "doc_id", "left")
+    return held.groupBy("query_id").agg(F.count("*").alias("cited"), F.round(F.avg(F.coalesce("known", F.lit(0))), 6).alias("verifiable"))
+
+
+def term_hits(expected: DataFrame, results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, expected, found, share: terms (query_id, term) that lie in a text of the query's results."""
+    texts = results.select("query_id", "doc_id").join(corpus.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    found = expected.join(texts, "query_id", "left").groupBy("query_id", "term").agg(F.coalesce(F.max(F.col("low").contains(F.lower("term")).cast("int")), F.lit(0)).alias("hit"))
+    return found.groupBy("query_id").agg(F.count("*").alias("expected"), F.sum("hit").alias("found"), F.round(F.avg("hit"), 6).alias("share"))
+
+
 def prf(matched: Column, predicted: Column, golden: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1 from counts; empty sides give 0."""
     p = F.when(predicted > 0, matched / predicted).otherwise(0.0)

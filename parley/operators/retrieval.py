@@ -1,21 +1,29 @@
 """BM25, hashed vectors, fusion and reranking for a table of queries at once.
 
-Postings are an equi-join on terms; only candidates that a channel kept reach the costly factors of the reranker. The side
-of queries is small but grows as its table does: whether it is broadcast is left to the optimizer and its threshold.
+The side of queries is small but grows as its table does, so its size is checked: up to the bounds below, query terms are
+broadcast (as a filter of tokens before any shuffle) and query vectors become a matrix that is multiplied with batches of
+texts, each task keeping the best of a query; beyond them, both are equi-joins. Only candidates that a channel kept reach
+the costly factors of the reranker.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from parley.functions import text as T
+from parley.operators import terms
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct query terms that are broadcast at most (about 50 MB), and queries whose vectors are at most (16 MB at 512 dimensions).
+BROADCAST_TERMS, BROADCAST_QUERIES = 500_000, 4_096
+
 
 @dataclass(frozen=True)
 class Weights:
-    """Weights of channels, the fusion constant, and the factors of the reranker."""
+    """Weights of channels, the fusion constant, the factors of the reranker and its penalty for glossary chunks."""
 
     bm25: float = 1.0
     vector: float = 1.0
@@ -26,11 +34,18 @@ class Weights:
     phrase: float = 0.5
     section: float = 0.25
     term: float = 0.15
+    glossary: float = 0.6
+
+
+def tokens_of(corpus: DataFrame) -> DataFrame:
+    """doc_id, len (tokens of the text), term: a row for each token."""
+    own = corpus.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return own.select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     """term, doc_id, tf."""
-    return corpus.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return tokens_of(corpus).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
@@ -41,66 +56,122 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log(1 + (n - df + 0.5) / (df + 0.5)), F.lit(0.0))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score of all documents that share a term with a query (query_id, text); repeated query terms count once."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.query_tokens(F.col("text")))).alias("term"))
-    asked = terms.select("term").distinct()
-    held = postings(corpus).join(asked, "term", "left_semi")
+def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """keys, doc_id, score of all documents that share a term with a query (keys, text); repeated query terms count once."""
+    asked = queries.select(*keys, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    distinct = asked.select("term").distinct()
+    if distinct.count() <= BROADCAST_TERMS:
+        distinct = F.broadcast(distinct)
+    held = tokens_of(corpus).join(distinct, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    size = lengths(corpus)
-    total = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = terms.join(held, "term").join(df, "term").join(size, "doc_id").crossJoin(F.broadcast(total))  # one row of totals
+    total = lengths(corpus).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    hits = asked.join(held, "term").join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
+    return hits.groupBy(*keys, "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
+
+
+def buckets(text: Column, dims: int = 512) -> Column:
+    """The hash bucket of each token."""
+    return F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
+
+
+def hashed(df: DataFrame, *keys: str, dims: int = 512) -> DataFrame:
+    """keys, bucket, weight: unit vectors of token counts by hash bucket, without the zeros."""
+    counts = df.select(*keys, F.explode(buckets(F.col("text"), dims)).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(*keys)).cast("double"))
+    return counts.select(*keys, F.col("bucket").cast("long").alias("bucket"), (F.col("c") / norm).alias("weight"))
 
 
-def hashed(df: DataFrame, key: str, dims: int = 512) -> DataFrame:
-    """key, bucket, weight: unit vectors of token counts by hash bucket, without the zeros."""
-    bucket = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dims
-    tf = df.select(key, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    counts = tf.groupBy(key, bucket.alias("bucket")).agg(F.sum("tf").alias("c"))
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)).cast("double"))
-    return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))
+def _unit_rows(lists: pd.Series, dims: int) -> np.ndarray:
+    """A unit vector of counts for each list of buckets; empty lists give zeros."""
+    sizes = lists.str.len().to_numpy(np.int64)
+    flat = np.concatenate(lists.tolist()).astype(np.int64) if len(lists) else np.empty(0, np.int64)
+    out = np.bincount(np.repeat(np.arange(len(lists)), sizes) * dims + flat, minlength=len(lists) * dims).reshape(len(lists), dims).astype(float)
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
-def cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of hashed vectors."""
-    a, b = hashed(queries, "query_id"), hashed(corpus, "doc_id").withColumnRenamed("weight", "w")
-    return a.join(b, "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score")).filter("score > 0")
+def cosine(queries: DataFrame, corpus: DataFrame, most: int | None = None, keys: tuple[str, ...] = ("query_id",), dims: int = 512) -> DataFrame:
+    """keys, doc_id, score of hashed vectors: all pairs with a positive score, or the `most` best of each query at least."""
+    if most is None or queries.count() > BROADCAST_QUERIES:
+        a, b = hashed(queries, *keys, dims=dims), hashed(corpus, "doc_id", dims=dims).withColumnRenamed("weight", "w")
+        return a.join(b, "bucket").groupBy(*keys, "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score")).filter("score > 0")
+    spark, wide = queries.sparkSession, queries.select(*keys, buckets(F.col("text"), dims).alias("b"))
+    asked = wide.toArrow().to_pandas()
+    shared = spark.sparkContext.broadcast((asked[list(keys)], _unit_rows(asked["b"], dims).T))
 
+    def best(frames):
+        names, matrix = shared.value
+        for f in frames:
+            for at in range(0, len(f), 1_000):
+                part = f.iloc[at : at + 1_000].reset_index(drop=True)
+                score = np.round(_unit_rows(part["b"], dims) @ matrix, 6)
+                if len(part) > most:  # all that tie with the last one stay, for the ranking to choose
+                    score[score < np.partition(score, len(part) - most, axis=0)[len(part) - most]] = 0
+                doc, query = np.nonzero(score > 0)
+                yield names.iloc[query].reset_index(drop=True).assign(doc_id=part["doc_id"].to_numpy()[doc], score=score[doc, query])
 
-def ranked(scores: DataFrame, most: int, by: str = "score") -> DataFrame:
+    kinds = dict(queries.dtypes) | {"doc_id": dict(corpus.dtypes)["doc_id"]}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in (*keys, "doc_id")), "score double"])
+    return corpus.select("doc_id", buckets(F.col("text"), dims).alias("b")).mapInPandas(best, schema)
+
+
+def ranked(scores: DataFrame, most: int, by: str = "score", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The best `most` of each query with `rank` from 1; ties go to the smaller id."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), "doc_id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def fused(channels: list[tuple[str, float, DataFrame]], constant: int = 60) -> DataFrame:
-    """query_id, doc_id, fused: the sum of weight / (constant + rank) over channels of ranked results."""
-    parts = [df.select("query_id", "doc_id", (F.lit(weight) / (constant + F.col("rank"))).alias("part")) for _, weight, df in channels if weight]
-    union = parts[0]
-    for other in parts[1:]:
-        union = union.unionByName(other)
-    return union.groupBy("query_id", "doc_id").agg(F.sum("part").alias("fused"))
+def fused(channels: DataFrame, constant: int = 60) -> DataFrame:
+    """query_id, doc_id, fused: the sum of weight / (constant + rank) over ranked results (query_id, doc_id, rank, weight)."""
+    return channels.filter("weight > 0").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") / (constant + F.col("rank"))).alias("fused"))
+
 
+def channels(queries: DataFrame, expanded: DataFrame, corpus: DataFrame, pool: int, w: Weights = Weights()) -> DataFrame:
+    """query_id, doc_id, channel, rank, score, weight: the best of BM25 and of vectors, for the queries and for those that
+    expansion changed. Both arms go through one pass over the corpus a channel."""
+    both = queries.select("query_id", F.lit(0).alias("arm"), "text").unionByName(expanded.select("query_id", F.lit(1).alias("arm"), "text"))
+    keys, out = ("query_id", "arm"), []
+    for name, scores, weights in (("bm25", bm25(both, corpus, keys=keys), (w.bm25, w.bm25_expanded)), ("vector", cosine(both, corpus, pool, keys), (w.vector, w.vector_expanded))):
+        again = F.col("arm") == 1
+        named = ranked(scores, pool, keys=keys).withColumn("channel", F.when(again, f"{name}+").otherwise(name)).withColumn("weight", F.when(again, weights[1]).otherwise(weights[0]))
+        out.append(named.select("query_id", "doc_id", "channel", "rank", "score", "weight"))
+    return out[0].unionByName(out[1])
 
-def hybrid(queries: DataFrame, expanded: DataFrame, corpus: DataFrame, terms: DataFrame, k: int = 5, w: Weights = Weights()) -> DataFrame:
+
+def hybrid(queries: DataFrame, corpus: DataFrame, glossary: DataFrame, k: int = 5, w: Weights = Weights(), terminology: bool = True) -> DataFrame:
     """query_id, rank, doc_id, score, coverage, phrase, section_hit, term_hits: the k best of four channels, reranked.
 
-    expanded: (query_id, text) of the queries that expansion changed; terms: (doc_id, hits)."""
+    queries: query_id, text; corpus: doc_id, title, section, text, source_type; glossary: term, canonical, aliases, ord.
+    Without terminology queries are not expanded and terms do not count."""
     pool = max(4 * k, 20)
-    lists = [("bm25", w.bm25, bm25(queries, corpus)), ("vector", w.vector, cosine(queries, corpus)), ("bm25+", w.bm25_expanded, bm25(expanded, corpus)), ("vector+", w.vector_expanded, cosine(expanded, corpus))]
-    found = fused([(n, x, ranked(s, pool)) for n, x, s in lists], w.fusion)
-    q = queries.select("query_id", F.array_distinct(T.query_tokens(F.col("text"))).alias("q_tokens"), T.phrases(F.lower("text")).alias("q_phrases"))
-    c = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("section"))
-    both = found.join(q, "query_id").join(c, "doc_id").join(terms, "doc_id", "left")
+    expansion = terms.expanded(queries, glossary) if terminology else queries.select("query_id", "text", F.lit(False).alias("changed"))
+    found = fused(channels(queries, expansion.filter("changed").select("query_id", "text"), corpus, pool, w), w.fusion)
+    named = terms.matches(queries, glossary, "query_id").groupBy("query_id").agg(F.lit(True).alias("named")) if terminology else queries.select("query_id", F.lit(False).alias("named"))
+    q = queries.join(named, "query_id", "left").select("query_id", F.coalesce("named", F.lit(False)).alias("named"), F.array_distinct(T.query_tokens(F.col("text"))).alias("q_tokens"), T.phrases(F.lower("text")).alias("q_phrases"))
+    c = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" ", "title", "section").alias("heading"), (F.col("source_type") == "glossary").alias("from_glossary"))
+    c = c.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    if terminology:
+        hits = terms.hits(c.filter("not from_glossary"), glossary, "doc_id")
+        c = c.join(hits, "doc_id", "left")
+    else:
+        c = c.withColumn("hits", F.lit(0))
+    both = found.join(q, "query_id").join(c, "doc_id")
     own = F.array_distinct(T.tokens(F.col("text")))
     both = both.select(
-        "query_id", "doc_id", "fused",
+        "query_id", "doc_id", "fused", "named", "from_glossary",
         F.when(F.size("q_tokens") > 0, F.round(F.size(F.array_intersect("q_tokens", own)) / F.size("q_tokens"), 4)).otherwise(0.0).alias("coverage"),
         F.exists("q_phrases", lambda p: F.lower("text").contains(p)).cast("int").alias("phrase"),
-        F.arrays_overlap("q_tokens", T.tokens(F.coalesce("section", F.lit("")))).cast("int").alias("section_hit"),
-        F.least(F.coalesce("hits", F.lit(0)), F.lit(3)).cast("int").alias("term_hits"),
+        F.arrays_overlap("q_tokens", T.tokens(F.lower("heading"))).cast("int").alias("section_hit"),
+        F.coalesce("hits", F.lit(0)).cast("int").alias("term_hits"),
     )
     factor = 1 + w.coverage * F.col("coverage") + w.phrase * F.col("phrase") + w.section * F.col("section_hit") + w.term * F.col("term_hits")
-    return ranked(both.withColumn("score", F.round(F.col("fused") * factor, 6)), k).select("query_id", "rank", "doc_id", "score", "coverage", "phrase", "section_hit", "term_hits")
+    factor = factor * F.when(F.col("from_glossary") & ~F.col("named"), w.glossary).otherwise(1.0)
+    score = F.col("fused") * factor if max(w.coverage, w.phrase, w.section, w.term) > 0 else F.col("fused")
+    return ranked(both.withColumn("score", F.round(score, 6)), k).select("query_id", "rank", "doc_id", "score", "coverage", "phrase", "section_hit", "term_hits")
+
+
+def context_blocks(results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, block: the results of each query in order, numbered, each with its citation and text."""
+    own = results.select("query_id", "rank", "doc_id").join(corpus.select("doc_id", "title", "section", "text"), "doc_id")
+    entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), T.citation(F.col("title"), F.col("section")), F.lit("\n"), F.trim("text"))
+    return own.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))), lambda x: x["entry"]), "\n\n").alias("block"))

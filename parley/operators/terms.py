@@ -32,3 +32,39 @@ def expanded(queries: DataFrame, glossary: DataFrame) -> DataFrame:
 
 def hits(texts: DataFrame, glossary: DataFrame, key: str, most: int = 3) -> DataFrame:
     return matches(texts, glossary, key).groupBy(key).agg(F.least(F.count("*"), F.lit(most)).cast("int").alias("hits"))
+
+
+def chunks(glossary: DataFrame) -> DataFrame:
+    """The glossary as chunks of a corpus: chunk_id, doc_id, title, section, text, source_type, start. glossary: term,
+    canonical, aliases, definition, owner, ord (from 1)."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    # fixed values: the document's name, and the labels and marks of its lines
+    name = F.lit("内部术语表")
+    alias = F.when(F.size(aliases) > 0, F.concat(F.lit("别名："), F.array_join(aliases, "、"), F.lit("。"))).otherwise("")
+    text = F.trim(F.concat(F.lit("术语："), "term", F.lit("\n标准说法："), F.coalesce("canonical", "term"), F.lit("\n"), alias, F.lit("定义："), blank(F.col("definition")), F.lit("\n归属："), blank(F.col("owner"))))
+    return glossary.select(
+        F.concat(name, F.lit("#"), (F.col("ord") - 1).cast("string")).alias("chunk_id"), name.alias("doc_id"), name.alias("title"), F.coalesce("canonical", "term").alias("section"),
+        text.alias("text"), F.lit("glossary").alias("source_type"), F.lit(0).alias("start"),
+    )
+
+
+def lookup(needles: DataFrame, glossary: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """key, exact, n, matches: terms of which a form equals the needle, else those of which one holds it or lies in it, the
+    first `most` in glossary order and the number of all. Needles without any have no row. needles: key, needle."""
+    own = forms(glossary).select("term", "ord", F.lower("form").alias("low"))
+    asked = needles.select(key, F.lower(F.trim("needle")).alias("needle"))
+    held = asked.join(own, F.col("low").contains(F.col("needle")) | F.col("needle").contains(F.col("low")))
+    each = held.groupBy(key, "term", "ord").agg(F.bool_or(F.col("low") == F.col("needle")).alias("same"))
+    sides = each.groupBy(key).agg(F.bool_or("same").alias("exact"), *[F.array_sort(F.collect_list(F.when(x, F.struct("ord", "term")))).alias(c) for c, x in (("whole", F.col("same")), ("part", ~F.col("same")))])
+    chosen = F.when(F.col("exact"), F.col("whole")).otherwise(F.col("part"))  # a row holds no more than the glossary
+    return sides.select(key, "exact", F.size(chosen).cast("long").alias("n"), F.slice(chosen, 1, most).alias("matches"))
+
+
+def used(queries: DataFrame, glossary: DataFrame, results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, used: the terms of a query, then those of its first result (none of a glossary chunk), each once."""
+    own = matches(queries, glossary, "query_id").select("query_id", "term", F.lit(0).alias("k"), "ord")
+    first = results.filter("rank = 1").join(corpus.filter("source_type != 'glossary'").select("doc_id", "text"), "doc_id").select("query_id", "text")
+    more = matches(first, glossary, "query_id").select("query_id", "term", F.lit(1).alias("k"), "ord")
+    each = own.unionByName(more).groupBy("query_id", "term").agg(F.min(F.struct("k", "ord")).alias("at"))
+    return each.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]), ",").alias("used"))

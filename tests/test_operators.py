@@ -29,28 +29,72 @@ def test_scalar_functions(spark):
     assert one(spark, "A  b", lambda c: T.item_key(c)) == one(spark, "a B".lower() + " ", lambda c: T.item_key(c))
 
 
-def test_windows_cover_the_text(spark):
-    text = "".join(f"Sentence number {i} goes on for a while.\n" for i in range(60))
-    cut = spark.createDataFrame([(1, text)], "doc_id long, text string").select(chunking.window_bounds(F.col("text"))).first()[0]
-    assert cut[0]["s"] == 0 and cut[-1]["e"] == len(text)
-    assert all(b["s"] <= a["e"] and b["s"] > a["s"] and a["e"] - a["s"] <= 420 for a, b in zip(cut, cut[1:]))
-    with pytest.raises(ValueError):
-        chunking.window_bounds(F.col("text"), 100, 80)
+def test_tokens_of_all_scripts(spark):
+    assert one(spark, "ひらがな カナ 한국어 検索", T.tokens) == ["ひら", "らが", "がな", "カナ", "한국", "국어", "検索"]
+    assert one(spark, "メモ1図", T.query_tokens) == ["1", "メモ", "図"]
+
+
+def brute_windows(text, most=420, overlap=80):
+    if len(text) <= most:
+        return [text] if text else []
+    out, at = [], 0
+    while True:
+        end = min(at + most, len(text))
+        if end < len(text):
+            ends = [i + 1 for i in range(at + most // 2, end) if text[i] in chunking.ENDS]
+            end = ends[-1] if ends else end
+        out.append(text[at:end].strip())
+        if end == len(text):
+            return [x for x in out if x]
+        at = max(end - overlap, at + 1)
+
+
+def test_windows(spark):
+    texts = ["".join(f"Sentence number {i} goes on for a while.\n" for i in range(60)), "a" * 1000, "短。" * 500, " " * 900 + "x", "", None, "short "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in chunking.windows(rows).orderBy("doc_id", "piece").collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["piece_text"]))
+        assert texts[r["doc_id"]][r["start"] :].lstrip().startswith(r["piece_text"])
+    assert got == {i: list(enumerate(brute_windows(t))) for i, t in enumerate(texts) if t}
 
 
 def test_headings(spark):
-    md = "intro\n# A\none\n### C\n\n## B\ntwo\n#nohead\n# D\n"
-    rows = chunking.sections(spark.createDataFrame([(1, md)], "doc_id long, text string")).orderBy("section_no").collect()
-    assert [(r["path"], r["body"]) for r in rows] == [("", "intro"), ("A", "one"), ("A > B", "two\n#nohead")]
+    md = "intro\n# A\r\none\r\n### C\n\n## B\n two \n#nohead\n# D\n"
+    rows = chunking.sections(spark.createDataFrame([(1, md), (2, ""), (3, None)], "doc_id long, text string")).orderBy("section_no").collect()
+    assert [(r["section_no"], r["path"], r["start"], r["body"]) for r in rows] == [(0, "", 0, "intro"), (1, "A", 10, "one"), (2, "A > B", 26, "two \n#nohead")]
+
+
+def test_chunks(spark):
+    md = "# A\n\n# B\n" + "x" * 500
+    rows = chunking.chunks(spark.createDataFrame([("d", "T", md)], "doc_id string, title string, text string")).orderBy("chunk_id").collect()
+    assert [(r["chunk_id"].rsplit("-", 1)[0], r["title"], r["section"], r["start"], len(r["text"])) for r in rows] == [("d#0-0", "T", "B", 9, 420), ("d#0-1", "T", "B", 9, 160)]
 
 
-def test_retrieval(spark):
-    docs = spark.createDataFrame([(1, "alpha beta beta", "alpha"), (2, "beta gamma", ""), (3, "", ""), (4, None, None)], "doc_id long, text string, section string")
+def test_retrieval(spark, monkeypatch):
+    schema = "doc_id string, title string, section string, text string, source_type string"
+    rows = [("1", "t", "alpha", "alpha beta beta", "knowledge"), ("2", "t", "", "beta gamma", "knowledge"), ("3", "t", "", "", "knowledge"), ("4", None, None, None, "knowledge"), ("g#0", "g", "x", "alpha alpha", "glossary")]
+    docs = spark.createDataFrame(rows, schema)
     asked = spark.createDataFrame([(1, "alpha"), (2, "nothing")], "query_id long, text string")
+    glossary = spark.createDataFrame([("gamma", "gamma", None, 1)], "term string, canonical string, aliases array<string>, ord int")
     scores = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.bm25(asked, docs).collect()}
-    assert set(scores) == {(1, 1)} and scores[1, 1] > 0
-    top = retrieval.hybrid(asked, asked.limit(0), docs, spark.createDataFrame([], "doc_id long, hits int"), 3).collect()
-    assert [(r["query_id"], r["doc_id"], r["section_hit"]) for r in top] == [(1, 1, 1)]
+    assert set(scores) == {(1, "1"), (1, "g#0")} and scores[1, "1"] > 0
+    near = sorted(map(tuple, retrieval.ranked(retrieval.cosine(asked, docs, 1), 1).drop("rank").collect()))
+    assert near == sorted(map(tuple, retrieval.ranked(retrieval.cosine(asked, docs), 1).drop("rank").collect())) == [(1, "g#0", 1.0)]
+    top = retrieval.hybrid(asked, docs, glossary, 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["section_hit"], r["term_hits"]) for r in top] == [(1, "1", 1, 0), (1, "g#0", 0, 0)]
+    free = retrieval.hybrid(asked, docs, glossary.withColumn("term", F.lit("alpha")).withColumn("canonical", F.lit("alpha")), 3)
+    assert free.filter("doc_id = 'g#0'").first()["score"] > 1.5 * top[1]["score"]  # a query with a term is not held off the glossary
+    for name in ("BROADCAST_TERMS", "BROADCAST_QUERIES"):
+        monkeypatch.setattr(retrieval, name, 0)
+    assert retrieval.hybrid(asked, docs, glossary, 3).orderBy("rank").collect() == top
+
+
+def test_lookup(spark):
+    g = spark.createDataFrame([("rag", "retrieval", ["r2"], 1), ("drag", "drag", None, 2), ("x", "x", None, 3)], "term string, canonical string, aliases array<string>, ord int")
+    needles = spark.createDataFrame([(1, " RAG "), (2, "ra"), (3, "none"), (4, "an x")], "id long, needle string")
+    got = {r["id"]: (r["exact"], r["n"], [m["term"] for m in r["matches"]]) for r in terms.lookup(needles, g, "id").collect()}
+    assert got == {1: (True, 1, ["rag"]), 2: (False, 2, ["rag", "drag"]), 4: (False, 1, ["x"])}
 
 
 def test_terms(spark):
