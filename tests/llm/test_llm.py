@@ -326,21 +326,35 @@ def test_unigram_viterbi_is_the_library_s(tmp_path):
         assert coder.decode(coder.encode(t)) == library.decode(library.encode(t))
 
 
-def test_topk_is_brute_force(spark):
-    rng = np.random.default_rng(4)
-    rows = [(int(i), [float(x) for x in v], "z") for i, v in enumerate(rng.normal(0, 0.3, (300, 8)).astype(np.float32))]
-    rows += [(300, rows[0][1], "z"), (301, None, "z"), (302, [1.0, None], "z"), (None, [1.0] * 8, "z"), (303, [float("nan")] * 8, "z"), (320, [2.0, 1.0], "z")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    ok = [(i, [math.floor(64 * float(np.float32(x))) for x in v] + [0] * (8 - len(v))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+def brute_topk(rows, kind=np.float64):
+    ok = [(i, [math.floor(64 * float(kind(x))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, a in ok:
         if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:20]
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q)[:20]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(map(tuple, topk.search(df).collect())) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("candidates", [8192, 50])
+def test_topk_is_brute_force(spark, candidates, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", candidates)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in v], "z") for i, v in enumerate(rng.normal(0, 0.3, (300, 8)).astype(np.float32))]
+    rows += [(300, rows[0][1], "z"), (301, None, "z"), (302, [1.0, None], "z"), (None, [1.0] * 8, "z"), (303, [float("nan")] * 8, "z"), (304, [float("inf")] * 8, "z"), (320, [2.0, 1.0], "z")]
+    rows += [(40, rows[7][1], "z"), (40, rows[7][1], "z"), (41, rows[7][1], "z")]  # a query id with three rows, two of them equal
+    rows += [(400 + k, rows[5][1], "z") for k in range(30)]  # ties over the last rank
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    assert sorted(map(tuple, topk.search(df).collect())) == brute_topk(rows, np.float32)
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rows = [(20, [1e18, -3.0], ""), (1, [1e18, 0.0], ""), (2, [2.0**53, 5.0], ""), (3, [1e-3, 2.0**60], ""), (4, [-1e300, 1.0], ""), (5, [0.5, 0.5], "")]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows)
+
+
 def brute_quality(t):
     w = re.findall(WORD, t or "")
     seen, repeat = {}, set()
