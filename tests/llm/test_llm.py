@@ -459,6 +459,40 @@ def test_toxicity_gives_each_class_its_characters(spark, monkeypatch):
         toxicity.fit(df, labels.filter("toxic = 0").union(labels.filter("doc_id = 1")))
 
 
+def test_pipeline_stages_take_any_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng, marks = random.Random(21), []
+    rows = [(i, prose(40, rng) + (" wretched scoundrel imbecile" * 3 if i % 4 == 0 else "")) for i in range(160)]
+    marks = [(i, 1, int(i % 4 == 0)) for i, _ in rows] + [(None, 1, 1), (3, None, None)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = prose(30_000, rng)
+    odd = [(None, None), (7, None), (7, ""), (7, " \n"), (3, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (900, long), (901, long + " end"), (902, "mail a@b.co " + prose(30, rng))]
+    extra = {"_row": "1", "_hash": "'h'", "base": "2", "wide": "3", "row": "4", "score": "'s'", "sid": "5", "kind": "6", "toxic": "7", "key": "8", "m": "9", "all": "10"}
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").selectExpr("doc_id", "text", *[f"{v} as {k}" for k, v in extra.items()]).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        got, had = Counter(map(tuple, out.collect())), Counter(map(tuple, docs.collect()))
+        texts_of = lambda c: Counter({(r[0], r[1]): n for r, n in c.items()})
+        if name == "personal_data":
+            assert len(got) == len(had) and any(r[0] == 902 and "<EMAIL>" in r[1] for r in got)
+        else:
+            assert not got - had
+        kept = texts_of(got)
+        if name == "toxicity":
+            assert kept[None, None] == 1 and sum(n for (i, _), n in kept.items() if i is not None and i < 160 and i % 4 == 0 and i != 3) < 8
+        if name == "quality_rules":
+            assert kept == Counter({(r[0], r[1]): n for r, n in had.items() if brute_quality(r[1])[-1]})
+        if name == "near_duplicates":
+            assert kept[None, None] + kept[7, None] + kept[7, ""] + kept[7, " \n"] == 4 and kept[3, rows[3][1]] == 1
+            assert kept[None, rows[5][1]] == 0 and kept[901, long + " end"] == 0 and kept[900, long] == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.filter("piece = 0").count() == docs.count() and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
