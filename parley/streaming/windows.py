@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,29 +39,47 @@ def frames(stream: DataFrame) -> DataFrame:
         count, size = state.get if state.exists else (0, 0)
         out = []
         for frame in rows:
-            for kind, n in zip(frame["kind"], frame["size"], strict=True):
-                if kind == "stop":
-                    out.append((key[0], count, size))
-                    count = size = 0
-                else:
-                    count, size = count + 1, size + int(n)
+            stop = (frame["kind"] == "stop").to_numpy(bool)
+            counts = count + np.cumsum(~stop)
+            sizes = size + np.cumsum(np.where(stop, 0, frame["size"].fillna(0)).astype(np.int64))
+            ends = np.flatnonzero(stop)
+            each = pd.DataFrame({"frames": np.diff(counts[ends], prepend=0), "bytes": np.diff(sizes[ends], prepend=0)})
+            out.append(each.assign(conn_id=key[0]))
+            count, size = (int(x[-1] - (x[ends[-1]] if len(ends) else 0)) for x in (counts, sizes))
         state.update((count, size))
-        yield pd.DataFrame(out, columns=["conn_id", "frames", "bytes"])
+        yield pd.concat(out)[["conn_id", "frames", "bytes"]]
 
     return stream.groupBy("conn_id").applyInPandasWithState(step, "conn_id long, frames long, bytes long", "frames long, bytes long", "append", "NoTimeout")
 
 
-def into_ledger(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that upserts each micro-batch; a repeated batch changes nothing."""
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket of a ledger, among finished versions below `before`."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at(path))] if fs.exists(at(path)) else []
+    found: dict[int, str] = {}
+    for version in sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()):
+        if (before is None or version < before) and fs.exists(at(f"{path}/v{version}/_SUCCESS")):
+            inside = [s.getPath().getName() for s in fs.listStatus(at(f"{path}/v{version}"))]
+            found |= {int(n.split("=")[1]): f"{path}/v{version}/{n}" for n in inside if n.startswith("bucket=")}
+    return found
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that into_ledger() keeps, its newest state."""
+    return spark.read.parquet(*_newest(spark, path).values())
+
+
+def into_ledger(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that upserts each micro-batch; a repeated batch changes nothing. Keys are dealt into buckets by
+    hash, and a batch reads and writes only those that it touches, each as a new version beside the old ones."""
     from parley.operators.ledger import upserted
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v")) if fs.exists(fs_path) else []
-        done = [v for v in versions if v < epoch and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}/_SUCCESS"))]
-        merged = upserted(spark.read.parquet(f"{path}/v{done[-1]}"), batch) if done else upserted(batch.limit(0), batch)
-        merged.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64("item_key", "target"), F.lit(buckets)).cast("int")
+        touched = {r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()}  # no more than there are buckets
+        old = [p for k, p in _newest(spark, path, epoch).items() if k in touched]
+        merged = upserted(spark.read.schema(batch.schema).parquet(*old) if old else batch.limit(0), batch)
+        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{epoch}")
 
     return write

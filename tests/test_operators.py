@@ -158,4 +158,10 @@ def test_streams(spark, tmp_path):
     write = windows.into_ledger(str(tmp_path / "ledger"))
     write(batch, 0)
     write(batch, 1)
-    assert spark.read.parquet(str(tmp_path / "ledger/v1")).count() == 1
+    more = spark.createDataFrame([(f"k{i}", "t", f"B{i}", 2, 2.0) for i in range(50)] + [("k", "t", "B", 2, 2.0)], batch.schema)
+    write(more, 2)
+    write(more, 2)
+    kept = {r["item_key"]: tuple(r)[2:] for r in windows.read_ledger(spark, str(tmp_path / "ledger")).select(*batch.columns).collect()}
+    assert len(kept) == 51 and kept["k"] == ("B", 1, 2.0) and kept["k7"] == ("B7", 2, 2.0)
+    write(spark.createDataFrame([("k3", "t", "C", 3, 3.0)], batch.schema), 3)
+    assert len(list((tmp_path / "ledger/v3").glob("bucket=*"))) == 1 and windows.read_ledger(spark, str(tmp_path / "ledger")).count() == 51
