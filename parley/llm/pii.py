@@ -209,13 +209,13 @@ def _clean(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans for every row of docs (doc_id, text)."""
+    """doc_id, counts of base spans by kind, base_sha256, spans, n_spans (of all) for every row of docs (doc_id, text)."""
     found = all_spans(_clean(docs, F.col("doc_id").cast("long").alias("doc_id")))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -418,6 +418,7 @@ def test_personal_data(spark, empty):
             spans = want[by_id[r["doc_id"]]]
             assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
             assert set(spans) <= set(filter(None, r["spans"].split(",")))
+            assert r["n_spans"] == len(list(filter(None, r["spans"].split(","))))
             assert [r[f"n_{k}"] for k in BASE] == [sum(s.startswith(k) for s in spans) for k in BASE]
     out = pii.redacted(df)
     assert out.columns == df.columns and out.count() == df.count()
