@@ -22,6 +22,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .lm import held_out
 
-SAMPLE, CHARS = 6_000, 60_000_000
+SAMPLE, CHARS = 3_000, 30_000_000
 #: What makes the opening of a word telling, and the shortest and longest opening but the whole word.
 RATE, SHARE, OPENING = 12.0, 0.02, (3, 8)
 #: Bytes of the common part, of the toxic dictionary beyond it at most, and of the windows that one is trained on.
@@ -84,24 +86,38 @@ def _trained(size: int, windows: list[bytes]) -> bytes:
     """A dictionary of zstandard; of windows too few to train one, the windows themselves."""
     import zstandard as z
 
-    windows = windows[:: 1 + sum(map(len, windows)) // TRAINED]
     try:
         return z.train_dictionary(size, windows, k=16, d=6, steps=1).as_bytes()
     except z.ZstdError:
         return b"".join(dict.fromkeys(windows))[-size:]
 
 
+def _evenly(windows: Callable[[], Iterator[bytes]]) -> list[bytes]:
+    """Every k-th window, so that TRAINED bytes are not exceeded by much."""
+    step = 1 + sum(map(len, windows())) // TRAINED
+    return list(islice(windows(), 0, None, step))
+
+
 def dictionaries(rows: list[tuple[str, int]]) -> Compressors:
-    counts, total, held = [Counter(), Counter()], [0, 0], []
-    for text, toxic in rows:
-        held.append((words(text), toxic))
-        counts[toxic].update(set().union(*map(openings, set(held[-1][0]))))
-        total[toxic] += 1
-    least = max(4, SHARE * total[1])
-    telling = {u for u, n in counts[1].items() if n >= least and n / total[1] >= RATE * (counts[0][u] + 1) / total[0]}
-    toxic = _trained(TOXIC, [f" {w} ".encode() for own, label in held if label for w in own if openings(w) & telling])
-    ordinary = _trained(COMMON + len(toxic) + 4_000, [f" {' '.join(own[k : k + 4])} ".encode() for own, label in held if not label for k in range(0, len(own), 4)])
-    base, rest = ordinary[-COMMON:], ordinary[:-COMMON][-len(toxic) :] if toxic else b""
+    """Texts are cut into words again for each purpose: the driver holds no words of all of them."""
+    texts = {label: [t for t, own in rows if own == label] for label in (0, 1)}
+    held = Counter()
+    for text in texts[1]:
+        held.update(set().union(*map(openings, set(words(text)))))
+    many = {u: n for u, n in held.items() if n >= max(4, SHARE * len(texts[1]))}
+    ordinary = Counter()
+    for text in texts[0]:
+        ordinary.update(set().union(*map(openings, set(words(text)))).intersection(many))
+    telling = {u for u, n in many.items() if n / len(texts[1]) >= RATE * (ordinary[u] + 1) / len(texts[0])}
+    toxic = _trained(TOXIC, _evenly(lambda: (f" {w} ".encode() for text in texts[1] for w in words(text) if openings(w) & telling)))
+
+    def fours():
+        for text in texts[0]:
+            own = words(text)
+            yield from (f" {' '.join(own[k : k + 4])} ".encode() for k in range(0, len(own), 4))
+
+    both = _trained(COMMON + len(toxic) + 4_000, _evenly(fours))
+    base, rest = both[-COMMON:], both[:-COMMON][-len(toxic) :] if toxic else b""
     return Compressors(base[-500:-400].decode("utf-8", "ignore"), base + rest, base + toxic)
 
 
