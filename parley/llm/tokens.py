@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stretches that a worker remembers at most, about 200 bytes each, and the longest that it remembers.
-REMEMBERED, LONGEST = 1_000_000, 100
+REMEMBERED, LONGEST = 700_000, 100
 _MARKS = ".,!?;:"
 _RUNS = re.compile(r"\s*\S+|\s+$")
 _ODD = re.compile("[\0\x1c-\x1f]")
