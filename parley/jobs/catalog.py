@@ -755,26 +755,30 @@ def context_query(spark, d):
     return q.join(hit, "query_id", "left").select("query_id", F.concat_ws(" ", F.substring(F.translate("text", "\n", " "), 1, 240), F.array_join(F.transform("t", lambda x: x["term"]), " ")).alias("context_query"))
 
 
-@query("select q.vec_id as query_id, c.vec_id, round(list_inner_product(q.embedding::double[], c.embedding::double[]), 4) as score from embeddings q, embeddings c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id qualify row_number() over (partition by q.vec_id order by round(list_inner_product(q.embedding::double[], c.embedding::double[]), 4) desc, c.vec_id) <= 10")
+@query("select q.vec_id as query_id, c.vec_id, round(list_inner_product(q.embedding::double[], c.embedding::double[]), 4) as score from embeddings q, embeddings c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id qualify row_number() over (partition by q.vec_id order by round(list_inner_product(q.embedding::double[], c.embedding::double[]), 4) desc, c.vec_id) <= 10")
 def join_vector_cross(spark, d):
-    """Ten nearest vectors of every fiftieth one: a stated set of queries against all rows, cut to ten by a group limit before the shuffle."""
-    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("y"))
-    score = F.round(F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 4)
-    scores = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scores.withColumn("k", rank).filter("k <= 10").drop("k")
+    """Ten nearest vectors of every hundredth one: a stated set of queries against all rows."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    found = retrieval.nearest(v.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, 10)
+    return retrieval.ranked(found, 10).select("query_id", F.col("doc_id").alias("vec_id"), "score")
 
 
-@query("select doc_id, len(list_distinct(list_intersect(a, b)))::int as common from (select doc_id, string_split(lang || ' ' || source || ' x', ' ') as a, string_split('en src0 src1 x', ' ') as b from documents)")
+@query("select a.user_id, count(*) as common, string_agg(a.event_type, ',' order by a.event_type) as tools from (select distinct user_id, event_type from events where value < 50) a join (select distinct user_id, event_type from events where value >= 50) b on a.user_id = b.user_id and a.event_type = b.event_type group by a.user_id")
 def setop_intersect_tools(spark, d):
-    own = F.split(F.concat_ws(" ", "lang", "source", F.lit("x")), " ")
-    return docs(spark, d).select("doc_id", F.size(F.array_intersect(own, F.array(*map(F.lit, ("en", "src0", "src1", "x"))))).alias("common"))
+    """The tools that a user called for small and for large values alike: an intersection of two sets a user."""
+    e = table(spark, d, "events")
+    small, large = (e.filter(x).select("user_id", "event_type").distinct() for x in (F.col("value") < 50, F.col("value") >= 50))
+    both = small.intersect(large)
+    return both.groupBy("user_id").agg(F.count("*").alias("common"), F.array_join(F.array_sort(F.collect_list("event_type")), ",").alias("tools"))
 
 
-@query("select source, count(*) as n, round(avg((lang = 'en')::int), 6) as filled, bool_and(text is not null) as whole from documents group by source")
+@query("with r as (select conv_id, bool_or(role = 'system') as a, bool_or(role = 'user' and length(text) > 0) as b, bool_or(role = 'assistant' and length(text) > 0) as c from conversations group by conv_id) select conv_id, round((a::int + b::int + c::int) / 3, 6) as complete from r")
 def eval_completeness(spark, d):
-    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg((F.col("lang") == "en").cast("int")), 6).alias("filled"), F.bool_and(F.col("text").isNotNull()).alias("whole"))
+    """The share of the three parts of a conversation (system, user, assistant) that it has."""
+    part = lambda x: F.coalesce(F.max(x.cast("int")), F.lit(0))
+    role, filled = F.col("role"), F.length("text") > 0
+    parts = part(role == "system") + part((role == "user") & filled) + part((role == "assistant") & filled)
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.round(parts / 3, 6).alias("complete"))
 
 
 @query("select on_.user_id, on_.hits as on_hits, off_.hits as off_hits from (select user_id, count(*) as hits from events where event_id % 2 = 0 group by 1) on_ join (select user_id, count(*) as hits from events where event_id % 2 = 1 group by 1) off_ using (user_id) where on_.hits > off_.hits")

@@ -115,6 +115,33 @@ def cosine(queries: DataFrame, corpus: DataFrame, most: int | None = None, keys:
     return corpus.select("doc_id", buckets(F.col("text"), dims).alias("b")).mapInPandas(best, schema)
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """query_id, doc_id, score: inner products, rounded to 4 digits, of queries (query_id, x) with vectors (doc_id, x) of
+    other ids; of each query at least the `most` best. All vectors have one length."""
+    if queries.count() > BROADCAST_QUERIES:
+        dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        both = vectors.join(queries.select("query_id", F.col("x").alias("y")), F.col("doc_id") != F.col("query_id"))
+        return both.select("query_id", "doc_id", F.round(dot, 4).alias("score"))
+    asked = queries.select("query_id", "x").toArrow().to_pandas()
+    shared = queries.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), np.array(asked["x"].tolist(), float)))
+
+    def best(frames):
+        names, matrix = shared.value
+        for f in frames:
+            if not len(f) or not len(names):
+                continue
+            ids = f["doc_id"].to_numpy()
+            score = np.round(np.array(f["x"].tolist(), float) @ matrix.T, 4)
+            score[ids[:, None] == names[None, :]] = -np.inf
+            if len(f) > most:
+                score[score < np.partition(score, len(f) - most, axis=0)[len(f) - most]] = -np.inf
+            doc, query = np.nonzero(np.isfinite(score))
+            yield pd.DataFrame({"query_id": names[query], "doc_id": ids[doc], "score": score[doc, query]})
+
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]
+    return vectors.select("doc_id", "x").mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
 def ranked(scores: DataFrame, most: int, by: str = "score", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The best `most` of each query with `rank` from 1; ties go to the smaller id."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), "doc_id"))
