@@ -355,10 +355,10 @@ def term_boost(spark, d):
     return terms.hits(docs(spark, d), glossary(spark, d), "doc_id")
 
 
-@query(f"with {_GL} select string_agg('- ' || term || ': about ' || term, chr(10) order by ord) as block from gl")
+@query(f"with {_GL} select '{terms.PROMPT_HEADING}' || chr(10) || string_agg('- ' || term || '（别名：' || substr(term, 1, 5) || '）：about ' || term, chr(10) order by ord) as block from gl")
 def term_prompt_block(spark, d):
-    lines = F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), "term", F.lit(": "), "definition").alias("line"))))
-    return glossary(spark, d).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))
+    line = terms.prompt_line(F.col("canonical"), F.col("aliases"), F.col("definition"))
+    return glossary(spark, d).agg(F.concat(F.lit(terms.PROMPT_HEADING + "\n"), reports.joined("ord", line)).alias("block"))
 
 
 @query(f"with recursive {_GL}, {_GLOSSARY_CHUNKS} select * from gc")
@@ -491,13 +491,23 @@ def eval_term_hit(spark, d):
     return evaluation.term_hits(terms.matches(q, g, "query_id").select("query_id", "term"), hybrid_search(spark, d), corpus(spark, d))
 
 
-@query(f"with recursive {_HYBRID}, top as (select query_id, doc_id from hy where rank = 1), us as (select query_id, term, 0 as k, ord from qm union all select top.query_id, fo2.term, 1, fo2.ord from top join co using (doc_id) join (select distinct term, ord, form from fo) fo2 on length(form) >= 2 and contains(lower(co.text), lower(form)) where source_type <> 'glossary') select query_id, string_agg(term, ',' order by k, ord) as used from (select query_id, term, min(k) as k, min(ord) as ord from us group by all) group by query_id")
+_USED = "top as (select query_id, doc_id from hy where rank = 1), us as (select query_id, term, 0 as k, ord from qm union all select top.query_id, fo2.term, 1, fo2.ord from top join co using (doc_id) join (select distinct term, ord, form from fo) fo2 on length(form) >= 2 and contains(lower(co.text), lower(form)) where source_type <> 'glossary'), ut as (select query_id, term, min(k) as k, min(ord) as ord from us group by all)"
+_BLOCKS = "bl as (select query_id, string_agg('[' || rank || '] ' || title || case when section <> '' then ' / ' || section else '' end || chr(10) || text, chr(10) || chr(10) order by rank) as block from hy join co using (doc_id) group by query_id)"
+
+
+@query(f"with recursive {_HYBRID}, {_USED} select query_id, string_agg(term, ',' order by k, ord) as used from ut group by query_id")
 def qa_used_terms(spark, d):
     """The terms that constrain an answer: those of the query, then those of the best chunk."""
     q, g = asked(spark, d), glossary(spark, d)
     return terms.used(q, g, hybrid_search(spark, d), corpus(spark, d))
 
 
+@query(f"with recursive {_HYBRID}, {_USED}, {_BLOCKS}, tb as (select query_id, string_agg('- ' || term || '（别名：' || substr(term, 1, 5) || '）：about ' || term, chr(10) order by k, ord) as terms from ut group by query_id) select query_id, concat_ws(chr(10) || chr(10), '{retrieval.SOURCES}' || chr(10) || block, '{terms.PROMPT_HEADING}' || chr(10) || terms, '{retrieval.QUESTION}' || chr(10) || text, '{retrieval.RULES}') as prompt from q join bl using (query_id) left join tb using (query_id)")
+def qa_prompt(spark, d):
+    """What an answering model is given for each query."""
+    return retrieval.prompts(asked(spark, d), glossary(spark, d), hybrid_search(spark, d), corpus(spark, d))
+
+
 # --- conversations ---
 @query(f"with {_STATS} select meeting_id, speaker, duration, ratio, n_chars, turns, place from stats")
 def speaker_stats(spark, d):
@@ -742,7 +752,7 @@ def qa_no_hit(spark, d):
     return asked(spark, d).join(strong, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) >= 3).alias("answered"))
 
 
-@query(f"with recursive {_HYBRID} select query_id, string_agg('[' || rank || '] ' || title || case when section <> '' then ' / ' || section else '' end || chr(10) || text, chr(10) || chr(10) order by rank) as block from hy join co using (doc_id) group by query_id")
+@query(f"with recursive {_HYBRID}, {_BLOCKS} select * from bl")
 def context_block(spark, d):
     """Numbered results with their citations and texts."""
     return retrieval.context_blocks(hybrid_search(spark, d), corpus(spark, d))

@@ -202,3 +202,15 @@ def context_blocks(results: DataFrame, corpus: DataFrame) -> DataFrame:
     own = results.select("query_id", "rank", "doc_id").join(corpus.select("doc_id", "title", "section", "text"), "doc_id")
     entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), T.citation(F.col("title"), F.col("section")), F.lit("\n"), F.trim("text"))
     return own.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))), lambda x: x["entry"]), "\n\n").alias("block"))
+
+
+#: Headings and rules of a prompt.
+SOURCES, QUESTION = "## 参考资料", "## 问题"
+RULES = "## 要求\n- 只依据参考资料回答，资料中没有的内容写「资料中未提及」；\n- 每条结论后用 [编号] 标注来源；\n- 使用公司标准术语。"
+
+
+def prompts(queries: DataFrame, glossary: DataFrame, results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, prompt of the queries that have results: numbered sources, the terms to use, the question, the rules."""
+    both = queries.join(context_blocks(results, corpus), "query_id").join(terms.prompt_blocks(queries, glossary, results, corpus), "query_id", "left")
+    parts = F.concat_ws("\n\n", F.concat(F.lit(SOURCES + "\n"), "block"), "terms", F.concat(F.lit(QUESTION + "\n"), "text"), F.lit(RULES))
+    return both.select("query_id", parts.alias("prompt"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,10 +61,32 @@ def lookup(needles: DataFrame, glossary: DataFrame, key: str, most: int = 5) ->
     return sides.select(key, "exact", F.size(chosen).cast("long").alias("n"), F.slice(chosen, 1, most).alias("matches"))
 
 
-def used(queries: DataFrame, glossary: DataFrame, results: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, used: the terms of a query, then those of its first result (none of a glossary chunk), each once."""
+def prompt_line(canonical: Column, aliases: Column, definition: Column) -> Column:
+    """A term as it stands in a prompt (marks and label are fixed values)."""
+    alias = F.when(F.size(F.coalesce(aliases, F.array().cast("array<string>"))) > 0, F.concat(F.lit("（别名："), F.array_join(aliases, "、"), F.lit("）"))).otherwise("")
+    return F.concat(F.lit("- "), canonical, alias, F.lit("："), definition)
+
+
+#: Fixed value: the heading of the terms in a prompt.
+PROMPT_HEADING = "## 公司内部术语（回答时必须使用下列标准术语，不要改写成近义词或自造说法）"
+
+
+def _used(queries: DataFrame, glossary: DataFrame, results: DataFrame, corpus: DataFrame) -> DataFrame:
     own = matches(queries, glossary, "query_id").select("query_id", "term", F.lit(0).alias("k"), "ord")
     first = results.filter("rank = 1").join(corpus.filter("source_type != 'glossary'").select("doc_id", "text"), "doc_id").select("query_id", "text")
     more = matches(first, glossary, "query_id").select("query_id", "term", F.lit(1).alias("k"), "ord")
-    each = own.unionByName(more).groupBy("query_id", "term").agg(F.min(F.struct("k", "ord")).alias("at"))
+    return own.unionByName(more).groupBy("query_id", "term").agg(F.min(F.struct("k", "ord")).alias("at"))
+
+
+def used(queries: DataFrame, glossary: DataFrame, results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, used: the terms of a query, then those of its first result (none of a glossary chunk), each once."""
+    each = _used(queries, glossary, results, corpus)
     return each.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]), ",").alias("used"))
+
+
+def prompt_blocks(queries: DataFrame, glossary: DataFrame, results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, terms: the used terms that have a definition, under their heading."""
+    line = prompt_line(F.coalesce("canonical", "term"), F.col("aliases"), F.col("definition")).alias("line")
+    named = glossary.filter(F.coalesce("definition", F.lit("")) != "").select("term", line)
+    lines = _used(queries, glossary, results, corpus).join(named, "term").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
+    return lines.select("query_id", F.array_join(F.concat(F.array(F.lit(PROMPT_HEADING)), "lines"), "\n").alias("terms"))
