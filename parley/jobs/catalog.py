@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from parley.functions import text as T
 from parley.operators import chunking, conversation, evaluation, ledger, reports, retrieval, terms
-from parley.sources import readers
+from parley.sources import readers, shared
 from parley.streaming import windows as streams
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -301,9 +301,10 @@ def chunks(spark, d):
 
 
 def corpus(spark, d):
-    """The chunks of all documents and of the glossary; every chunk is a document to retrieval."""
+    """The chunks of all documents and of the glossary; every chunk is a document to retrieval. It is cut and analysed once
+    and kept as a table, which each channel reads."""
     both = chunks(spark, d).unionByName(terms.chunks(glossary(spark, d)))
-    return both.select(F.col("chunk_id").alias("doc_id"), "title", "section", "text", "source_type")
+    return shared.written(retrieval.analysed(both.select(F.col("chunk_id").alias("doc_id"), "title", "section", "text", "source_type")), "corpus")
 
 
 @query(f"with {_SECTIONS} select * from sec")
@@ -368,7 +369,7 @@ def term_to_chunks(spark, d):
 
 @query(f"with recursive {_CORPUS} select doc_id, title, section, text, source_type from co")
 def scan_corpus_union(spark, d):
-    return corpus(spark, d)
+    return corpus(spark, d).drop("tokens")
 
 
 @query(f"with {_GL}, nd as (select o_orderkey, split_part(replace(o_clerk, '#', ' '), ' ', 1) as needle from (select o_orderkey, case when o_orderkey % 3 = 0 then (select term from gl where ord = 1 + o_orderkey % 20) when o_orderkey % 3 = 1 then (select substr(term, 1, 3) from gl where ord = 1 + o_orderkey % 20) else 'x' || o_orderkey end as o_clerk from orders)), ma as (select o_orderkey, term, ord, list_contains(forms, needle) as same from nd join gl on len(list_filter(forms, lambda f: contains(f, needle) or contains(needle, f))) > 0), be as (select *, bool_or(same) over (partition by o_orderkey) as exact from ma) select o_orderkey, exact, string_agg(term, ',' order by ord) filter (k <= 5) as terms, max(n)::bigint as n from (select *, row_number() over (partition by o_orderkey order by ord) as k, count(*) over (partition by o_orderkey) as n from be where same = exact) group by o_orderkey, exact")
@@ -431,7 +432,13 @@ def rrf_fuse(spark, d):
 
 @query(f"with recursive {_HYBRID} select * from hy")
 def hybrid_search(spark, d):
-    return retrieval.hybrid(asked(spark, d), corpus(spark, d), glossary(spark, d))
+    return _searched(spark, d)[0]
+
+
+def _searched(spark, d):
+    """The results of all queries, and the corpus that they come from."""
+    c = corpus(spark, d)
+    return retrieval.hybrid(asked(spark, d), c, glossary(spark, d)), c
 
 
 def expected(spark, d):
@@ -481,14 +488,14 @@ def eval_ablation_delta(spark, d):
 @query(f"with recursive {_HYBRID}, cited as (select query_id, doc_id, rank from hy) select query_id, count(*) as cited, round(avg((co.doc_id is not null)::int), 6) as verifiable from cited left join co using (doc_id) group by query_id")
 def eval_citation_verifiable(spark, d):
     """The share of each query's citations that name a chunk of the corpus."""
-    return evaluation.verifiable(hybrid_search(spark, d), corpus(spark, d))
+    return evaluation.verifiable(*_searched(spark, d))
 
 
 @query(f"with recursive {_HYBRID}, tq as (select query_id, term from qm), hit as (select distinct tq.query_id, tq.term from tq join hy using (query_id) join co using (doc_id) where contains(lower(co.text), lower(tq.term))) select query_id, count(tq.term) as expected, count(hit.term) as found, round(count(hit.term) / count(tq.term), 6) as share from tq left join hit using (query_id, term) group by query_id")
 def eval_term_hit(spark, d):
     """The share of a query's terms that its results hold."""
     q, g = asked(spark, d), glossary(spark, d)
-    return evaluation.term_hits(terms.matches(q, g, "query_id").select("query_id", "term"), hybrid_search(spark, d), corpus(spark, d))
+    return evaluation.term_hits(terms.matches(q, g, "query_id").select("query_id", "term"), *_searched(spark, d))
 
 
 _USED = "top as (select query_id, doc_id from hy where rank = 1), us as (select query_id, term, 0 as k, ord from qm union all select top.query_id, fo2.term, 1, fo2.ord from top join co using (doc_id) join (select distinct term, ord, form from fo) fo2 on length(form) >= 2 and contains(lower(co.text), lower(form)) where source_type <> 'glossary'), ut as (select query_id, term, min(k) as k, min(ord) as ord from us group by all)"
@@ -499,13 +506,13 @@ _BLOCKS = "bl as (select query_id, string_agg('[' || rank || '] ' || title || ca
 def qa_used_terms(spark, d):
     """The terms that constrain an answer: those of the query, then those of the best chunk."""
     q, g = asked(spark, d), glossary(spark, d)
-    return terms.used(q, g, hybrid_search(spark, d), corpus(spark, d))
+    return terms.used(q, g, *_searched(spark, d))
 
 
 @query(f"with recursive {_HYBRID}, {_USED}, {_BLOCKS}, tb as (select query_id, string_agg('- ' || term || '（别名：' || substr(term, 1, 5) || '）：about ' || term, chr(10) order by k, ord) as terms from ut group by query_id) select query_id, concat_ws(chr(10) || chr(10), '{retrieval.SOURCES}' || chr(10) || block, '{terms.PROMPT_HEADING}' || chr(10) || terms, '{retrieval.QUESTION}' || chr(10) || text, '{retrieval.RULES}') as prompt from q join bl using (query_id) left join tb using (query_id)")
 def qa_prompt(spark, d):
     """What an answering model is given for each query."""
-    return retrieval.prompts(asked(spark, d), glossary(spark, d), hybrid_search(spark, d), corpus(spark, d))
+    return retrieval.prompts(asked(spark, d), glossary(spark, d), *_searched(spark, d))
 
 
 # --- conversations ---
@@ -755,7 +762,7 @@ def qa_no_hit(spark, d):
 @query(f"with recursive {_HYBRID}, {_BLOCKS} select * from bl")
 def context_block(spark, d):
     """Numbered results with their citations and texts."""
-    return retrieval.context_blocks(hybrid_search(spark, d), corpus(spark, d))
+    return retrieval.context_blocks(*_searched(spark, d))
 
 
 @query(f"with {_Q}, {_FORMS}, {_EX} select query_id, substr(replace(text, chr(10), ' '), 1, 240) || coalesce(' ' || t, '') as context_query from q left join (select query_id, string_agg(term, ' ' order by k) filter (k <= 6) as t from (select *, row_number() over (partition by query_id order by longest desc, ord) as k from qm) group by query_id) using (query_id)")

@@ -37,9 +37,18 @@ class Weights:
     glossary: float = 0.6
 
 
+def analysed(corpus: DataFrame) -> DataFrame:
+    """The corpus with the tokens of its texts, for an index to keep: what follows takes a column of that name as it is."""
+    return corpus.withColumn("tokens", T.tokens(F.coalesce("text", F.lit(""))))
+
+
+def _tokens(df: DataFrame) -> Column:
+    return F.col("tokens") if "tokens" in df.columns else T.tokens(F.coalesce("text", F.lit("")))
+
+
 def tokens_of(corpus: DataFrame) -> DataFrame:
     """doc_id, len (tokens of the text), term: a row for each token."""
-    own = corpus.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    own = corpus.select("doc_id", _tokens(corpus).alias("tokens"))
     return own.select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
 
 
@@ -49,7 +58,7 @@ def postings(corpus: DataFrame) -> DataFrame:
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", F.size(T.tokens(F.coalesce("text", F.lit("")))).cast("long").alias("len"))
+    return corpus.select("doc_id", F.size(_tokens(corpus)).cast("long").alias("len"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -70,14 +79,14 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
     return hits.groupBy(*keys, "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
 
 
-def buckets(text: Column, dims: int = 512) -> Column:
+def buckets(tokens: Column, dims: int = 512) -> Column:
     """The hash bucket of each token."""
-    return F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
+    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
 
 
 def hashed(df: DataFrame, *keys: str, dims: int = 512) -> DataFrame:
     """keys, bucket, weight: unit vectors of token counts by hash bucket, without the zeros."""
-    counts = df.select(*keys, F.explode(buckets(F.col("text"), dims)).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
+    counts = df.select(*keys, F.explode(buckets(_tokens(df), dims)).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(*keys)).cast("double"))
     return counts.select(*keys, F.col("bucket").cast("long").alias("bucket"), (F.col("c") / norm).alias("weight"))
 
@@ -95,7 +104,7 @@ def cosine(queries: DataFrame, corpus: DataFrame, most: int | None = None, keys:
     if most is None or queries.count() > BROADCAST_QUERIES:
         a, b = hashed(queries, *keys, dims=dims), hashed(corpus, "doc_id", dims=dims).withColumnRenamed("weight", "w")
         return a.join(b, "bucket").groupBy(*keys, "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score")).filter("score > 0")
-    spark, wide = queries.sparkSession, queries.select(*keys, buckets(F.col("text"), dims).alias("b"))
+    spark, wide = queries.sparkSession, queries.select(*keys, buckets(_tokens(queries), dims).alias("b"))
     asked = wide.toArrow().to_pandas()
     shared = spark.sparkContext.broadcast((asked[list(keys)], _unit_rows(asked["b"], dims).T))
 
@@ -112,7 +121,7 @@ def cosine(queries: DataFrame, corpus: DataFrame, most: int | None = None, keys:
 
     kinds = dict(queries.dtypes) | {"doc_id": dict(corpus.dtypes)["doc_id"]}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in (*keys, "doc_id")), "score double"])
-    return corpus.select("doc_id", buckets(F.col("text"), dims).alias("b")).mapInPandas(best, schema)
+    return corpus.select("doc_id", buckets(_tokens(corpus), dims).alias("b")).mapInPandas(best, schema)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
@@ -175,7 +184,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, glossary: DataFrame, k: int =
     found = fused(channels(queries, expansion.filter("changed").select("query_id", "text"), corpus, pool, w), w.fusion)
     named = terms.matches(queries, glossary, "query_id").groupBy("query_id").agg(F.lit(True).alias("named")) if terminology else queries.select("query_id", F.lit(False).alias("named"))
     q = queries.join(named, "query_id", "left").select("query_id", F.coalesce("named", F.lit(False)).alias("named"), F.array_distinct(T.query_tokens(F.col("text"))).alias("q_tokens"), T.phrases(F.lower("text")).alias("q_phrases"))
-    c = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" ", "title", "section").alias("heading"), (F.col("source_type") == "glossary").alias("from_glossary"))
+    c = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" ", "title", "section").alias("heading"), (F.col("source_type") == "glossary").alias("from_glossary"), _tokens(corpus).alias("tokens"))
     c = c.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     if terminology:
         hits = terms.hits(c.filter("not from_glossary"), glossary, "doc_id")
@@ -183,7 +192,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, glossary: DataFrame, k: int =
     else:
         c = c.withColumn("hits", F.lit(0))
     both = found.join(q, "query_id").join(c, "doc_id")
-    own = F.array_distinct(T.tokens(F.col("text")))
+    own = F.array_distinct("tokens")
     both = both.select(
         "query_id", "doc_id", "fused", "named", "from_glossary",
         F.when(F.size("q_tokens") > 0, F.round(F.size(F.array_intersect("q_tokens", own)) / F.size("q_tokens"), 4)).otherwise(0.0).alias("coverage"),
