@@ -668,7 +668,7 @@ def eval_median(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median"))
 
 
-@query()
+@query("with g as (select conv_id, role, count(*) as n from conversations where role is not null group by all), p as (select conv_id, role, count(*) as m from (select *, row_number() over (partition by conv_id order by turn) as k from conversations) where k > 1 and role is not null group by all) select conv_id, coalesce(sum(least(n, coalesce(m, 0))), 0)::int as matched from (select distinct conv_id from conversations) left join g using (conv_id) left join p using (conv_id, role) group by conv_id")
 def join_greedy_bipartite(spark, d):
     """Turns of a conversation against its next ones: golden roles meet predicted roles greedily. For equality that is, over
     the roles, the sum of the smaller count; the predicted side lacks the first turn only, so all turns but that one match."""
