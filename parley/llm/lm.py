@@ -21,7 +21,6 @@ the empty string where rows are dealt, thus as training; an empty table gives no
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -97,26 +96,39 @@ def filled(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def _chunks(frames):
-    """(chunk, rows) in order, the same for every scan of one Parquet table."""
-    key, chars = TaskContext.get().partitionId() << 33, 0
+def _packed(frames):
+    """Rows of about CHUNK characters: a chunk's number, and its documents as arrays. Both later scans get a chunk as one row,
+    whatever their batches and splits are."""
+    key, size, held = TaskContext.get().partitionId() << 33, 0, []
+
+    def row() -> pd.DataFrame:
+        f = pd.concat(held)
+        ids = f["doc_id"].astype("Int64").astype(object).where(f["doc_id"].notna(), None)
+        return pd.DataFrame({"chunk": [key], "doc_id": [ids.tolist()], "text": [f["text"].tolist()], "held_out": [f["held_out"].astype(bool).tolist()]})
+
     for part in C.text_slices(frames, "text"):
-        yield key + chars // CHUNK, part
-        chars += int(part["text"].str.len().fillna(0).sum()) + len(part)
+        held.append(part)
+        size += int(part["text"].str.len().fillna(0).sum()) + len(part)
+        if size >= CHUNK:
+            yield row()
+            key, size, held = key + 1, 0, []
+    if held:
+        yield row()
 
 
-def _dealt(frames):
-    for chunk, part in _chunks(frames):
-        yield part.assign(doc_id=part["doc_id"].astype("Int64"), chunk=chunk)
+def _documents(f: pd.DataFrame):
+    """(chunk, its documents) of packed rows."""
+    for chunk, ids, texts, out in zip(f["chunk"].tolist(), f["doc_id"], f["text"], f["held_out"], strict=True):
+        yield chunk, pd.DataFrame({"doc_id": pd.Series([None if pd.isna(i) else int(i) for i in ids], dtype="Int64"), "text": pd.Series(list(texts), dtype=object), "held_out": np.array(list(out), bool)})
 
 
 def _count(parts: int) -> Callable:
     """For each chunk, order and part: the distinct n-grams in order, and how often each occurs in training rows."""
 
     def run(frames):
-        for chunk, slices in groupby(_chunks(frames), key=lambda x: x[0]):
+        for chunk, docs in (x for f in frames for x in _documents(f)):
             held = []
-            for _, part in slices:
+            for part in C.text_slices([docs], "text"):
                 ids, at = tokens(part["text"].tolist())
                 held.append((ids, pairs(ids, at)[1], np.repeat(~part["held_out"].to_numpy(bool), np.diff(at))))
             ids, both, train = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -152,7 +164,7 @@ def _levels(f: pd.DataFrame) -> pd.DataFrame:
 def _score(total: int, distinct: int) -> Callable:
     def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         size, done, held = total + distinct + 1, [], []
-        for part in C.text_slices([docs], "text"):
+        for part in C.text_slices([own for _, own in _documents(docs)], "text"):
             held.append(tokens(part["text"].tolist()))
             done.append(part[["doc_id", "held_out"]])
         ids, both = np.concatenate([x for x, _ in held]), np.concatenate([pairs(*x)[1] for x in held])
@@ -180,12 +192,13 @@ def _score(total: int, distinct: int) -> Callable:
 def bloom_scores(docs: DataFrame, mod: int = 7, part: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score (a token's) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = C.materialize(docs.withColumn("held_out", held_out(F.col("doc_id"), mod, part)), "texts")  # scanned twice alike
-    parts = 1 + int(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // PART
+    packed = docs.withColumn("held_out", held_out(F.col("doc_id"), mod, part)).mapInPandas(_packed, "chunk long, doc_id array<long>, text array<string>, held_out array<boolean>")
+    docs = C.materialize(packed, "texts")
+    characters = F.aggregate(F.transform("text", lambda t: F.coalesce(F.length(t), F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = 1 + int(docs.agg(F.sum(characters)).first()[0] or 0) // PART
     counts = docs.mapInPandas(_count(parts), "chunk long, part long, n int, h binary, c binary")
     found = C.materialize(counts.groupBy("part").applyInPandas(_levels, "chunk long, part long, n int, level binary, c binary, total long, distinct long"), "levels")
     total, distinct = (int(x or 0) for x in found.filter("chunk is null").agg(F.sum("total"), F.sum("distinct")).first())
-    dealt = docs.mapInPandas(_dealt, "doc_id long, text string, held_out boolean, chunk long")
     found = found.filter("chunk is not null").select("chunk", "part", "n", "level", "c")
-    scored = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score(total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score(total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("mean_score"))
