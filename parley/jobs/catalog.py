@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from parley.functions import text as T
-from parley.operators import chunking, conversation, evaluation, ledger, reports, retrieval, terms
+from parley.operators import chunking, conversation, evaluation, ledger, matching, reports, retrieval, terms
 from parley.sources import readers, shared
 from parley.streaming import windows as streams
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FLAGSHIP = "hybrid_search"
@@ -24,6 +24,8 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
@@ -649,12 +651,6 @@ def agg_followup(spark, d):
 
 
 # --- evaluation ---
-@query("with h as (select doc_id, source as category, case when doc_id % 2 = 0 then 'on' else 'off' end as arm, (n_chars % 3 = 0)::int as hit1, 1.0::double / (1 + n_chars % 4) as reciprocal from documents) select category, round(avg(hit1) filter (arm = 'on') - avg(hit1) filter (arm = 'off'), 3) as recall1_delta, round(avg(reciprocal) filter (arm = 'on') - avg(reciprocal) filter (arm = 'off'), 3) as mrr_delta from h group by rollup(category)")
-def eval_ablation_delta(spark, d):
-    hits = docs(spark, d).select(F.col("source").alias("category"), F.when(F.col("doc_id") % 2 == 0, "on").otherwise("off").alias("arm"), (F.col("n_chars") % 3 == 0).cast("int").alias("hit1"), (1.0 / (1 + F.col("n_chars") % 4)).alias("reciprocal"))
-    return evaluation.ablation(hits)
-
-
 @query("with c as (select lang, count(*) filter (d.n_chars > 1500 and quality = 1) as m, count(*) filter (d.n_chars > 1500) as p, count(*) filter (quality = 1) as g from documents d join labels l using (doc_id) group by lang) select lang, round(m / p, 6) as precision, round(m / g, 6) as recall, round(2 * (m / p) * (m / g) / (m / p + m / g), 6) as f1 from c")
 def eval_prf1(spark, d):
     both = docs(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("p", F.col("n_chars") > 1500)
@@ -668,13 +664,38 @@ def eval_median(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median"))
 
 
-@query("with g as (select conv_id, role, count(*) as n from conversations where role is not null group by all), p as (select conv_id, role, count(*) as m from (select *, row_number() over (partition by conv_id order by turn) as k from conversations) where k > 1 and role is not null group by all) select conv_id, coalesce(sum(least(n, coalesce(m, 0))), 0)::int as matched from (select distinct conv_id from conversations) left join g using (conv_id) left join p using (conv_id, role) group by conv_id")
+_COLOURS, _THINGS = ("red", "blue", "small", "large", "new", "old", "hot", "cold"), ("ring", "bolt", "plate", "rod", "widget", "anvil", "gear", "gizmo")
+_WANTED, _OWNERS = ("Ann", "Li", "Bo Chen", ""), ("Anna Lee", "Li", "Bo", "Chen")
+_FIT = f"""gold as (select o_custkey as grp, o_orderkey as g, {list(_WANTED)}[o_orderkey % 4 + 1] as a, {list(_COLOURS)}[o_orderkey % 8 + 1] as w, {list(_THINGS)}[o_orderkey // 8 % 8 + 1] as x from orders),
+pred as (select o_custkey as grp, l_orderkey * 8 + l_linenumber as p, {list(_OWNERS)}[min(l_suppkey) % 4 + 1] as a, min(p_name) as task from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey group by 1, 2),
+fit as (select grp, g, p from gold join pred using (grp) where gold.a <> '' and (contains(pred.a, gold.a) or contains(gold.a, pred.a)) and (contains(task, w) or contains(task, x))),
+ranked as (select grp, g, row_number() over (partition by grp order by g) as i, list(p order by p) as ps from fit group by grp, g),
+folded as (select distinct grp, 0 as i, []::bigint[] as used from ranked union all select f.grp, r.i, list_concat(used, list_filter(ps, lambda x: not list_contains(used, x))[1:1]) from folded f join ranked r on r.grp = f.grp and r.i = f.i + 1)"""
+
+
+def _one_of(values: tuple[str, ...], place: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), place.cast("int") + 1)
+
+
+def expected_actions(spark, d):
+    """Each order is an item that its customer's meeting should give: a name (some have none) and two keywords."""
+    k = F.col("o_orderkey")
+    words = F.array(_one_of(_COLOURS, k % 8), _one_of(_THINGS, F.floor(k / 8) % 8))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("grp"), k.alias("g"), _one_of(_WANTED, k % 4).alias("assignee"), words.alias("keywords"))
+
+
+def found_actions(spark, d):
+    """Each line of an order is an item that was found: a longer or shorter name, and a part's name as task."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    own = lines.groupBy(F.col("o_custkey").alias("grp"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("p")).agg(F.min("l_suppkey").alias("s"), F.min("p_name").alias("task"))
+    return own.select("grp", "p", _one_of(_OWNERS, F.col("s") % 4).alias("assignee"), F.initcap("task").alias("task"))
+
+
+@query(f"with recursive {_FIT}, m as (select grp, max(len(used)) as n from folded group by grp), c as (select grp, coalesce(a, 0) as golden, coalesce(b, 0) as predicted, coalesce(n, 0) as matched from (select grp, count(*) as a from gold group by 1) full join (select grp, count(*) as b from pred group by 1) using (grp) left join m using (grp)), r as (select *, case when predicted > 0 then matched / predicted else 0 end as p, case when golden > 0 then matched / golden else 0 end as r from c) select grp as meeting_id, golden::bigint as golden, predicted::bigint as predicted, matched::bigint as matched, round(p, 3) as precision, round(r, 3) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 3) as f1 from r")
 def join_greedy_bipartite(spark, d):
-    """Turns of a conversation against its next ones: golden roles meet predicted roles greedily. For equality that is, over
-    the roles, the sum of the smaller count; the predicted side lacks the first turn only, so all turns but that one match."""
-    first = F.min(F.struct("turn", "role"))["role"]
-    matched = F.count("role") - first.isNotNull().cast("int")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(matched.cast("int").alias("matched"))
+    """Expected action items against those found, matched in order: a name within the other and a keyword within the task."""
+    g, p = expected_actions(spark, d), found_actions(spark, d)
+    return matching.scores(g, p, matching.greedy(g, p)).withColumnRenamed("grp", "meeting_id")
 
 
 @query("with c as (select user_id, list(event_type order by event_id) as called, list(event_type order by ts, event_id) as expected from events group by user_id) select user_id, (called[1] = expected[1])::int as first_ok, (called = expected)::int as exact, round(len(list_intersect(called, expected)) / len(list_distinct(expected)), 6) as set_recall, round(len(list_filter(called, lambda x: list_contains(expected, x))) / len(called), 6) as precision from c")

@@ -47,18 +47,6 @@ def prf(matched: Column, predicted: Column, golden: Column) -> tuple[Column, Col
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def greedy_matches(golden: Column, predicted: Column, fits) -> Column:
-    """How many golden elements, in order, find the first unused predicted element that fits: a fold over arrays."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("used"))
-
-    def step(acc: Column, g: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(1), F.size(predicted)), lambda i: ~F.array_contains(acc["used"], i) & fits(g, F.element_at(predicted, i)))
-        free = F.when(F.size(predicted) > 0, free).otherwise(F.array().cast("array<int>"))
-        return F.when(F.size(free) > 0, F.struct((acc["n"] + 1).alias("n"), F.concat(acc["used"], F.slice(free, 1, 1)).alias("used"))).otherwise(acc)
-
-    return F.aggregate(golden, start, step, lambda acc: acc["n"])
-
-
 def selection(called: Column, expected: Column) -> dict[str, Column]:
     """Scores of a sequence of tool calls against the expected one."""
     common = F.size(F.array_intersect(called, expected))

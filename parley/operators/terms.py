@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of an index gram, and forms that are looked for one after the other at most.
+GRAM, LOOP = 3, 1_000
+
 
 def forms(glossary: DataFrame) -> DataFrame:
     """term, ord, form: distinct non-empty forms (term, canonical, aliases) in order. glossary: term, canonical, aliases, ord."""
@@ -12,11 +15,39 @@ def forms(glossary: DataFrame) -> DataFrame:
     return glossary.select("term", "ord", F.explode(every).alias("form"))
 
 
-def matches(texts: DataFrame, glossary: DataFrame, key: str) -> DataFrame:
-    """key, term, ord, longest: one row a term of which a form of two or more characters lies in the text. The glossary is
-    a configured word list; it is joined by substring, so each text meets each form once."""
-    every = forms(glossary).filter(F.length("form") >= 2).withColumn("low", F.lower("form"))
-    hit = texts.select(key, F.lower("text").alias("low_text")).join(every, F.col("low_text").contains(F.col("low")))
+def _grams(low: Column, n: int) -> Column:
+    """The distinct character n-grams of a text."""
+    return F.when(F.length(low) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_index(forms: DataFrame) -> DataFrame:
+    """form, low, gram: each non-empty form with its rarest gram of GRAM characters (fewer, if it is shorter) among all forms,
+    so that few forms share one."""
+    low = forms.select("form", F.lower("form").alias("low")).filter("low <> ''").distinct()
+    sized = F.coalesce(*[F.when(F.least(F.length("low"), F.lit(GRAM)) == n, _grams(F.col("low"), n)) for n in range(1, GRAM + 1)])
+    each = low.select("form", "low", F.explode(sized).alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("n"))
+    return each.join(often, "gram").groupBy("form", "low").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+
+
+def contained(texts: DataFrame, forms: DataFrame, key: str, text: str = "text", loop: int | None = None) -> DataFrame:
+    """key, form: which forms (form) lie in which texts (key, text), whatever their case; each pair once if keys are distinct.
+    Up to `loop` forms (LOOP) each text looks for each form; more are found by their rarest gram, an equi-join, and verified."""
+    own, low = texts.select(F.col(key).alias("key"), F.lower(text).alias("low_text")), forms.select("form").filter("form <> ''").distinct()
+    if low.limit((LOOP if loop is None else loop) + 1).count() <= (LOOP if loop is None else loop):
+        hit = own.join(F.broadcast(low.withColumn("low", F.lower("form"))), F.col("low_text").contains(F.col("low")))
+        return hit.select(F.col("key").alias(key), "form")
+    index = gram_index(low)
+    lengths = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # GRAM at most
+    grams = F.concat(*[_grams(F.col("low_text"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    hit = own.select("key", "low_text", F.explode(grams).alias("gram")).join(index, "gram").filter(F.col("low_text").contains(F.col("low")))
+    return hit.select(F.col("key").alias(key), "form")
+
+
+def matches(texts: DataFrame, glossary: DataFrame, key: str, loop: int | None = None) -> DataFrame:
+    """key, term, ord, longest: one row a term of which a form of two or more characters lies in the text."""
+    every = forms(glossary).filter(F.length("form") >= 2)
+    hit = contained(texts, every, key, loop=loop).join(every, "form")
     return hit.groupBy(key, "term", "ord").agg(F.max(F.length("form")).alias("longest"))
 
 

@@ -123,11 +123,6 @@ def test_ledger_is_idempotent(spark):
     assert {r["target"]: r["n"] for r in ledger.stats(once).collect()} == {None: 2, "t": 2}
 
 
-def test_greedy(spark):
-    df = spark.createDataFrame([(["a", "b", "a"], ["a", "a", "c"]), (["a"], [])], "g array<string>, p array<string>")
-    assert [r[0] for r in df.select(evaluation.greedy_matches(F.col("g"), F.col("p"), lambda g, p: g == p)).collect()] == [2, 0]
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "b.md").write_text("# B")
     (tmp_path / "a.md").write_text("text")
