@@ -2,18 +2,20 @@
 
 The side of queries is small but grows as its table does, so its size is checked: up to the bounds below, query terms are
 broadcast (as a filter of tokens before any shuffle) and query vectors become a matrix that is multiplied with batches of
-texts, each task keeping the best of a query; beyond them, both are equi-joins. Only candidates that a channel kept reach
-the costly factors of the reranker.
+texts, each task keeping the best of a query; beyond them, terms are an equi-join and vectors go block by block. Only
+candidates that a channel kept reach the costly factors of the reranker.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from parley.functions import text as T
 from parley.operators import terms
+from parley.sources import shared
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +68,23 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """keys, doc_id, score of all documents that share a term with a query (keys, text); repeated query terms count once."""
-    asked = queries.select(*keys, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    distinct = asked.select("term").distinct()
+    """keys, doc_id, score of all documents that share a term with a query (keys, text); repeated query terms count once.
+
+    The corpus is cut once: its tokens that queries ask for, and a row without term for each document, are written and
+    give frequencies, document frequencies, lengths and totals."""
+    asked = shared.written(queries.select(*keys, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")), "asked")
+    distinct = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
     if distinct.count() <= BROADCAST_TERMS:
         distinct = F.broadcast(distinct)
-    held = tokens_of(corpus).join(distinct, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    own = corpus.select("doc_id", _tokens(corpus).alias("tokens"))
+    each = own.select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    held = shared.written(each.join(distinct, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")), "held")
+    total = held.filter("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("mean")).first()
+    held = held.filter("term <> ''")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    total = lengths(corpus).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = asked.join(held, "term").join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return hits.groupBy(*keys, "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
+    mean = max(total["mean"] or 0.0, 1e-300)
+    part = idf(F.lit(total["n"]), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    return asked.join(held, "term").join(df, "term").groupBy(*keys, "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
 
 
 def buckets(tokens: Column, dims: int = 512) -> Column:
@@ -99,56 +107,86 @@ def _unit_rows(lists: pd.Series, dims: int) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
+def _best(pool: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The `most` best rows (q, doc_id, score) of each q; ties go to the smaller id."""
+    return pool.sort_values(["q", "score", "doc_id"], ascending=[True, False, True]).groupby("q", sort=False).head(most)
+
+
+def _scan(column: str, score: Callable, many: int, most: int) -> Callable:
+    """A pass over rows (doc_id, column) that keeps the `most` best of `many` queries: score(rows) is a matrix rows x queries,
+    -inf where a pair doesn't count. Each task holds 4 * most rows a query at most, and gives what is left at its end."""
+
+    def run(frames):
+        least, held, size = np.full(many, -np.inf), [], 0
+        for f in frames:
+            for at in range(0, len(f), 1_000):
+                part = f.iloc[at : at + 1_000]
+                found = score(part[column])
+                doc, query = np.nonzero((found >= least) & np.isfinite(found))
+                held.append(pd.DataFrame({"q": query, "doc_id": part["doc_id"].to_numpy()[doc], "score": found[doc, query]}))
+                size += len(doc)
+                if size > 3 * most * many + 10_000:
+                    pool = _best(pd.concat(held), most)
+                    full = pool.groupby("q")["score"].agg(["size", "min"])
+                    full = full[full["size"] >= most]
+                    least[full.index.to_numpy()] = full["min"].to_numpy()
+                    held, size = [pool], len(pool)
+        if held:
+            yield _best(pd.concat(held), most)
+
+    return run
+
+
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about BROADCAST_QUERIES rows."""
+    n = queries.count()
+    parts = -(-n // BROADCAST_QUERIES)
+    return [queries.filter(F.pmod(F.xxhash64(*queries.columns), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [queries]
+
+
 def cosine(queries: DataFrame, corpus: DataFrame, most: int | None = None, keys: tuple[str, ...] = ("query_id",), dims: int = 512) -> DataFrame:
-    """keys, doc_id, score of hashed vectors: all pairs with a positive score, or the `most` best of each query at least."""
-    if most is None or queries.count() > BROADCAST_QUERIES:
+    """keys, doc_id, score of hashed vectors: all pairs with a positive score, or for each task the `most` best of each query.
+    More queries than one broadcast holds go block by block. A corpus with the column b has its buckets already."""
+    if most is None:
         a, b = hashed(queries, *keys, dims=dims), hashed(corpus, "doc_id", dims=dims).withColumnRenamed("weight", "w")
         return a.join(b, "bucket").groupBy(*keys, "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score")).filter("score > 0")
-    spark, wide = queries.sparkSession, queries.select(*keys, buckets(_tokens(queries), dims).alias("b"))
-    asked = wide.toArrow().to_pandas()
-    shared = spark.sparkContext.broadcast((asked[list(keys)], _unit_rows(asked["b"], dims).T))
+    own = corpus.select("doc_id", F.col("b") if "b" in corpus.columns else buckets(_tokens(corpus), dims).alias("b"))
+    out = None
+    for part in _blocks(queries.select(*keys, buckets(_tokens(queries), dims).alias("b"))):
+        asked = part.toArrow().to_pandas()
+        shared_b = queries.sparkSession.sparkContext.broadcast(_unit_rows(asked["b"], dims).T)
 
-    def best(frames):
-        names, matrix = shared.value
-        for f in frames:
-            for at in range(0, len(f), 1_000):
-                part = f.iloc[at : at + 1_000].reset_index(drop=True)
-                score = np.round(_unit_rows(part["b"], dims) @ matrix, 6)
-                if len(part) > most:  # all that tie with the last one stay, for the ranking to choose
-                    score[score < np.partition(score, len(part) - most, axis=0)[len(part) - most]] = 0
-                doc, query = np.nonzero(score > 0)
-                yield names.iloc[query].reset_index(drop=True).assign(doc_id=part["doc_id"].to_numpy()[doc], score=score[doc, query])
+        def score(lists: pd.Series, matrix=shared_b) -> np.ndarray:
+            found = np.round(_unit_rows(lists, dims) @ matrix.value, 6)
+            return np.where(found > 0, found, -np.inf)
 
-    kinds = dict(queries.dtypes) | {"doc_id": dict(corpus.dtypes)["doc_id"]}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in (*keys, "doc_id")), "score double"])
-    return corpus.select("doc_id", buckets(_tokens(corpus), dims).alias("b")).mapInPandas(best, schema)
+        names = queries.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(asked[list(keys)].itertuples(index=False, name=None))], ", ".join(["q long", *(f"{k} {dict(queries.dtypes)[k]}" for k in keys)]))
+        best = own.mapInPandas(_scan("b", score, len(asked), most), f"q long, doc_id {dict(corpus.dtypes)['doc_id']}, score double").join(F.broadcast(names), "q").select(*keys, "doc_id", "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
     """query_id, doc_id, score: inner products, rounded to 4 digits, of queries (query_id, x) with vectors (doc_id, x) of
-    other ids; of each query at least the `most` best. All vectors have one length."""
-    if queries.count() > BROADCAST_QUERIES:
-        dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        both = vectors.join(queries.select("query_id", F.col("x").alias("y")), F.col("doc_id") != F.col("query_id"))
-        return both.select("query_id", "doc_id", F.round(dot, 4).alias("score"))
-    asked = queries.select("query_id", "x").toArrow().to_pandas()
-    shared = queries.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), np.array(asked["x"].tolist(), float)))
-
-    def best(frames):
-        names, matrix = shared.value
-        for f in frames:
-            if not len(f) or not len(names):
-                continue
-            ids = f["doc_id"].to_numpy()
-            score = np.round(np.array(f["x"].tolist(), float) @ matrix.T, 4)
-            score[ids[:, None] == names[None, :]] = -np.inf
-            if len(f) > most:
-                score[score < np.partition(score, len(f) - most, axis=0)[len(f) - most]] = -np.inf
-            doc, query = np.nonzero(np.isfinite(score))
-            yield pd.DataFrame({"query_id": names[query], "doc_id": ids[doc], "score": score[doc, query]})
-
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]
-    return vectors.select("doc_id", "x").mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    other ids; for each task the `most` best of each query. All vectors have one length."""
+    kinds, out = (dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]), None
+    own = vectors.select("doc_id", F.struct("doc_id", "x").alias("v"))
+    for part in _blocks(queries.select("query_id", "x")):
+        asked = part.toArrow().to_pandas()
+        shared_b = queries.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), np.array(asked["x"].tolist(), float)))
+
+        def score(rows: pd.Series, asked_b=shared_b) -> np.ndarray:
+            names, matrix = asked_b.value
+            if not len(names):
+                return np.empty((len(rows), 0))
+            found = np.round(np.array([r["x"] for r in rows], float) @ matrix.T, 4)
+            found[np.array([r["doc_id"] for r in rows])[:, None] == names[None, :]] = -np.inf
+            return found
+
+        names = queries.sparkSession.createDataFrame([(k, v) for k, v in enumerate(asked["query_id"].tolist())], f"q long, query_id {kinds[0]}")
+        best = own.mapInPandas(_scan("v", score, len(asked), most), f"q long, doc_id {kinds[1]}, score double").join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def ranked(scores: DataFrame, most: int, by: str = "score", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -181,11 +219,11 @@ def hybrid(queries: DataFrame, corpus: DataFrame, glossary: DataFrame, k: int =
     Without terminology queries are not expanded and terms do not count."""
     pool = max(4 * k, 20)
     expansion = terms.expanded(queries, glossary) if terminology else queries.select("query_id", "text", F.lit(False).alias("changed"))
-    found = fused(channels(queries, expansion.filter("changed").select("query_id", "text"), corpus, pool, w), w.fusion)
+    found = shared.written(fused(channels(queries, expansion.filter("changed").select("query_id", "text"), corpus, pool, w), w.fusion), "candidates")
     named = terms.matches(queries, glossary, "query_id").groupBy("query_id").agg(F.lit(True).alias("named")) if terminology else queries.select("query_id", F.lit(False).alias("named"))
     q = queries.join(named, "query_id", "left").select("query_id", F.coalesce("named", F.lit(False)).alias("named"), F.array_distinct(T.query_tokens(F.col("text"))).alias("q_tokens"), T.phrases(F.lower("text")).alias("q_phrases"))
     c = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" ", "title", "section").alias("heading"), (F.col("source_type") == "glossary").alias("from_glossary"), _tokens(corpus).alias("tokens"))
-    c = c.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    c = shared.written(c.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("low", F.lower("text")), "candidates")
     if terminology:
         hits = terms.hits(c.filter("not from_glossary"), glossary, "doc_id")
         c = c.join(hits, "doc_id", "left")
@@ -196,14 +234,14 @@ def hybrid(queries: DataFrame, corpus: DataFrame, glossary: DataFrame, k: int =
     both = both.select(
         "query_id", "doc_id", "fused", "named", "from_glossary",
         F.when(F.size("q_tokens") > 0, F.round(F.size(F.array_intersect("q_tokens", own)) / F.size("q_tokens"), 4)).otherwise(0.0).alias("coverage"),
-        F.exists("q_phrases", lambda p: F.lower("text").contains(p)).cast("int").alias("phrase"),
+        F.exists("q_phrases", lambda p: F.col("low").contains(p)).cast("int").alias("phrase"),
         F.arrays_overlap("q_tokens", T.tokens(F.lower("heading"))).cast("int").alias("section_hit"),
         F.coalesce("hits", F.lit(0)).cast("int").alias("term_hits"),
     )
     factor = 1 + w.coverage * F.col("coverage") + w.phrase * F.col("phrase") + w.section * F.col("section_hit") + w.term * F.col("term_hits")
     factor = factor * F.when(F.col("from_glossary") & ~F.col("named"), w.glossary).otherwise(1.0)
     score = F.col("fused") * factor if max(w.coverage, w.phrase, w.section, w.term) > 0 else F.col("fused")
-    return ranked(both.withColumn("score", F.round(score, 6)), k).select("query_id", "rank", "doc_id", "score", "coverage", "phrase", "section_hit", "term_hits")
+    return shared.written(ranked(both.withColumn("score", F.round(score, 6)), k).select("query_id", "rank", "doc_id", "score", "coverage", "phrase", "section_hit", "term_hits"), "results")
 
 
 def context_blocks(results: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -19,8 +19,12 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_name() -> str:
+    return uuid.uuid4().hex
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written once as Parquet and read from there: lineage is cut, and lost executors take nothing away."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{name}-{new_name()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
