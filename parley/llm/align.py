@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import vocabulary
+from . import tokens, vocabulary
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stretches that a worker remembers at most, the longest that it remembers, and the links of all.
-REMEMBERED, LONGEST, LINKS = 300_000, 100, 4_000_000
+REMEMBERED, LONGEST, LINKS = 600_000, 100, 6_000_000
 #: Pairs whose counts are broadcast, 13 bytes each, and distinct pairs that a task counts before it hands them on.
 KNOWN, COUNTED = 1 << 20, 1 << 20
 _ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0", "\x1c", "\x1d", "\x1e", "\x1f", vocabulary.SPACE_MARK)
@@ -47,16 +47,6 @@ _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Slices (a from, a to, b from, b to) between the ends that both lists of token lengths have."""
-    at_a, at_b = ({end: k + 1 for k, end in enumerate(accumulate(x))} for x in (a, b))
-    out, i, j = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        out.append((i, at_a[end], j, at_b[end]))
-        i, j = at_a[end], at_b[end]
-    return out
-
-
 def links(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Index pairs of overlapping tokens of one group, from their lengths."""
     if len(a) == 1 or len(b) == 1:
@@ -86,6 +76,9 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = vocabulary.byte_level(path_a), vocabulary.pieces(path_b)
+        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.many = tokens.encoder(path_a)  # encodes many stretches as one text
         self.mark = self.b.piece_to_id(vocabulary.SPACE_MARK)
         self.reset()
 
@@ -97,18 +90,28 @@ class Aligner:
         self.n_a, self.n_b, self.n_groups, self.at, self.pairs = array("q"), array("q"), array("q"), array("q", [0]), array("q")
 
     def align(self, a: list[int], b: list[int], whole: bytes) -> int:
-        """The number of a new stretch; -1 if the tokens don't give its bytes."""
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+        """The number of a new stretch; -1 if the tokens don't give its bytes. An end -> index dictionary for each side, and the
+        ends that both have, in order, cut the ids into groups; links are those of each group."""
+        if b"".join([self.bytes_b[i] for i in b]) != whole or b"".join([self.bytes_a[i] for i in a]) != whole:
             return -1
-        size_a, size_b, text, cuts = list(map(len, parts_a)), list(map(len, parts_b)), [], groups([*map(len, parts_a)], [*map(len, parts_b)])
-        for i, i2, j, j2 in cuts:
-            text.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
-            self.pairs.extend([(a[i + x] << 32) + b[j + y] for x, y in links(size_a[i:i2], size_b[j:j2])])
+        at_a = {end: k for k, end in enumerate(accumulate([self.sizes_a[i] for i in a]), 1)}
+        at_b = {end: k for k, end in enumerate(accumulate([self.sizes_b[i] for i in b]), 1)}
+        common, names, text, found, i, j = sorted(at_a.keys() & at_b.keys()), self.names, [], [], 0, 0
+        for end in common:
+            i2, j2 = at_a[end], at_b[end]
+            if i2 - i == j2 - j == 1:
+                text.append(f"{names[a[i]]}|{names[b[j]]}")
+                found.append(a[i] << 32 | b[j])
+            else:
+                own_a, own_b = a[i:i2], b[j:j2]
+                text.append(f"{','.join([names[x] for x in own_a])}|{','.join([names[x] for x in own_b])}")
+                found += [own_a[x] << 32 | own_b[y] for x, y in links([self.sizes_a[x] for x in own_a], [self.sizes_b[y] for y in own_b])]
+            i, j = i2, j2
+        self.pairs.extend(found)
         self.texts.append(";".join(text).encode())
         self.n_a.append(len(a))
         self.n_b.append(len(b))
-        self.n_groups.append(len(cuts))
+        self.n_groups.append(len(common))
         self.at.append(len(self.pairs))
         return len(self.texts) - 1
 
@@ -119,12 +122,18 @@ class Aligner:
         return text.replace("\n", " \n").split(" ")
 
     def learn(self, new: list[str]) -> None:
-        full = [x if x[0] == "\n" else " " + x for x in new]
-        coded = zip(new, full, self.a.encode_batch_fast(full, add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True)
-        for x, own, a, b in coded:
+        words = [x for x in new if x.isalpha()]
+        rest = [x for x in new if not x.isalpha()]
+        plain = [] if self.many.whole or self.many.spaceless or self.many.lower else [x for x in rest if self.many.cut not in x]
+        if not plain and rest:
+            words, rest = [], new
+        ids = dict(zip(words, self.many.in_words(words), strict=True)) | dict(zip(plain, self.many.apart([x if x[0] == "\n" else " " + x for x in plain]), strict=True))
+        other = [x for x in rest if x not in ids]
+        direct = dict(zip(other, self.a.encode_batch_fast([x if x[0] == "\n" else " " + x for x in other], add_special_tokens=False), strict=True))
+        for x, b in zip(new, self.b.encode(new, num_threads=1), strict=True):
             if x[0] == "\n" and b[:1] == [self.mark]:  # the space that the model adds
                 b = b[1:]
-            self.index[x] = self.align(a.ids, b, own.encode())
+            self.index[x] = self.align(memoryview(ids[x]).cast("I").tolist() if x in ids else direct[x].ids, b, x.encode() if x[0] == "\n" else b" " + x.encode())
 
     def entries(self, texts: list[str | None]) -> list[list[int]]:
         """The stretches of each text by number; none for a text without tokens."""
