@@ -56,3 +56,26 @@ def selection(called: Column, expected: Column) -> dict[str, Column]:
         "set_recall": F.when(F.size(expected) > 0, common / F.size(F.array_distinct(expected))).otherwise(1.0),
         "precision": F.when(F.size(called) > 0, F.size(F.filter(called, lambda c: F.array_contains(expected, c))) / F.size(called)).otherwise(0.0),
     }
+
+
+def answer_level(answers: DataFrame, corpus: DataFrame) -> DataFrame:
+    """arm, answered, citation_valid_rate, term_covered_rate (null without expected terms) for answers (id, arm, text, answered,
+    citations, terms): an answer's citations are valid if there are some and the corpus (doc_id) holds all; its terms are
+    covered if the text holds one of those expected. Every arm has a row."""
+    cited = answers.filter("answered").select("id", "arm", F.explode(F.array_distinct("citations")).alias("doc_id")).join(corpus.select("doc_id", F.lit(1).alias("known")).distinct(), "doc_id", "left")
+    valid = cited.groupBy("id", "arm").agg(F.min(F.coalesce("known", F.lit(0))).alias("valid"))
+    own = answers.join(valid, ["id", "arm"], "left")
+    yes, asks = F.col("answered"), F.col("answered") & (F.size("terms") > 0)
+    covered = F.exists("terms", lambda t: F.col("text").contains(t))
+    n = F.greatest(F.count_if(yes), F.lit(1))
+    return own.groupBy("arm").agg(F.count_if(yes).alias("answered"), F.round(F.count_if(yes & (F.col("valid") == 1)) / n, 3).alias("citation_valid_rate"), F.when(F.count_if(asks) > 0, F.round(F.count_if(asks & covered) / F.count_if(asks), 3)).alias("term_covered_rate"))
+
+
+def degradation(runs: DataFrame, samples: int = 3) -> DataFrame:
+    """runs, completed, completed_rate, errors_recorded, reports_written, error_samples of runs (run_id, status, errors, report)."""
+    failed = F.size("errors") > 0
+    some = F.max_by("errors", F.struct(failed.cast("int"), F.col("run_id").cast("string")))
+    return runs.agg(
+        F.count("*").alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"), F.round(F.count_if(F.col("status") == "completed") / F.count("*"), 3).alias("completed_rate"),
+        F.count_if(failed).alias("errors_recorded"), F.count_if(F.trim(F.coalesce("report", F.lit(""))) != "").alias("reports_written"), F.slice(some, 1, samples).alias("error_samples"),
+    )

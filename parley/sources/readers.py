@@ -75,3 +75,63 @@ def read_index(spark: SparkSession, path: str, embedder: str) -> tuple[DataFrame
     if meta.get("embedder") != embedder:
         raise ValueError(f"the index was built with {meta.get('embedder')}, not with {embedder}")
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
+#: A line of a transcript: start, end, speaker, text.
+TURN = r"^\[(\d+(?:\.\d+)?)s-(\d+(?:\.\d+)?)s\] ([^:]*): (.*)$"
+QUESTION = "id string, category string, question string, expected_sources array<string>, expected_terms array<string>"
+TOOL_TASK = "id string, category string, request string, expected_tools array<string>, expected_args map<string,string>"
+CHUNK = "chunk_id string, doc_id string, doc_title string, section string, text string, source_type string, start int, metadata map<string,string>"
+GOLDEN = "meeting_id string, action_items array<struct<assignee:string,keywords:array<string>,deadline_hint:string>>"
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """meeting_id (file stem), seq, start, end, speaker, text, bad of transcript files, a row a line. Lines that are no turn have
+    bad, the line and why, and no speaker; empty lines are left out."""
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
+    lines = files.select(stem.alias("meeting_id"), F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line")).filter(F.trim("line") != "")
+    part = lambda k: F.when(F.col("line").rlike(TURN), F.regexp_extract("line", TURN, k))
+    start, end = part(1).try_cast("double"), part(2).try_cast("double")
+    why = F.when(~F.col("line").rlike(TURN), "no turn").when(end < start, "it ends before it starts")
+    own = lines.select("meeting_id", "seq", start.alias("start"), end.alias("end"), part(3).alias("speaker"), part(4).alias("text"), F.when(why.isNotNull(), F.struct("line", why.alias("reason"))).alias("bad"))
+    return own.select("meeting_id", "seq", *[F.when(F.col("bad").isNull(), F.col(c)).alias(c) for c in ("start", "end", "speaker", "text")], "bad")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a schema (QUESTION, TOOL_TASK, CHUNK) from JSON lines, with bad: the line if it does not fit, else null."""
+    own = spark.read.schema(f"{schema}, bad string").option("columnNameOfCorruptRecord", "bad").json(path)
+    return own.select(*own.columns)
+
+
+def golden_actions(spark: SparkSession, path: str) -> DataFrame:
+    """grp (meeting), g, assignee, keywords, deadline_hint from a JSON file of expected action items, as matching.greedy() takes
+    them."""
+    own = spark.read.schema(GOLDEN).option("multiLine", True).json(path).select("meeting_id", F.posexplode("action_items").alias("g", "a"))
+    return own.select(F.col("meeting_id").alias("grp"), F.col("g").cast("long").alias("g"), "a.assignee", "a.keywords", "a.deadline_hint")
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks (chunk_id, doc_id, title, section, text, source_type, start) as JSON lines of CHUNK."""
+    meta = F.col("metadata") if "metadata" in chunks.columns else F.create_map().cast("map<string,string>")
+    chunks.select("chunk_id", "doc_id", F.col("title").alias("doc_title"), "section", "text", "source_type", F.col("start").cast("int").alias("start"), meta.alias("metadata")).write.option("ignoreNullFields", "false").json(path)
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks that write_chunks() wrote, as retrieval and the index take them; lines that are no chunk raise ValueError."""
+    own = json_lines(spark, path, CHUNK)
+    if not own.filter(F.col("bad").isNotNull() | F.col("chunk_id").isNull()).isEmpty():
+        raise ValueError(f"{path} holds lines that are no chunk")
+    return own.drop("bad").withColumnRenamed("doc_title", "title")
+
+
+def bm25_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings: term, doc_id, tf; lengths: doc_id, len) of an index saved as one JSON object with doc_ids, term_freqs and
+    doc_len in one order. Ids without frequencies or lengths raise ValueError."""
+    schema = "doc_ids array<string>, term_freqs array<map<string,int>>, doc_len array<long>"
+    whole = spark.read.schema(schema).option("multiLine", True).json(path)
+    if not whole.filter("size(doc_ids) <> size(term_freqs) or size(doc_ids) <> size(doc_len) or doc_ids is null").isEmpty():
+        raise ValueError(f"{path} is no index")
+    each = whole.select(F.explode(F.arrays_zip("doc_ids", "term_freqs", "doc_len")).alias("d"))
+    postings = each.select(F.col("d.doc_ids").alias("doc_id"), F.explode("d.term_freqs").alias("term", "tf"))
+    return postings.select("term", "doc_id", "tf"), each.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_len").alias("len"))
