@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 KINDS = ("email", "ip", "card", "phone")
 #: The base rules. Possessive repeats and look-behinds keep matching linear and change no match.
 BASE = {
@@ -40,6 +42,8 @@ FEATURES = ("digits", "signs", "brackets", "luhn", "large", "literal", "context"
 ROUNDS, RATE, PRECISION = 24, 0.3, 0.9
 #: Log-odds that an added span has at least.
 SURE = 1.0
+#: Values that are joined one by one, and characters of a page of a text.
+STEP, PAGE = 256, 1024
 
 
 def _digits(x: Column) -> Column:
@@ -68,45 +72,99 @@ def _small_parts(x: Column) -> Column:
     return F.forall(F.split(x, "\\."), lambda p: p.rlike("^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, join, zero: int) -> Column:
+    """For each place of an array of integers what join makes of all values before it. Sums of blocks come first, so a value
+    is joined with those of its own block only."""
+
+    def fold(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, start, join)
+
+    def starts(blocks: Column) -> Column:
+        return _let(F.transform(blocks, lambda b: fold(b, F.lit(zero))), lambda sums: F.transform(sums, lambda _, k: fold(F.slice(sums, 1, k), F.lit(zero))))
+
+    def within(z: Column) -> Column:
+        return F.transform(z["block"], lambda _, i: fold(F.slice(z["block"], 1, i), z["start"]))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda k: F.slice(v, k * STEP + 1, STEP))
+        return _let(blocks, lambda b: F.flatten(F.transform(F.arrays_zip(b.alias("block"), starts(b).alias("start")), within)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _pages(text: Column) -> Column:
+    """The text in pieces of PAGE characters, as a place deep in a long string is only found by walking there."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def _cut(pages: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in pages."""
+    piece = lambda k: F.substring(F.get(pages, k), F.greatest(start - k * PAGE, F.lit(0)) + 1, F.least(end, (k + 1) * PAGE) - F.greatest(start, k * PAGE))
+    return F.when(end > start, F.array_join(F.transform(F.sequence(F.floor(start / PAGE).cast("int"), F.floor((end - 1) / PAGE).cast("int")), piece), "")).otherwise("")
+
+
+def _reach(own: Column, others: Column) -> Column:
+    """For each of own the largest end among those of others that begin before it ends: larger than its start if they overlap."""
+    begins = F.transform(others, lambda o: F.struct(o["start"].alias("pos"), F.lit(1).alias("late"), o["end"].alias("reach"), F.lit(-1).alias("place")))
+    asks = F.transform(own, lambda m, i: F.struct(m["end"].alias("pos"), F.lit(0).alias("late"), F.lit(0).alias("reach"), i.alias("place")))
+
+    def answers(events: Column) -> Column:
+        reach = _before(F.transform(events, lambda e: e["reach"]), lambda a, x: F.greatest(a, x), 0)
+        asked = F.filter(F.arrays_zip(events.alias("e"), reach.alias("r")), lambda z: z["e"]["place"] >= 0)
+        return F.transform(F.array_sort(F.transform(asked, lambda z: F.struct(z["e"]["place"].alias("place"), z["r"].alias("r")))), lambda z: z["r"])
+
+    return F.when(F.size(others) > 0, _let(F.array_sort(F.concat(begins, asks)), answers)).otherwise(F.transform(own, lambda m: F.lit(0)))
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<start, end, span>> of all matches: lengths of what lies between them give their places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit")), lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(p["hit"], F.lit("")).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,span:string>>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.length(p["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["hit"].alias("span")))).alias("out"))
+    def placed(pairs: Column) -> Column:
+        at = _before(F.transform(pairs, lambda p: p["gap"] + F.length(p["hit"])), lambda a, x: a + x, 0)
+        begin = lambda z: z["at"] + z["p"]["gap"]
+        return F.transform(F.arrays_zip(pairs.alias("p"), at.alias("at")), lambda z: F.struct(begin(z).alias("start"), (begin(z) + F.length(z["p"]["hit"])).alias("end"), z["p"]["hit"].alias("span")))
 
-    found = F.filter(F.aggregate(sizes, start, step, lambda acc: acc["out"]), lambda m: m["end"] > m["start"])
+    found = F.filter(_let(sizes, placed), lambda m: m["end"] > m["start"])
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
 
 
-def _features(text: Column, kind: str, m: Column) -> Column:
+def _features(pages: Column, kind: str, m: Column, own: Column) -> Column:
     span, signs = m["span"], F.regexp_replace(m["span"], "[A-Za-z0-9]", "")
-    before = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
+    before = _cut(pages, F.greatest(m["start"] - 24, F.lit(0)), m["start"])
     whole = {
         "digits": F.least(F.length(_digits(span)), F.lit(20)), "signs": F.least(F.length(signs), F.lit(8)), "brackets": F.length(F.regexp_replace(signs, "[^(\\[]", "")) > 0,
         "luhn": F.when(F.length(_digits(span)).between(12, 20), _luhn(span)).otherwise(False) if kind == "card" else F.lit(False), "large": ~_small_parts(span) if kind == "ip" else F.lit(False),
         "literal": span.contains("@"), "context": before.rlike(CONTEXT), "size": F.least(F.floor(F.length(span) / 4), F.lit(12)),
     }
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[whole[f].cast("int").alias(f) for f in FEATURES])
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[whole[f].cast("int").alias(f) for f in FEATURES], own.alias("own"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs with `base` and `wide`: arrays of base spans and of all proposed spans with their features."""
+    """docs with `base` and `wide`: arrays of base spans, and of all proposed spans with their features, `own` (it overlaps a base
+    span of its kind) and `reach` (as _reach() gives it for all base spans)."""
     text, least = F.col("text"), {"email": 0, "ip": 4, "card": 13, "phone": 9}
 
-    def base(kind: str) -> Column:
-        valid = F.filter(_matches(text, kind, BASE[kind]), lambda m: _valid(kind, m["span"]))
-        return F.transform(valid, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+    def both(kind: str) -> Column:
+        base = F.filter(_matches(text, kind, BASE[kind]), lambda m: _valid(kind, m["span"]))
+        base = F.transform(base, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+        wide = F.filter(_matches(text, kind, WIDE[kind]), lambda m: F.length(_digits(m["span"])).between(least[kind], 40))
 
-    def wide(kind: str) -> Column:
-        long_enough = F.filter(_matches(text, kind, WIDE[kind]), lambda m: F.length(_digits(m["span"])).between(least[kind], 40))
-        return F.transform(long_enough, lambda m: _features(text, kind, m))
+        def described(b: Column, w: Column) -> Column:
+            each = F.arrays_zip(w.alias("m"), _reach(w, b).alias("r"))
+            return _let(F.when(F.size(w) > 0, _pages(text)).otherwise(F.array().cast("array<string>")), lambda pages: F.transform(each, lambda z: _features(pages, kind, z["m"], (z["r"] > z["m"]["start"]).cast("int"))))
 
-    return docs.withColumn("base", F.array_sort(F.concat(*map(base, KINDS)))).withColumn("wide", F.concat(*map(wide, KINDS)))
+        return _let(base, lambda b: F.struct(b.alias("base"), _let(wide, lambda w: described(b, w)).alias("wide")))
+
+    found = docs.withColumns({f"found_{k}": both(k) for k in KINDS})
+    found = found.withColumns({"base": F.array_sort(F.concat(*[F.col(f"found_{k}.base") for k in KINDS])), "wide": F.concat(*[F.col(f"found_{k}.wide") for k in KINDS])}).drop(*[f"found_{k}" for k in KINDS])
+    return found.withColumn("wide", F.transform(F.arrays_zip(F.col("wide").alias("m"), _reach(F.col("wide"), F.col("base")).alias("r")), lambda z: z["m"].withField("reach", z["r"])))
 
 
 def boosted(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[float, list]:
@@ -165,9 +223,8 @@ def _expression(model, m: Column) -> Column:
 
 def fit(found: DataFrame) -> tuple[tuple, dict[int, float]]:
     """Trees and the threshold of each kind, from the counts of all candidates by kind and features."""
-    each = found.select("base", F.explode("wide").alias("m"))
-    is_base = F.exists("base", lambda b: (b["kind"] == F.col("m.kind")) & (b["start"] < F.col("m.end")) & (F.col("m.start") < b["end"]))
-    counted = each.groupBy(*[F.col(f"m.{c}").alias(c) for c in ("kind", *FEATURES)]).agg(F.count("*").alias("n"), F.count(F.when(is_base, 1)).alias("p")).collect()
+    each = found.select(F.explode("wide").alias("m"))
+    counted = each.groupBy(*[F.col(f"m.{c}").alias(c) for c in ("kind", *FEATURES)]).agg(F.count("*").alias("n"), F.sum("m.own").alias("p")).collect()
     if not counted:
         return (0.0, []), {}
     x = np.array([[r[c] for c in ("kind", *FEATURES)] for r in sorted(counted)], float)
@@ -183,20 +240,25 @@ def fit(found: DataFrame) -> tuple[tuple, dict[int, float]]:
     return model, least
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _chosen(found: DataFrame) -> DataFrame:
+    """`all` (base and added spans in order) in place of `wide`."""
+    model, least = fit(found)
+    score = lambda m: _expression(model, m)
+    enough = lambda m: reduce(lambda a, b: a | b, [(m["kind"] == k) & (score(m) >= F.lit(t)) for k, t in least.items()], F.lit(False))
+    extra = F.transform(F.filter("wide", lambda m: (m["reach"] <= m["start"]) & enough(m)), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+
+    def alone(x: Column, kind: int) -> Column:
+        """Those of a kind that none of an earlier kind overlaps; spans of one kind don't overlap."""
+        own, earlier = F.filter(x, lambda m: m["kind"] == kind), F.filter(x, lambda m: m["kind"] < kind)
+        return F.transform(F.filter(_let(own, lambda o: F.arrays_zip(o.alias("m"), _let(earlier, lambda e: _reach(o, e)).alias("r"))), lambda z: z["r"] <= z["m"]["start"]), lambda z: z["m"])
+
+    added = F.when(F.size("extra") > 0, F.concat(*[alone(F.col("extra"), k) for k in range(len(KINDS))])).otherwise(F.col("extra"))
+    return found.withColumn("extra", extra).withColumn("all", F.array_sort(F.concat("base", added))).drop("wide", "extra")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """docs with `base` and `all` (base and added spans), arrays of struct<start, kind, end> in order."""
-    found = spans(docs)
-    model, least = fit(found)
-    score = lambda m: _expression(model, m)
-    enough = lambda m: reduce(lambda a, b: a | b, [(m["kind"] == k) & (score(m) >= F.lit(t)) for k, t in least.items()], F.lit(False))
-    extra = F.transform(F.filter("wide", lambda m: ~F.exists("base", lambda b: _overlaps(b, m)) & enough(m)), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    found = found.withColumn("extra", extra)
-    alone = F.filter("extra", lambda m: ~F.exists("extra", lambda o: _overlaps(o, m) & ((o["kind"] < m["kind"]) | ((o["kind"] == m["kind"]) & (o["start"] < m["start"])))))
-    return found.withColumn("all", F.array_sort(F.concat("base", alone))).drop("wide", "extra")
+    return _chosen(spans(docs))
 
 
 def _joined(col: str) -> Column:
@@ -210,7 +272,7 @@ def _clean(docs: DataFrame, *keep: str) -> DataFrame:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans, n_spans (of all) for every row of docs (doc_id, text)."""
-    found = all_spans(_clean(docs, F.col("doc_id").cast("long").alias("doc_id")))
+    found = _chosen(C.materialize(spans(_clean(docs, F.col("doc_id").cast("long").alias("doc_id"))).drop("text"), "spans"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -222,12 +284,16 @@ def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with every span of the text replaced by its kind in angle brackets; null stays null."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     found = all_spans(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap, F.when(s["start"] >= acc["at"], F.element_at(names, s["kind"] + 1)).otherwise("")).alias("out"))
+    def piece(pages: Column, z: Column) -> Column:
+        """What stands between the spans before and this one, and its label unless they cover its start."""
+        return F.concat(_cut(pages, z["at"], F.greatest(z["s"]["start"], z["at"])), F.when(z["s"]["start"] >= z["at"], F.element_at(names, z["s"]["kind"] + 1)).otherwise(""))
+
+    def whole(pages: Column, marked: Column) -> Column:
+        rest = _cut(pages, F.array_max(F.transform(marked, lambda s: s["end"])), F.length("text"))
+        each = F.arrays_zip(marked.alias("s"), _before(F.transform(marked, lambda s: s["end"]), lambda a, x: F.greatest(a, x), 0).alias("at"))
+        return F.concat(F.array_join(F.transform(each, lambda z: piece(pages, z)), ""), rest)
 
-    clean = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    clean = _let(_pages(F.col("text")), lambda pages: whole(pages, F.col("all")))
     text = F.when(F.col("row.text").isNotNull(), F.when(F.size("all") > 0, clean).otherwise(F.col("text")))
     return found.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
