@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from parley.sources import manifest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LEDGER = "item_key string, target string, external_id string, meeting_id long, created_at double"
+
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """window_start, event_type, n, total per window; late events within the watermark still count."""
@@ -52,34 +56,51 @@ def frames(stream: DataFrame) -> DataFrame:
     return stream.groupBy("conn_id").applyInPandasWithState(step, "conn_id long, frames long, bytes long", "frames long, bytes long", "append", "NoTimeout")
 
 
-def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
-    """The newest folder of each bucket of a ledger, among finished versions below `before`."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(at(path))] if fs.exists(at(path)) else []
-    found: dict[int, str] = {}
-    for version in sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()):
-        if (before is None or version < before) and fs.exists(at(f"{path}/v{version}/_SUCCESS")):
-            inside = [s.getPath().getName() for s in fs.listStatus(at(f"{path}/v{version}"))]
-            found |= {int(n.split("=")[1]): f"{path}/v{version}/{n}" for n in inside if n.startswith("bucket=")}
-    return found
+#: Versions of a ledger that stay readable, and commits between two clearances of older ones.
+KEPT, CLEARED = 5, 20
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
+    """The ledger that into_ledger() keeps, its newest state; empty where there is none."""
+    content = manifest.read(spark, f"{path}/manifest")
+    folders = sorted((content or {}).get("buckets", {}).values())
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger that into_ledger() keeps, its newest state."""
-    return spark.read.parquet(*_newest(spark, path).values())
+def _clear(spark: SparkSession, path: str) -> None:
+    """Delete versions older than the newest KEPT, and what only they name."""
+    folder = f"{path}/manifest"
+    known = manifest.versions(spark, folder)
+    held = {f.rsplit("/", 2)[-2] for v in known[-KEPT:] for f in manifest.read(spark, folder, v)["buckets"].values()}
+    for v in known[:-KEPT]:
+        manifest.delete(spark, f"{folder}/{v}.json")
+    for name in manifest.names(spark, f"{path}/data"):
+        if name not in held:
+            manifest.delete(spark, f"{path}/data/{name}")
 
 
 def into_ledger(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that upserts each micro-batch; a repeated batch changes nothing. Keys are dealt into buckets by
-    hash, and a batch reads and writes only those that it touches, each as a new version beside the old ones."""
+    """A foreachBatch sink that upserts each micro-batch. Keys are dealt into buckets by hash; a batch reads and writes only those
+    that it touches, and a manifest names the newest folder of every bucket and swaps at once. A batch that its stream has
+    applied is skipped; another stream, or the same one with a new checkpoint, counts its batches anew and meets the whole
+    ledger all the same. Of two writers at once one fails with manifest.Conflict, and its stream tries again. Folders of
+    versions that nobody can read any more are deleted now and then."""
     from parley.operators.ledger import upserted
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark, bucket = batch.sparkSession, F.pmod(F.xxhash64("item_key", "target"), F.lit(buckets)).cast("int")
-        touched = {r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()}  # no more than there are buckets
-        old = [p for k, p in _newest(spark, path, epoch).items() if k in touched]
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        before = manifest.read(spark, f"{path}/manifest") or {"version": 0, "buckets": {}, "applied": {}}
+        if stream and before["applied"].get(stream, -1) >= epoch:
+            return
+        touched = [str(r["bucket"]) for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # no more than there are buckets
+        old = [before["buckets"][k] for k in touched if k in before["buckets"]]
         merged = upserted(spark.read.schema(batch.schema).parquet(*old) if old else batch.limit(0), batch)
-        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{epoch}")
+        at = f"{path}/data/{uuid.uuid4().hex}"
+        merged.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(at)
+        version = before["version"] + 1
+        manifest.commit(spark, f"{path}/manifest", version, {"version": version, "buckets": before["buckets"] | {k: f"{at}/bucket={k}" for k in touched}, "applied": before["applied"] | ({stream: epoch} if stream else {})})
+        if version % CLEARED == 0:
+            _clear(spark, path)
 
     return write

@@ -6,7 +6,8 @@ import os
 import random
 
 import pytest
-from parley.streaming import audit, control
+from parley.sources import manifest
+from parley.streaming import audit, control, windows
 from pyspark.sql import functions as F
 
 SCHEMA = "conn_id long, seq long, ts timestamp, kind string, size long"
@@ -101,3 +102,46 @@ def test_audit_survives_restarts_without_lost_or_doubled_lines(spark, tmp_path):
     assert len([x for x in os.listdir(f"{at}/log") if x.startswith("day=")]) > 3
     assert [r["ts"] for r in audit.tail(log, 3).collect()] == [round(1_700_000_000.1234 + 40_000 * i, 3) for i in (6, 7, 8)]
     assert audit.tail(log, 50).count() == 9 and audit.tail(log.limit(0), 5).count() == 0
+
+
+LEDGER = "item_key string, target string, external_id string, meeting_id long, created_at double"
+
+
+def upsert(spark, at, ledger, check):
+    stream = spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+    q = stream.writeStream.foreachBatch(windows.into_ledger(ledger, 8)).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None
+
+
+def test_the_ledger_outlives_its_checkpoint(spark, tmp_path):
+    at, ledger = str(tmp_path), str(tmp_path / "ledger")
+    assert windows.read_ledger(spark, ledger).count() == 0
+    put = lambda k, rows: spark.createDataFrame(rows, LEDGER).coalesce(1).write.parquet(f"{at}/in/part{k}")
+    put(0, [(f"k{i}", "t", "A", 1, 1.0) for i in range(20)])
+    put(1, [(f"k{i}", "t", "B", 2, 2.0) for i in range(10, 30)])
+    upsert(spark, at, ledger, f"{at}/check1")
+    want = {f"k{i}": ("B" if i >= 10 else "A", 1 if i < 20 else 2) for i in range(30)}
+    state = lambda: {r["item_key"]: (r["external_id"], r["meeting_id"]) for r in windows.read_ledger(spark, ledger).collect()}
+    assert state() == want
+    put(2, [("k0", "t", "C", 3, 3.0), ("new", "t", "C", 3, 3.0)])
+    upsert(spark, at, ledger, f"{at}/check2")  # a new checkpoint: all batches come again, from epoch 0
+    want |= {"k0": ("C", 1), "new": ("C", 3)}
+    assert state() == want and windows.read_ledger(spark, ledger).count() == 31
+    versions = manifest.versions(spark, f"{ledger}/manifest")
+    last = sorted(x for x in os.listdir(f"{at}/check2/commits") if x.isdigit())[-1]
+    for name in (last, f".{last}.crc"):
+        if os.path.exists(f"{at}/check2/commits/{name}"):
+            os.remove(f"{at}/check2/commits/{name}")
+    upsert(spark, at, ledger, f"{at}/check2")  # the last batch comes again and is skipped
+    assert manifest.versions(spark, f"{ledger}/manifest") == versions and state() == want
+
+
+def test_old_versions_of_a_ledger_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(windows, "CLEARED", 7)
+    ledger = str(tmp_path / "ledger")
+    write = windows.into_ledger(ledger, 2)
+    for k in range(7):
+        write(spark.createDataFrame([(f"k{k % 3}", "t", f"X{k}", 1, float(k))], LEDGER), k)
+    assert len(os.listdir(f"{ledger}/data")) <= windows.KEPT + 2 and len(manifest.versions(spark, f"{ledger}/manifest")) == windows.KEPT
+    assert sorted(r["external_id"] for r in windows.read_ledger(spark, ledger).collect()) == ["X4", "X5", "X6"]
