@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from parley.functions import text as T
-from parley.operators import chunking, conversation, evaluation, ledger, matching, reports, retrieval, terms
+from parley.operators import chunking, conversation, evaluation, ledger, matching, reports, retrieval, sequence, terms
 from parley.sources import readers, shared
 from parley.streaming import windows as streams
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -700,12 +700,10 @@ def join_greedy_bipartite(spark, d):
 
 @query("with c as (select user_id, list(event_type order by event_id) as called, list(event_type order by ts, event_id) as expected from events group by user_id) select user_id, (called[1] = expected[1])::int as first_ok, (called = expected)::int as exact, round(len(list_intersect(called, expected)) / len(list_distinct(expected)), 6) as set_recall, round(len(list_filter(called, lambda x: list_contains(expected, x))) / len(called), 6) as precision from c")
 def eval_selection(spark, d):
-    e = table(spark, d, "events")
-    by_id = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
-    by_time = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    runs = e.groupBy("user_id").agg(by_id.alias("called"), by_time.alias("expected"))
-    s = evaluation.selection(F.col("called"), F.col("expected"))
-    return runs.select("user_id", s["first_ok"].alias("first_ok"), s["exact"].alias("exact"), F.round(s["set_recall"], 6).alias("set_recall"), F.round(s["precision"], 6).alias("precision"))
+    """The calls of each user by id against those by time."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts", F.col("event_type").alias("tool"))
+    called, expected = (sequence.numbered(e, ["run_id"], order).select("run_id", "place", "tool") for order in (["event_id"], ["ts", "event_id"]))
+    return evaluation.selections(called, expected).withColumnRenamed("run_id", "user_id")
 
 
 # --- events as streams, in batch ---

@@ -58,6 +58,20 @@ def selection(called: Column, expected: Column) -> dict[str, Column]:
     }
 
 
+def selections(called: DataFrame, expected: DataFrame) -> DataFrame:
+    """run_id, first_ok, exact, set_recall, precision (6 digits) of runs' tool calls (run_id, place from 1, tool) against those
+    expected, as selection() scores arrays of them; runs of either side have a row. Calls meet by place and are counted by
+    tool, so no run is one row."""
+    both = called.select("run_id", "place", F.col("tool").alias("c")).join(expected.select("run_id", "place", F.col("tool").alias("e")), ["run_id", "place"], "full")
+    same = F.coalesce(F.col("c") == F.col("e"), F.lit(False))
+    order = both.groupBy("run_id").agg(F.coalesce(F.max(F.when(F.col("place") == 1, same.cast("int"))), F.lit(0)).alias("first_ok"), F.min(same.cast("int")).alias("exact"))
+    n = lambda df, name: df.groupBy("run_id", "tool").agg(F.count("*").alias(name))
+    tools = n(called, "c").join(n(expected, "e"), ["run_id", "tool"], "full").na.fill(0, ["c", "e"])
+    wanted, made = F.count_if(F.col("e") > 0), F.sum("c")
+    sets = tools.groupBy("run_id").agg(F.when(wanted > 0, F.count_if((F.col("c") > 0) & (F.col("e") > 0)) / wanted).otherwise(1.0).alias("set_recall"), F.when(made > 0, F.sum(F.when(F.col("e") > 0, F.col("c")).otherwise(0)) / made).otherwise(0.0).alias("precision"))
+    return order.join(sets, "run_id").select("run_id", "first_ok", "exact", F.round("set_recall", 6).alias("set_recall"), F.round("precision", 6).alias("precision"))
+
+
 def answer_level(answers: DataFrame, corpus: DataFrame) -> DataFrame:
     """arm, answered, citation_valid_rate, term_covered_rate (null without expected terms) for answers (id, arm, text, answered,
     citations, terms): an answer's citations are valid if there are some and the corpus (doc_id) holds all; its terms are

@@ -141,3 +141,17 @@ def test_permissions(spark):
     assert reasons() == [None, "write tools are disabled", "unknown tool", "unknown tool"]
     assert reasons(allow_write=True)[:2] == [None, None]
     assert reasons(allowlist=("write",))[:2] == ["tool not in allowlist", "write tools are disabled"]
+
+
+def test_selections_by_rows_equal_those_by_arrays(spark):
+    from parley.operators import evaluation
+
+    rng = random.Random(7)
+    runs = {r: ([rng.choice("abcd") for _ in range(rng.randint(0, 5))], [rng.choice("abce") for _ in range(rng.randint(0, 4))]) for r in range(80)}
+    runs |= {100: (["a", "b"], ["a", "b"]), 101: (["a"], ["a", "b"])}
+    flat = lambda k: spark.createDataFrame([(r, i, t) for r, own in runs.items() for i, t in enumerate(own[k], 1)], "run_id long, place long, tool string")
+    got = {r[0]: tuple(r[1:]) for r in evaluation.selections(flat(0), flat(1)).collect()}
+    arrays = spark.createDataFrame([(r, *own) for r, own in runs.items() if own[0] or own[1]], "run_id long, c array<string>, e array<string>")
+    s = evaluation.selection(F.col("c"), F.col("e"))
+    want = {r[0]: tuple(r[1:]) for r in arrays.select("run_id", "c", "e", s["first_ok"].alias("f"), s["exact"].alias("x"), F.round(s["set_recall"], 6).alias("r"), F.round(s["precision"], 6).alias("p")).select("run_id", "f", "x", "r", "p").collect()}
+    assert got == want
