@@ -47,7 +47,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return shared.spread(table(spark, d, "documents"))
 
 
 def asked(spark, d):
