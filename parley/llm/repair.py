@@ -145,16 +145,17 @@ def walk(codes: list[int], end: list[int], state: int, last: bool) -> tuple[list
     return edits, roles, state
 
 
-def _segments(f: pd.DataFrame):
-    """(key, its turns in order) of a block."""
+def _segments(f: pd.DataFrame) -> list[tuple[str, list[int], list[int]]]:
+    """(key, seq and code of its turns in order) of a block."""
     f = f.sort_values("seq")
-    keys = f["key"].to_numpy()
-    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(f)]
-    return [(keys[a], f.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    keys, seq, codes = f["key"].to_numpy(), f["seq"].tolist(), f["code"].tolist()
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(f)] if len(f) else [0]
+    return [(keys[a], seq[a:b], codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _matrices(f: pd.DataFrame) -> pd.DataFrame:
-    rows = [(key, int(own["block"].iloc[0]), sum(matrix(own["code"].tolist()), [])) for key, own in _segments(f)]
+    block = int(f["block"].iloc[0])
+    rows = [(key, block, sum(matrix(codes), [])) for key, _, codes in _segments(f)]
     return pd.DataFrame(rows, columns=["key", "block", "costs"])
 
 
@@ -171,13 +172,17 @@ def _ends(frames):
         yield pd.DataFrame(rows, columns=["key", "block", "ends", "last"])
 
 
+def _by_key(f: pd.DataFrame, *columns: str) -> dict[str, tuple]:
+    return {key: own for key, *own in zip(f["key"], *(f[c].tolist() for c in columns), strict=True)}
+
+
 def _exits(codes: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
     """Where each state leads through a block."""
-    asked, rows = ends.set_index("key"), []
-    for key, own in _segments(codes) if len(ends) and len(codes) else []:
-        if key in asked.index:
-            at, c = asked.loc[key], own["code"].tolist()
-            rows.append((key, int(at["block"]), [walk(c, [int(x) for x in at["ends"]], s, bool(at["last"]))[2] for s in range(4)]))
+    asked, rows = _by_key(ends, "block", "ends", "last"), []
+    for key, _, own in _segments(codes) if asked else []:
+        if key in asked:
+            block, end, last = asked[key]
+            rows.append((key, block, [walk(own, list(map(int, end)), s, last)[2] for s in range(4)]))
     return pd.DataFrame(rows, columns=["key", "block", "exits"])
 
 
@@ -195,12 +200,14 @@ def _entries(frames):
 
 
 def _edits(codes: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-    asked, out = ends.set_index("key"), []
-    for key, own in _segments(codes) if len(codes) else []:
-        at = asked.loc[key]
-        edits, roles, _ = walk(own["code"].tolist(), [int(x) for x in at["ends"]], int(at["state"]), bool(at["last"]))
-        out.append(pd.DataFrame({"seq": own["seq"], "edits": edits, "roles": roles}))
-    return pd.concat(out) if out else pd.DataFrame({"seq": [], "edits": [], "roles": []})
+    asked, seqs, edits, roles = _by_key(ends, "ends", "last", "state"), [], [], []
+    for key, seq, own in _segments(codes):
+        end, last, state = asked[key]
+        script, to, _ = walk(own, list(map(int, end)), state, last)
+        seqs += seq
+        edits += script
+        roles += to
+    return pd.DataFrame({"seq": pd.Series(seqs, dtype="int64"), "edits": edits, "roles": roles})
 
 
 def repaired(rows: DataFrame, block: int = BLOCK) -> DataFrame:
