@@ -406,7 +406,7 @@ def bm25_idf(spark, d):
 
 @query(f"with {_Q}, {_tf('documents')}, {_len('documents')}, {_bm25_sql('b1', 'q')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from b1) where rank <= 10")
 def topk_bm25(spark, d):
-    return retrieval.ranked(retrieval.bm25(asked(spark, d), docs(spark, d)), 10).select("query_id", "rank", "doc_id", "score")
+    return retrieval.ranked(retrieval.bm25_best(asked(spark, d), docs(spark, d), 10), 10).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"with q as (select item_id as query_id, {_CJK.format(t='text')} as text from benchmark), mixed as (select doc_id, {_CJK.format(t='text')} as text from documents), {_tf('mixed')}, {_len('mixed')}, {_bm25_sql('b1', 'q')} select query_id, rank, doc_id, score from (select *, {_RANK}::int as rank from b1) where rank <= 10")
@@ -729,7 +729,7 @@ def agg_frames(spark, d):
 def _pool(spark, d, k=20):
     """BM25 and vectors over whole documents, k results each."""
     q, c = asked(spark, d), docs(spark, d)
-    both = [retrieval.ranked(scores, k).withColumn("channel", F.lit(name)) for name, scores in (("bm25", retrieval.bm25(q, c)), ("vector", retrieval.cosine(q, c, k)))]
+    both = [retrieval.ranked(scores, k).withColumn("channel", F.lit(name)) for name, scores in (("bm25", retrieval.bm25_best(q, c, k)), ("vector", retrieval.cosine(q, c, k)))]
     return both[0].unionByName(both[1])
 
 
@@ -759,7 +759,7 @@ def join_channels_full(spark, d):
 @query(f"with {_TWO} select query_id, doc_id, rank as old_rank, row_number() over (partition by query_id order by rank)::int as new_rank from (select * from two where channel = 'bm25' and rank <= 9) join documents d using (doc_id) where d.lang = 'en' qualify new_rank <= 3")
 def overfetch_filter(spark, d):
     """Three times k are fetched, then filtered by language, then cut to k: the filter must not move below the ranking."""
-    top = retrieval.ranked(retrieval.bm25(asked(spark, d), docs(spark, d)), 9).select("query_id", "doc_id", F.col("rank").alias("old_rank"))
+    top = retrieval.ranked(retrieval.bm25_best(asked(spark, d), docs(spark, d), 9), 9).select("query_id", "doc_id", F.col("rank").alias("old_rank"))
     kept = top.join(docs(spark, d).filter("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("old_rank"))
     return kept.withColumn("new_rank", rank).filter("new_rank <= 3").select("query_id", "doc_id", "old_rank", "new_rank")

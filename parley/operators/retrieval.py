@@ -87,6 +87,69 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
     return asked.join(held, "term").join(df, "term").groupBy(*keys, "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
 
 
+def _counted(terms_b) -> Callable:
+    """(doc_id, len, terms, tfs) of rows (doc_id, tokens): the wanted terms of each text by number, and how often they occur."""
+
+    def run(frames):
+        get = terms_b.value.get
+        for f in frames:
+            own = [[k for k in map(get, t) if k is not None] for t in f["tokens"]]
+            row = np.repeat(np.arange(len(f)), np.fromiter(map(len, own), np.int64, len(f)))
+            keys, tf = np.unique(row << 32 | np.fromiter((k for x in own for k in x), np.int64, len(row)), return_counts=True)
+            cuts = np.searchsorted(keys >> 32, np.arange(len(f) + 1))
+            spans, terms, tf = list(zip(cuts[:-1], cuts[1:], strict=True)), (keys & 0xFFFFFFFF).astype(np.int32), tf.astype(np.int32)
+            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "len": f["tokens"].str.len().to_numpy(np.int64), "terms": [terms[a:b] for a, b in spans], "tfs": [tf[a:b] for a, b in spans]})
+
+    return run
+
+
+def bm25_best(queries: DataFrame, corpus: DataFrame, most: int, k1: float = 1.5, b: float = 0.75, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """bm25(), but for each task only the `most` best of each query: what a ranking of as many needs. One pass counts the terms
+    that queries ask for in each text, a second scores the texts for all queries of a block; nothing is shuffled but the
+    document frequencies and the best. More terms than a broadcast holds take the way of bm25()."""
+    spark = queries.sparkSession
+    asked = shared.written(queries.select(*keys, F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("terms")), "asked")
+    distinct = asked.select(F.explode("terms").alias("term")).distinct()
+    if distinct.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        return bm25(queries, corpus, k1, b, keys)
+    names = {t: k for k, t in enumerate(distinct.toArrow().column("term").to_pylist())}
+    terms_b = spark.sparkContext.broadcast(names)
+    kind = dict(corpus.dtypes)["doc_id"]
+    held = shared.written(corpus.select("doc_id", _tokens(corpus).alias("tokens")).mapInPandas(_counted(terms_b), f"doc_id {kind}, len long, terms array<int>, tfs array<int>"), "held")
+    total = held.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    n, mean = total["n"], max(total["mean"] or 0.0, 1e-300)
+    df = np.zeros(len(names))
+    for term, count in held.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # BROADCAST_TERMS at most
+        df[term] = count
+    idf_of = np.maximum(np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
+    out = None
+    for part in _blocks(asked):
+        own = part.toArrow().to_pandas()
+        sizes = own["terms"].str.len().to_numpy(np.int64)
+        flat = np.array([names[t] for own_terms in own["terms"] for t in own_terms], np.int64)
+        by = np.argsort(flat, kind="stable")
+        which, first = np.repeat(np.arange(len(own)), sizes)[by], np.searchsorted(flat[by], np.arange(len(names) + 1))
+        shared_b = spark.sparkContext.broadcast((idf_of, which, first))
+
+        def score(rows: pd.DataFrame, shared_b=shared_b, many=len(own)) -> np.ndarray:
+            idf_t, which, first = shared_b.value
+            sizes = rows["terms"].str.len().to_numpy(np.int64)
+            flat = lambda c, t: np.concatenate([np.asarray(x, t) for x in rows[c]]) if len(rows) else np.empty(0, t)
+            term, tf, row = flat("terms", np.int64), flat("tfs", float), np.repeat(np.arange(len(rows)), sizes)
+            weight = idf_t[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * rows["len"].to_numpy(float)[row] / mean))
+            times = first[term + 1] - first[term]
+            inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            cell = np.repeat(row, times) * many + which[np.repeat(first[term], times) + inside]
+            found = np.round(np.bincount(cell, weights=np.repeat(weight, times), minlength=len(rows) * many).reshape(len(rows), many), 4)
+            return np.where(found > 0, found, -np.inf)
+
+        kinds = dict(queries.dtypes)
+        ids = spark.createDataFrame([(k, *r) for k, r in enumerate(own[list(keys)].itertuples(index=False, name=None))], ", ".join(["q long", *(f"{c} {kinds[c]}" for c in keys)]))
+        best = held.mapInPandas(_scan(score, len(own), most), f"q long, doc_id {kind}, score double").join(F.broadcast(ids), "q").select(*keys, "doc_id", "score")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def buckets(tokens: Column, dims: int = 512) -> Column:
     """The hash bucket of each token."""
     return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
@@ -112,16 +175,16 @@ def _best(pool: pd.DataFrame, most: int) -> pd.DataFrame:
     return pool.sort_values(["q", "score", "doc_id"], ascending=[True, False, True]).groupby("q", sort=False).head(most)
 
 
-def _scan(column: str, score: Callable, many: int, most: int) -> Callable:
-    """A pass over rows (doc_id, column) that keeps the `most` best of `many` queries: score(rows) is a matrix rows x queries,
-    -inf where a pair doesn't count. Each task holds 4 * most rows a query at most, and gives what is left at its end."""
+def _scan(score: Callable, many: int, most: int) -> Callable:
+    """A pass over rows (doc_id, ...) that keeps the `most` best of `many` queries: score(rows) is a matrix rows x queries, -inf
+    where a pair doesn't count. Each task holds 4 * most rows a query at most, and gives what is left at its end."""
 
     def run(frames):
         least, held, size = np.full(many, -np.inf), [], 0
         for f in frames:
             for at in range(0, len(f), 1_000):
                 part = f.iloc[at : at + 1_000]
-                found = score(part[column])
+                found = score(part)
                 doc, query = np.nonzero((found >= least) & np.isfinite(found))
                 held.append(pd.DataFrame({"q": query, "doc_id": part["doc_id"].to_numpy()[doc], "score": found[doc, query]}))
                 size += len(doc)
@@ -156,12 +219,12 @@ def cosine(queries: DataFrame, corpus: DataFrame, most: int | None = None, keys:
         asked = part.toArrow().to_pandas()
         shared_b = queries.sparkSession.sparkContext.broadcast(_unit_rows(asked["b"], dims).T)
 
-        def score(lists: pd.Series, matrix=shared_b) -> np.ndarray:
-            found = np.round(_unit_rows(lists, dims) @ matrix.value, 6)
+        def score(rows: pd.DataFrame, matrix=shared_b) -> np.ndarray:
+            found = np.round(_unit_rows(rows["b"], dims) @ matrix.value, 6)
             return np.where(found > 0, found, -np.inf)
 
         names = queries.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(asked[list(keys)].itertuples(index=False, name=None))], ", ".join(["q long", *(f"{k} {dict(queries.dtypes)[k]}" for k in keys)]))
-        best = own.mapInPandas(_scan("b", score, len(asked), most), f"q long, doc_id {dict(corpus.dtypes)['doc_id']}, score double").join(F.broadcast(names), "q").select(*keys, "doc_id", "score")
+        best = own.mapInPandas(_scan(score, len(asked), most), f"q long, doc_id {dict(corpus.dtypes)['doc_id']}, score double").join(F.broadcast(names), "q").select(*keys, "doc_id", "score")
         out = best if out is None else out.unionByName(best)
     return out
 
@@ -170,21 +233,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
     """query_id, doc_id, score: inner products, rounded to 4 digits, of queries (query_id, x) with vectors (doc_id, x) of
     other ids; for each task the `most` best of each query. All vectors have one length."""
     kinds, out = (dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]), None
-    own = vectors.select("doc_id", F.struct("doc_id", "x").alias("v"))
+    own = vectors.select("doc_id", "x")
     for part in _blocks(queries.select("query_id", "x")):
         asked = part.toArrow().to_pandas()
         shared_b = queries.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), np.array(asked["x"].tolist(), float)))
 
-        def score(rows: pd.Series, asked_b=shared_b) -> np.ndarray:
+        def score(rows: pd.DataFrame, asked_b=shared_b) -> np.ndarray:
             names, matrix = asked_b.value
             if not len(names):
                 return np.empty((len(rows), 0))
-            found = np.round(np.array([r["x"] for r in rows], float) @ matrix.T, 4)
-            found[np.array([r["doc_id"] for r in rows])[:, None] == names[None, :]] = -np.inf
+            found = np.round(np.array(rows["x"].tolist(), float) @ matrix.T, 4)
+            found[rows["doc_id"].to_numpy()[:, None] == names[None, :]] = -np.inf
             return found
 
         names = queries.sparkSession.createDataFrame([(k, v) for k, v in enumerate(asked["query_id"].tolist())], f"q long, query_id {kinds[0]}")
-        best = own.mapInPandas(_scan("v", score, len(asked), most), f"q long, doc_id {kinds[1]}, score double").join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
+        best = own.mapInPandas(_scan(score, len(asked), most), f"q long, doc_id {kinds[1]}, score double").join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
         out = best if out is None else out.unionByName(best)
     return out
 
@@ -205,7 +268,7 @@ def channels(queries: DataFrame, expanded: DataFrame, corpus: DataFrame, pool: i
     expansion changed. Both arms go through one pass over the corpus a channel."""
     both = queries.select("query_id", F.lit(0).alias("arm"), "text").unionByName(expanded.select("query_id", F.lit(1).alias("arm"), "text"))
     keys, out = ("query_id", "arm"), []
-    for name, scores, weights in (("bm25", bm25(both, corpus, keys=keys), (w.bm25, w.bm25_expanded)), ("vector", cosine(both, corpus, pool, keys), (w.vector, w.vector_expanded))):
+    for name, scores, weights in (("bm25", bm25_best(both, corpus, pool, keys=keys), (w.bm25, w.bm25_expanded)), ("vector", cosine(both, corpus, pool, keys), (w.vector, w.vector_expanded))):
         again = F.col("arm") == 1
         named = ranked(scores, pool, keys=keys).withColumn("channel", F.when(again, f"{name}+").otherwise(name)).withColumn("weight", F.when(again, weights[1]).otherwise(weights[0]))
         out.append(named.select("query_id", "doc_id", "channel", "rank", "score", "weight"))
