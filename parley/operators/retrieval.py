@@ -203,7 +203,7 @@ def _scan(score: Callable, many: int, most: int) -> Callable:
 def _blocks(queries: DataFrame) -> list[DataFrame]:
     """The queries in parts of about BROADCAST_QUERIES rows."""
     n = queries.count()
-    parts = -(-n // BROADCAST_QUERIES)
+    parts = -(-n // max(BROADCAST_QUERIES, 1))
     return [queries.filter(F.pmod(F.xxhash64(*queries.columns), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [queries]
 
 

@@ -89,3 +89,15 @@ def test_running_best_keeps_the_smallest_ids_of_ties(spark):
     found = retrieval.nearest(queries, same, 3)
     assert found.count() == 6
     assert rows(retrieval.ranked(found, 3).select("query_id", "doc_id")) == [(-5, 1), (-5, 2), (-5, 3), (1, 2), (1, 3), (1, 4)]
+
+
+@pytest.mark.parametrize("limit", ["BROADCAST_QUERIES", "BROADCAST_TERMS", None])
+def test_best_of_bm25_is_that_of_all_scores(spark, asked, monkeypatch, limit):
+    docs = corpus(spark, 0, 400)
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1000))  # ties
+    if limit:
+        monkeypatch.setattr(retrieval, limit, 1)
+    for k in (1, 7):
+        want = rows(retrieval.ranked(retrieval.bm25(asked, docs), k).select("query_id", "rank", "doc_id", "score"))
+        assert rows(retrieval.ranked(retrieval.bm25_best(asked, docs, k), k).select("query_id", "rank", "doc_id", "score")) == want
+    assert retrieval.bm25_best(asked, docs.limit(0), 3).count() == retrieval.bm25_best(asked.limit(0), docs, 3).count() == 0
