@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from parley.functions import text as T
 from parley.jobs import catalog
 from parley.jobs.catalog import asked, docs, query, table
-from parley.operators import agents, conversation, evaluation, index, meetings, outbox, reports, schemas, sequence
+from parley.operators import agents, conversation, evaluation, index, meetings, outbox, reports, schemas, sequence, terms
 from parley.sources import readers, report_files, shared
 from parley.streaming import audit, control
 from pyspark.sql import DataFrame, SparkSession
@@ -247,3 +248,38 @@ def eval_degradation(spark, d):
     k = F.col("o_orderkey")
     runs = table(spark, d, "orders").select(k.alias("run_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("completed").alias("status"), F.when(k % 3 == 0, F.array(F.lit("no model"))).otherwise(F.array().cast("array<string>")).alias("errors"), F.when(k % 4 == 0, " ").otherwise("# report").alias("report"))
     return evaluation.degradation(runs).drop("error_samples")
+
+
+def _found(spark, d):
+    """query_id, history and terms of all queries: their results with citations, and the terms that they hold."""
+    q, g = asked(spark, d), catalog.glossary(spark, d)
+    results, corpus = catalog._searched(spark, d)
+    own = results.select("query_id", "rank", "doc_id").join(corpus.select("doc_id", T.citation(F.col("title"), F.col("section")).alias("citation"), "text"), "doc_id")
+    history = own.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "citation", "text"))).alias("history"))  # five a query
+    named = terms.matches(q, g, "query_id").join(g.select("term", "canonical", "definition"), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("longest")).alias("l"), "ord", "term", "canonical", "definition"))).alias("terms"))  # no more than the glossary
+    return q.join(history, "query_id", "left").join(named, "query_id", "left").select("query_id", F.coalesce("history", F.array().cast("array<struct<rank:int,citation:string,text:string>>")).alias("history"), F.coalesce(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["canonical"].alias("canonical"), t["definition"].alias("definition"))), F.array().cast("array<struct<term:string,canonical:string,definition:string>>")).alias("terms"))
+
+
+_LINES = "ci as (select query_id, rank, case when section <> '' then title || ' / ' || section else title end as citation, replace(text, chr(10), ' ') as flat from hy join co using (doc_id)), tm as (select *, row_number() over (partition by query_id order by longest desc, ord) as place from qm)"
+
+
+@query(f"with recursive {catalog._HYBRID}, {_LINES} select query_id, md5(h || case when t is null then '' else chr(10) || chr(10) || '命中术语：' || t end) as md from (select query_id, string_agg('- **' || citation || '**：' || substr(trim(flat), 1, 200), chr(10) order by rank) as h from ci group by query_id) left join (select query_id, string_agg(term, '、' order by place) as t from tm group by query_id) using (query_id)")
+def history_md(spark, d):
+    """Results as the section of earlier decisions of a report; queries without any have none."""
+    md = reports.history(F.col("history"), F.transform("terms", lambda t: t["term"]))
+    return _found(spark, d).select("query_id", md.alias("md")).filter("md <> ''").select("query_id", F.md5("md").alias("md"))
+
+
+@query(f"with recursive {catalog._HYBRID}, {_LINES} select query_id, md5('{reports.BACKGROUND}' || chr(10) || h || case when t is null then '' else chr(10) || '{reports.TERMS}' || chr(10) || t end) as md from (select query_id, string_agg('- ' || citation || '：' || substr(flat, 1, 180), chr(10) order by rank) as h from ci group by query_id) left join (select query_id, string_agg('- ' || term || '：about ' || term, chr(10) order by place) as t from tm where place <= 6 group by query_id) using (query_id)")
+def background_block(spark, d):
+    """Results and terms as the background of a prompt."""
+    md = reports.background(F.col("history"), F.col("terms"))
+    return _found(spark, d).select("query_id", md.alias("md")).filter("md <> ''").select("query_id", F.md5("md").alias("md"))
+
+
+@query(f"with recursive {catalog._CHUNKS} select * from ck")
+def scan_chunks_jsonl(spark, d):
+    """Chunks put into JSON lines and read back."""
+    path = f"{shared.folder(spark)}/chunks-{shared.new_name()}"
+    readers.write_chunks(catalog.chunks(spark, d), path)
+    return readers.chunks(spark, path).drop("metadata")
