@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from parley.functions import text as T
 from parley.operators import chunking, conversation, evaluation, ledger, matching, reports, retrieval, sequence, terms
-from parley.sources import readers, shared
+from parley.sources import manifest, readers, shared
 from parley.streaming import windows as streams
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -302,11 +302,22 @@ def chunks(spark, d):
     return chunking.chunks(markdown(spark, d))
 
 
-def corpus(spark, d):
-    """The chunks of all documents and of the glossary; every chunk is a document to retrieval. It is cut and analysed once
-    and kept as a table, which each channel reads."""
+_CORPORA: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
+def chunked(spark, d):
+    """The chunks of all documents and of the glossary; every chunk is a document to retrieval."""
     both = chunks(spark, d).unionByName(terms.chunks(glossary(spark, d)))
-    return shared.written(retrieval.analysed(both.select(F.col("chunk_id").alias("doc_id"), "title", "section", "text", "source_type")), "corpus")
+    return both.select(F.col("chunk_id").alias("doc_id"), "title", "section", "text", "source_type")
+
+
+def corpus(spark, d):
+    """The chunks with their tokens, cut and analysed once and kept as a table, which each channel and later queries of the
+    session read while the files that it comes from stay as they are."""
+    key, now = (spark.sparkContext.applicationId, d), manifest.signature(spark, f"{d}/documents.parquet", f"{d}/benchmark.parquet")
+    if _CORPORA.get(key, ("", None))[0] != now:
+        _CORPORA[key] = now, shared.written(retrieval.analysed(chunked(spark, d)), "corpus")
+    return _CORPORA[key][1]
 
 
 @query(f"with {_SECTIONS} select * from sec")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from parley.functions import text as T
 from parley.jobs import catalog
 from parley.jobs.catalog import asked, docs, query, table
-from parley.operators import agents, conversation, evaluation, index, meetings, outbox, reports, schemas, sequence, terms
+from parley.operators import agents, conversation, evaluation, index, meetings, outbox, reports, retrieval, schemas, sequence, terms
 from parley.sources import readers, report_files, shared
 from parley.streaming import audit, control
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +42,14 @@ def index_stats(spark, d):
     return index.stats(stored(spark, d))
 
 
+@query(f"with recursive {catalog._HYBRID} select * from hy")
+def index_hybrid(spark, d):
+    """Hybrid retrieval over a stored index of all chunks, loaded again: nothing is cut or analysed a second time."""
+    path = f"{shared.folder(spark)}/index-{shared.new_name()}"
+    index.build(catalog.chunked(spark, d), path)
+    return retrieval.hybrid(asked(spark, d), index.corpus(index.load(spark, path)), catalog.glossary(spark, d))
+
+
 # --- action items ---
 def _requests(spark, d):
     """Each order as an action item for both targets; every second name is known."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -33,6 +34,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def signature(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files below some paths: another one where a table was written anew."""
+    rows = []
+    for path in paths:
+        at, fs = _fs(spark, path)
+        found = fs.listFiles(at, True)
+        while found.hasNext():
+            f = found.next()
+            rows.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest()
+
+
 def versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n[:-5]) for n in names(spark, folder) if n.endswith(".json") and n[:-5].isdigit())
 

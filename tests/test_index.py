@@ -101,3 +101,12 @@ def test_best_of_bm25_is_that_of_all_scores(spark, asked, monkeypatch, limit):
         want = rows(retrieval.ranked(retrieval.bm25(asked, docs), k).select("query_id", "rank", "doc_id", "score"))
         assert rows(retrieval.ranked(retrieval.bm25_best(asked, docs, k), k).select("query_id", "rank", "doc_id", "score")) == want
     assert retrieval.bm25_best(asked, docs.limit(0), 3).count() == retrieval.bm25_best(asked.limit(0), docs, 3).count() == 0
+
+
+def test_signatures_follow_the_files(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    first = manifest.signature(spark, path)
+    assert first == manifest.signature(spark, path)
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert first != manifest.signature(spark, path)
