@@ -8,7 +8,7 @@ features, where the base rules' own finds are the positive examples; boosted tre
 base spans is kept from the score on at which nine tenths of the candidates of its kind above it are positive.
 
 Defined cases: a null or empty text has no spans; a repeated doc_id is a document a row; a null doc_id is kept; an empty
-table gives no rows; other columns are ignored. Offsets are code points, ends exclusive.
+table gives no rows; other columns are ignored. Offsets are code points, ends exclusive; texts have fewer than 2^28 of them.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
 
 
-def _features(pages: Column, kind: str, m: Column, own: Column) -> Column:
+def _features(pages: Column, kind: str, m: Column) -> Column:
     span, signs = m["span"], F.regexp_replace(m["span"], "[A-Za-z0-9]", "")
     before = _cut(pages, F.greatest(m["start"] - 24, F.lit(0)), m["start"])
     whole = {
@@ -143,7 +143,7 @@ def _features(pages: Column, kind: str, m: Column, own: Column) -> Column:
         "luhn": F.when(F.length(_digits(span)).between(12, 20), _luhn(span)).otherwise(False) if kind == "card" else F.lit(False), "large": ~_small_parts(span) if kind == "ip" else F.lit(False),
         "literal": span.contains("@"), "context": before.rlike(CONTEXT), "size": F.least(F.floor(F.length(span) / 4), F.lit(12)),
     }
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[whole[f].cast("int").alias(f) for f in FEATURES], own.alias("own"))
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[whole[f].cast("int").alias(f) for f in FEATURES])
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -156,15 +156,20 @@ def spans(docs: DataFrame) -> DataFrame:
         base = F.transform(base, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
         wide = F.filter(_matches(text, kind, WIDE[kind]), lambda m: F.length(_digits(m["span"])).between(least[kind], 40))
 
-        def described(b: Column, w: Column) -> Column:
-            each = F.arrays_zip(w.alias("m"), _reach(w, b).alias("r"))
-            return _let(F.when(F.size(w) > 0, _pages(text)).otherwise(F.array().cast("array<string>")), lambda pages: F.transform(each, lambda z: _features(pages, kind, z["m"], (z["r"] > z["m"]["start"]).cast("int"))))
+        def described(w: Column) -> Column:
+            return _let(F.when(F.size(w) > 0, _pages(text)).otherwise(F.array().cast("array<string>")), lambda pages: F.transform(w, lambda m: _features(pages, kind, m)))
 
-        return _let(base, lambda b: F.struct(b.alias("base"), _let(wide, lambda w: described(b, w)).alias("wide")))
+        return F.struct(base.alias("base"), _let(wide, described).alias("wide"))
+
+    def apart(m: Column) -> Column:
+        """The place of a span where each kind has a stretch to itself, so that kinds never overlap."""
+        return F.struct(*[(m[c] + m["kind"] * (1 << 28)).alias(c) for c in ("start", "end")])
 
     found = docs.withColumns({f"found_{k}": both(k) for k in KINDS})
     found = found.withColumns({"base": F.array_sort(F.concat(*[F.col(f"found_{k}.base") for k in KINDS])), "wide": F.concat(*[F.col(f"found_{k}.wide") for k in KINDS])}).drop(*[f"found_{k}" for k in KINDS])
-    return found.withColumn("wide", F.transform(F.arrays_zip(F.col("wide").alias("m"), _reach(F.col("wide"), F.col("base")).alias("r")), lambda z: z["m"].withField("reach", z["r"])))
+    own = _reach(F.transform("wide", apart), F.transform("base", apart))
+    each = F.arrays_zip(F.col("wide").alias("m"), _reach(F.col("wide"), F.col("base")).alias("r"), own.alias("o"))
+    return found.withColumn("wide", F.transform(each, lambda z: z["m"].withField("own", (z["o"] > apart(z["m"])["start"]).cast("int")).withField("reach", z["r"])))
 
 
 def boosted(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[float, list]:
@@ -252,15 +257,10 @@ def _chosen(found: DataFrame) -> DataFrame:
         own, earlier = F.filter(x, lambda m: m["kind"] == kind), F.filter(x, lambda m: m["kind"] < kind)
         return F.transform(F.filter(_let(own, lambda o: F.arrays_zip(o.alias("m"), _let(earlier, lambda e: _reach(o, e)).alias("r"))), lambda z: z["r"] <= z["m"]["start"]), lambda z: z["m"])
 
-    added = F.when(F.size("extra") > 0, F.concat(*[alone(F.col("extra"), k) for k in range(len(KINDS))])).otherwise(F.col("extra"))
+    added = F.when(F.size("extra") > 0, F.concat(F.filter("extra", lambda m: m["kind"] == 0), *[alone(F.col("extra"), k) for k in range(1, len(KINDS))])).otherwise(F.col("extra"))
     return found.withColumn("extra", extra).withColumn("all", F.array_sort(F.concat("base", added))).drop("wide", "extra")
 
 
-def all_spans(docs: DataFrame) -> DataFrame:
-    """docs with `base` and `all` (base and added spans), arrays of struct<start, kind, end> in order."""
-    return _chosen(spans(docs))
-
-
 def _joined(col: str) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(col, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -283,7 +283,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with every span of the text replaced by its kind in angle brackets; null stays null."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    found = all_spans(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    found = spans(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    found = C.materialize(found.drop("text"), "spans").withColumn("text", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    found = _chosen(found)
 
     def piece(pages: Column, z: Column) -> Column:
         """What stands between the spans before and this one, and its label unless they cover its start."""
