@@ -32,14 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, batch: str = "8m") -> DataFrame:
+#: Of rows of megabytes: else Parquet looks at sizes only after 100 rows, and those are one page and read as one batch.
+LONG_ROWS = {"parquet.block.row.count.limit": "2", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def materialize(df: DataFrame, name: str, batch: str = "8m", options: dict[str, str] | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, which lost executors can't take away. While it is written,
     Python gets its rows in batches of so many bytes, so that long texts don't add up."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     path, before = new_path(spark, name), spark.conf.get(key)
     spark.conf.set(key, batch)
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

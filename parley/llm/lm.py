@@ -193,7 +193,7 @@ def bloom_scores(docs: DataFrame, mod: int = 7, part: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score (a token's) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = docs.withColumn("held_out", held_out(F.col("doc_id"), mod, part)).mapInPandas(_packed, "chunk long, doc_id array<long>, text array<string>, held_out array<boolean>")
-    docs = C.materialize(packed, "texts")
+    docs = C.materialize(packed, "texts", options=C.LONG_ROWS)
     characters = F.aggregate(F.transform("text", lambda t: F.coalesce(F.length(t), F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     parts = 1 + int(docs.agg(F.sum(characters)).first()[0] or 0) // PART
     counts = docs.mapInPandas(_count(parts), "chunk long, part long, n int, h binary, c binary")

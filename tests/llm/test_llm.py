@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,17 @@ def test_lm_holds_every_counted_ngram(spark, chars, monkeypatch):
         assert abs(got[i] - want) < 0.02 * abs(want)
 
 
+def test_lm_bounds_what_is_read_of_long_rows(spark, monkeypatch):
+    """Rows of megabytes: a task reads a few at a time, however many its file holds."""
+    paths, new_path = [], C.new_path
+    monkeypatch.setattr(C, "new_path", lambda session, name: paths.append((name, new_path(session, name))) or paths[-1][1])
+    docs = spark.range(0, 6, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("some words "), F.col("id"), F.lit(" ")), 330_000).alias("text"))
+    assert sorted(r["n_tokens"] for r in lm.bloom_scores(docs).collect()) == [990_001] * 6
+    (folder,) = (p.removeprefix("file:") for name, p in paths if name == "texts")
+    groups = [m.row_group(k).num_rows for f in Path(folder).glob("*.parquet") for m in [pq.read_metadata(f)] for k in range(m.num_row_groups)]
+    assert sum(groups) == 6 and max(groups) <= 3
+
+
 def test_lm_tells_repeated_texts_from_others(spark):
     rows = [(i, prose(80, random.Random(i))) for i in range(300)]
     rows += [(1000 + i, t) for i, t in rows[:40]]
