@@ -114,6 +114,7 @@ def _scan(n: int, carry: tuple[str, ...]) -> Callable:
     """A row for each document, and counts of shingles seen several times in one task."""
 
     def run(frames):
+        C.release()
         pool, texts, size, seen = [], [], 0, set()
 
         def flush():
@@ -147,6 +148,7 @@ def _entries(n: int, percent: int, hot, parts: int) -> Callable:
     sets of a task share, the part gets two; the others need no owner to be known as shared and go to part -1."""
 
     def run(frames):
+        C.release()
         hot_hash, hot_rank, common = hot.value
         seen: set[int] = set()
         pool, size = [], 0
@@ -212,6 +214,7 @@ def _sets(n: int, needed, bits: int) -> Callable:
     """The sets of the documents that stand for a node which is compared (and of a few others, which find no pair)."""
 
     def run(frames):
+        C.release()
         for f in frames:
             some = f[C.has_bit(needed.value, _slot(f["doc_id"].fillna(0).to_numpy(np.int64), bits))]
             for part in C.text_slices([some], "text"):
@@ -355,6 +358,7 @@ def _met(left: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     met = met.select(*fields, *[F.col("met").getField(c).alias(f"met_{c}") for c in fields])
 
     def count(frames):
+        C.release()
         for f in frames:
             for n, rest, groups, sid, *met in f[["n", "rest", "groups", "sid", *(f"met_{c}" for c in fields)]].itertuples(index=False):
                 other, n_b, rest_b, groups_b = (np.concatenate([np.asarray(x, np.int64) for x in own]) for own in met)

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from .lm import held_out
 
 SAMPLE, CHARS = 3_000, 30_000_000
@@ -63,6 +64,7 @@ class Compressors:
 
     def gains(self, text: str | None) -> list[int]:
         if self.made is None:
+            C.release()
             import zstandard as z
 
             how = z.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=3, target_length=32, strategy=z.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)

@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +224,13 @@ def test_piecewise_ids_of_random_strings(name):
         assert enc.encode(own) == enc.direct(own)
 
 
+def test_other_operators_release_what_a_worker_remembers():
+    enc = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    enc.encode(["some words"])
+    list(jaccard._scan(5, ())(iter([pd.DataFrame({"doc_id": [1], "text": ["a b c d e f"]})])))
+    assert not tokens._encoders
+
+
 def test_wide_ids_need_four_bytes(spark, docs, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert records.id_width(path, 2) == 2 and records.id_width(path, 70_000) == 4
