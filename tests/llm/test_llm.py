@@ -224,6 +224,19 @@ def test_piecewise_ids_of_random_strings(name):
         assert enc.encode(own) == enc.direct(own)
 
 
+def test_stretches_met_again_are_not_encoded_again(monkeypatch):
+    """A worker that has met more stretches than it remembers keeps those that come again."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 1000)
+    enc, rng, asked = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(4), Counter()
+    in_words = enc.in_words
+    monkeypatch.setattr(enc, "in_words", lambda words: asked.update(words) or in_words(words))
+    for _ in range(30):
+        own = [" ".join(["often", *("".join(rng.choices("abcdefghij", k=9)) for _ in range(100))]) + " always." for _ in range(2)]
+        assert enc.encode(own) == enc.direct(own)
+        assert len(enc.known) + len(enc.older) < 2000
+    assert asked["always"] == 1 and asked["often"] <= 1
+
+
 def test_other_operators_release_what_a_worker_remembers():
     enc = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     enc.encode(["some words"])
