@@ -29,12 +29,35 @@ def release() -> None:
     if any(CACHES):
         for cache in CACHES:
             cache.clear()
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else freed blocks stay with the worker
-            trim(0)
+        give_back()
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Give memory that Python has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else freed blocks stay with the process
+        trim(0)
+
+
+#: Bytes of the driver's heap that the last collection of relieve() left.
+_left = 0
+
+
+def relieve(spark: SparkSession) -> None:
+    """Collect the driver's garbage where its heap has grown beyond half of what it may take: it shrinks then, and Spark deletes
+    shuffles and broadcasts that no frame refers to. A heap of fixed size is left alone after the first time."""
+    global _left
+    runtime = spark._jvm.Runtime.getRuntime()
+    total = runtime.totalMemory()
+    if total > max(_left, runtime.maxMemory() // 2):
+        gc.collect()
+        spark._jvm.System.gc()
+        total = runtime.totalMemory()
+    _left = total
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -64,6 +87,7 @@ def materialize(df: DataFrame, name: str, batch: str = "8m", options: dict[str,
         df.write.options(**(options or {})).parquet(path)
     finally:
         spark.conf.set(key, before)
+    relieve(spark)  # else many small jobs let the heap grow to its end
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -258,7 +258,7 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     rows = _rooted(own, carry=("_hash", "_at"))
     first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_at")).alias("first")).select(F.col("first._at").alias(row))
     kept = first.union(rows.filter("n_shingles = 0").select(F.col("_at").alias(row)))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    return numbered.join(C.materialize(kept, "kept"), row, "left_semi").select(*docs.columns)
 
 
 def _rooted(docs: DataFrame, words: int = 5, percent: int = 80, hub_rounds: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -336,6 +336,7 @@ def _rooted(docs: DataFrame, words: int = 5, percent: int = 80, hub_rounds: int
     linked = roots.join(nodes, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first_id").alias("least"))
     roots = roots.join(linked, "root").select(F.col("node").alias("sid"), "root", "least")
     nodes = nodes.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("least", "first_id").alias("component_id"))
+    nodes = C.materialize(nodes, "roots")  # what follows reads it several times, and long plans fill the driver
     joined = rows.join(nodes, (rows["sid"] == nodes["sid"]) & (rows["n"] > 0), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *carry)
 

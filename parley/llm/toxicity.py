@@ -159,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, part: int = 2):
         raise ValueError(f"too few labelled texts to fit toxicity: {[[sum(t == k for _, t in half) for k in (1, 0)] for half in halves]} toxic and ordinary ones in the halves")
     made, y = dictionaries(halves[0]), np.array([t for _, t in halves[1]], float)
     mean, scale, w = calibrate(np.array([made.features(t) for t, _ in halves[1]]), y)
+    del taken, halves
+    C.give_back()  # the sample's texts
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     w[0] += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))  # the sample takes both classes alike
     return made, (mean, scale, w)

@@ -494,6 +494,21 @@ def test_toxicity_gives_each_class_its_characters(spark, monkeypatch):
         toxicity.fit(df, labels.filter("toxic = 0").union(labels.filter("doc_id = 1")))
 
 
+def test_a_large_heap_of_the_driver_is_collected_between_jobs(spark, monkeypatch):
+    monkeypatch.setattr(C, "_left", 0, raising=False)
+    jvm, runtime = spark._jvm, spark._jvm.Runtime.getRuntime()
+    held = [jvm.java.util.ArrayList()]
+    gone = jvm.java.lang.ref.WeakReference(held[0])
+    jvm.System.gc()  # moves the list among old objects, which only a whole collection frees
+    while runtime.totalMemory() < 0.7 * runtime.maxMemory() and len(held) < 200:
+        held.append(jvm.java.lang.reflect.Array.newInstance(jvm.Long.TYPE, 2 << 20))  # 16 MB
+    del held[0]
+    assert C.materialize(spark.range(10).toDF("a"), "heap").count() == 10
+    assert gone.get() is None
+    held.clear()
+    jvm.System.gc()
+
+
 def test_pipeline_stages_take_any_rows(spark, tmp_path):
     import corpus_pipeline
 
