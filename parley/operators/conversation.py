@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def speaker_stats(segments: DataFrame) -> DataFrame:
-    """meeting_id, speaker, duration, ratio, n_chars, turns, place (longest first, then first to speak)."""
-    own = segments.groupBy("meeting_id", "speaker").agg(F.sum("seconds").alias("total"), F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("turns"), F.min("seq").alias("first_seq"))
+    """meeting_id, speaker, duration, ratio, n_chars, turns, place (longest first, then first to speak). Seconds are added up in
+    the order of seq and speakers in that of their first turn: a share halfway between two digits depends on the order."""
+    turns = Window.partitionBy("meeting_id", "speaker").orderBy("seq", "seconds").rowsBetween(Window.unboundedPreceding, 0)
+    own = segments.select("meeting_id", "speaker", "seq", F.length("text").alias("chars"), F.sum("seconds").over(turns).alias("so_far"), F.row_number().over(turns).alias("nth"))
+    own = own.groupBy("meeting_id", "speaker").agg(F.max_by("so_far", "nth").alias("total"), F.sum("chars").alias("n_chars"), F.count("*").alias("turns"), F.min("seq").alias("first_seq"))
     meeting = Window.partitionBy("meeting_id")
-    own = own.withColumn("whole", F.sum("total").over(meeting)).withColumn("duration", F.round("total", 1))
+    heard = meeting.orderBy("first_seq", "speaker").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = own.withColumn("whole", F.sum("total").over(heard)).withColumn("duration", F.round("total", 1))
     ratio = F.when(F.col("whole") > 0, F.round(F.col("total") / F.col("whole"), 3)).otherwise(0.0)
     place = F.row_number().over(meeting.orderBy(F.desc("duration"), "first_seq", "speaker"))
     return own.select("meeting_id", "speaker", "duration", ratio.alias("ratio"), "n_chars", "turns", place.alias("place"))

@@ -1,4 +1,5 @@
 import json
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from parley.functions import text as T
@@ -113,6 +114,24 @@ def test_conversation(spark):
     assert b == {1: 7.0, 2: 5.0}
 
 
+def test_shares_do_not_depend_on_the_order_of_rows(spark):
+    """Some shares lie halfway between two digits, where the order in which seconds are added decides."""
+    talks = {2458: [("user", 248), ("assistant", 921), ("user", 128), ("assistant", 626), ("user", 77)], 8598: [("system", 67), ("user", 153), ("assistant", 494), ("user", 281), ("assistant", 1444), ("user", 97), ("assistant", 1144)], 19157: [("system", 99), ("user", 163), ("assistant", 1523), ("user", 215)], 19212: [("system", 301), ("user", 49), ("assistant", 711), ("user", 203)], 20565: [("user", 329), ("assistant", 399), ("user", 94), ("assistant", 920), ("user", 258)]}
+    rows = [(m, who, k, n / 10.0, "x" * n) for m, turns in talks.items() for k, (who, n) in enumerate(turns)]
+    want = {}
+    for m, turns in talks.items():
+        own = {}
+        for who, n in turns:
+            own[who] = own.get(who, 0.0) + n / 10.0
+        whole = 0.0
+        for x in own.values():
+            whole += x
+        want |= {(m, who): float(Decimal(repr(x / whole)).quantize(Decimal("0.001"), ROUND_HALF_UP)) for who, x in own.items()}
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[4]), sorted(rows, key=lambda r: (r[1], -r[2]))):
+        s = conversation.speaker_stats(spark.createDataFrame(order, "meeting_id long, speaker string, seq long, seconds double, text string").coalesce(1))
+        assert {(r["meeting_id"], r["speaker"]): r["ratio"] for r in s.collect()} == want
+
+
 def test_ledger_is_idempotent(spark):
     schema = "item_key string, target string, external_id string, meeting_id long, created_at double"
     old = spark.createDataFrame([("k", "t", "A", 1, 1.0)], schema)
