@@ -35,6 +35,13 @@ def test_same_rows(spark, con, name):
     assert got == want and got
 
 
+def test_scripts_are_ranked_by_running_bests(spark, monkeypatch):
+    """Joins of all postings took 35 times the input of disk."""
+    monkeypatch.setattr(catalog.retrieval, "bm25", None)
+    plan = catalog.bm25_scripts(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan
+
+
 def test_names_of_queries_are_taken_once():
     with pytest.raises(ValueError):
         catalog.query()(catalog.join_greedy_bipartite)
