@@ -59,6 +59,28 @@ def test_additions_equal_a_full_build(spark, asked, tmp_path):
     assert index.corpus(small).filter(F.size("tokens") > 0).count() == 300
 
 
+def test_only_the_best_leave_a_range(spark, asked, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "RANGE", 32)
+    counts, written = [], index.shared.written
+    monkeypatch.setattr(index.shared, "written", lambda df, name: (out := written(df, name), name == "scored" and counts.append(out.count()))[0])
+    index.search(index.build(corpus(spark, 0, 500), str(tmp_path / "i")), asked, 1)
+    assert len(counts) == 1 and 0 < counts[0] <= 2 * 3 * index.FIRST  # three queries find something; ties count
+
+
+def test_what_is_stored_is_not_analysed_or_joined_again(spark, tmp_path, monkeypatch):
+    built = index.append(index.build(corpus(spark, 0, 100), str(tmp_path / "i")), corpus(spark, 50, 150))
+    assert "Join" not in index.corpus(built)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(index.T, "tokens", None)
+    assert index.compact(built).documents() == 150
+
+
+def test_buckets_of_batches_are_those_of_the_expression(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "语义"]), (2, []), (3, None), (4, ["b"])], "doc_id long, tokens array<string>")
+    got = {r["doc_id"]: r["b"] for r in retrieval.with_buckets(docs, 64).collect()}
+    want = {r["doc_id"]: r["b"] for r in docs.select("doc_id", retrieval.buckets(F.col("tokens"), 64).alias("b")).collect()}
+    assert got == {**want, 3: []}
+
+
 def test_versions_swap_whole_or_not_at_all(spark, tmp_path):
     path = str(tmp_path / "i")
     with pytest.raises(ValueError):
