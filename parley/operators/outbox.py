@@ -73,16 +73,18 @@ class Outbox:
         name = uuid.uuid4().hex
         known = self.ledger().select("item_key", "target", F.lit(True).alias("known"))
         first = F.row_number().over(Window.partitionBy("item_key", "target").orderBy("ord", "meeting_id")) == 1
-        asked = shared.written(asked.join(known, ["item_key", "target"], "left").withColumn("first", first), "asked")
+        marked = asked.join(known, ["item_key", "target"], "left").withColumn("first", first)
+        asked = shared.written(marked.withColumn("row", F.monotonically_increasing_id()), "asked", "zstd")  # keys are hexadecimal: half of what snappy leaves
         fresh = asked.filter("known is null and first").select(*[c.split(" ")[0] for c in REQUEST.split(", ")])
-        fresh.write.parquet(f"{self.path}/intents/{name}")
+        fresh.write.option("compression", "zstd").parquet(f"{self.path}/intents/{name}")
         todo = self.open()
-        done = shared.written(send(todo).select("external_id", "error"), "effects")  # once: what is confirmed is what was sent
+        done = shared.written(send(todo).select("external_id", "error"), "effects", "zstd")  # once: what is confirmed is what was sent
         keys = self._read("intents", REQUEST).select("item_key", "target", "external_id", "meeting_id").dropDuplicates(["external_id"])
-        keys.join(done.filter("error is null").select("external_id").distinct(), "external_id", "left_semi").withColumn("created_at", F.lit(float(now))).select(*[c.split(" ")[0] for c in CONFIRMED.split(", ")]).write.parquet(f"{self.path}/confirmed/{name}")
-        outcome = done.groupBy("external_id").agg(F.min(F.coalesce("error", F.lit(""))).alias("error"))
-        status = F.when(F.col("known").isNotNull(), "skipped").when(F.col("error") != "", "failed").when(F.col("first"), "created").otherwise("skipped")
-        return shared.written(asked.join(outcome, "external_id", "left").withColumn("status", status).withColumn("error", F.when(F.col("status") == "failed", F.col("error"))).drop("known", "first"), "outcome")
+        keys.join(done.filter("error is null").select("external_id").distinct(), "external_id", "left_semi").withColumn("created_at", F.lit(float(now))).select(*[c.split(" ")[0] for c in CONFIRMED.split(", ")]).write.option("compression", "zstd").parquet(f"{self.path}/confirmed/{name}")
+        failed = done.groupBy("external_id").agg(F.min(F.coalesce("error", F.lit(""))).alias("error")).filter("error <> ''")
+        failed = shared.written(asked.filter("known is null").select("row", "external_id").join(failed, "external_id").select("row", "error"), "failed", "zstd")
+        status = F.when(F.col("known").isNotNull(), "skipped").when(F.col("error").isNotNull(), "failed").when(F.col("first"), "created").otherwise("skipped")
+        return asked.join(failed, "row", "left").withColumn("status", status).drop("row", "known", "first")  # whoever counts reads no texts
 
 
 def counters(outcome: DataFrame, targets: tuple[str, ...] = ("tickets", "tasks"), enabled: tuple[str, ...] = ("tickets", "tasks")) -> DataFrame:

@@ -23,10 +23,10 @@ def new_name() -> str:
     return uuid.uuid4().hex
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The table, written once as Parquet and read from there: lineage is cut, and lost executors take nothing away."""
     path = f"{folder(df.sparkSession)}/{name}-{new_name()}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -57,6 +57,13 @@ def test_a_run_that_dies_after_the_effect_doubles_nothing(spark, asked, tmp_path
     assert {r["meeting_id"]: (r["created"], r["skipped"]) for r in outbox.meetings(out).collect()} == {"m1": (2, 4), "m2": (1, 1)}
 
 
+def test_texts_of_a_run_are_written_once(spark, asked, tmp_path, monkeypatch):
+    full, written = [], outbox.shared.written
+    monkeypatch.setattr(outbox.shared, "written", lambda df, name, *a: ("description" in df.columns and full.append(name), written(df, name, *a))[1])
+    out = outbox.Outbox(spark, str(tmp_path / "box")).run(asked, lambda rows: rows.select("external_id", F.when(F.col("target") == "tasks", "down").alias("error")))
+    assert full == ["asked"] and {(r["target"], r["status"], r["error"]) for r in out.collect()} >= {("tickets", "created", None), ("tasks", "failed", "down")}
+
+
 def test_open_intents_are_sent_though_nobody_asks_again(spark, asked, tmp_path):
     box, world = outbox.Outbox(spark, str(tmp_path / "box")), str(tmp_path / "world")
     with pytest.raises(RuntimeError):
