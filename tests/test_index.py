@@ -105,6 +105,15 @@ def test_many_queries_go_block_by_block(spark, monkeypatch):
         assert rows(retrieval.ranked(retrieval.cosine(monkey, docs, 3), 3).select("query_id", "rank", "doc_id", "score")) == want
 
 
+def test_blocks_of_queries_read_buckets_that_are_cut_once(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 10)
+    names, written = [], retrieval.shared.written
+    monkeypatch.setattr(retrieval.shared, "written", lambda df, name: (names.append(name), written(df, name))[1])
+    queries = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    plan = retrieval.cosine(queries, corpus(spark, 0, 50), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert names.count("buckets") == 1 and "regexp_extract_all" not in plan
+
+
 def test_running_best_keeps_the_smallest_ids_of_ties(spark):
     same = spark.range(30_000).select((F.lit(30_000) - F.col("id")).alias("doc_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("x")).coalesce(1)
     queries = spark.createDataFrame([(1, [1.0, 2.0]), (-5, [0.0, 1.0])], "query_id long, x array<double>")
